@@ -1,11 +1,563 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the SQL that each must agree with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from platehouse.functions import geometry, ids, plates, scalars
+from platehouse.operators import datasets, evaluation, events, identity, journeys, policy, quality, reid, retention, stats, topology, voting
+from platehouse.plans import fixtures as fx
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+FROM, TO = "2024-01-08 00:00:00", "2024-01-22 00:00:00"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with SQL where SQL can say it; {ve}, {edges} and {wl} are the fixtures."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql.replace("{ve}", fx.VE).replace("{edges}", fx.EDGE_VALUES).replace("{wl}", fx.WL)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _text(column: str) -> F.Column:
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
+
+
+_METRICS = """count(*) AS events, count(plate) AS readable, count(*) FILTER (status = 'CONFIRMED') AS confirmed, count(*) FILTER (status = 'NEEDS_REVIEW') AS needs_review,
+count(*) FILTER (status = 'NO_PLATE') AS no_plate, count(*) FILTER (status = 'UNREADABLE') AS unreadable, count(*) FILTER (reviewed) AS reviewed, count(*) FILTER (corrected) AS corrected, round(avg(plate_confidence), 9) AS average_confidence,
+count(plate) / count(*) AS success_rate, count(*) FILTER (status IN ('NO_PLATE', 'UNREADABLE')) / count(*) AS unknown_rate, coalesce(count(*) FILTER (corrected) / nullif(count(*) FILTER (reviewed), 0), 0.0) AS correction_rate"""
+
+
+@query("WITH {ve}, s AS (SELECT *, strftime(occurred_at, '%Y-%m-%d') AS day FROM ve WHERE occurred_at >= TIMESTAMP '" + FROM + "' AND occurred_at < TIMESTAMP '" + TO + "') "
+       "SELECT 'total' AS facet, NULL AS model_name, NULL AS model_version, NULL AS day, 1 AS place, " + _METRICS + " FROM s UNION ALL "
+       "(SELECT 'model', model_name, model_version, NULL, row_number() OVER (ORDER BY count(*) DESC, model_name, model_version), " + _METRICS + " FROM s WHERE model_name IS NOT NULL GROUP BY model_name, model_version) UNION ALL "
+       "SELECT 'day', NULL, NULL, day, row_number() OVER (ORDER BY day), " + _METRICS + " FROM s GROUP BY day")
+def quality_facets(spark, sf_dir):
+    """Totals, models and days in one scan."""
+    found = quality.facets(fx.events(spark, sf_dir).where("model_name IS NOT NULL OR true"), FROM, TO)
+    return found.withColumn("average_confidence", F.round("average_confidence", 9))
+
+
+@query("WITH s AS (SELECT CASE WHEN quality = 1 THEN 'READY' WHEN toxic = 1 THEN 'EXPORT_FAILED' ELSE 'EXPORTED' END AS status, CASE WHEN toxic = 1 THEN 'HUMAN_CORRECTION' ELSE 'HUMAN_CONFIRMATION' END AS reason FROM labels) "
+       "SELECT count(*) AS total, count(*) FILTER (status = 'READY') AS ready, count(*) FILTER (status = 'EXPORTING') AS exporting, count(*) FILTER (status = 'EXPORTED') AS exported, count(*) FILTER (status = 'EXPORT_FAILED') AS export_failed, count(*) FILTER (reason = 'HUMAN_CORRECTION') AS corrections, count(*) FILTER (reason = 'HUMAN_CONFIRMATION') AS confirmations FROM s")
+def quality_feedback(spark, sf_dir):
+    """A3."""
+    samples = fx.table(spark, sf_dir, "labels").selectExpr("CASE WHEN quality = 1 THEN 'READY' WHEN toxic = 1 THEN 'EXPORT_FAILED' ELSE 'EXPORTED' END AS status", "CASE WHEN toxic = 1 THEN 'HUMAN_CORRECTION' ELSE 'HUMAN_CONFIRMATION' END AS reason")
+    return quality.feedback(samples)
+
+
+@query("WITH {ve} SELECT id, camera_id, status, direction FROM ve WHERE camera_id = 'cam-3' AND status = 'CONFIRMED' AND occurred_at BETWEEN TIMESTAMP '" + FROM + "' AND TIMESTAMP '" + TO + "'")
+def event_filter(spark, sf_dir):
+    """Conjunction of the given conditions, both ends included."""
+    rows = fx.events(spark, sf_dir)
+    return rows.where(events.matching({"camera_id": "cam-3", "status": "CONFIRMED", "direction": None}, start=F.lit(FROM).cast("timestamp_ntz"), end=F.lit(TO).cast("timestamp_ntz"))).select("id", "camera_id", "status", "direction")
+
+
+@query("WITH {ve} SELECT coalesce(plate_final, plate) AS plate, count(*) AS n FROM ve WHERE coalesce(plate_final, plate) IS NOT NULL GROUP BY 1")
+def effective_plates(spark, sf_dir):
+    """P2."""
+    return fx.events(spark, sf_dir).select(events.effective_plate().alias("plate")).where("plate IS NOT NULL").groupBy("plate").agg(F.count("*").alias("n"))
+
+
+@query("WITH {ve} SELECT id, strftime(occurred_at, '%Y-%m-%d %H:%M:%S.%f') AS occurred_at, camera_id FROM ve WHERE (occurred_at, id) < (TIMESTAMP '2024-01-20 00:00:00', 'evt_00005000') ORDER BY ve.occurred_at DESC, id DESC LIMIT 51")
+def event_page(spark, sf_dir):
+    """Keyset page and one row more."""
+    return events.page(fx.events(spark, sf_dir), 50, ("2024-01-20 00:00:00", "evt_00005000")).select("id", _text("occurred_at"), "camera_id")
+
+
+@query("WITH {ve} SELECT id, strftime(occurred_at, '%Y-%m-%d %H:%M:%S.%f') AS occurred_at FROM ve WHERE vehicle_id = 'veh-11' ORDER BY ve.occurred_at, id LIMIT 5001")
+def vehicle_timeline(spark, sf_dir):
+    """T5."""
+    return events.page(fx.events(spark, sf_dir).where("vehicle_id = 'veh-11'"), 5000, ascending=True).select("id", _text("occurred_at"))
+
+
+@query("WITH {ve} SELECT vehicle_id, arg_max(id, (occurred_at, id)) AS id, arg_max(camera_id, (occurred_at, id)) AS camera_id FROM ve WHERE vehicle_id IS NOT NULL GROUP BY 1")
+def latest_event(spark, sf_dir):
+    """W4, J15."""
+    return events.latest(fx.events(spark, sf_dir).where("vehicle_id IS NOT NULL"), "vehicle_id").select("vehicle_id", "id", "camera_id")
+
+
+@query("WITH {ve} SELECT camera_id, id FROM (SELECT camera_id, id, row_number() OVER (PARTITION BY camera_id ORDER BY occurred_at DESC, id DESC) AS n FROM ve) WHERE n <= 64")
+def last_observations(spark, sf_dir):
+    """W5, T6."""
+    return events.last_n(fx.events(spark, sf_dir).select("camera_id", "id", "occurred_at"), ["camera_id"], 64, [F.desc("occurred_at"), F.desc("id")]).select("camera_id", "id")
+
+
+@query("WITH {ve}, t AS (SELECT TIMESTAMP '2024-01-15 10:25:00' AS now), h AS (SELECT date_trunc('hour', now) - i * INTERVAL 1 HOUR AS hour FROM t, range(7) r(i)), c AS (SELECT date_trunc('hour', occurred_at) AS hour, count(*) FILTER (direction = 'ENTER') AS entries, count(*) FILTER (direction = 'EXIT') AS exits, count(*) AS total FROM ve, t WHERE occurred_at >= now - INTERVAL 7 HOUR AND occurred_at < date_trunc('hour', now) + INTERVAL 1 HOUR GROUP BY 1) "
+       "SELECT strftime(h.hour, '%Y-%m-%d %H:%M:%S.%f') AS hour, coalesce(entries, 0) AS entries, coalesce(exits, 0) AS exits, coalesce(total, 0) AS total, round(greatest(3.0, 100.0 * coalesce(total, 0) / greatest(1, max(coalesce(total, 0)) OVER ())), 6) AS width FROM h LEFT JOIN c USING (hour)")
+def hourly_activity(spark, sf_dir):
+    """Zero-filled hours."""
+    return events.hourly_activity(fx.events(spark, sf_dir), "2024-01-15 10:25:00").select(_text("hour"), "entries", "exits", "total", F.round("width", 6).alias("width"))
+
+
+@query("WITH {ve} SELECT count(*) AS total, count(*) FILTER (direction = 'ENTER') AS entries, count(*) FILTER (direction = 'EXIT') AS exits, count(*) FILTER (coalesce(plate_final, plate) IS NULL) AS no_plate FROM ve")
+def dashboard_counters(spark, sf_dir):
+    """C2."""
+    return events.dashboard(fx.events(spark, sf_dir))
+
+
+def _mode(value: str) -> str:
+    return f"(SELECT k, {value} FROM (SELECT k, {value}, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, {value}) AS r FROM p WHERE {value} IS NOT NULL GROUP BY k, {value}) WHERE r = 1)"
+
+
+@query("WITH {ve}, p AS (SELECT *, coalesce(plate_final, plate) AS k FROM ve WHERE coalesce(plate_final, plate) IS NOT NULL), a AS (SELECT k, count(*) AS observations, count(DISTINCT camera_id) AS cameras, count(*) FILTER (direction = 'ENTER') AS entries, count(*) FILTER (direction = 'EXIT') AS exits, strftime(min(occurred_at), '%Y-%m-%d %H:%M:%S.%f') AS oldest, strftime(max(occurred_at), '%Y-%m-%d %H:%M:%S.%f') AS latest, round(avg(plate_confidence), 9) AS mean_confidence, count(DISTINCT vehicle_id) AS vehicles, count(*) FILTER (vehicle_id IS NULL) AS unresolved FROM p GROUP BY k) "
+       "SELECT a.k AS plate_key, observations, cameras, entries, exits, oldest, latest, mean_confidence, vehicles, unresolved, vehicle_type, color FROM a LEFT JOIN " + _mode("vehicle_type") + " t USING (k) LEFT JOIN " + _mode("color") + " c USING (k)")
+def plate_history(spark, sf_dir):
+    """C3."""
+    out = events.plate_history(fx.events(spark, sf_dir))
+    return out.withColumns({"oldest": _text("oldest"), "latest": _text("latest"), "mean_confidence": F.round("mean_confidence", 9)})
+
+
+@query("WITH {ve}, b AS (SELECT id, occurred_at, 'new' AS origin, 0 AS old FROM ve WHERE event_id % 3 = 0 UNION ALL SELECT id, occurred_at, 'held', 1 FROM ve WHERE event_id % 2 = 0) SELECT id, origin FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY old) AS n FROM b) WHERE n = 1 ORDER BY occurred_at DESC, id DESC LIMIT 200")
+def realtime_merge(spark, sf_dir):
+    """C4, U7."""
+    rows = fx.events(spark, sf_dir).select("event_id", "id", "occurred_at")
+    return events.merge_realtime(rows.where("event_id % 2 = 0").withColumn("origin", F.lit("held")), rows.where("event_id % 3 = 0").withColumn("origin", F.lit("new"))).select("id", "origin")
+
+
+@query("WITH {ve} SELECT id FROM ve WHERE contains(regexp_replace(upper(coalesce(plate_final, plate)), '[-. ]', '', 'g'), '1A12')")
+def plate_substring(spark, sf_dir):
+    """C5."""
+    return fx.events(spark, sf_dir).where(events.plate_contains("1a-1.2")).select("id")
+
+
+@query("WITH {ve} SELECT id, true AS has_previous, true AS has_next FROM ve ORDER BY occurred_at DESC, id DESC LIMIT 25 OFFSET 50")
+def aligned_window(spark, sf_dir):
+    """C8."""
+    return events.window_of(fx.events(spark, sf_dir), [F.desc("occurred_at"), F.desc("id")], 60, 25).select("id", "has_previous", "has_next")
+
+
+@query("WITH {ve}, k AS (SELECT camera_id, track_id, event_type, arg_min(id, (occurred_at, id)) AS id FROM ve GROUP BY 1, 2, 3) SELECT id, camera_id, track_id, event_type FROM k")
+def first_writes(spark, sf_dir):
+    """First write wins; ids are unique here, so the semantic key decides."""
+    rows = fx.events(spark, sf_dir).select("id", "camera_id", "track_id", "event_type", "occurred_at")
+    key = ["camera_id", "track_id", "event_type"]
+    return rows.groupBy(*key).agg(F.min_by("id", F.struct("occurred_at", "id")).alias("id")).select("id", *key)
+
+
+@query("WITH {ve}, {wl} SELECT id, string_agg(list_type || ':' || entry_id, ',' ORDER BY list_type, entry_id) AS entries FROM (SELECT ve.id, list_type, wl.id AS entry_id FROM ve JOIN wl ON ve.plate = wl.plate AND enabled AND (valid_from IS NULL OR valid_from <= occurred_at) AND (valid_until IS NULL OR occurred_at <= valid_until)) GROUP BY id")
+def watchlist_matches(spark, sf_dir):
+    """Validity join, ends included."""
+    found = policy.watchlist_matches(fx.events(spark, sf_dir).select("id", "plate", "occurred_at"), fx.watchlist(spark, sf_dir)).where(F.size("entry_ids") > 0)
+    return found.select("id", F.array_join(F.zip_with("list_types", "entry_ids", lambda a, b: F.concat(a, F.lit(":"), b)), ",").alias("entries"))
+
+
+RULES = [
+    policy.Rule("r-block", "blocked plate", 90, (policy.Condition("watchlist", "CONTAINS", "BLOCK"),), ("CREATE_ALERT", "NOTIFY")),
+    policy.Rule("r-gate", "gate entries without plate", 50, (policy.Condition("camera_id", "IN", ["cam-1", "cam-2"]), policy.Condition("direction", "EQ", "ENTER"), policy.Condition("plate", "EXISTS", False))),
+    policy.Rule("r-color", "no colour or other than red", 50, (policy.Condition("color", "NOT_IN", ["red", "blu"]), policy.Condition("status", "NEQ", "CONFIRMED"))),
+    policy.Rule("r-off", "never", 99, (policy.Condition("plate", "EXISTS", True),), enabled=False),
+]
+
+
+@query("WITH {ve}, {wl}, b AS (SELECT DISTINCT ve.id FROM ve JOIN wl ON ve.plate = wl.plate AND enabled AND list_type = 'BLOCK' AND (valid_from IS NULL OR valid_from <= occurred_at) AND (valid_until IS NULL OR occurred_at <= valid_until)), "
+       "m AS (SELECT id, 'r-block' AS rule_id, 0 AS rule_rank, unnest(['CREATE_ALERT', 'NOTIFY']) AS action FROM b UNION ALL SELECT id, 'r-gate', 1, 'CREATE_ALERT' FROM ve WHERE camera_id IN ('cam-1', 'cam-2') AND direction = 'ENTER' AND plate IS NULL UNION ALL SELECT id, 'r-color', 2, 'CREATE_ALERT' FROM ve WHERE (color IS NULL OR color NOT IN ('red', 'blu')) AND status <> 'CONFIRMED') "
+       "SELECT id, rule_id, CASE rule_id WHEN 'r-color' THEN 2 WHEN 'r-gate' THEN 1 ELSE 0 END AS rule_rank, action, 'act_' || substr(sha256(id || '|' || rule_id || '|' || action), 1, 40) AS execution_id FROM m")
+def rule_actions(spark, sf_dir):
+    """J2, P11, P12, H1, T8."""
+    listed = policy.watchlist_matches(fx.events(spark, sf_dir), fx.watchlist(spark, sf_dir))
+    return policy.apply_rules(listed, RULES).select("id", "rule_id", "rule_rank", "action", "execution_id")
+
+
+@query("WITH {wl} SELECT id, CASE WHEN NOT enabled THEN 'DISABLED' WHEN valid_from > TIMESTAMP '2024-01-10' THEN 'SCHEDULED' WHEN valid_until < TIMESTAMP '2024-01-10' THEN 'EXPIRED' ELSE 'ACTIVE' END AS state FROM wl WHERE contains(upper(plate), 'A') OR contains(upper(id), 'A')")
+def watchlist_lifecycle(spark, sf_dir):
+    """C6, C7, P7."""
+    return policy.search_watchlist(fx.watchlist(spark, sf_dir), "a").select("id", policy.lifecycle(F.lit("2024-01-10").cast("timestamp_ntz")).alias("state"))
+
+
+@query("WITH {ve}, c AS (SELECT camera_id AS alert_id, event_id AS moment, CASE WHEN event_id % 900 = 8 THEN 'RESOLVE' WHEN event_id % 7 = 0 THEN 'ACKNOWLEDGE' ELSE 'NOTE' END AS command FROM ve), f AS (SELECT alert_id, min(moment) FILTER (command = 'ACKNOWLEDGE') AS a, min(moment) FILTER (command = 'RESOLVE') AS r FROM c GROUP BY 1) SELECT alert_id, CASE WHEN r IS NOT NULL THEN 'RESOLVED' WHEN a IS NOT NULL THEN 'ACKNOWLEDGED' ELSE 'OPEN' END AS state, CASE WHEN r IS NULL OR a <= r THEN a END AS acknowledged_at, r AS resolved_at FROM f")
+def alert_lifecycle(spark, sf_dir):
+    """ST18."""
+    commands = fx.events(spark, sf_dir).selectExpr("camera_id AS alert_id", "event_id AS at", "CASE WHEN event_id % 900 = 8 THEN 'RESOLVE' WHEN event_id % 7 = 0 THEN 'ACKNOWLEDGE' ELSE 'NOTE' END AS command")
+    return policy.fold_alert(commands)
+
+
+_TRAVEL = "epoch_us(s.observed_at) / 1e6 - epoch_us(c.observed_at) / 1e6"
+_CANDIDATES = """e AS (SELECT * FROM edges WHERE enabled), m AS (SELECT s.id AS source_id, c.id AS candidate_id, e.id AS edge_id, (epoch_us(s.observed_at) - epoch_us(c.observed_at)) / 1e6 AS travel, s.vehicle_id AS sv, c.vehicle_id AS cv, c.observed_at AS ct, minimum_travel_seconds AS lo, typical_travel_seconds AS ty, maximum_travel_seconds AS hi
+FROM ve s JOIN e ON s.camera_id = e.to_camera_id JOIN ve c ON c.camera_id = e.from_camera_id AND epoch_us(s.observed_at) - epoch_us(c.observed_at) BETWEEN minimum_travel_seconds * 1000000 AND maximum_travel_seconds * 1000000),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_id, edge_id ORDER BY ct DESC, candidate_id DESC) AS k FROM m), o AS (SELECT *, CASE WHEN travel = ty THEN 1.0 WHEN travel < ty THEN 1 - (ty - travel) / (ty - lo) ELSE 1 - (travel - ty) / (hi - ty) END AS score FROM n WHERE k <= 100 AND source_id <> candidate_id AND sv IS DISTINCT FROM cv),
+best AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, ct DESC, candidate_id DESC) AS place FROM o)"""
+
+
+@query("WITH {ve}, {edges}, " + _CANDIDATES + " SELECT source_id, candidate_id, edge_id, round(travel, 6) AS travel_seconds, round(score, 6) AS time_score, place FROM best WHERE place <= 20")
+def travel_candidates(spark, sf_dir):
+    """J3, W6, X6, T7."""
+    found = topology.candidates(fx.events(spark, sf_dir), fx.edges(spark))
+    return found.select("source_id", "candidate_id", "edge_id", F.round("travel_seconds", 6).alias("travel_seconds"), F.round("time_score", 6).alias("time_score"), "place")
+
+
+def _sim(a: str, b: str) -> str:
+    return f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 0.0 ELSE 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END"
+
+
+@query("WITH {ve}, {edges}, " + _CANDIDATES + ", v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS values FROM embeddings), p AS (SELECT b.source_id, b.candidate_id, b.score AS ts, " + _sim("s.plate", "c.plate") + " AS ps, greatest(0.0, list_cosine_similarity(sv.values, cv.values)) AS es, CASE WHEN s.vehicle_type = 'unknown' OR c.vehicle_type = 'unknown' THEN NULL ELSE (s.vehicle_type = c.vehicle_type)::INT::DOUBLE END AS tys, CASE WHEN s.color IS NULL OR c.color IS NULL THEN NULL ELSE (s.color = c.color)::INT::DOUBLE END AS cs "
+       "FROM best b JOIN ve s ON s.id = b.source_id JOIN ve c ON c.id = b.candidate_id LEFT JOIN v sv ON sv.vec_id = s.embedding_id LEFT JOIN v cv ON cv.vec_id = c.embedding_id WHERE b.place <= 20), "
+       "w AS (SELECT *, CASE WHEN ps IS NULL THEN 0 ELSE 0.40 END + CASE WHEN es IS NULL THEN 0 ELSE 0.25 END AS idw, CASE WHEN ps IS NULL THEN 0 ELSE 0.40 END + CASE WHEN es IS NULL THEN 0 ELSE 0.25 END + CASE WHEN tys IS NULL THEN 0 ELSE 0.10 END + CASE WHEN cs IS NULL THEN 0 ELSE 0.05 END + 0.20 AS allw FROM p), "
+       "z AS (SELECT *, (coalesce(ps, 0) * 0.40 + coalesce(es, 0) * 0.25 + coalesce(tys, 0) * 0.10 + coalesce(cs, 0) * 0.05 + ts * 0.20) / allw AS sc FROM w) "
+       "SELECT source_id, candidate_id, round(ps, 6) AS plate_score, round(es, 6) AS embedding_score, round(sc, 6) AS score, CASE WHEN sc >= 0.88 AND allw >= 0.40 AND idw >= 0.25 THEN 'MATCH' WHEN sc >= 0.65 THEN 'REVIEW' ELSE 'REJECT' END AS decision FROM z")
+def reid_scores(spark, sf_dir):
+    """X1 to X5, J4, J5, J13."""
+    rows = fx.events(spark, sf_dir)
+    vectors = fx.table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "'m:1' AS model", "embedding AS values")
+    found = reid.score_pairs(topology.candidates(rows, fx.edges(spark)), rows, vectors)
+    return found.select("source_id", "candidate_id", F.round("plate_score", 6).alias("plate_score"), F.round("embedding_score", 6).alias("embedding_score"), F.round("score", 6).alias("score"), "decision")
+
+
+@query("WITH q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(a, list_transform(embedding, lambda x: x::DOUBLE)) AS score FROM q, embeddings WHERE vec_id <> query_id) SELECT query_id, id, round(score, 6) AS score, n - 1 AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS n FROM s WHERE score >= 0.1) WHERE n <= 10")
+def vector_search(spark, sf_dir):
+    """The stated query set against all rows."""
+    v = fx.table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "'m:1' AS model", "embedding AS values")
+    return reid.nearest(v.where("id % 100 = 0"), v, 0.1, 10).withColumn("score", F.round("score", 6))
+
+
+@query("WITH {ve}, {edges}, j AS (SELECT vehicle_id, lag(id) OVER w AS from_event, id AS to_event, lag(camera_id) OVER w AS from_camera_id, camera_id AS to_camera_id, (epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER w) / 1e6 AS elapsed FROM ve WHERE vehicle_id IS NOT NULL WINDOW w AS (PARTITION BY vehicle_id ORDER BY occurred_at, id)) SELECT vehicle_id, from_event, to_event, j.from_camera_id, j.to_camera_id, round(elapsed, 6) AS elapsed_seconds, e.id AS edge_id, elapsed BETWEEN minimum_travel_seconds AND maximum_travel_seconds AS feasible, false AS truncated FROM j LEFT JOIN edges e ON e.from_camera_id = j.from_camera_id AND e.to_camera_id = j.to_camera_id AND e.enabled WHERE from_event IS NOT NULL")
+def journey_segments(spark, sf_dir):
+    """W1, J6, D2."""
+    return journeys.segments(fx.events(spark, sf_dir), fx.edges(spark)).withColumn("elapsed_seconds", F.round("elapsed_seconds", 6))
+
+
+@query("WITH {ve}, {edges}, j AS (SELECT vehicle_id, lag(camera_id) OVER w AS f, camera_id AS t, (epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER w) / 1e6 AS elapsed FROM ve WHERE vehicle_id IS NOT NULL WINDOW w AS (PARTITION BY vehicle_id ORDER BY occurred_at, id)), k AS (SELECT vehicle_id, count(*) FILTER (e.id IS NOT NULL AND NOT (elapsed BETWEEN minimum_travel_seconds AND maximum_travel_seconds)) AS infeasible, count(*) FILTER (e.id IS NULL) AS unknown_topology FROM j LEFT JOIN edges e ON e.from_camera_id = f AND e.to_camera_id = t AND e.enabled WHERE f IS NOT NULL GROUP BY 1) "
+       "SELECT v.vehicle_id, count(*) AS observations, count(DISTINCT camera_id) AS cameras, round((max(epoch_us(occurred_at)) - min(epoch_us(occurred_at))) / 1e6, 6) AS duration_seconds, coalesce(any_value(infeasible), 0) AS infeasible, coalesce(any_value(unknown_topology), 0) AS unknown_topology FROM ve v LEFT JOIN k USING (vehicle_id) WHERE v.vehicle_id IS NOT NULL GROUP BY 1")
+def journey_summary(spark, sf_dir):
+    """A30, C10."""
+    rows = fx.events(spark, sf_dir)
+    return journeys.summarize(rows, journeys.segments(rows, fx.edges(spark))).withColumn("duration_seconds", F.round("duration_seconds", 6))
+
+
+@query("WITH {ve}, p AS (SELECT vehicle_id, plate, max(plate_confidence) AS c, max(observed_at) AS l FROM ve WHERE vehicle_id IS NOT NULL AND plate IS NOT NULL GROUP BY 1, 2), pp AS (SELECT vehicle_id, arg_max(plate, (c, l, plate)) AS primary_plate FROM p GROUP BY 1), t AS (SELECT vehicle_id, arg_max(vehicle_type, (s, vehicle_type)) AS vehicle_type FROM (SELECT vehicle_id, vehicle_type, sum(vehicle_confidence) AS s FROM ve GROUP BY 1, 2) GROUP BY 1), c AS (SELECT vehicle_id, arg_max(color, (n, color)) AS color FROM (SELECT vehicle_id, color, count(*) AS n FROM ve WHERE color IS NOT NULL GROUP BY 1, 2) GROUP BY 1) "
+       "SELECT v.vehicle_id, primary_plate, t.vehicle_type, c.color, strftime(min(observed_at), '%Y-%m-%d %H:%M:%S.%f') AS first_seen_at, strftime(max(observed_at), '%Y-%m-%d %H:%M:%S.%f') AS last_seen_at, count(*) AS observation_count FROM ve v LEFT JOIN pp USING (vehicle_id) LEFT JOIN t USING (vehicle_id) LEFT JOIN c USING (vehicle_id) WHERE v.vehicle_id IS NOT NULL GROUP BY 1, 2, 3, 4")
+def identity_rebuild(spark, sf_dir):
+    """A12, P10."""
+    found = identity.rebuild(fx.events(spark, sf_dir).where("vehicle_id IS NOT NULL"))
+    return found.select("vehicle_id", "primary_plate", "vehicle_type", "color", _text("first_seen_at"), _text("last_seen_at"), "observation_count")
+
+
+@query("WITH {ve} SELECT vehicle_id, arg_min(plate, (observed_at, id)) FILTER (plate IS NOT NULL) AS primary_plate, arg_min(vehicle_type, (observed_at, id)) AS vehicle_type, arg_min(color, (observed_at, id)) FILTER (color IS NOT NULL) AS color, count(*) AS revision FROM ve WHERE vehicle_id IS NOT NULL GROUP BY 1")
+def identity_merge(spark, sf_dir):
+    """What came first stays."""
+    return identity.merge_in_order(fx.events(spark, sf_dir).where("vehicle_id IS NOT NULL")).drop("aliases")
+
+
+@query("WITH {ve} SELECT id, CASE WHEN event_id % 40 = 0 AND vehicle_id = 'veh-12' THEN 'veh-split' WHEN vehicle_id = 'veh-12' THEN 'veh-13' ELSE vehicle_id END AS vehicle_id FROM ve")
+def identity_reviews(spark, sf_dir):
+    """ST17: a merge, and splits of single events."""
+    rows = fx.events(spark, sf_dir).select("id", "event_id", "vehicle_id", F.col("id").alias("source_event_id"))
+    merge = spark.createDataFrame([("m1", "veh-12", "veh-13", None)], "review_id string, from_vehicle_id string, to_vehicle_id string, source_event_id string")
+    split = rows.where("event_id % 40 = 0 AND vehicle_id = 'veh-12'").select(F.concat(F.lit("s"), "id").alias("review_id"), F.col("vehicle_id").alias("from_vehicle_id"), F.lit("veh-split").alias("to_vehicle_id"), "source_event_id")
+    return identity.reassign(rows, merge.unionByName(split)).select("id", "vehicle_id")
+
+
+_CLEAN = "regexp_replace(upper(raw), '[^A-Z0-9]', '', 'g')"
+_PLATE_SQL = ("c AS (SELECT id, raw, " + _CLEAN + " AS k FROM ve), s AS (SELECT *, translate(substr(k, 1, 2), 'OIZSGB', '012568') AS p, translate(substr(k, 3, 1), '012568', 'OIZSGB') AS l, substr(k, 4, 1) AS x, translate(substr(k, 4), 'OIZSGB', '012568') AS n1, translate(substr(k, 5), 'OIZSGB', '012568') AS n2 FROM c), "
+  "r AS (SELECT *, CASE WHEN length(k) IN (7, 8) AND regexp_full_match(p || l || n1, '[0-9]{2}[A-Z][0-9]{4,5}') THEN p || l || n1 END AS one, CASE WHEN length(k) IN (8, 9) AND regexp_full_match(p || l || n2, '[0-9]{2}[A-Z][0-9]{4,5}') AND (regexp_full_match(x, '[0-9]') OR l || x IN ('CD','CV','DA','HC','KT','LA','LB','LD','MA','MK','NG','NN','QT','RM')) THEN p || l || x || n2 END AS two FROM s), "
+  "d AS (SELECT *, list_sum(list_transform(range(1, 10), lambda i: (substr(k, i, 1) <> substr(one, i, 1))::INT)) AS e1, list_sum(list_transform(range(1, 10), lambda i: (substr(k, i, 1) <> substr(two, i, 1))::INT)) AS e2 FROM r), "
+  "w AS (SELECT *, CASE WHEN one IS NULL THEN two WHEN two IS NULL THEN one WHEN (e1, (length(one) <> 8)::INT, 1) < (e2, (length(two) <> 9)::INT, 2) THEN one ELSE two END AS compact, CASE WHEN one IS NULL THEN 2 WHEN two IS NULL THEN 1 WHEN (e1, (length(one) <> 8)::INT, 1) < (e2, (length(two) <> 9)::INT, 2) THEN 1 ELSE 2 END AS series FROM d)")
+
+
+@query("WITH {ve}, " + _PLATE_SQL + " SELECT id, k AS cleaned, CASE WHEN compact IS NOT NULL THEN compact WHEN length(k) BETWEEN 4 AND 12 AND regexp_matches(k, '[0-9]') THEN k END AS compact, CASE WHEN compact IS NOT NULL THEN substr(compact, 1, 2 + series) || '-' || CASE WHEN length(compact) - 2 - series = 5 THEN substr(compact, 3 + series, 3) || '.' || substr(compact, 6 + series) ELSE substr(compact, 3 + series) END WHEN regexp_full_match(k, '[0-9]{5}') THEN substr(k, 1, 3) || '.' || substr(k, 4) WHEN length(k) BETWEEN 4 AND 12 AND regexp_matches(k, '[0-9]') THEN k END AS normalized, CASE WHEN compact IS NULL THEN 0 WHEN series = 1 THEN e1 ELSE e2 END AS corrected FROM w")
+def plate_normalization(spark, sf_dir):
+    """F1, F2, F4, P26."""
+    p = plates.normalize(F.col("raw"), allow_partial=True)
+    return fx.events(spark, sf_dir).select("id", p.alias("p")).select("id", "p.cleaned", "p.compact", "p.normalized", "p.corrected")
+
+
+@query("WITH {ve}, " + _PLATE_SQL + ", z AS (SELECT id, k, compact, unnest(range(1, 10)) AS i FROM w WHERE compact IS NOT NULL) SELECT id, i - 1 AS position, substr(k, i, 1) AS from_character, substr(compact, i, 1) AS to_character, 0.91 AS confidence FROM z WHERE substr(k, i, 1) <> substr(compact, i, 1)")
+def plate_corrections(spark, sf_dir):
+    """F3."""
+    p = fx.events(spark, sf_dir).select("id", plates.normalize(F.col("raw")).alias("p"))
+    return p.where("p.valid").select("id", F.explode(plates.corrections(F.col("p.cleaned"), F.col("p.compact"))).alias("c")).select("id", F.col("c.position").alias("position"), F.col("c.from").alias("from_character"), F.col("c.to").alias("to_character"), F.col("c.confidence").alias("confidence"))
+
+
+@query("WITH {ve}, x AS (SELECT id, " + _CLEAN + " AS a, plate AS b FROM ve WHERE plate IS NOT NULL) SELECT id, round(" + _sim("a", "b") + ", 9) AS similarity, levenshtein(a, b) AS distance FROM x")
+def plate_similarity(spark, sf_dir):
+    """F5, X1."""
+    rows = fx.events(spark, sf_dir).where("plate IS NOT NULL")
+    return rows.select("id", F.round(plates.similarity(F.col("raw"), F.col("plate")), 9).alias("similarity"), F.levenshtein(plates.clean(F.col("raw")), F.col("plate")).alias("distance"))
+
+
+@query("WITH {ve} SELECT id, 'veh_' || substr(sha256(coalesce(plate, id)), 1, 32) AS vehicle, 'dss_' || substr(sha256(id), 1, 24) AS sample, CASE WHEN s < 0.8 THEN 'train' WHEN s < 0.9 THEN 'val' ELSE 'test' END AS split FROM (SELECT *, (('0x' || substr(sha256('seed:' || camera_id || track_id), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551616.0 AS s FROM ve)")
+def hashed_ids(spark, sf_dir):
+    """H1, H3."""
+    return fx.events(spark, sf_dir).select("id", ids.hashed_id("veh_", F.coalesce("plate", "id")).alias("vehicle"), ids.hashed_id("dss_", F.col("id"), 24).alias("sample"), ids.hash_split(F.concat("camera_id", "track_id"), "seed", {"train": 0.8, "val": 0.1, "test": 0.1}).alias("split"))
+
+
+@query()
+def uuid_ids(spark, sf_dir):
+    """H2: name-based ids; tests compare with Python's uuid5."""
+    return fx.events(spark, sf_dir).select("id", F.concat(F.lit("evt_"), ids.uuid5(F.concat_ws("|", F.concat_ws(":", "camera_id", "track_id"), "event_type", scalars.iso(F.col("occurred_at"))))).alias("event_key"))
+
+
+@query("WITH {ve} SELECT id, strftime(occurred_at, '%Y-%m-%d') AS day, strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso, 'vehicles/' || strftime(occurred_at, '%Y/%m/%d') || '/' || camera_id || '/' || id || '/snapshot' AS media_key, CASE WHEN plate IS NULL THEN CASE WHEN event_id % 2 = 0 THEN 'NO_PLATE' ELSE 'UNREADABLE' END WHEN event_id % 13 = 0 THEN 'NEEDS_REVIEW' WHEN plate_confidence >= 0.85 THEN 'CONFIRMED' WHEN plate_confidence >= 0.75 THEN 'NEEDS_REVIEW' ELSE 'LOW_CONFIDENCE' END AS derived_status, event_type AS derived_type FROM ve")
+def event_projection(spark, sf_dir):
+    """P18, P19, P20, D1, D3, M1."""
+    rows = fx.events(spark, sf_dir)
+    status = scalars.status_of(F.col("plate").isNull(), F.col("event_id") % 2, F.col("event_id") % 13 == 0, F.col("plate_confidence"))
+    return rows.select("id", scalars.utc_day(F.col("occurred_at")).alias("day"), scalars.iso(F.col("occurred_at")).alias("iso"), scalars.media_key(F.col("occurred_at"), F.col("camera_id"), F.col("id"), "snapshot").alias("media_key"), status.alias("derived_status"), scalars.type_of(F.col("direction")).alias("derived_type"))
+
+
+_OCR = "r AS (SELECT camera_id AS split, model_name || '@' || model_version AS model, plate AS label, " + _CLEAN + " AS predicted, plate_confidence AS confidence FROM ve WHERE plate IS NOT NULL AND model_name IS NOT NULL)"
+
+
+def _ocr_rows(spark, sf_dir) -> DataFrame:
+    return fx.events(spark, sf_dir).where("plate IS NOT NULL AND model_name IS NOT NULL").select(F.col("camera_id").alias("split"), F.concat_ws("@", "model_name", "model_version").alias("model"), F.col("plate").alias("label"), plates.clean(F.col("raw")).alias("predicted"), F.col("plate_confidence").alias("confidence"))
+
+
+def _ocr_sql(key: str) -> str:
+    by = f"{key}, " if key else ""
+    group = f"GROUP BY {key}" if key else ""
+    return "WITH {ve}, " + _OCR + f", b AS (SELECT {by}least(9, floor(confidence * 10)) AS bin, count(*) AS n, sum((label = predicted)::INT) AS h, sum(confidence) AS c, sum(levenshtein(predicted, label)) AS e, sum(greatest(length(predicted), length(label), 1)) AS ch FROM r GROUP BY {by}bin) SELECT {by}sum(n)::BIGINT AS samples, round(sum(h) / sum(n), 9) AS exact_accuracy, round(greatest(0.0, 1 - sum(e) / sum(ch)), 9) AS character_accuracy, round(sum(abs(h - c)) / sum(n), 9) AS expected_calibration_error FROM b {group}"
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 9) for n in names})
+
+
+_OCR_VALUES = ("exact_accuracy", "character_accuracy", "expected_calibration_error")
+
+
+@query(_ocr_sql(""))
+def ocr_evaluation(spark, sf_dir):
+    """A14."""
+    return _rounded(evaluation.ocr_metrics(_ocr_rows(spark, sf_dir)), *_OCR_VALUES)
+
+
+@query(_ocr_sql("split"))
+def ocr_by_split(spark, sf_dir):
+    """A15."""
+    return _rounded(evaluation.ocr_metrics(_ocr_rows(spark, sf_dir), ["split"]), *_OCR_VALUES)
+
+
+@query(_ocr_sql("model"))
+def ocr_by_model(spark, sf_dir):
+    """A15."""
+    return _rounded(evaluation.ocr_metrics(_ocr_rows(spark, sf_dir), ["model"]), *_OCR_VALUES)
+
+
+@query("SELECT event_type, count(value) AS count, round_even(avg(value), 3) AS mean, round_even(quantile_cont(value, 0.5), 3) AS p50, round_even(quantile_cont(value, 0.95), 3) AS p95, round_even(quantile_cont(value, 0.99), 3) AS p99, round_even(max(value), 3) AS max FROM events GROUP BY 1")
+def latency_summary(spark, sf_dir):
+    """A21."""
+    return stats.latency_summary(fx.table(spark, sf_dir, "events"), "value", ["event_type"])
+
+
+@query("SELECT event_type, quantile_disc(value, 0.95) AS value FROM events GROUP BY 1")
+def nearest_rank_p95(spark, sf_dir):
+    """A22."""
+    return stats.nearest_rank(fx.table(spark, sf_dir, "events"), "value", 0.95, ["event_type"])
+
+
+@query("SELECT event_type, round(pow(sum(value), 2) / (count(value) * sum(value * value)), 9) AS fairness FROM events GROUP BY 1")
+def jain_fairness(spark, sf_dir):
+    """A23."""
+    return _rounded(stats.jain(fx.table(spark, sf_dir, "events"), "value", ["event_type"]), "fairness")
+
+
+@query("SELECT le, (SELECT count(*) FROM events WHERE value <= b) AS count FROM (VALUES ('1', 1.0), ('10', 10.0), ('50', 50.0), ('250', 250.0), ('+Inf', 1e300)) v(le, b)")
+def latency_histogram(spark, sf_dir):
+    """A32, S24."""
+    return stats.histogram(fx.table(spark, sf_dir, "events"), "value", [1, 10, 50, 250])
+
+
+@query("WITH c AS (SELECT event_type AS name, quantile_cont(value, 0.95) AS p, count(*)::DOUBLE AS t, p * 0.9 AS bp, t * 1.2 AS bt FROM events GROUP BY 1) SELECT name, array_to_string(list_filter([CASE WHEN (p - bp) / bp > 0.1 THEN 'p95_regression' END, CASE WHEN t / bt < 0.8 THEN 'throughput_ratio' END], lambda x: x IS NOT NULL), ',') AS failures FROM c")
+def benchmark_gate(spark, sf_dir):
+    """M4, M5."""
+    now = fx.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.percentile("value", F.lit(0.95)).alias("p95_ms"), F.count("*").cast("double").alias("throughput"))
+    before = now.select("name", (F.col("p95_ms") * 0.9).alias("p95_ms"), (F.col("throughput") * 1.2).alias("throughput"))
+    return stats.regressions(now, before, 0.1, 0.8).select("name", F.array_join("failures", ",").alias("failures"))
+
+
+@query("SELECT doc_id, CASE WHEN s < 0.8 THEN 'train' WHEN s < 0.9 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, (('0x' || substr(sha256('7:' || source), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551616.0 AS s FROM documents)")
+def group_split(spark, sf_dir):
+    """Sources stay whole."""
+    return datasets.split_by_group(fx.table(spark, sf_dir, "documents"), "source", "7").select("doc_id", "split")
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS doc_id, CASE WHEN min(source) <> max(source) THEN 'dedup:' || sha256(text) ELSE min(source) END AS group_key, min(source) <> max(source) AS conflict FROM documents GROUP BY sha256(text)")
+def content_dedup(spark, sf_dir):
+    """U3, A26."""
+    return datasets.dedup_content(fx.table(spark, sf_dir, "documents"), F.col("text"), "doc_id", "source")
+
+
+@query("SELECT sha256(html) AS sha256, count(*) AS copies, min(page_id) AS kept FROM pages GROUP BY 1 HAVING count(*) > 1")
+def duplicate_pages(spark, sf_dir):
+    """A26, S19."""
+    return datasets.duplicates(fx.table(spark, sf_dir, "pages"), F.col("html"), "page_id")
+
+
+@query("SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS splits FROM documents GROUP BY lang HAVING count(DISTINCT source) > 1")
+def leaking_groups(spark, sf_dir):
+    """What the leakage check finds when groups are not kept whole."""
+    rows = fx.table(spark, sf_dir, "documents").select("lang", F.col("source").alias("split"))
+    return datasets.leaking_groups(rows, "lang").select("lang", F.array_join("splits", ",").alias("splits"))
+
+
+@query("SELECT lang, source, count(*) AS samples FROM documents GROUP BY 1, 2")
+def manifest_counts(spark, sf_dir):
+    """A24, A25."""
+    return datasets.counts(fx.table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN c_custkey IS NULL THEN 'SOURCE_EVENT_MISSING' WHEN c_custkey % 7 = 0 THEN 'MEDIA_KEY_MISSING' WHEN n_nationkey IS NULL THEN 'MEDIA_MISSING' END AS error_code FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 5 <> 0 LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20 AND c_custkey % 7 <> 0")
+def export_enrichment(spark, sf_dir):
+    """J8."""
+    samples = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source_event_id"))
+    seen = fx.table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey END AS image_key")
+    media = fx.table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("image_key"), F.lit("x").alias("sha256"))
+    return datasets.enrich(samples, seen, media).select("id", "error_code")
+
+
+@query("SELECT coalesce(w.id, r.id) AS id, CASE WHEN w.id IS NULL THEN 'STOP' WHEN r.id IS NULL THEN 'START' WHEN w.rev <> r.rev OR NOT alive THEN 'RESTART' ELSE 'KEEP' END AS action FROM (SELECT s_suppkey AS id, s_suppkey % 3 AS rev FROM supplier WHERE s_suppkey % 4 <> 0) w FULL JOIN (SELECT s_suppkey AS id, s_suppkey % 2 AS rev, s_acctbal > 0 AS alive FROM supplier WHERE s_suppkey % 5 <> 0) r ON w.id = r.id")
+def reconcile(spark, sf_dir):
+    """J14."""
+    s = fx.table(spark, sf_dir, "supplier")
+    return datasets.reconcile(s.where("s_suppkey % 4 <> 0").selectExpr("s_suppkey AS id", "s_suppkey % 3 AS revision"), s.where("s_suppkey % 5 <> 0").selectExpr("s_suppkey AS id", "s_suppkey % 2 AS revision", "s_acctbal > 0 AS alive"))
+
+
+@query("WITH {ve} SELECT id, CASE WHEN event_id % 20 = 0 THEN plate WHEN event_id % 10 = 0 THEN 'X' END AS plate_final, CASE WHEN event_id % 10 = 0 THEN 'CONFIRMED' ELSE status END AS status, CASE WHEN event_id % 10 = 0 AND (event_id % 20 <> 0 OR true) THEN 2 ELSE 1 END AS schema_version, CASE WHEN event_id % 20 = 0 THEN 'HUMAN_CONFIRMATION' WHEN event_id % 10 = 0 THEN 'HUMAN_CORRECTION' END AS reason, CASE WHEN event_id % 10 = 0 THEN 2 END AS review_revision FROM ve WHERE plate IS NOT NULL")
+def review_application(spark, sf_dir):
+    """ST16, ST15: the highest revision counts."""
+    rows = fx.events(spark, sf_dir).where("plate IS NOT NULL").withColumn("schema_version", F.lit(1))
+    some = rows.where("event_id % 10 = 0")
+    reviews = some.selectExpr("id AS event_id", "'OLD' AS plate", "1 AS revision").unionByName(some.selectExpr("id AS event_id", "CASE WHEN event_id % 20 = 0 THEN plate ELSE 'X' END AS plate", "2 AS revision"))
+    return datasets.apply_reviews(rows, reviews).select("id", "plate_final", "status", "schema_version", "reason", "review_revision")
+
+
+_RETENTION = "s AS (SELECT 'evt_' || lpad(doc_id::VARCHAR, 8, '0') AS source_event_id, CASE WHEN quality = 1 THEN 'READY' ELSE 'EXPORTED' END AS status FROM labels)"
+
+
+@query("WITH {ve}, " + _RETENTION + ", o AS (SELECT id, occurred_at FROM ve WHERE occurred_at < TIMESTAMP '2024-02-01' - INTERVAL 14 DAY AND event_id % 2 = 0 ORDER BY occurred_at, id LIMIT 800) SELECT id FROM o WHERE id NOT IN (SELECT source_event_id FROM s WHERE status = 'READY') ORDER BY occurred_at, id LIMIT 200")
+def retention_events(spark, sf_dir):
+    """J7, ST19, T9, P4: cut-off exclusive, pins taken away after the over-fetch."""
+    rows = fx.events(spark, sf_dir).selectExpr("id", "occurred_at", "CASE WHEN event_id % 2 = 1 THEN id END AS snapshot_key", *[f"CAST(NULL AS STRING) AS {m}" for m in retention.MEDIA[1:]])
+    samples = fx.table(spark, sf_dir, "labels").selectExpr("concat('evt_', lpad(CAST(doc_id AS STRING), 8, '0')) AS source_event_id", "CASE WHEN quality = 1 THEN 'READY' ELSE 'EXPORTED' END AS status")
+    return retention.expired_events(rows, samples, "2024-02-01", 14, 200).select("id")
+
+
+@query("WITH {ve}, " + _RETENTION + " SELECT id, kind, k AS key FROM (SELECT id, occurred_at, event_id, unnest(['snapshot_key', 'clip_key']) AS kind, unnest([id, id || '.mp4']) AS k, unnest([20, 10]) AS days FROM ve) WHERE occurred_at < TIMESTAMP '2024-02-01' - days * INTERVAL 1 DAY AND k NOT IN (SELECT source_event_id FROM s WHERE status = 'READY')")
+def retention_media(spark, sf_dir):
+    """J7, ST19 for media."""
+    rows = fx.events(spark, sf_dir).selectExpr("id", "occurred_at", "id AS snapshot_key", "concat(id, '.mp4') AS clip_key")
+    samples = fx.table(spark, sf_dir, "labels").selectExpr("concat('evt_', lpad(CAST(doc_id AS STRING), 8, '0')) AS image_key", "CASE WHEN quality = 1 THEN 'READY' ELSE 'EXPORTED' END AS status")
+    return retention.expired_media(rows, samples, "2024-02-01", {"snapshot_key": 20, "clip_key": 10})
+
+
+_POLYGON = [(0.0, 0.0), (30.0, 2.0), (36.0, 9.0), (12.0, 7.0), (3.0, 10.0)]
+
+
+def _inside(polygon) -> str:
+    edges = [f"(({cy} > y) <> ({py} > y) AND x < ({px} - {cx}) * (y - {cy}) / {(py - cy) or 1e-12} + {cx})::INT" for (px, py), (cx, cy) in zip([polygon[-1], *polygon[:-1]], polygon, strict=True)]
+    return "(" + " + ".join(edges) + ") % 2 = 1"
+
+
+@query("WITH t AS (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, (l_partkey % 40)::DOUBLE AS x, (l_suppkey % 10)::DOUBLE AS y FROM lineitem) SELECT id, " + _inside(_POLYGON) + " AS inside, 30.0 * (y - 5.0) - 2.0 * (x - 1.0) AS side FROM t")
+def points_in_region(spark, sf_dir):
+    """P13, X8."""
+    t = fx.table(spark, sf_dir, "lineitem").selectExpr("((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id", "CAST(l_partkey % 40 AS DOUBLE) AS x", "CAST(l_suppkey % 10 AS DOUBLE) AS y")
+    return t.select("id", geometry.in_polygon(F.col("x"), F.col("y"), _POLYGON).alias("inside"), geometry.signed_side(F.col("x"), F.col("y"), ((1.0, 5.0), (31.0, 7.0))).alias("side"))
+
+
+@query("SELECT id, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 9) AS iou FROM (SELECT id, i, w * h + w * h - i AS u FROM (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, 10.0 + l_quantity AS w, 8.0 + l_linenumber AS h, greatest(0, 10.0 + l_quantity - 40 * l_discount) * greatest(0, 8.0 + l_linenumber - l_tax) AS i FROM lineitem))")
+def box_overlap(spark, sf_dir):
+    """X7, P22."""
+    t, p = fx.boxes(spark, sf_dir, fx.TRUTHS), fx.boxes(spark, sf_dir, fx.PREDICTED).select("id", F.col("bbox").alias("other"))
+    return t.join(p, "id").select("id", F.round(geometry.iou(geometry.corners(F.col("bbox")), geometry.corners(F.col("other"))), 9).alias("iou"))
+
+
+@query("SELECT sample_id, class_name, id FROM (SELECT l_orderkey AS sample_id, l_returnflag AS class_name, ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_partkey % 3 ORDER BY ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000) AS n FROM lineitem) WHERE n = 1")
+def annotation_dedup(spark, sf_dir):
+    """U4."""
+    rows = fx.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS sample_id", "l_returnflag AS class_name", "((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id", "array(CAST(l_partkey % 3 AS DOUBLE), 0D, 1D, 1D) AS bbox")
+    return datasets.dedup_boxes(rows, "id").select("sample_id", "class_name", "id")
+
+
+def _observations(spark, sf_dir) -> DataFrame:
+    rows = fx.events(spark, sf_dir).where("plate IS NOT NULL")
+    p = plates.normalize(F.col("raw"), True)
+    return rows.select(F.concat_ws(":", "camera_id", "track_id").alias("track_id"), F.col("event_id").alias("frame_id"), "raw", p["compact"].alias("compact"), p["normalized"].alias("normalized"), p["partial"].alias("partial"), F.greatest(F.lit(0.05), "plate_confidence").alias("ocr_confidence"), F.lit(0.9).alias("quality_score"), F.col("vehicle_confidence").alias("detection_confidence"))
+
+
+@query()
+def plate_voting(spark, sf_dir):
+    """Tests compare with brute force."""
+    return _rounded(voting.vote(_observations(spark, sf_dir)), "confidence")
+
+
+@query("WITH {ve}, t AS (SELECT camera_id || ':' || track_id AS track_id, vehicle_type, sum(vehicle_confidence) AS s, count(*) AS n, min(event_id) AS f FROM ve GROUP BY 1, 2) SELECT track_id, arg_max(vehicle_type, (round(s, 12), -f)) AS vehicle_type, round(sum(s) / sum(n), 9) AS confidence FROM t GROUP BY 1")
+def track_vehicle_type(spark, sf_dir):
+    """A10."""
+    rows = fx.events(spark, sf_dir).select(F.concat_ws(":", "camera_id", "track_id").alias("track_id"), F.col("event_id").alias("frame_id"), "vehicle_type", F.col("vehicle_confidence").cast("double").alias("confidence"))
+    return _rounded(voting.vehicle_type(rows), "confidence")
+
+
+@query("WITH {ve} SELECT camera_id AS track_id, arg_max(event_id, (round(value), -event_id)) AS frame_id, max(round(value)) AS score FROM ve GROUP BY 1")
+def best_frames(spark, sf_dir):
+    """The earliest of the best."""
+    return voting.best_frame(fx.events(spark, sf_dir).select(F.col("camera_id").alias("track_id"), F.col("event_id").alias("frame_id"), F.round("value").alias("score")))
+
+
+@query("WITH {ve}, p AS (SELECT event_id, track_id, (user_id % 7)::DOUBLE - 3 AS side FROM ve), n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY event_id) AS k FROM p), b AS (SELECT *, last_value(CASE WHEN side <> 0 OR k = 1 THEN side END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM n) SELECT track_id, coalesce(arg_min(CASE WHEN prev > 0 AND side <= 0 THEN 'ENTER' ELSE 'EXIT' END, event_id) FILTER ((prev > 0 AND side <= 0) OR (prev < 0 AND side >= 0)), 'UNKNOWN') AS direction FROM b GROUP BY 1")
+def line_crossing(spark, sf_dir):
+    """W2, P15."""
+    points = fx.events(spark, sf_dir).selectExpr("track_id", "event_id AS frame_id", "0D AS x", "CAST(user_id % 7 AS DOUBLE) - 3 AS y")
+    return voting.crossing(points, ((0.0, 0.0), (1.0, 0.0)))
+
+
+@query("WITH {ve}, s AS (SELECT plate, camera_id, event_id, count(*) OVER (PARTITION BY camera_id, plate ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM ve WHERE plate IS NOT NULL AND plate_confidence >= 0.05) SELECT camera_id AS track_id, min(event_id) AS frame_id, arg_min(plate, event_id) AS normalized FROM s WHERE n >= 3 GROUP BY 1")
+def stable_readings(spark, sf_dir):
+    """A28, W9."""
+    rows = fx.events(spark, sf_dir).where("plate IS NOT NULL").selectExpr("camera_id AS track_id", "event_id AS frame_id", "plate AS normalized", "false AS partial", "plate_confidence AS ocr_confidence")
+    return voting.stable_at(rows, 0.05, 3)
+
+
+@query("WITH {ve}, o AS (SELECT camera_id, event_id % 2 AS epoch, 'u' || (user_id % 20) AS track_id, event_id, occurred_at AS moment FROM ve), k AS (SELECT DISTINCT camera_id, epoch, moment FROM o), p AS (SELECT *, lag(moment) OVER (PARTITION BY camera_id, epoch ORDER BY moment) AS before FROM k), l AS (SELECT o.*, before, lag(o.moment) OVER (PARTITION BY o.camera_id, o.epoch, track_id ORDER BY o.moment) AS last FROM o JOIN p USING (camera_id, epoch, moment)) SELECT event_id, sum(CASE WHEN last IS NULL OR epoch_us(before) - epoch_us(last) >= 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY camera_id, epoch, track_id ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS session FROM l")
+def track_sessions(spark, sf_dir):
+    """ST1: sessions by the camera's own ticks."""
+    rows = fx.events(spark, sf_dir).selectExpr("camera_id", "event_id % 2 AS epoch", "concat('u', CAST(user_id % 20 AS STRING)) AS track_id", "event_id", "occurred_at AS at")
+    return voting.sessions(rows, rows.select("camera_id", "epoch", "at").distinct(), 3600.0).select("event_id", "session")
+
+
+@query()
+def detector_matches(spark, sf_dir):
+    """Tests compare with brute force."""
+    m = evaluation.match(fx.boxes(spark, sf_dir, fx.TRUTHS), fx.boxes(spark, sf_dir, fx.PREDICTED))
+    return evaluation.precision_recall(m, fx.boxes(spark, sf_dir, fx.TRUTHS), ["category_id"])
+
+
+@query()
+def detector_average_precision(spark, sf_dir):
+    """A17, A18, W3."""
+    m = evaluation.match(fx.boxes(spark, sf_dir, fx.TRUTHS), fx.boxes(spark, sf_dir, fx.PREDICTED), evaluation.IOU_THRESHOLDS)
+    return _rounded(evaluation.average_precision(m, fx.boxes(spark, sf_dir, fx.TRUTHS)), "average_precision")
+
+
+@query()
+def detector_slices(spark, sf_dir):
+    """A19, A20, J10."""
+    t = fx.boxes(spark, sf_dir, fx.TRUTHS)
+    images = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    return _rounded(evaluation.recall_by(evaluation.match(t, fx.boxes(spark, sf_dir, fx.PREDICTED)), t, images, F.coalesce("o_orderpriority", F.lit("UNKNOWN"))), "recall")
+
+
+@query()
+def suppressed_boxes(spark, sf_dir):
+    """T12."""
+    b = fx.boxes(spark, sf_dir, fx.PREDICTED)
+    corners = b.select("id", "image_id", "category_id", F.array(F.col("bbox")[0], F.col("bbox")[1], F.col("bbox")[0] + F.col("bbox")[2], F.col("bbox")[1] + F.col("bbox")[3]).alias("bbox"), "score")
+    return evaluation.suppress(corners, 0.5).select("id", "image_id", "score")
