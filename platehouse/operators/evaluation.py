@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platehouse.functions.grouping import map_groups
 from platehouse.functions.scalars import ratio
 
 IOU_THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -42,24 +42,24 @@ def match(truths: DataFrame, predictions: DataFrame, thresholds: tuple[float, ..
     of its image and category from the threshold on; of equals the later. Spark deals images; a group is one image's class.
     """
 
-    def greedy(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        t, rows = t.sort_values("id", kind="stable"), []
-        p = p.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        boxes, ids = np.array(t["bbox"].tolist(), float).reshape(-1, 4), t["id"].tolist()
-        tables = [_ious(np.array(b, float), boxes) for b in p["bbox"]]
+    def greedy(key, rows: dict) -> list[tuple]:
+        n = sum(s is None or s != s for s in rows["score"])  # truths have no score and come first, in order of id
+        ids, boxes = rows["id"][:n], np.array([list(b) for b in rows["bbox"]], float).reshape(-1, 4)
+        found = [(rows["id"][i], rows["score"][i], _ious(boxes[i], boxes[:n])) for i in range(n, len(rows["id"]))]
+        out = []
         for threshold in thresholds:
             free = np.ones(len(ids), bool)
-            for pid, score, iou in zip(p["id"], p["score"], tables, strict=True):
+            for pid, score, iou in found:
                 fits = np.flatnonzero(free & (iou >= threshold))
                 best = int(fits[len(fits) - 1 - np.argmax(iou[fits][::-1])]) if len(fits) else None
                 if best is not None:
                     free[best] = False
-                rows.append((threshold, pid, key[0], key[1], score, None if best is None else ids[best]))
-        out = pd.DataFrame(rows, columns=["threshold", "prediction_id", "image_id", "category_id", "score", "truth_id"])
-        return out.assign(truth_id=out["truth_id"].astype("Int64"))
+                out.append((threshold, pid, key[0], key[1], score, None if best is None else ids[best]))
+        return out
 
     by = ["image_id", "category_id"]
-    return truths.groupBy(*by).cogroup(predictions.groupBy(*by)).applyInPandas(greedy, "threshold double, prediction_id long, image_id long, category_id long, score double, truth_id long")
+    both = truths.select("id", *by, "bbox", F.lit(None).cast("double").alias("score")).unionByName(predictions.select("id", *by, "bbox", "score"))
+    return map_groups(both, by, [F.desc_nulls_first("score"), "id"], greedy, "threshold double, prediction_id long, image_id long, category_id long, score double, truth_id long")
 
 
 def precision_recall(matches: DataFrame, truths: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -83,7 +83,8 @@ def average_precision(matches: DataFrame, truths: DataFrame) -> DataFrame:
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     there = truths.groupBy("category_id").agg(F.count("*").alias("_truths"))
     run = matches.join(there, "category_id").withColumn("_tp", F.sum(F.col("truth_id").isNotNull().cast("int")).over(upto)).withColumn("_n", F.row_number().over(order))
-    run = run.withColumn("_best", F.max(F.col("_tp") / F.col("_n")).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy("threshold", "category_id").orderBy("score", F.desc("prediction_id")).rowsBetween(Window.unboundedPreceding, 0)
+    run = run.withColumn("_best", F.max(F.col("_tp") / F.col("_n")).over(back))  # running from the end, in linear time
     reached = lambda tp: F.when(tp > 0, F.floor(F.lit(100) * tp / F.col("_truths") + F.lit(1e-9)) + 1).otherwise(1)
     before = F.lag("_tp").over(order)
     steps = reached(F.col("_tp")) - F.when(before.isNull(), F.lit(0)).otherwise(reached(before))
@@ -115,33 +116,34 @@ def group_recall(matches: DataFrame, truths: DataFrame, images: DataFrame) -> Da
 def suppress(boxes: DataFrame, threshold: float, class_agnostic: bool = False) -> DataFrame:
     """Boxes (id, image_id, category_id, bbox corners, score) that survive: a better one of its class overlaps none more."""
 
-    def keep(image: pd.DataFrame) -> pd.DataFrame:
-        image = image.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        corners = np.array(image["bbox"].tolist(), float).reshape(-1, 4)
+    names = boxes.columns
+
+    def keep(key, image: dict) -> list[tuple]:
+        corners = np.array([list(b) for b in image["bbox"]], float).reshape(-1, 4)
         xywh = np.concatenate((corners[:, :2], np.clip(corners[:, 2:] - corners[:, :2], 0, None)), axis=1)
-        kind, alive, kept = image["category_id"].to_numpy(), np.ones(len(image), bool), []
-        for i in range(len(image)):
+        kind, alive = np.array(image["category_id"]), np.ones(len(corners), bool)
+        for i in range(len(corners)):
             if alive[i]:
-                kept.append(i)
                 alive[i + 1 :] &= ~((_ious(xywh[i], xywh[i + 1 :]) > threshold) & (class_agnostic | (kind[i + 1 :] == kind[i])))
-        return image.iloc[kept]
+        return [tuple(image[c][i] for c in names) for i in np.flatnonzero(alive)]
 
-    return boxes.groupBy("image_id").applyInPandas(keep, boxes.schema)
+    return map_groups(boxes, ["image_id"], [F.desc("score"), "id"], keep, ", ".join(f"`{n}` {k}" for n, k in boxes.dtypes))
 
 
 def associate(tracks: DataFrame, detections: DataFrame) -> DataFrame:
     """(frame_id, track_id, detection_id): each track takes its best overlapping detection, each detection used once."""
 
-    def take(key, t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        boxes, ids, rows = np.array(d["bbox"].tolist(), float).reshape(-1, 4), d["detection_id"].tolist(), []
-        free = np.ones(len(ids), bool)
-        for track, box in t.sort_values("track_id")[["track_id", "bbox"]].itertuples(index=False):
-            iou = np.where(free, _ious(np.array(box, float), boxes), 0) if len(ids) else np.zeros(0)
-            best = int(np.argmax(iou)) if len(iou) and iou.max() > 0 else None
+    def take(key, rows: dict) -> list[tuple]:
+        boxes = np.array([list(b) for b in rows["bbox"]], float).reshape(-1, 4)
+        n = sum(t is None or t != t for t in rows["track_id"])  # detections come first
+        free, out = np.ones(n, bool), []
+        for i in range(n, len(boxes)):
+            iou = np.where(free, _ious(boxes[i], boxes[:n]), 0)
+            best = int(np.argmax(iou)) if n and iou.max() > 0 else None
             if best is not None:
                 free[best] = False
-            rows.append((key[0], track, None if best is None else ids[best]))
-        out = pd.DataFrame(rows, columns=["frame_id", "track_id", "detection_id"])
-        return out.assign(detection_id=out["detection_id"].astype("Int64"))
+            out.append((key[0], int(rows["track_id"][i]), None if best is None else int(rows["detection_id"][best])))
+        return out
 
-    return tracks.groupBy("frame_id").cogroup(detections.groupBy("frame_id")).applyInPandas(take, "frame_id long, track_id long, detection_id long")
+    both = tracks.select("frame_id", "track_id", F.lit(None).cast("long").alias("detection_id"), "bbox").unionByName(detections.select("frame_id", F.lit(None).cast("long").alias("track_id"), "detection_id", "bbox"))
+    return map_groups(both, ["frame_id"], [F.asc_nulls_first("track_id"), "detection_id"], take, "frame_id long, track_id long, detection_id long")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platehouse.functions import plates
+from platehouse.functions.grouping import map_groups
 
 #: Weights of a cluster's score, distance within a cluster, support needed.
 WEIGHTS = {"frequency": 0.25, "ocr": 0.30, "quality": 0.20, "detection": 0.15, "consensus": 0.10}
@@ -44,10 +41,6 @@ def _cluster_numbers(texts: list[str]) -> list[int]:
     return number
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
-
-
 def cluster(observations: DataFrame) -> DataFrame:
     """Observations with `cluster`: those of a track that a chain of readings at most two edits apart connects.
 
@@ -59,11 +52,12 @@ def cluster(observations: DataFrame) -> DataFrame:
     newest = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("frame_id")))
     useful = useful.withColumn("_full", full).where("_full = 0 OR NOT partial").withColumn("_n", newest).where(F.col("_n") <= MOST_OBSERVATIONS).drop("_full", "_n")
 
-    def number(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("frame_id", kind="stable")
-        return track.assign(cluster=_cluster_numbers(track["compact"].tolist()))
+    names = useful.columns
+
+    def number(key, track: dict) -> list[tuple]:
+        return list(zip(*[track[c] for c in names], _cluster_numbers(track["compact"]), strict=True))
 
-    return useful.groupBy("track_id").applyInPandas(number, f"{_ddl(useful)}, cluster int")
+    return map_groups(useful, ["track_id"], ["frame_id"], number, ", ".join(f"`{n}` {k}" for n, k in useful.dtypes) + ", `cluster` int")
 
 
 def consensus(clustered: DataFrame) -> DataFrame:
@@ -93,7 +87,8 @@ def vote(observations: DataFrame) -> DataFrame:
     score = sum((F.col(k if k != "consensus" else "agreement") * w for k, w in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values())
     scored = scored.withColumn("score", score)
     best = scored.groupBy("track_id").agg(F.max_by(F.struct("cluster", "n", "score", "agreement", "consensus", "fallback"), F.struct(F.round("score", 12), "n", -F.col("cluster"))).alias("b")).select("track_id", "b.*")
-    best = best.withColumn("_c", plates.normalize(F.col("consensus"), True)).withColumn("_p", F.when(F.col("_c.valid"), F.col("_c")).otherwise(plates.normalize(F.col("fallback"), True))).where("_p.valid")
+    best = plates.add_normalized(plates.add_normalized(best, "consensus", "_c", True), "fallback", "_f", True)
+    best = best.withColumn("_p", F.when(F.col("_c.valid"), F.col("_c")).otherwise(F.col("_f"))).where("_p.valid")
     support = 1 - F.exp(-F.col("n") / max(LEAST_OBSERVATIONS, 1))
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(0.999), F.col("score") + (1 - F.col("score")) * 0.15 * support * F.col("agreement")))
     best = best.withColumn("confidence", confidence)

@@ -275,14 +275,13 @@ _PLATE_SQL = ("c AS (SELECT id, raw, " + _CLEAN + " AS k FROM ve), s AS (SELECT
 @query("WITH {ve}, " + _PLATE_SQL + " SELECT id, k AS cleaned, CASE WHEN compact IS NOT NULL THEN compact WHEN length(k) BETWEEN 4 AND 12 AND regexp_matches(k, '[0-9]') THEN k END AS compact, CASE WHEN compact IS NOT NULL THEN substr(compact, 1, 2 + series) || '-' || CASE WHEN length(compact) - 2 - series = 5 THEN substr(compact, 3 + series, 3) || '.' || substr(compact, 6 + series) ELSE substr(compact, 3 + series) END WHEN regexp_full_match(k, '[0-9]{5}') THEN substr(k, 1, 3) || '.' || substr(k, 4) WHEN length(k) BETWEEN 4 AND 12 AND regexp_matches(k, '[0-9]') THEN k END AS normalized, CASE WHEN compact IS NULL THEN 0 WHEN series = 1 THEN e1 ELSE e2 END AS corrected FROM w")
 def plate_normalization(spark, sf_dir):
     """F1, F2, F4, P26."""
-    p = plates.normalize(F.col("raw"), allow_partial=True)
-    return fx.events(spark, sf_dir).select("id", p.alias("p")).select("id", "p.cleaned", "p.compact", "p.normalized", "p.corrected")
+    return plates.add_normalized(fx.events(spark, sf_dir), "raw", "p", True).select("id", "p.cleaned", "p.compact", "p.normalized", "p.corrected")
 
 
 @query("WITH {ve}, " + _PLATE_SQL + ", z AS (SELECT id, k, compact, unnest(range(1, 10)) AS i FROM w WHERE compact IS NOT NULL) SELECT id, i - 1 AS position, substr(k, i, 1) AS from_character, substr(compact, i, 1) AS to_character, 0.91 AS confidence FROM z WHERE substr(k, i, 1) <> substr(compact, i, 1)")
 def plate_corrections(spark, sf_dir):
     """F3."""
-    p = fx.events(spark, sf_dir).select("id", plates.normalize(F.col("raw")).alias("p"))
+    p = plates.add_normalized(fx.events(spark, sf_dir).select("id", "raw"), "raw", "p")
     return p.where("p.valid").select("id", F.explode(plates.corrections(F.col("p.cleaned"), F.col("p.compact"))).alias("c")).select("id", F.col("c.position").alias("position"), F.col("c.from").alias("from_character"), F.col("c.to").alias("to_character"), F.col("c.confidence").alias("confidence"))
 
 
@@ -488,9 +487,8 @@ def annotation_dedup(spark, sf_dir):
 
 
 def _observations(spark, sf_dir) -> DataFrame:
-    rows = fx.events(spark, sf_dir).where("plate IS NOT NULL")
-    p = plates.normalize(F.col("raw"), True)
-    return rows.select(F.concat_ws(":", "camera_id", "track_id").alias("track_id"), F.col("event_id").alias("frame_id"), "raw", p["compact"].alias("compact"), p["normalized"].alias("normalized"), p["partial"].alias("partial"), F.greatest(F.lit(0.05), "plate_confidence").alias("ocr_confidence"), F.lit(0.9).alias("quality_score"), F.col("vehicle_confidence").alias("detection_confidence"))
+    rows = plates.add_normalized(fx.events(spark, sf_dir).where("plate IS NOT NULL"), "raw", "p", True)
+    return rows.select(F.concat_ws(":", "camera_id", "track_id").alias("track_id"), F.col("event_id").alias("frame_id"), "raw", "p.compact", "p.normalized", "p.partial", F.greatest(F.lit(0.05), "plate_confidence").alias("ocr_confidence"), F.lit(0.9).alias("quality_score"), F.col("vehicle_confidence").cast("double").alias("detection_confidence"))
 
 
 @query()

@@ -78,7 +78,7 @@ def parse_yolo_polygons(lines: DataFrame, classes: list[int], width: Column, hei
     t = lines.where(F.trim("value") != "").withColumn("class_id", F.get(parts, F.lit(0)).try_cast("int")).withColumn("_v", numbers)
     clamped = F.transform("_v", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
     t = t.withColumn("_c", clamped).withColumn("points", F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("_c") / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct((F.get(F.col("_c"), 2 * i) * width).alias("x"), (F.get(F.col("_c"), 2 * i + 1) * height).alias("y"))))
-    low_x, high_x, low_y, high_y = (f(F.transform("points", lambda p, k=k: p[k])) for k, f in (("x", F.array_min), ("x", F.array_max), ("y", F.array_min), ("y", F.array_max)))
+    low_x, high_x, low_y, high_y = F.array_min("points.x"), F.array_max("points.x"), F.array_min("points.y"), F.array_max("points.y")
     text = F.col("class_id").isNull() | F.exists("_v", lambda v: v.isNull())
     shape = ~F.col("class_id").isin(*classes) | (F.size("_v") < 6) | (F.size("_v") % 2 == 1)
     reason = F.when(text, "NON_NUMERIC").when(shape, "SCHEMA").when(F.exists("_v", lambda v: (v < -0.03) | (v > 1.03)), "COORD_RANGE").when((high_x - low_x < 1) | (high_y - low_y < 1), "DEGENERATE")
