@@ -1,14 +1,13 @@
 """N-gram Jaccard join by prefix filters under several global orders, and the components of its links.
 
-Any order of all shingles that every document shares gives an exact filter. Under one order, let a document of n shingles
+Any order of all shingles that every document shares gives an exact filter: under one order, let a document of n shingles
 keep its first p(n) as prefix. If two documents have an overlap of o, then at least o - max(n - p(n), m - p(m)) common
-shingles lie in both prefixes. Two orders by different hashes (A and B) are used, and a third, by frequency, within A's
-prefixes. A candidate must pass all three before its whole sets are compared:
+shingles lie in both prefixes. Three orders are used, and a candidate must pass all of them before whole sets are compared:
 
-1. shingles of A- and B-prefixes are dealt by hash, in packed blocks, to count in how many documents each occurs;
-   a shingle that only one document has can be shared with none, so documents with too few others are done;
-2. documents that remain meet in the rarest shingles of their A-prefix: as many as the needed overlap leaves;
-3. a pair needs enough common shingles in A-prefixes and in B-prefixes; only then are the texts' sets compared.
+1. by frequency, rarest first. All shingles are dealt by hash, in packed blocks, to count in how many documents each
+   occurs. A shingle that only one document has is shared with none: a document of n shingles with u such ones has an
+   overlap of n - u at most, which ends most documents and most pairs. The others meet in the rest of their prefix.
+2. and 3. by two hashes: a pair needs enough common shingles in both its prefixes under each of them.
 
 No group emits all its pairs. Documents that meet in a shingle are compared with three hubs of that group first; links so
 found are joined to components, and only pairs across components are compared after that. A pair within one component
@@ -29,11 +28,13 @@ from platehouse.llm.shared import components, partitions, staged
 
 #: Words in a shingle; two documents link where 100 * intersection >= 80 * union.
 WORDS = 5
-#: Prefix shingles and documents in a packed block at most (a document's number in its block takes 16 bits).
-BLOCK_TOKENS, BLOCK_DOCS = 3_000_000, 60_000
+#: Shingles and documents in a packed block at most (a document's number in its block takes 16 bits).
+BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 60_000
 #: Up to so many documents, the texts to compare are found by broadcasting their ids (16 bytes each).
 BROADCAST_IDS = 1_000_000
-_KEPT_WORDS = 500_000
+#: Numbers of 64 bits in a document's bitmap.
+BITMAP = 4
+_KEPT_WORDS = 300_000
 _ODD = np.random.default_rng(20_240_601).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -73,61 +74,59 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def prefix_size(n):
-    """The first three tenths, and one shingle more than a linked document may lack."""
+    """Under the hash orders: the first three tenths, and one shingle more than a linked document may lack."""
     return np.minimum(n, np.maximum(n - -(-4 * n // 5) + 1, -(-3 * n // 10)))
 
 
-def _needed(n, m):
-    """Common shingles that the prefixes of two linked documents have at least."""
-    return np.maximum(1, -(-4 * (n + m) // 9) - np.maximum(n - prefix_size(n), m - prefix_size(m)))
-
-
-def least_needed(n):
-    """The same for any partner's size; rounding may move the least by two from the ends of the range of sizes."""
-    return np.maximum(1, np.minimum(_needed(n, -(-4 * n // 5)), _needed(n, 5 * n // 4)) - 2)
-
-
 def _needed_column(n: str, m: str) -> Column:
     def rest(x: str) -> Column:
         x = F.col(x)
         return x - F.least(x, F.greatest(x - F.ceil(x * 4 / 5) + 1, F.ceil(x * 3 / 10)))
 
-    return F.greatest(F.lit(1), F.ceil((F.col(n) + F.col(m)) * 4 / 9) - F.greatest(rest(n), rest(m)))
+    # two shingles of one document may be packed alike: allow for it
+    return F.ceil((F.col(n) + F.col(m)) * 4 / 9) - F.greatest(rest(n), rest(m)) - 1 - F.floor(F.greatest(n, m) / 4096)
+
+
+_DOC = np.dtype([("doc", "i8"), ("null", "?"), ("n", "i4"), ("node", "i4"), ("d1", "i8"), ("d2", "i8"), ("x", "u8"), ("y", "u8")])
 
 
-_DOC = np.dtype([("doc", "i8"), ("null", "?"), ("n", "i4"), ("node", "i4"), ("d1", "i8"), ("d2", "i8")])
+def _orders(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of packed shingles under the two hash orders."""
+    return _mix(tokens, 0), _mix(tokens, 3)
+
+
+def _packed(s: np.ndarray, buckets: int) -> np.ndarray:
+    """Packed shingles: their bucket and 32 bits of hash. Two that fall together only weaken a filter."""
+    dealt = _mix(s, 9)
+    return (dealt >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32) << np.uint64(32) | dealt & np.uint64(0xFFFFFFFF)
 
 
 def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed blocks: for each order and bucket, numbers of a block's documents and 32 bits of their prefix shingles.
+    """Packed blocks: for each bucket, numbers of a block's documents and 32 bits of their shingles.
 
-    A block's documents themselves go, packed too, under a negative bucket. Of equal sets in a block one gives shingles.
+    A block's documents themselves go, packed too, under a negative bucket, with the ends of their prefixes under the hash
+    orders. Of equal sets in a block one gives shingles.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        block, held, seen = TaskContext.get().partitionId() << 32, [], {}
-        found: list[list[np.ndarray]] = [[], []]
-        owner, tokens = [], 0
+        block, held, seen, found, tokens = TaskContext.get().partitionId() << 32, [], {}, [], 0
 
         def closed() -> pd.DataFrame:
             nonlocal block, tokens
             rows = [(-1 - block % (1 << 31), block, np.array(held, _DOC).tobytes(), b"")]
-            for order in (0, 1):
-                if not owner:
-                    break
-                keys = np.concatenate(found[order])
-                who = np.repeat(np.array([k for k, _ in owner], np.uint16), [p for _, p in owner])
-                dealt = _mix(keys, 9)
-                bucket = (dealt >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                by = np.argsort(bucket.astype(np.uint32), kind="stable")
+            if tokens:
+                flat = np.concatenate(found)
+                who = np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])
+                bucket = (flat >> np.uint64(32)).astype(np.uint32)
+                by = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                small, who = dealt.astype(np.uint32)[by], who[by]
-                rows += [(order * buckets + b, block, who[i:j].tobytes(), small[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+                small, who = flat.astype(np.uint32)[by], who[by]
+                rows += [(b, block, who[i:j].tobytes(), small[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
             block, tokens = block + 1, 0
-            for x in (held, owner, *found):
-                x.clear()
+            held.clear()
+            found.clear()
             seen.clear()
             return pd.DataFrame(rows, columns=["bucket", "block", "docs", "tokens"])
 
@@ -136,17 +135,14 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 s = shingles(text)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 node = seen.setdefault(digest, len(seen))
-                d1, d2 = np.frombuffer(digest, np.int64)
-                null = pd.isna(doc)
-                first = node == len(seen) - 1 and len(owner) <= node
-                held.append((0 if null else int(doc), null, len(s), node, d1, d2))
-                if first:
-                    p = int(prefix_size(len(s))) if len(s) else 0
-                    owner.append((node, p))
-                    for order in (0, 1):
-                        keys = _mix(s, 3 * order)
-                        found[order].append(np.partition(keys, p - 1)[:p] if p else keys)
-                    tokens += p
+                ends = (0, 0)
+                if node == len(found):
+                    found.append(_packed(s, buckets))
+                    tokens += len(s)
+                    if len(s):
+                        p = int(prefix_size(len(s)))
+                        ends = [np.partition(k, p - 1)[p - 1] for k in _orders(found[-1])]
+                held.append((0 if pd.isna(doc) else int(doc), pd.isna(doc), len(s), node, *np.frombuffer(digest, np.int64), *ends))
                 if tokens >= BLOCK_TOKENS or len(held) >= BLOCK_DOCS:
                     yield closed()
         if held:
@@ -173,71 +169,81 @@ def _frequencies(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "bucket", "docs", "tokens", "freq"])
 
 
-def _documents(block: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """For one block: its documents, and the shared prefix shingles of those that may have a link."""
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Which of 64 * BITMAP places the tokens' hashes take. Places that another's bitmap lacks are so many misses."""
+    places = (_mix(tokens, 11) >> np.uint64(40)) % np.uint64(64 * BITMAP)
+    out = np.zeros(BITMAP, np.uint64)
+    np.bitwise_or.at(out, (places >> np.uint64(6)).astype(np.int64), np.uint64(1) << (places & np.uint64(63)))
+    return out.astype(np.int64)
+
+
+def _documents(block: pd.DataFrame) -> pd.DataFrame:
+    """For one block: its documents; those that may have a link also with their prefixes under the three orders.
+
+    shared is the number of shingles that others have. A document may have a link if it shares four fifths.
+    """
     info = np.frombuffer(block.loc[block["bucket"] < 0, "docs"].iloc[0], _DOC)
-    nodes = int(info["node"].max()) + 1
-    n = np.zeros(nodes, np.int64)
-    n[info["node"]] = info["n"]
-    least = least_needed(n)
-    orders, open_ = [], n > 0
-    for order in (0, 1):
-        rows = block[(block["bucket"] >= order * buckets) & (block["bucket"] < (order + 1) * buckets)]
-        who = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["docs"]] or [np.zeros(0, np.uint16)]).astype(np.int64)
-        token = np.concatenate([np.int64(b) << 32 | np.frombuffer(x, np.uint32).astype(np.int64) for b, x in zip(rows["bucket"], rows["tokens"], strict=True)] or [np.zeros(0, np.int64)])
-        freq = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["freq"]] or [np.zeros(0, np.uint16)])
-        by = np.lexsort((token, freq, who))
-        who, token = who[by], token[by]
-        cut = np.searchsorted(who, np.arange(nodes + 1))
-        orders.append((token, cut))
-        open_ &= np.diff(cut) >= least
-    out = {k: [None] * len(info) for k in ("a", "b", "rarest")}
+    rows = block[block["bucket"] >= 0]
+    none = [np.zeros(0, np.uint16)]
+    who = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["docs"]] or none).astype(np.int64)
+    freq = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["freq"]] or none)
+    token = np.concatenate([np.uint64(int(b) << 32) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(rows["bucket"], rows["tokens"], strict=True)] or [np.zeros(0, np.uint64)])
+    by = np.lexsort((token, freq, who))
+    who, token = who[by], token[by]
+    cut = np.searchsorted(who, np.arange(int(info["node"].max()) + 2))
+    shared = np.diff(cut)
+    out = {k: [None] * len(info) for k in ("rarest", "x", "y", "bits", "shared")}
     done = set()
-    for i, node in enumerate(info["node"].tolist()):
-        if open_[node] and node not in done:
+    for i, (node, n, x, y) in enumerate(info[["node", "n", "x", "y"]].tolist()):
+        c = int(shared[node])
+        if n and 5 * c >= 4 * n and node not in done:
             done.add(node)
-            a, b = (t[c[node] : c[node + 1]] for t, c in orders)
-            out["a"][i], out["b"][i], out["rarest"][i] = a, b, a[: len(a) - int(least[node]) + 1]
+            t = token[cut[node] : cut[node + 1]]
+            kx, ky = _orders(t)
+            rarest = max(0, n - -(-4 * n // 5) + 1 - (n - c))  # what is left of the prefix after shingles of its own
+            out["bits"][i] = _bitmap(t)
+            out["rarest"][i], out["x"][i], out["y"][i], out["shared"][i] = t[:rarest].astype(np.int64), t[kx <= x].astype(np.int64), t[ky <= y].astype(np.int64), c
     docs = pd.Series(info["doc"]).astype("Int64").mask(info["null"])
-    return pd.DataFrame({"doc_id": docs, "n": info["n"].astype(np.int64), "d1": info["d1"], "d2": info["d2"], **out})
+    return pd.DataFrame({"doc_id": docs, "n": info["n"].astype(np.int64), "d1": info["d1"], "d2": info["d2"], **out}).astype({"shared": "Int64"})
 
 
-def _sizes_fit() -> Column:
-    return 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
+def _may_link() -> Column:
+    """By sizes n and m and the shingles that others share with them, can the overlap reach 4/9 of both sizes?"""
+    return 9 * F.least("shared", "others_shared") >= 4 * (F.col("n") + F.col("m"))
 
 
 def _met_hubs(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of each document with three hubs of every group that shares one of its rarest shingles.
 
-    Hubs are the member with the largest share of shingles that others have (often what the rest was copied from) and
-    those of least and of largest hash.
+    Hubs are the members with the largest share of shingles that others have (often what the rest was copied from), the
+    longest and the shortest of them, and the one of least hash.
     """
-    share = F.round(F.size("a") / F.col("n"), 3)
-    member = F.struct(F.col("node").alias("id"), F.col("n").alias("size"))
-    tokens = nodes.select("node", "n", share.alias("share"), F.explode("rarest").alias("token"))
-    h = F.xxhash64("node")
-    hubs = tokens.groupBy("token").agg(F.count("*").alias("_n"), F.max_by(member, F.struct("share", "node")).alias("x"), F.max_by(member, F.struct(h, "node")).alias("y"), F.min_by(member, F.struct(h, "node")).alias("z")).where("_n > 1")
-    met = tokens.join(hubs.select("token", F.array_distinct(F.array("x", "y", "z")).alias("hubs")), "token").select("node", "n", F.inline("hubs")).withColumnRenamed("size", "m")
-    return met.where(F.col("node") != F.col("id")).where(_sizes_fit()).select(F.least("node", "id").alias("a"), F.greatest("node", "id").alias("b")).distinct()
+    share = F.round(F.col("shared") / F.col("n"), 3)
+    member = F.struct(F.col("node").alias("id"), F.col("n").alias("m"), F.col("shared").alias("others_shared"))
+    tokens = nodes.select("node", "n", "shared", share.alias("share"), F.explode("rarest").alias("token"))
+    hubs = tokens.groupBy("token").agg(F.count("*").alias("_n"), F.max_by(member, F.struct("share", "n", "node")).alias("x"), F.max_by(member, F.struct("share", -F.col("n"), "node")).alias("y"), F.min_by(member, F.struct(F.xxhash64("node"), "node")).alias("z")).where("_n > 1")
+    met = tokens.join(hubs.select("token", F.array_distinct(F.array("x", "y", "z")).alias("hubs")), "token").select("node", "n", "shared", F.inline("hubs"))
+    return met.where(F.col("node") != F.col("id")).where(_may_link()).select(F.least("node", "id").alias("a"), F.greatest("node", "id").alias("b")).distinct()
 
 
 def _across(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs (a, b) that share a rarest shingle and lie in different components (a node without one is its own)."""
-    tokens = nodes.select("node", "n", F.explode("rarest").alias("token")).join(parts, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
+    tokens = nodes.select("node", "n", "shared", "bits", F.explode("rarest").alias("token")).join(parts, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
     mixed = tokens.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("token")
     left = tokens.join(mixed, "token")
-    right = left.select("token", F.col("node").alias("id"), F.col("n").alias("m"), F.col("component").alias("other"))
-    met = left.join(right, "token").where((F.col("node") < F.col("id")) & (F.col("component") != F.col("other"))).where(_sizes_fit())
+    right = left.select("token", F.col("node").alias("id"), F.col("n").alias("m"), F.col("shared").alias("others_shared"), F.col("component").alias("other"), F.col("bits").alias("others_bits"))
+    lacks = lambda one, two: sum((F.bit_count(F.col(one)[i].bitwiseAND(F.bitwise_not(F.col(two)[i]))) for i in range(BITMAP)), F.lit(0))
+    most = F.least(F.col("shared") - lacks("bits", "others_bits"), F.col("others_shared") - lacks("others_bits", "bits"))
+    met = left.join(right, "token").where((F.col("node") < F.col("id")) & (F.col("component") != F.col("other"))).where(_may_link()).where(9 * most >= 4 * (F.col("n") + F.col("m")))
     return met.select(F.col("node").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose A-prefixes and B-prefixes have enough in common."""
-    for order in ("a", "b"):
-        one = nodes.select(F.col("node").alias("a"), "n", F.col(order).alias("_x"))
-        two = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col(order).alias("_y"))
-        pairs = pairs.join(one, "a").join(two, "b").where(F.size(F.array_intersect("_x", "_y")) >= _needed_column("n", "m")).select("a", "b")
-    return pairs
+    """Pairs whose prefixes under both hash orders have enough in common."""
+    one = nodes.select(F.col("node").alias("a"), "n", F.col("x").alias("_ax"), F.col("y").alias("_ay"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("x").alias("_bx"), F.col("y").alias("_by"))
+    enough = [F.size(F.array_intersect(f"_a{o}", f"_b{o}")) >= _needed_column("n", "m") for o in "xy"]
+    return pairs.join(one, "a").join(two, "b").where(enough[0] & enough[1]).select("a", "b")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -272,9 +278,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     buckets = partitions(docs.sparkSession)
     dealt = _blocks(docs, buckets).groupBy("bucket").applyInPandas(lambda b: _frequencies(b), "block long, bucket long, docs binary, tokens binary, freq binary")
-    rows = dealt.groupBy("block").applyInPandas(lambda b: _documents(b, buckets), "doc_id long, n long, d1 long, d2 long, a array<long>, b array<long>, rarest array<long>")
+    rows = dealt.groupBy("block").applyInPandas(lambda b: _documents(b), "doc_id long, n long, d1 long, d2 long, rarest array<long>, x array<long>, y array<long>, bits array<long>, shared long")
     rows = staged(rows, "shingled")
-    alike = rows.where("rarest IS NOT NULL").groupBy("d1", "d2").agg(F.any_value("doc_id").alias("doc"), F.any_value("n").alias("n"), *[F.any_value(c).alias(c) for c in ("a", "b", "rarest")])
+    alike = rows.where("rarest IS NOT NULL").groupBy("d1", "d2").agg(F.any_value("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("shared").alias("shared"), *[F.any_value(c).alias(c) for c in ("x", "y", "bits", "rarest")])
     nodes = staged(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
     first = staged(_links(_met_hubs(nodes), nodes, docs), "links")
     second = _links(_across(nodes, components(first)), nodes, docs)
