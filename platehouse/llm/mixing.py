@@ -23,7 +23,7 @@ def water_fill(sources: DataFrame, most_epochs: float, total: Column) -> DataFra
     cap = F.col("source_size") * F.lit(float(most_epochs))
     order = Window.orderBy("_brim", "_cap", "weight")
     s = sources.select("*", cap.alias("_cap"), (cap / F.col("weight")).alias("_brim"), total.cast("double").alias("_total"))
-    s = s.withColumn("_full", F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("_open", F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    s = s.withColumn("_full", F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("_open", F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     s = s.withColumn("_level", (F.col("_total") - F.col("_full")) / F.col("_open")).withColumn("_at", F.row_number().over(order))
     s = s.withColumn("_water", F.min_by(F.when(F.col("_level") <= F.col("_brim"), F.col("_level")), F.when(F.col("_level") <= F.col("_brim"), F.col("_at"))).over(Window.partitionBy()))
     return s.withColumn("target", F.least("_cap", F.coalesce(F.col("_water") * F.col("weight"), F.col("_cap")))).drop("_cap", "_brim", "_total", "_full", "_open", "_level", "_at", "_water")
