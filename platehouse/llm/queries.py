@@ -59,5 +59,51 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _repetition_sql() -> str:
+    """The counts and verdict of op2: words and lines unnested, windows of words as joined texts."""
+    grams = sorted(repetition.MOST_IN_NGRAMS)
+    texts = [f"CASE WHEN pos + {n - 1} <= last THEN string_agg(word, ' ') OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) END AS g{n}" for n in (3, *grams)]
+    twice = ["g3 IS NOT NULL AND count(*) OVER (PARTITION BY k, g3) > 1 AS d3", *[f"g{n} IS NOT NULL AND row_number() OVER (PARTITION BY k, g{n} ORDER BY pos) > 1 AS d{n}" for n in grams]]
+    covered = [f"bool_or(d{n}) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}" for n in (3, *grams)]
+    sums = [f"coalesce(sum(length(word)) FILTER (c{n}), 0)::BIGINT AS dup_{n}gram_chars" for n in grams]
+    worse = " OR ".join(f"dup_{n}gram_chars > {m}::DOUBLE * greatest(word_chars, 1)" for n, m in repetition.MOST_IN_NGRAMS.items())
+    names = ["n_words", "word_chars", "n_repeat_words", *(f"dup_{n}gram_chars" for n in grams)]
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT k, regexp_extract_all(text, '{_WORD}') AS words FROM d),
+w AS (SELECT k, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos, len(words) AS last FROM l),
+g AS (SELECT *, {", ".join(texts)} FROM w), t AS (SELECT *, {", ".join(twice)} FROM g), c AS (SELECT *, {", ".join(covered)} FROM t),
+m AS (SELECT k, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars, count(*) FILTER (c3) AS n_repeat_words, {", ".join(sums)} FROM c GROUP BY k),
+lines AS (SELECT k, line, row_number() OVER (PARTITION BY k, line) > 1 AS later FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}')),
+n AS (SELECT k, count(*) FILTER (later) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) FILTER (later), 0)::BIGINT AS dup_line_chars FROM lines GROUP BY k),
+a AS (SELECT doc_id, {", ".join(f"coalesce({x}, 0) AS {x}" for x in names)}, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(dup_line_chars, 0) AS dup_line_chars FROM d LEFT JOIN m USING (k) LEFT JOIN n USING (k)),
+b AS (SELECT *, n_words < {repetition.FEWEST_WORDS} OR 100 * n_repeat_words > {repetition.MOST_REPEATED} * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND NOT (dup_line_chars > {repetition.MOST_IN_LINES}::DOUBLE * greatest(word_chars, 1) OR {worse}) AS kept FROM b"""
+
+
+_JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS words FROM documents),
+u AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos, len(words) AS last FROM w),
+s AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, pos, last, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS shingle FROM u) WHERE pos + 4 <= last OR (pos = 1 AND last < 5)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN reach ON a = doc_id GROUP BY doc_id"""
+
+_MIXING_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
+o AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS brim FROM s),
+f AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level, row_number() OVER (ORDER BY brim, cap, w) AS place FROM o WINDOW before AS (ORDER BY brim, cap, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, place) FROM f WHERE level <= brim) * w, cap)) AS target FROM f),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(round(target) / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+c AS (SELECT d.*, source_size, target, epochs, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+r AS (SELECT *, greatest(0, least(size, round(target)::BIGINT - epochs * source_size - earlier))::BIGINT AS part_words FROM c)
+SELECT doc_id, size, source_size, target, epochs * size + part_words AS taken, epochs, part_words FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL can express; tests hold the others against brute force."""
+    return {"op2_repetition_coverage": _repetition_sql(), "op3_jaccard_join": _JACCARD_SQL, "op8_water_filling": _MIXING_SQL}
