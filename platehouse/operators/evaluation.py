@@ -45,15 +45,17 @@ def match(truths: DataFrame, predictions: DataFrame, thresholds: tuple[float, ..
     def greedy(key, rows: dict) -> list[tuple]:
         n = sum(s is None or s != s for s in rows["score"])  # truths have no score and come first, in order of id
         ids, boxes = rows["id"][:n], np.array([list(b) for b in rows["bbox"]], float).reshape(-1, 4)
-        found = [(rows["id"][i], rows["score"][i], _ious(boxes[i], boxes[:n])) for i in range(n, len(rows["id"]))]
         out = []
+        found = []
+        for i in range(n, len(rows["id"])):
+            iou = _ious(boxes[i], boxes[:n])
+            near = [(float(iou[j]), j) for j in np.flatnonzero(iou >= min(thresholds))]
+            found.append((rows["id"][i], rows["score"][i], sorted(near, reverse=True)))
         for threshold in thresholds:
-            free = np.ones(len(ids), bool)
-            for pid, score, iou in found:
-                fits = np.flatnonzero(free & (iou >= threshold))
-                best = int(fits[len(fits) - 1 - np.argmax(iou[fits][::-1])]) if len(fits) else None
-                if best is not None:
-                    free[best] = False
+            taken = set()
+            for pid, score, near in found:
+                best = next((j for v, j in near if v >= threshold and j not in taken), None)
+                taken.add(best)
                 out.append((threshold, pid, key[0], key[1], score, None if best is None else ids[best]))
         return out
 

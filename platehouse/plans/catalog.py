@@ -193,15 +193,15 @@ def alert_lifecycle(spark, sf_dir):
 _TRAVEL = "epoch_us(s.observed_at) / 1e6 - epoch_us(c.observed_at) / 1e6"
 _CANDIDATES = """e AS (SELECT * FROM edges WHERE enabled), m AS (SELECT s.id AS source_id, c.id AS candidate_id, e.id AS edge_id, (epoch_us(s.observed_at) - epoch_us(c.observed_at)) / 1e6 AS travel, s.vehicle_id AS sv, c.vehicle_id AS cv, c.observed_at AS ct, minimum_travel_seconds AS lo, typical_travel_seconds AS ty, maximum_travel_seconds AS hi
 FROM ve s JOIN e ON s.camera_id = e.to_camera_id JOIN ve c ON c.camera_id = e.from_camera_id AND epoch_us(s.observed_at) - epoch_us(c.observed_at) BETWEEN minimum_travel_seconds * 1000000 AND maximum_travel_seconds * 1000000),
-n AS (SELECT *, row_number() OVER (PARTITION BY source_id, edge_id ORDER BY ct DESC, candidate_id DESC) AS k FROM m), o AS (SELECT *, CASE WHEN travel = ty THEN 1.0 WHEN travel < ty THEN 1 - (ty - travel) / (ty - lo) ELSE 1 - (travel - ty) / (hi - ty) END AS score FROM n WHERE k <= 100 AND source_id <> candidate_id AND sv IS DISTINCT FROM cv),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_id, edge_id ORDER BY ct DESC, candidate_id DESC) AS k FROM m), o AS (SELECT *, CASE WHEN travel = ty THEN 1.0::DOUBLE WHEN travel < ty THEN 1 - (ty - travel) / (ty - lo) ELSE 1 - (travel - ty) / (hi - ty) END AS score FROM n WHERE k <= 100 AND source_id <> candidate_id AND sv IS DISTINCT FROM cv),
 best AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, ct DESC, candidate_id DESC) AS place FROM o)"""
 
 
-@query("WITH {ve}, {edges}, " + _CANDIDATES + " SELECT source_id, candidate_id, edge_id, round(travel, 6) AS travel_seconds, round(score, 6) AS time_score, place FROM best WHERE place <= 20")
+@query("WITH {ve}, {edges}, " + _CANDIDATES + " SELECT source_id, candidate_id, edge_id, round(travel, 6) AS travel_seconds, score AS time_score, place FROM best WHERE place <= 20")
 def travel_candidates(spark, sf_dir):
     """J3, W6, X6, T7."""
     found = topology.candidates(fx.events(spark, sf_dir), fx.edges(spark))
-    return found.select("source_id", "candidate_id", "edge_id", F.round("travel_seconds", 6).alias("travel_seconds"), F.round("time_score", 6).alias("time_score"), "place")
+    return found.select("source_id", "candidate_id", "edge_id", F.round("travel_seconds", 6).alias("travel_seconds"), "time_score", "place")
 
 
 def _sim(a: str, b: str) -> str:
