@@ -10,7 +10,7 @@ from platehouse.functions.grouping import map_groups
 
 #: Weights of a cluster's score, distance within a cluster, support needed.
 WEIGHTS = {"frequency": 0.25, "ocr": 0.30, "quality": 0.20, "detection": 0.15, "consensus": 0.10}
-MOST_EDITS, LEAST_OBSERVATIONS = 2, 3
+MOST_EDITS, LEAST_OBSERVATIONS = 2, 2
 MOST_OBSERVATIONS = 64
 
 

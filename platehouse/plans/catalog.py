@@ -559,3 +559,140 @@ def suppressed_boxes(spark, sf_dir):
     b = fx.boxes(spark, sf_dir, fx.PREDICTED)
     corners = b.select("id", "image_id", "category_id", F.array(F.col("bbox")[0], F.col("bbox")[1], F.col("bbox")[0] + F.col("bbox")[2], F.col("bbox")[1] + F.col("bbox")[3]).alias("bbox"), "score")
     return evaluation.suppress(corners, 0.5).select("id", "image_id", "score")
+
+
+_SEEN = "CASE WHEN plate IS NULL THEN 'EXPORTING' WHEN reviewed THEN 'READY' WHEN corrected THEN 'EXPORT_FAILED' ELSE 'EXPORTED' END"
+
+
+@query("WITH {ve} SELECT id, (CASE WHEN a.s IS NULL THEN 0 ELSE a.n END + 1)::INT AS attempts, a.s IS NOT NULL AS reclaimed FROM (SELECT id, event_id FROM ve WHERE event_id % 3 = 0) w LEFT JOIN (SELECT id AS i, CASE event_id % 4 WHEN 0 THEN 'FAILED' WHEN 2 THEN 'RUNNING' ELSE 'SUCCEEDED' END AS s, (event_id % 5)::INT AS n, occurred_at AS u FROM ve WHERE event_id % 2 = 0 OR event_id % 9 = 0) a ON a.i = w.id WHERE a.s IS NULL OR (a.n < 3 AND (a.s = 'FAILED' OR (a.s = 'RUNNING' AND a.u < TIMESTAMP '2024-01-15')))")
+def action_claims(spark, sf_dir):
+    """ST9."""
+    from platehouse.operators import state
+
+    rows = fx.events(spark, sf_dir)
+    held = rows.where("event_id % 2 = 0 OR event_id % 9 = 0").selectExpr("id", "CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'FAILED' WHEN 2 THEN 'RUNNING' ELSE 'SUCCEEDED' END AS status", "CAST(event_id % 5 AS INT) AS attempts", "occurred_at AS updated_at")
+    return state.claim_actions(rows.where("event_id % 3 = 0").selectExpr("id", "occurred_at AS at"), held, F.lit("2024-01-15").cast("timestamp_ntz"), 3)
+
+
+@query("WITH {ve}, s AS (SELECT id, occurred_at, " + _SEEN + " AS status, 'x' || (event_id % 3) AS e, (event_id % 4)::INT AS n FROM ve), c AS (SELECT *, CASE WHEN status = 'EXPORTING' AND e = 'x1' THEN 0 ELSE 1 END AS r FROM s WHERE (status = 'EXPORTING' AND e = 'x1') OR status IN ('READY', 'EXPORT_FAILED') OR (status = 'EXPORTING' AND occurred_at < TIMESTAMP '2024-01-10')) SELECT id, n + r AS attempts FROM c ORDER BY r, occurred_at, id LIMIT 1000")
+def export_claims(spark, sf_dir):
+    """ST20, T9."""
+    from platehouse.operators import state
+
+    rows = fx.events(spark, sf_dir).selectExpr("id", _SEEN + " AS status", "occurred_at AS created_at", "concat('x', CAST(event_id % 3 AS STRING)) AS export_id", "CAST(event_id % 4 AS INT) AS attempts", "occurred_at AS claimed_at")
+    return state.claim_export(rows, "x1", 1000, F.lit("2024-01-10").cast("timestamp_ntz"))
+
+
+@query("WITH {ve} SELECT camera_id, arg_max(status, occurred_at) AS status, arg_max(event_id, occurred_at) AS event_id FROM ve GROUP BY 1")
+def camera_health(spark, sf_dir):
+    """ST13."""
+    from platehouse.operators import state
+
+    return state.latest_health(fx.events(spark, sf_dir).selectExpr("camera_id", "status", "event_id", "occurred_at AS updated_at")).select("camera_id", "status", "event_id")
+
+
+@query("WITH {ve} SELECT camera_id, CASE WHEN camera_id = 'cam-2' THEN 'DISABLED' WHEN last IS NULL THEN 'WAITING' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last) > 600000000 THEN 'STALE' ELSE 'LIVE' END AS status FROM (SELECT camera_id, max(CASE WHEN camera_id <> 'cam-5' THEN occurred_at END) AS last FROM ve GROUP BY 1)")
+def live_status(spark, sf_dir):
+    """ST12."""
+    from platehouse.operators import state
+
+    rows = fx.events(spark, sf_dir)
+    cameras = rows.select("camera_id").distinct().withColumn("enabled", F.col("camera_id") != "cam-2")
+    return state.live_status(cameras, rows.where("camera_id <> 'cam-5'").selectExpr("camera_id", "occurred_at AS received_at"), F.lit("2024-01-31").cast("timestamp_ntz"), 600.0)
+
+
+@query("WITH {ve} SELECT id, strftime(occurred_at, '%Y-%m-%d %H:%M:%S.%f') AS occurred_at FROM ve WHERE camera_id = 'cam-1' AND event_type = 'VEHICLE_EXIT' AND occurred_at BETWEEN TIMESTAMP '" + FROM + "' AND TIMESTAMP '" + TO + "' ORDER BY ve.occurred_at DESC, id DESC LIMIT 101")
+def audit_page(spark, sf_dir):
+    """P6, T2."""
+    from platehouse.operators import state
+
+    stamp = lambda s: F.lit(s).cast("timestamp_ntz")
+    return state.audit_page(fx.events(spark, sf_dir), {"camera_id": "cam-1", "event_type": "VEHICLE_EXIT"}, stamp(FROM), stamp(TO), 100).select("id", _text("occurred_at"))
+
+
+@query()
+def audit_redaction(spark, sf_dir):
+    """Tests compare with the rules."""
+    from platehouse.operators import state
+
+    return fx.table(spark, sf_dir, "pages").select("page_id", state.redact(F.to_json(F.struct("url", F.lit("x").alias("apiToken"), F.struct(F.substring("html", 1, 50).alias("head")).alias("body")))).alias("document"))
+
+
+@query("SELECT image_id, id, place, round_even(score, 6) AS confidence, CASE WHEN w / h >= 2.5 THEN 'SINGLE_LINE' ELSE 'TWO_LINE' END AS layout FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, id) AS place FROM (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, l_orderkey AS image_id, 10.0 + l_quantity AS w, 8.0 + l_linenumber AS h, round(l_extendedprice / 110000.0, 6) AS score FROM lineitem)) WHERE place <= 3")
+def review_suggestions(spark, sf_dir):
+    """P24, T10."""
+    from platehouse.operators import annotations
+
+    return annotations.suggestions(fx.boxes(spark, sf_dir, fx.PREDICTED), 3)
+
+
+_CROP = "SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, (l_partkey % 100)::INT - 20 AS x1, (l_suppkey % 10)::INT - 3 AS y1, (l_partkey % 100)::INT + l_quantity::INT - 25 AS x2, (l_suppkey % 10)::INT + 8 AS y2, l_returnflag = 'R' AS two FROM lineitem"
+
+
+@query("WITH b AS (" + _CROP + "), c AS (SELECT id, two, greatest(0, least(x1, 90)) AS a, greatest(0, least(y1, 15)) AS b, greatest(0, least(x2, 90)) AS c, greatest(0, least(y2, 15)) AS d FROM b) SELECT id, greatest(0, a - ceil((c - a) * 0.12)::INT) AS x1, greatest(0, b - ceil((d - b) * 0.2)::INT - CASE WHEN two THEN ceil((d - b) * 0.8)::INT ELSE 0 END) AS y1, least(90, c + ceil((c - a) * 0.12)::INT) AS x2, least(15, d + ceil((d - b) * 0.2)::INT) AS y2 FROM c WHERE c > a AND d > b")
+def plate_crops(spark, sf_dir):
+    """P22, P23."""
+    from platehouse.operators import annotations
+
+    rows = fx.table(spark, sf_dir, "lineitem").selectExpr("((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id", "named_struct('x1', CAST(l_partkey % 100 AS INT) - 20, 'y1', CAST(l_suppkey % 10 AS INT) - 3, 'x2', CAST(l_partkey % 100 AS INT) + CAST(l_quantity AS INT) - 25, 'y2', CAST(l_suppkey % 10 AS INT) + 8) AS box", "l_returnflag = 'R' AS two")
+    return rows.select("id", annotations.expanded_crop(F.col("box"), 90, 15, F.col("two"), 0.12, 0.2, 0.8).alias("b")).where("b IS NOT NULL").select("id", "b.*")
+
+
+@query("WITH q AS (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, least(l_quantity / 40.0, 1.0) AS s, greatest(0.0, 1 - abs((l_partkey % 256) - 132.5) / 87.5) AS b, least(l_tax * 20, 1.0) AS c, (20 + l_partkey % 200)::DOUBLE AS w, (10 + l_suppkey % 50)::DOUBLE AS h, 1 - l_discount AS d FROM lineitem), a AS (SELECT *, w / h AS r, least(w / 160, h / 50, 1.0) AS res FROM q), t AS (SELECT *, (s * 0.3 + b * 0.15 + c * 0.1 + res * 0.2 + CASE WHEN r <= 1.5 OR r >= 6.5 THEN 0.0 WHEN r <= 3.2 THEN (r - 1.5) / (3.2 - 1.5) ELSE (6.5 - r) / (6.5 - 3.2) END * 0.1 + d * 0.15) / 1.0 AS total FROM a) SELECT id, round(total, 7) AS total, w >= 60 AND h >= 20 AND total >= 0.5 AS eligible FROM t")
+def plate_quality(spark, sf_dir):
+    """P14, A33."""
+    from platehouse.operators import annotations
+
+    rows = fx.table(spark, sf_dir, "lineitem").selectExpr("((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id", "l_quantity / 40D AS sharpness", "CAST(l_partkey % 256 AS DOUBLE) AS brightness", "l_tax * 20 AS contrast", "CAST(20 + l_partkey % 200 AS DOUBLE) AS width", "CAST(10 + l_suppkey % 50 AS DOUBLE) AS height", "1 - l_discount AS detector")
+    weights = {"sharpness": 0.3, "brightness": 0.15, "contrast": 0.1, "resolution": 0.2, "angle": 0.1, "detector": 0.15}
+    return annotations.plate_quality(rows, weights, (160, 50), (60, 20), 0.5).select("id", F.round("total", 7).alias("total"), "eligible")
+
+
+@query("SELECT doc_id, CASE WHEN trim(lang) = '' OR lang IS NULL THEN 'UNKNOWN' ELSE upper(trim(lang)) END AS lighting FROM documents WHERE n_chars % 5 > 0 AND upper(trim(lang)) = 'DE'")
+def registry_samples(spark, sf_dir):
+    """P16, P17, P25, P27."""
+    from platehouse.operators import annotations
+
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("lighting"), (F.col("n_chars") % 5).alias("annotation_count"))
+    return annotations.registry_samples(rows, "POSITIVE", "de").select("doc_id", "lighting")
+
+
+@query("WITH f AS (SELECT (event_id % 7) AS video_id, (row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) - 1)::BIGINT AS frame_id FROM events), s AS (SELECT *, floor((frame_id + 0.5) / 25.0 * 5.0 + 1e-9) AS slot, lag(floor((frame_id + 0.5) / 25.0 * 5.0 + 1e-9)) OVER (PARTITION BY video_id ORDER BY frame_id) AS before FROM f) SELECT video_id, frame_id FROM s WHERE before IS NULL OR slot > before")
+def sampled_frames(spark, sf_dir):
+    """A rate limit by media time."""
+    from pyspark.sql import Window
+
+    from platehouse.operators import annotations
+
+    frames = fx.table(spark, sf_dir, "events").select((F.col("event_id") % 7).alias("video_id"), (F.row_number().over(Window.partitionBy(F.col("event_id") % 7).orderBy("event_id")) - 1).cast("long").alias("frame_id"))
+    return annotations.sampled_frames(frames, 25.0, 5.0)
+
+
+@query("WITH RECURSIVE m AS (SELECT 'r' || (event_id % 50) AS id, event_id AS seq, (event_id % 6 + 1)::INT AS expected FROM events), w AS (SELECT id, 1 AS rev, -1::BIGINT AS last FROM (SELECT DISTINCT id FROM m) UNION ALL SELECT w.id, any_value(w.rev) + 1, min(m.seq) FROM w JOIN m ON m.id = w.id AND m.seq > w.last AND m.expected = w.rev GROUP BY w.id) SELECT id, max(rev) AS revision, max(rev) - 1 AS accepted FROM w GROUP BY id")
+def compare_and_set(spark, sf_dir):
+    """ST15."""
+    from platehouse.operators import state
+
+    commands = fx.table(spark, sf_dir, "events").selectExpr("concat('r', CAST(event_id % 50 AS STRING)) AS id", "event_id AS at", "CAST(event_id % 6 + 1 AS INT) AS expected")
+    return state.compare_and_set(commands)
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(n, '\\.[A-Za-z0-9]+$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE WHEN regexp_full_match(s, '(.+)_([0-9]+)') THEN regexp_extract(s, '^(.+)_([0-9]+)$', 1) ELSE s END AS sequence FROM (SELECT doc_id, 'Cam ' || source || '__' || lang || '.' || 'JPG' AS n, source || '_' || CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE doc_id::VARCHAR END AS s FROM documents)")
+def source_lineage(spark, sf_dir):
+    """M2, M3."""
+    rows = fx.table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('Cam ', source, '__', lang, '.', 'JPG') AS n", "concat(source, '_', CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE CAST(doc_id AS STRING) END) AS s")
+    return rows.select("doc_id", scalars.slug(F.col("n")).alias("slug"), scalars.sequence_group(F.col("s")).alias("sequence"))
+
+
+@query("SELECT lang AS class_name, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) WHERE n <= 25")
+def balanced_selection(spark, sf_dir):
+    """W8, J17."""
+    return datasets.take_per_class(fx.table(spark, sf_dir, "documents").select(F.col("lang").alias("class_name"), "doc_id"), 25, "doc_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def semi_and_anti(spark, sf_dir):
+    """Joins that only filter."""
+    orders, customers, lines = (fx.table(spark, sf_dir, n) for n in ("orders", "customer", "lineitem"))
+    wanted = customers.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return orders.join(wanted, "o_custkey", "left_semi").join(lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")

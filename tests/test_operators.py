@@ -198,3 +198,26 @@ def test_stats(spark):
     assert s["p95"] == pytest.approx(np.percentile(values, 95), abs=1e-3) and s["count"] == 101
     assert stats.nearest_rank(df.withColumn("g", F.lit(1)), "v", 0.95, ["g"]).first()["v"] == sorted(values)[95]
     assert stats.jain(df.limit(0), "v").first()["fairness"] == 0.0
+
+
+def test_redaction(spark):
+    from platehouse.operators import state
+
+    docs = ['{"user":"u","apiToken":"x","url":"https://h/p?q=1#f","cam":"RTSP://a","deep":{"password":1,"list":["Bearer x",1,null]}}', '{"u":"https://me:pw@h/"}', None]
+    got = [r[0] for r in spark.createDataFrame([(d,) for d in docs], "d string").select(state.redact(F.col("d"))).collect()]
+    assert got == ['{"user":"u","apiToken":"[REDACTED]","url":"https://h/p","cam":"[REDACTED]","deep":{"password":"[REDACTED]","list":["[REDACTED]",1,null]}}', '{"u":"[REDACTED]"}', None]
+
+
+def test_consensus_and_sampling(spark):
+    from platehouse.operators import annotations
+
+    rows = [(1, i, "ONE", [float(x), 0.0, 10.0, 10.0], [[float(x), 0.0], [x + 10.0, 0.0], [x + 10.0, 10.0]]) for i, x in enumerate([0.0, 0.2, 0.4, 40.0])]
+    found = annotations.consensus(spark.createDataFrame(rows, "image_id long, id long, layout string, bbox array<double>, polygon array<array<double>>")).orderBy("id").collect()
+    assert [(r["id"], r["votes"], r["bbox"]) for r in found] == [(0, 3, [0.2, 0.0, 10.0, 10.0]), (3, 1, [40.0, 0.0, 10.0, 10.0])]
+    frames = spark.range(50).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("frame_id"))
+    due, expect = 0.0, []
+    for f in range(50):
+        if f / 30.0 + 0.5 / 30.0 >= due:
+            due += 1 / 7.0
+            expect.append(f)
+    assert sorted(r["frame_id"] for r in annotations.sampled_frames(frames, 30.0, 7.0).collect()) == expect
