@@ -696,3 +696,39 @@ def semi_and_anti(spark, sf_dir):
     orders, customers, lines = (fx.table(spark, sf_dir, n) for n in ("orders", "customer", "lineitem"))
     wanted = customers.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     return orders.join(wanted, "o_custkey", "left_semi").join(lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("WITH {ve} SELECT id, CASE WHEN event_id % 17 = 0 THEN 'INVALID_JSON' WHEN event_id % 13 = 0 THEN 'SOURCE_MISMATCH' WHEN event_id % 11 = 0 THEN 'CORRELATION_MISMATCH' END AS reject_reason FROM ve")
+def envelope_rejects(spark, sf_dir):
+    """Messages whose envelope does not agree with its event."""
+    from platehouse.sources import files
+
+    rows = fx.events(spark, sf_dir)
+    at = F.col("occurred_at").cast("timestamp")
+    doc = rows.select("event_id", F.struct(F.col("id").alias("_id"), F.struct(F.col("camera_id").alias("id")).alias("camera"), F.col("track_id").alias("trackId"), F.col("event_type").alias("eventType"), at.alias("occurredAt")).alias("d"))
+    envelope = F.to_json(F.struct(F.col("d._id").alias("id"), F.concat(F.lit("vehicle.event."), F.lower("d.eventType")).alias("type"), F.when(F.col("event_id") % 13 == 0, "elsewhere").otherwise(F.concat(F.lit("camera/"), F.col("d.camera.id"))).alias("source"), F.when(F.col("event_id") % 11 == 0, "other").otherwise(F.col("d.trackId")).alias("correlationId"), F.col("d.occurredAt").alias("occurredAt"), F.to_json("d").alias("data")))
+    messages = doc.select(F.col("d._id").alias("id"), F.when(F.col("event_id") % 17 == 0, "broken").otherwise(envelope).alias("value"))
+    return files.decode_envelope(messages).select("id", "reject_reason")
+
+
+_LABEL = "((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, l_linenumber % 3 AS c, l_discount * 12 - 0.05 AS x, CASE WHEN l_quantity < 5 THEN l_discount * 12 - 0.05 ELSE l_tax * 5 + 0.5 END AS u"
+
+
+@query("SELECT id, CASE WHEN c = 2 AND u > 0.7 THEN 'NON_NUMERIC' WHEN c = 2 THEN 'SCHEMA' WHEN x < -0.03 OR x > 1.03 OR u < -0.03 OR u > 1.03 THEN 'COORD_RANGE' WHEN abs(greatest(0.0, least(1.0, u)) - greatest(0.0, least(1.0, x))) * 100 < 1 THEN 'DEGENERATE' END AS reject_reason FROM (SELECT id, c, round(x::DOUBLE, 6) AS x, round(u::DOUBLE, 6) AS u FROM (SELECT " + _LABEL + " FROM lineitem))")
+def polygon_labels(spark, sf_dir):
+    """Reasons for which label lines are rejected."""
+    from platehouse.sources import files
+
+    rows = fx.table(spark, sf_dir, "lineitem").selectExpr(*_LABEL.split(", "))
+    n = lambda c: F.round(c, 6).cast("string")
+    line = F.concat_ws(" ", F.when((F.col("c") == 2) & (F.col("u") > 0.7), "x").otherwise(F.col("c").cast("string")), n("x"), F.lit("0.1"), n("u"), F.lit("0.1"), n("u"), F.lit("0.9"))
+    lines = rows.select("id", F.lit("f").alias("source"), F.lit(1).alias("line"), line.alias("value"))
+    return files.parse_yolo_polygons(lines, [0, 1], F.lit(100.0), F.lit(100.0)).select("id", "reject_reason")
+
+
+@query("WITH {ve}, h AS (SELECT camera_id, arg_max(event_id, occurred_at) AS e, arg_max(value, occurred_at) AS v FROM ve GROUP BY 1) SELECT 'camera_online' AS metric, camera_id, (e % 2 = 0)::INT::DOUBLE AS value FROM h UNION ALL SELECT 'camera_fps', camera_id, v FROM h UNION ALL SELECT 'camera_dropped_frames_total', camera_id, (e % 100)::DOUBLE FROM h UNION ALL SELECT 'camera_reconnects_total', camera_id, (e % 7)::DOUBLE FROM h")
+def health_metrics(spark, sf_dir):
+    """S24, C9."""
+    from platehouse.sources import files
+
+    return files.health_metrics(fx.events(spark, sf_dir).selectExpr("camera_id", "CASE WHEN event_id % 2 = 0 THEN 'ONLINE' ELSE 'OFFLINE' END AS status", "value AS fps", "event_id % 100 AS dropped_frames", "event_id % 7 AS reconnects", "occurred_at AS updated_at"))
