@@ -62,13 +62,16 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     A fractional repetition of a document is its first part_words words, joined by spaces; n_chars, where docs has it,
     is then counted anew. Rows alike in doc_id and text are one document that is taken as often as all of them.
     """
-    key = {"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()}
-    taken = plan(docs, **options).withColumns(key).groupBy("_id", "_null", F.col("text_hash").alias("_hash")).agg(F.sum("epochs").alias("_epochs"), F.sum("part_words").alias("_part"), F.max("size").alias("_size"))
-    one = docs.withColumns(key | {"_hash": F.xxhash64("text")}).dropDuplicates(["_id", "_null", "_hash"]).join(taken, ["_id", "_null", "_hash"])
+    key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
+    taken = plan(docs, **options).groupBy(*key, F.col("text_hash").alias("_hash")).agg(F.sum("epochs").alias("_epochs"), F.sum("part_words").alias("_part"), F.max("size").alias("_size"))
+    whole_row = docs.select(*key, F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_doc"))
+    one = whole_row.dropDuplicates(["_id", "_null", "_hash"]).join(taken, ["_id", "_null", "_hash"])
     size, none = F.greatest("_size", F.lit(1)), F.array().cast("array<long>")
     whole = F.array_repeat(F.lit(None).cast("long"), (F.col("_epochs") + F.floor(F.col("_part") / size)).cast("int"))
-    rows = one.withColumn("_words", F.explode(F.concat(whole, F.when(F.col("_part") % size > 0, F.array(F.col("_part") % size)).otherwise(none))))
-    rows = rows.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.coalesce("_words", F.lit(1)).cast("int")), " ")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return rows.select(*docs.columns)
+    rows = one.select("_doc", F.explode(F.concat(whole, F.when(F.col("_part") % size > 0, F.array(F.col("_part") % size)).otherwise(none))).alias("_words"))
+    field = {c: F.col("_doc").getField(c) for c in docs.columns}
+    first = F.array_join(F.slice(F.regexp_extract_all(field["text"], F.lit(WORD), F.lit(0)), 1, F.coalesce("_words", F.lit(1)).cast("int")), " ")
+    changed = {"text": F.when(F.col("_words").isNull(), field["text"]).otherwise(first)}
+    if "n_chars" in field:
+        changed["n_chars"] = F.when(F.col("_words").isNull(), field["n_chars"]).otherwise(F.length(first).cast(dict(docs.dtypes)["n_chars"]))
+    return rows.select(*[changed.get(c, field[c]).alias(c) for c in docs.columns])
