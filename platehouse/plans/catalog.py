@@ -52,7 +52,7 @@ count(plate) / count(*) AS success_rate, count(*) FILTER (status IN ('NO_PLATE',
        "SELECT 'day', NULL, NULL, day, row_number() OVER (ORDER BY day), " + _METRICS + " FROM s GROUP BY day")
 def quality_facets(spark, sf_dir):
     """Totals, models and days in one scan."""
-    found = quality.facets(fx.events(spark, sf_dir).where("model_name IS NOT NULL OR true"), FROM, TO)
+    found = quality.facets(fx.events(spark, sf_dir), FROM, TO)
     return found.withColumn("average_confidence", F.round("average_confidence", 9))
 
 
