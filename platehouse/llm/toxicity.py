@@ -22,8 +22,8 @@ from platehouse.llm.shared import staged
 
 #: Labelled rows that are learned from at most (those of least hash of doc_id), and lexicon entries at most.
 LABELLED_ROWS, ENTRIES = 16_000, 5_000
-#: Lengths of the beginnings of words that may become entries, and the least log odds of one.
-SHORTEST, LONGEST, LEAST_ODDS = 4, 8, 2.0
+#: Lengths of the beginnings of words that may become entries, and the least log odds and share of toxic texts of one.
+SHORTEST, LONGEST, LEAST_ODDS, LEAST_SHARE = 4, 8, 3.0, 0.01
 #: Rows of this remainder of crc32(doc_id as text) mod 4 are held out.
 HELD_OUT = 2
 THRESHOLD = 0.3
@@ -108,15 +108,14 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _entries(rows: list, n_pos: int, n_neg: int) -> dict[str, float]:
-    """Of a chain of beginnings, the longest that nearly all of the shortest good one's documents have."""
+    """Of a good beginning and those that carry it on, the one of most log odds over all its texts; of equals the longest."""
     odds = {r["entry"]: math.log((r["pos"] + 0.5) / (n_pos + 1)) - math.log((r["neg"] + 0.5) / (n_neg + 1)) for r in rows}
     pos = {r["entry"]: r["pos"] for r in rows}
     chosen: dict[str, float] = {}
     for entry in sorted(odds, key=lambda e: (len(e), e)):
         if any(entry[:n] in odds for n in range(SHORTEST, len(entry))):
             continue
-        longer = [e for e in odds if e.startswith(entry) and pos[e] >= 0.95 * pos[entry]]
-        best = max(longer, key=lambda e: (len(e), e))
+        best = max((e for e in odds if e.startswith(entry)), key=lambda e: (pos[e] * min(odds[e], 8.0), len(e), e))
         chosen[best] = min(odds[best], 8.0) / 8.0
     return chosen
 
@@ -135,20 +134,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """A model from labelled rows that are not held out, of which at most `rows` are used (those of least hash).
 
-    Rows with a null doc_id, a null label or no document are left out; of several labels of one doc_id the highest
-    counts. Without labelled toxic rows the lexicon is empty and every score is low.
+    Rows with a null doc_id, a null label or no document are left out; of several labels of one doc_id or text the
+    highest counts. Without labelled toxic rows the lexicon is empty and every score is low.
     """
     key = F.col("doc_id").cast("string")
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(key.cast("binary")) % 4 != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = usable.orderBy(F.md5(key), "doc_id").limit(rows)
-    sample = staged(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "labelled")  # at most `rows` ids
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most `rows` ids
+    sample = staged(found.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")  # copies would count their chance words again
     counts = staged(sample.mapInPandas(_count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "entries")
     total = counts.where("entry = ''").first()
     n_pos, n_neg = (total["pos"], total["neg"]) if total else (0, 0)
     if not n_pos:
         return Model(exceptions=exceptions)
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    best = counts.where((F.col("pos") >= max(3, 0.003 * n_pos)) & (odds >= LEAST_ODDS) & (F.col("entry") != "")).orderBy(F.desc("pos"), "entry").limit(ENTRIES).collect()
+    best = counts.where((F.col("pos") >= max(3, LEAST_SHARE * n_pos)) & (odds >= LEAST_ODDS) & (F.col("entry") != "")).orderBy(F.desc("pos"), "entry").limit(ENTRIES).collect()
     model = Model(_entries(best, n_pos, n_neg), exceptions)
     seen = sample.mapInPandas(_densities(model, ["toxic"]), "toxic long, density double").collect()  # two numbers for each labelled row
     slope, offset = _logistic(np.log1p([r["density"] for r in seen]), np.array([min(r["toxic"], 1) for r in seen], float))
