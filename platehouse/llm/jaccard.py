@@ -29,7 +29,7 @@ from platehouse.llm.shared import components, partitions, staged
 #: Words in a shingle; two documents link where 100 * intersection >= 80 * union.
 WORDS = 5
 #: Shingles and documents in a packed block at most (a document's number in its block takes 16 bits).
-BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 60_000
+BLOCK_TOKENS, BLOCK_DOCS = 1_200_000, 60_000
 #: Up to so many documents, the texts to compare are found by broadcasting their ids (16 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Numbers of 64 bits in a document's bitmap.
