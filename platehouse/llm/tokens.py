@@ -1,7 +1,7 @@
 """Token ids of whole texts by a vocabulary file of the tokenizers library, each distinct chunk encoded once.
 
 Both vocabularies cut a text into pieces before merging, and no piece reaches across the chunk borders used here
-(white space, and for byte-level vocabularies a space before a visible character). So the ids of a text are the
+(white space, and for byte-level vocabularies a space or a line end before a visible character). So the ids of a text are the
 ids of its chunks in order, and a worker keeps the ids of the chunks it has seen.
 """
 
@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 
-#: Chunks that a worker keeps at most before it starts anew.
-KEPT_CHUNKS = 600_000
-#: Texts with these are encoded as they are: a space before white space or the end, or what may be a special token.
-_ODD = re.compile(r" (?!\S)|<\|")
+#: Chunks that a worker keeps; beyond that, it drops those that it has seen once only.
+KEPT_CHUNKS = 800_000
+#: What may be a special token; white space before white space or the end; white space but for spaces and line ends.
+_SPECIAL, _ODD = "<|", re.compile(r"\s(?!\S)")
+_OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_OTHER_ASCII_SPACES = [c for c in _OTHER_SPACES if c < "\x80"]
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -27,20 +29,43 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # a second store of words would only cost time
+            self.tokenizer.model._resize_cache(0)
         self.byte_level = self.tokenizer.normalizer is None
         #: Ids that open a chunk (byte-level) or close a piece.
         self.marks = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.marks[[i for t, i in self.tokenizer.get_vocab().items() if (t.startswith("Ġ") if self.byte_level else t.endswith("</w>"))]] = True
+        self.marks[[i for t, i in self.tokenizer.get_vocab().items() if (t.startswith("Ġ") or t == "Ċ" if self.byte_level else t.endswith("</w>"))]] = True
         self._forget()
 
     def _forget(self):
         self.numbers, self.flat = defaultdict(count().__next__), np.zeros(1 << 20, np.uint32)
-        self.start, self.size, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.start, self.size, self.seen, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
-    def _chunks(self, text: str) -> list:
+    def _keep_frequent(self):
+        """Start anew with the chunks seen twice or more, unless even those are many."""
+        n = len(self.numbers)
+        often = np.flatnonzero(self.seen[:n] > 1)
+        chunks, ids, sizes = list(self.numbers), self._gather(often), self.size[often]
+        self._forget()
+        if len(often) <= KEPT_CHUNKS // 2:
+            for i in often.tolist():
+                self.numbers[chunks[i]]
+            self._store(ids, np.cumsum(sizes) - sizes, sizes)
+
+    def _chunks(self, text: str) -> list | None:
+        """The text's chunks; None if it has to be encoded as it is.
+
+        For byte-level vocabularies that is where white space stands before white space or the end. A chunk that opens
+        with a line end has no space before it.
+        """
+        if _SPECIAL in text:
+            return None
         if not self.byte_level:
             return text.encode().split()
-        return text.split(" ")
+        if any(c in text for c in (_OTHER_ASCII_SPACES if text.isascii() else _OTHER_SPACES)) and _ODD.search(text):
+            return None
+        chunks = text.replace("\n", " \n").split(" ")
+        return None if "" in chunks[1:] or "\n" in chunks else chunks
 
     def _encoded(self, chunks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of new chunks, and where each chunk's begin and how many it has.
@@ -55,9 +80,10 @@ class ChunkEncoder:
             pieces = np.array([_pieces(c) for c in chunks], np.int64)
         plain, rest = np.flatnonzero(pieces), np.flatnonzero(pieces == 0)
         found, sizes = [], np.zeros(len(chunks), np.int64)
-        for i in range(0, len(plain), 2000):
-            at = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" " * self.byte_level + " ".join([chunks[k] for k in at]), add_special_tokens=False).ids, np.uint32)
+        groups = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
+        joined = [(" " * self.byte_level + " ".join([chunks[k] for k in at])).replace(" \n", "\n") for at in groups]
+        for at, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
             marks = np.flatnonzero(self.marks[ids])
             if len(marks) != pieces[at].sum():
                 raise ValueError("a chunk's ids can't be told from its neighbours'")
@@ -71,11 +97,11 @@ class ChunkEncoder:
         starts[order] = np.cumsum(sizes[order]) - sizes[order]
         return np.concatenate(found), starts, sizes
 
-    def _learn(self, chunks: list) -> None:
-        ids, starts, sizes = self._encoded(chunks)
-        n, have = len(chunks), len(self.numbers) - len(chunks)
+    def _store(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of the chunks numbered last."""
+        n, have = len(sizes), len(self.numbers) - len(sizes)
         while have + n > len(self.size):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+            self.start, self.size, self.seen = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.seen))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.size[have : have + n] = sizes
@@ -86,28 +112,35 @@ class ChunkEncoder:
     def __call__(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """For each text its ids and then end_id."""
         if len(self.numbers) > KEPT_CHUNKS:
-            self._forget()
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
-        direct = dict(zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True))
-        numbers, had, firsts = self.numbers, len(self.numbers), []
-        per_text = []
+            self._keep_frequent()
+        numbers, had, firsts, rest, direct = self.numbers, len(self.numbers), [], [], {}
         for i, t in enumerate(texts):
-            chunks = [] if i in direct or not t else self._chunks(t)
-            if chunks and self.byte_level:  # a text's first chunk has no space before it, and is seldom seen again
+            chunks = self._chunks(t) if t else []
+            if chunks is None:
+                direct[i] = t
+                chunks = []
+            elif chunks and self.byte_level:  # a text's first chunk has no space before it, and is seldom seen again
                 firsts.append(chunks[0])
-                chunks = chunks[1:]
-            per_text.append(np.fromiter(map(numbers.__getitem__, chunks), np.int64, len(chunks)))
+                del chunks[0]
+            rest.append(chunks)
+        many = [len(c) for c in rest]
+        at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(rest)), np.int64, sum(many))
         if len(numbers) > had:
-            self._learn(_tail(numbers, len(numbers) - had))
+            self._store(*self._encoded(_tail(numbers, len(numbers) - had)))
+        if len(at):
+            counts = np.bincount(at)
+            self.seen[: len(counts)] += counts
+        flat = self._gather(at)
+        ends = np.concatenate(([0], np.cumsum(self.size[at])))[np.cumsum([0, *many])].tolist()
+        whole = iter(self.tokenizer.encode_batch_fast(list(direct.values()), add_special_tokens=False))
         opening = iter(self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False))
         out = []
-        for i, (t, at) in enumerate(zip(texts, per_text, strict=True)):
-            if i in direct:
-                ids = np.array(direct[i].ids, np.uint32)
-            else:
-                head = np.array(next(opening).ids, np.uint32) if t and self.byte_level else np.zeros(0, np.uint32)
-                ids = np.concatenate((head, self._gather(at)))
-            out.append(np.append(ids, np.uint32(end_id)))
+        for i, t in enumerate(texts):
+            ids = next(whole).ids if i in direct else next(opening).ids if t and self.byte_level else []
+            k, n = len(ids), ends[i + 1] - ends[i]
+            row = np.empty(k + n + 1, np.uint32)
+            row[:k], row[k:-1], row[-1] = ids, flat[ends[i] : ends[i + 1]], end_id
+            out.append(row)
         return out
 
     def _gather(self, at: np.ndarray) -> np.ndarray:

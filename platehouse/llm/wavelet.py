@@ -21,6 +21,8 @@ from platehouse.llm.shared import partitions, staged
 from platehouse.llm.tokens import encoder
 
 _MAGIC, _BLOCK = b"WVM1", 512
+#: Up to so many shards, their offsets (24 bytes each) are broadcast; beyond that, shards are shuffled to them.
+BROADCAST_SHARDS = 1_000_000
 
 
 class WaveletMatrix:
@@ -39,7 +41,7 @@ class WaveletMatrix:
 
     def to_bytes(self) -> bytes:
         """One file: a header and the compressed planes. Counts of ones are made anew when it is read."""
-        return _MAGIC + struct.pack("<QB", self.n, self.width) + zstandard.ZstdCompressor(level=1).compress(self.planes.tobytes())
+        return _MAGIC + struct.pack("<QB", self.n, self.width) + zstandard.ZstdCompressor(level=-3).compress(self.planes.tobytes())
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
@@ -113,10 +115,10 @@ def _planes(ids: np.ndarray, width: int) -> np.ndarray:
     rest = ids.astype(np.uint16 if width <= 16 else np.uint32)
     planes = np.zeros((width, -(-len(rest) // _BLOCK) * _BLOCK // 8), np.uint8)
     for level in range(width):
-        ones = (rest >> (width - 1 - level) & 1).astype(bool)
+        ones = (rest & rest.dtype.type(1 << (width - 1 - level))) != 0
         packed = np.packbits(ones, bitorder="little")
         planes[level, : len(packed)] = packed
-        rest = np.concatenate((rest[~ones], rest[ones]))
+        rest = np.concatenate((rest.take(np.flatnonzero(~ones)), rest.take(np.flatnonzero(ones))))
     return planes
 
 
@@ -126,10 +128,10 @@ def _sequence(n: int, width: int, planes: np.ndarray) -> np.ndarray:
     out = np.zeros(n, kind)
     for level in reversed(range(width)):
         ones = np.unpackbits(planes[level], count=n, bitorder="little").astype(bool)
-        zeros = n - int(np.count_nonzero(ones))
+        low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
         above = np.empty(n, kind)
-        above[~ones] = out[:zeros]
-        above[ones] = out[zeros:] | kind(1 << (width - 1 - level))
+        above[low] = out[: len(low)]
+        above[high] = out[len(low) :] | kind(1 << (width - 1 - level))
         out = above
     return out
 
@@ -141,7 +143,7 @@ def _unpacked(data: bytes) -> tuple[int, int, np.ndarray]:
     return n, width, np.frombuffer(zstandard.ZstdDecompressor().decompress(data[13:], max_output_size=1 << 40), np.uint8).reshape(width, -1)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, width: int = 16, shard_tokens: int = 1 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, width: int = 16, shard_tokens: int = 1 << 18) -> DataFrame:
     """Encode every whole text, append end_id, and stage wavelet matrices of whole documents in ascending doc_id order.
 
     Returns the staged shards (part, shard, doc_ids, sizes, n_tokens, payload): part is the range of doc_id that a task
@@ -203,4 +205,5 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 ends = np.cumsum(n)
                 yield pd.DataFrame({"doc_id": pd.array(list(row.doc_ids), "Int64"), "start": row.start + ends - n, "n_tokens": n, "ids_crc32": [zlib.crc32(data[4 * (e - k) : 4 * e]) for e, k in zip(ends, n, strict=True)], "part": row.part, "shard": row.shard})
 
+    at = F.broadcast(at) if sizes.count() <= BROADCAST_SHARDS else at
     return shards.join(at, ["part", "shard"]).mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, shard int")
