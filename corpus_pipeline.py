@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from platehouse.llm import jaccard, mixing, packing, repetition, toxicity
-from platehouse.llm.shared import documents, staged
+from platehouse.llm.shared import documents, small_batches, staged
 from platehouse.llm.tokens import vocabulary
 
 END_ID = 2
@@ -13,16 +13,19 @@ END_ID = 2
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
+    small_batches(spark)
     return repetition.keep(docs)
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model learned on this stage's labelled rows does not call toxic."""
+    small_batches(spark)
     return toxicity.keep(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -33,6 +36,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in packed sequences."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), END_ID)
 
 

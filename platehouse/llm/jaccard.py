@@ -29,12 +29,12 @@ from platehouse.llm.shared import components, partitions, staged
 #: Words in a shingle; two documents link where 100 * intersection >= 80 * union.
 WORDS = 5
 #: Shingles and documents in a packed block at most (a document's number in its block takes 16 bits).
-BLOCK_TOKENS, BLOCK_DOCS = 1_200_000, 60_000
+BLOCK_TOKENS, BLOCK_DOCS = 600_000, 60_000
 #: Up to so many documents, the texts to compare are found by broadcasting their ids (16 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Numbers of 64 bits in a document's bitmap.
 BITMAP = 4
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 100_000
 _ODD = np.random.default_rng(20_240_601).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -255,12 +255,13 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for node, d1, d2, text in zip(batch["node"], batch["_d1"], batch["_d2"], batch["text"], strict=True):
-                s = shingles(text)
-                if np.array_equal(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64), (d1, d2)):  # not another text of that doc_id
-                    rows.append((node, s.astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["node", "set"])
+            for i in range(0, len(batch), 500):
+                rows = []
+                for node, d1, d2, text in batch.iloc[i : i + 500][["node", "_d1", "_d2", "text"]].itertuples(index=False):
+                    s = shingles(text)
+                    if np.array_equal(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64), (d1, d2)):  # not another text of that doc_id
+                        rows.append((node, s.astype(np.int64)))
+                yield pd.DataFrame(rows, columns=["node", "set"])
 
     texts = docs.select("doc_id", "text").join(wanted_ids, docs["doc_id"].eqNullSafe(wanted_ids["doc_id"])).select("node", "_d1", "_d2", "text")
     whole = texts.mapInPandas(sets, "node long, set array<long>")
@@ -276,7 +277,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     takes part like any other but is never a component's id, unless it is alone (null). Repeated doc_ids are documents
     of their own. Columns besides doc_id and text are not read.
     """
-    buckets = partitions(docs.sparkSession)
+    buckets = 2 * partitions(docs.sparkSession)  # a bucket's shingles are sorted in memory
     dealt = _blocks(docs, buckets).groupBy("bucket").applyInPandas(lambda b: _frequencies(b), "block long, bucket long, docs binary, tokens binary, freq binary")
     rows = dealt.groupBy("block").applyInPandas(lambda b: _documents(b), "doc_id long, n long, d1 long, d2 long, rarest array<long>, x array<long>, y array<long>, bits array<long>, shared long")
     rows = staged(rows, "shingled")

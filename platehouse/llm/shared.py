@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+from math import isqrt
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that go to a Python worker at once, at most: texts may be long, and each batch is held several times over.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's batches for Python workers to BATCH_ROWS, unless they are smaller already."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of documents below a folder, which any Hadoop file system may hold."""
+    """The table of documents below a folder, which any Hadoop file system may hold; batches of it are kept small."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -44,6 +57,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def quantiles(df: DataFrame, column: str, n: int) -> list[int]:
+    """The values that begin each n-th of a column, least first, from Spark's own sketch; a frequent value stands several times."""
+    row = df.agg(F.min(column), F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(n)]), 20 * n)).first()
+    return [] if row[0] is None else sorted([row[0], *row[1][1:]])
+
+
+def number_below(value: Column, numbers: list[int], or_equal: bool) -> Column:
+    """How many of the sorted numbers are below a value, or equal to it: first among every k-th, then among k of them."""
+    if not numbers:
+        return F.lit(0)
+    k = isqrt(len(numbers))
+    rows = [numbers[i : i + k] for i in range(0, len(numbers), k)]
+    passed = lambda x: x <= value if or_equal else x < value
+    longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<long>")
+    whole = F.size(F.filter(longs([r[0] for r in rows]), passed))
+    last = F.element_at(F.array(*[longs(r) for r in rows]), F.greatest(whole, F.lit(1)))
+    return F.when(whole == 0, 0).otherwise((whole - 1) * k + F.size(F.filter(last, passed)))
+
+
 def in_order(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """df staged in ascending order of keys, with `part` (range partition) and `pos` (place within it).
 
@@ -74,6 +106,8 @@ def components(links: DataFrame) -> DataFrame:
     each round is staged. Null ends are left out.
     """
     edges = staged(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    now = state(edges)
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
@@ -81,8 +115,8 @@ def components(links: DataFrame) -> DataFrame:
         near = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(near, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         after = staged(small.where("a <> b").distinct(), "edges")
-        state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state(after) == state(edges):
+        before, now = now, state(after)
+        if now == before:
             break
         edges = after
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

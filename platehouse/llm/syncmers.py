@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platehouse.llm.shared import partitions
+from platehouse.llm.shared import number_below, partitions, quantiles
 
 K, S, KEPT = 20, 8, 96
+#: Texts of fewer characters have k-mers and s-mers of these lengths.
+SHORT, SHORT_K, SHORT_S = 64, 6, 3
 #: Places may shift by so many characters beside the usual shift, and by this share of the place.
 SLACK, SLACK_SHARE = 64, 1 / 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -29,8 +31,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the closed syncmers of an array of code points; a text shorter than k is one anchor."""
+def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the closed syncmers of an array of code points; a text shorter than any k is one anchor."""
+    return syncmers(points, *((K, S) if len(points) >= SHORT else (SHORT_K, SHORT_S)))
+
+
+def syncmers(points: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(points)
     x = points.astype(np.uint64) + np.uint64(1)
     if n < k:
@@ -98,13 +104,6 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def block_starts(docs: DataFrame, blocks: int) -> list[int]:
-    """The first doc_id of each block of about as many documents, from Spark's own quantiles; at most `blocks` numbers."""
-    share = F.array(*[F.lit(i / blocks) for i in range(blocks)])
-    row = docs.agg(F.min("doc_id"), F.percentile_approx("doc_id", share, 20 * blocks)).first()
-    return [] if row[0] is None else sorted({row[0], *row[1]})
-
-
 #: Blocks over which documents without a doc_id are dealt.
 NULL_BLOCKS = 64
 
@@ -114,13 +113,13 @@ def _edited(points: np.ndarray, following: np.ndarray, own: tuple[np.ndarray, np
     n = len(points)
     cut = n - n // 4
     edited = np.concatenate((points[:cut], following[: n // 4]))
-    if cut < 2 * K:
+    if cut < 2 * K or n < SHORT or len(edited) < SHORT:
         return edited, anchors(edited)
     hashes, places = own
     kept, back = places <= cut - K, cut - K + 1
     if len(edited) - back < K:
         return edited, (hashes[kept], places[kept])
-    late_hashes, late_places = anchors(edited[back:])
+    late_hashes, late_places = syncmers(edited[back:], K, S)
     return edited, (np.concatenate((hashes[kept], late_hashes)), np.concatenate((places[kept], late_places + back)))
 
 
@@ -150,10 +149,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     Null text is the empty text. Documents with a null doc_id follow one another, in rings dealt by hash. Other columns
     are not read. The text is shuffled once.
     """
-    starts = block_starts(docs, 4 * partitions(docs.sparkSession))
+    starts = sorted(set(quantiles(docs, "doc_id", 4 * partitions(docs.sparkSession))))
     bounds = F.array(*[F.lit(x) for x in starts]).cast("array<long>")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
-    number = F.when(F.col("doc_id").isNull(), -1 - F.pmod("tie", F.lit(NULL_BLOCKS))).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))) - 1).cast("int")
+    number = F.when(F.col("doc_id").isNull(), -1 - F.pmod("tie", F.lit(NULL_BLOCKS))).otherwise(number_below(F.col("doc_id"), starts, True) - 1).cast("int")
     before = F.when(F.col("_number") == 0, F.lit(len(starts) - 1)).otherwise(F.col("_number") - 1)
     own, copy = F.struct(F.col("_number").alias("block"), F.lit(False).alias("copy")), F.struct(before.alias("block"), F.lit(True).alias("copy"))
     places = F.when(F.coalesce(F.array_contains(bounds, F.col("doc_id")), F.lit(False)), F.array(own, copy)).otherwise(F.array(own))

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platehouse.llm.shared import partitions, staged
+from platehouse.llm.shared import number_below, partitions, quantiles, staged
 from platehouse.llm.tokens import encoder
 
 _MAGIC, _BLOCK = b"WVM1", 512
@@ -182,7 +182,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, width: int = 16,
         if ids:
             yield closed()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Ranges come from a scan of doc_id alone; a doc_id that fills several ranges is dealt over them by its text's hash.
+    n = partitions(spark)
+    starts, tie = quantiles(docs, "doc_id", n), F.xxhash64("text")
+    below, upto = (number_below(F.col("doc_id"), starts, or_equal) for or_equal in (False, True))
+    place = F.when(F.col("doc_id").isNull(), 0).when(upto - below > 1, below + F.pmod(tie, F.greatest(upto - below, F.lit(1)))).otherwise(F.greatest(upto - 1, F.lit(0)))
+    ordered = docs.select("doc_id", "text").repartitionById(n, place.cast("int")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return staged(ordered.mapInPandas(encode, "part int, shard int, doc_ids array<long>, sizes array<long>, n_tokens long, payload binary"), "wavelet")
 
 
