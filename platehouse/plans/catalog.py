@@ -228,10 +228,11 @@ def vector_search(spark, sf_dir):
     return reid.nearest(v.where("id % 100 = 0"), v, 0.1, 10).withColumn("score", F.round("score", 6))
 
 
-@query("WITH {ve}, {edges}, j AS (SELECT vehicle_id, lag(id) OVER w AS from_event, id AS to_event, lag(camera_id) OVER w AS from_camera_id, camera_id AS to_camera_id, (epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER w) / 1e6 AS elapsed FROM ve WHERE vehicle_id IS NOT NULL WINDOW w AS (PARTITION BY vehicle_id ORDER BY occurred_at, id)) SELECT vehicle_id, from_event, to_event, j.from_camera_id, j.to_camera_id, round(elapsed, 6) AS elapsed_seconds, e.id AS edge_id, elapsed BETWEEN minimum_travel_seconds AND maximum_travel_seconds AS feasible, false AS truncated FROM j LEFT JOIN edges e ON e.from_camera_id = j.from_camera_id AND e.to_camera_id = j.to_camera_id AND e.enabled WHERE from_event IS NOT NULL")
+@query("WITH {ve}, {edges}, j AS (SELECT vehicle_id, lag(id) OVER w AS from_event, id AS to_event, lag(camera_id) OVER w AS from_camera_id, camera_id AS to_camera_id, (epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER w) / 1e6 AS elapsed FROM ve WHERE vehicle_id IS NOT NULL WINDOW w AS (PARTITION BY vehicle_id ORDER BY occurred_at, id)) SELECT vehicle_id, from_event, to_event, j.from_camera_id, j.to_camera_id, round(elapsed, 6) AS elapsed_seconds, e.id AS edge_id, CASE WHEN e.id IS NULL THEN 'UNKNOWN' WHEN elapsed BETWEEN minimum_travel_seconds AND maximum_travel_seconds THEN 'YES' ELSE 'NO' END AS feasible, false AS truncated FROM j LEFT JOIN edges e ON e.from_camera_id = j.from_camera_id AND e.to_camera_id = j.to_camera_id AND e.enabled WHERE from_event IS NOT NULL")
 def journey_segments(spark, sf_dir):
     """W1, J6, D2."""
-    return journeys.segments(fx.events(spark, sf_dir), fx.edges(spark)).withColumn("elapsed_seconds", F.round("elapsed_seconds", 6))
+    found = journeys.segments(fx.events(spark, sf_dir), fx.edges(spark)).withColumn("elapsed_seconds", F.round("elapsed_seconds", 6))
+    return found.withColumn("feasible", F.when(F.col("feasible").isNull(), "UNKNOWN").when(F.col("feasible"), "YES").otherwise("NO"))
 
 
 @query("WITH {ve}, {edges}, j AS (SELECT vehicle_id, lag(camera_id) OVER w AS f, camera_id AS t, (epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER w) / 1e6 AS elapsed FROM ve WHERE vehicle_id IS NOT NULL WINDOW w AS (PARTITION BY vehicle_id ORDER BY occurred_at, id)), k AS (SELECT vehicle_id, count(*) FILTER (e.id IS NOT NULL AND NOT (elapsed BETWEEN minimum_travel_seconds AND maximum_travel_seconds)) AS infeasible, count(*) FILTER (e.id IS NULL) AS unknown_topology FROM j LEFT JOIN edges e ON e.from_camera_id = f AND e.to_camera_id = t AND e.enabled WHERE f IS NOT NULL GROUP BY 1) "
