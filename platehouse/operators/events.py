@@ -67,7 +67,8 @@ def insert_if_absent(stored: DataFrame, incoming: DataFrame, key: str, semantic:
     """Incoming rows that are new by key and by semantic key: the first of each in `order` is kept.
 
     A row that another row shadows by one key does not shadow others by its second key, so the rule is applied again
-    until no row changes; chains are short, and each round is a pair of windows.
+    until no row changes; chains are short, and each round is a pair of windows. Rounds are cut by checkpoint(), for which
+    the session needs spark.checkpoint.dir.
     """
     rows = incoming.join(stored.select(key), key, "left_anti").join(stored.select(*semantic), semantic, "left_anti")
     kept = rows.limit(0)
