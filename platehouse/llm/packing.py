@@ -16,7 +16,9 @@ from platehouse.llm.tokens import encoder
 #: Context sizes, all powers of two: a full window needs no padding; the longest is the one that others are padded to.
 TIERS = (4096, 2048, 1024, 512, 256)
 #: Windows are packed within so many tokens of neighbouring documents, which bounds memory and padding.
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
+#: Chunks whose ids a worker keeps: few, since the pipeline's workers hold other stages' words too.
+KEPT_CHUNKS = 250_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 Piece = tuple[int, int, int]  # document, first id, ids
@@ -76,7 +78,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, first, group = encoder(tokenizer), TaskContext.get().partitionId() << 36, TaskContext.get().partitionId() << 36
+        encode, first, group = encoder(tokenizer, KEPT_CHUNKS), TaskContext.get().partitionId() << 36, TaskContext.get().partitionId() << 36
         held: list[tuple[object, np.ndarray]] = []
         tokens = 0
 

@@ -25,9 +25,11 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 class ChunkEncoder:
     """Token ids of many texts. A chunk's ids lie in one flat array, found through its number."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_CHUNKS):
         from tokenizers import Tokenizer
 
+        self.kept = kept
+
         self.tokenizer = Tokenizer.from_file(path)
         if hasattr(self.tokenizer.model, "_resize_cache"):  # a second store of words would only cost time
             self.tokenizer.model._resize_cache(0)
@@ -47,7 +49,7 @@ class ChunkEncoder:
         often = np.flatnonzero(self.seen[:n] > 1)
         chunks, ids, sizes = list(self.numbers), self._gather(often), self.size[often]
         self._forget()
-        if len(often) <= KEPT_CHUNKS // 2:
+        if len(often) <= self.kept // 2:
             for i in often.tolist():
                 self.numbers[chunks[i]]
             self._store(ids, np.cumsum(sizes) - sizes, sizes)
@@ -111,7 +113,7 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """For each text its ids and then end_id."""
-        if len(self.numbers) > KEPT_CHUNKS:
+        if len(self.numbers) > self.kept:
             self._keep_frequent()
         numbers, had, firsts, rest, direct = self.numbers, len(self.numbers), [], [], {}
         for i, t in enumerate(texts):
@@ -162,13 +164,13 @@ def _tail(numbers: dict, n: int) -> list:
     return [next(keys) for _ in range(n)][::-1]
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, kept: int = KEPT_CHUNKS) -> ChunkEncoder:
     """This worker's encoder of a vocabulary file; one thread, as Spark runs the tasks side by side."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = ChunkEncoder(path, kept)
     return _ENCODERS[path]
 
 

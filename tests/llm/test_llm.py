@@ -80,9 +80,8 @@ def test_chunked_ids_are_the_tokenizers(name, some):
     assert [x.tolist() for x in tokens.encoder(tokens.vocabulary(name))(some, 2)] == [_ids(name, t) for t in some]
 
 
-def test_chunked_ids_past_the_kept_chunks(monkeypatch):
-    monkeypatch.setattr(tokens, "KEPT_CHUNKS", 50)
-    e = tokens.ChunkEncoder(tokens.vocabulary("byte_bpe_50k.json"))
+def test_chunked_ids_past_the_kept_chunks():
+    e = tokens.ChunkEncoder(tokens.vocabulary("byte_bpe_50k.json"), 50)
     for t in _texts(7, 30) * 2:
         assert e([t or ""], 2)[0].tolist() == _ids("byte_bpe_50k.json", t)
 
