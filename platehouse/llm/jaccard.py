@@ -11,7 +11,8 @@ shingles lie in both prefixes. Three orders are used, and a candidate must pass
 
 No group emits all its pairs. Documents that meet in a shingle are compared with three hubs of that group first; links so
 found are joined to components, and only pairs across components are compared after that. A pair within one component
-needs no link of its own, so the components are those of all links.
+needs no link of its own there, so the components are those of all links. linked() then compares the sets within each
+component too and returns every link.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platehouse.functions.grouping import runs
 from platehouse.llm.shared import components, partitions, staged
 
 #: Words in a shingle; two documents link where 100 * intersection >= 80 * union.
@@ -270,13 +272,9 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(9 * overlap >= 4 * (F.size("_x") + F.size("_y"))).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach, its own included) of every document.
-
-    Null texts and texts without words have no shingles and no links: component_id is their own doc_id. A null doc_id
-    takes part like any other but is never a component's id, unless it is alone (null). Repeated doc_ids are documents
-    of their own. Columns besides doc_id and text are not read.
-    """
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every document with its set's digest and its component's name (_group, null without shingles); the sets that may
+    have links; the components of those that have."""
     buckets = 2 * partitions(docs.sparkSession)  # a bucket's shingles are sorted in memory
     dealt = _blocks(docs, buckets).groupBy("bucket").applyInPandas(lambda b: _frequencies(b), "block long, bucket long, docs binary, tokens binary, freq binary")
     rows = dealt.groupBy("block").applyInPandas(lambda b: _documents(b), "doc_id long, n long, d1 long, d2 long, rarest array<long>, x array<long>, y array<long>, bits array<long>, shared long")
@@ -289,9 +287,133 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = rows.select("doc_id", "n", "d1", "d2").join(parts, ["d1", "d2"], "left")
     # a set that links with none is a component of its own copies
     group = F.when(F.col("n") == 0, F.lit(None)).otherwise(F.coalesce(F.concat(F.lit("c"), F.col("component").cast("string")), F.concat_ws(":", "d1", "d2")))
-    labelled = staged(labelled.select("doc_id", F.col("n").alias("n_shingles"), group.alias("_group")), "labelled")
+    return staged(labelled.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2", group.alias("_group")), "labelled"), nodes, parts
+
+
+def _with_component(labelled: DataFrame) -> DataFrame:
     least = labelled.where("_group IS NOT NULL").groupBy("_group").agg(F.min("doc_id").alias("_least"))
-    return labelled.join(least, "_group", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    return labelled.join(least, "_group", "left").withColumn("component_id", F.coalesce("_least", "doc_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach, its own included) of every document.
+
+    Null texts and texts without words have no shingles and no links: component_id is their own doc_id. A null doc_id
+    takes part like any other but is never a component's id, unless it is alone (null). Repeated doc_ids are documents
+    of their own. Columns besides doc_id and text are not read.
+    """
+    return _with_component(_labelled(docs)[0]).select("doc_id", "n_shingles", "component_id")
+
+
+#: Sets and shingles in a chunk of a component at most, about.
+CHUNK_SETS, CHUNK_SHINGLES = 256, 500_000
+_CHUNKS = ["component", "low", "i", "high", "j"]
+_PAIR = ["a1", "a2", "b1", "b2", "n_a", "n_b", "overlap"]
+
+
+def _chunks(linked: DataFrame) -> DataFrame:
+    """Sets (d1, d2, n, component) dealt to the pairs of chunks in which they are compared, with their side (2: both).
+
+    The sets of a component are cut by size, so that linked ones are in one class or in neighbouring ones (their sizes
+    differ by a quarter at most, a class spans three tenths), and a large class by hash. Any two sets that may link meet
+    in exactly one pair of chunks; a small component is one chunk.
+    """
+    sets = linked.withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(1.3))).cast("int"))
+    parts = lambda count, total: F.ceil(F.greatest(F.col(count) / CHUNK_SETS, F.col(total) / CHUNK_SHINGLES)).cast("int")
+    classes = sets.groupBy("component", "size_class").agg(F.count("*").alias("_n"), F.sum("n").alias("_total"))
+    of = classes.groupBy("component").agg(F.sum("_n").alias("_n"), F.sum("_total").alias("_total"), F.map_from_entries(F.collect_list(F.struct("size_class", parts("_n", "_total")))).alias("_classes"))
+    sets = sets.join(of, "component")
+    whole = parts("_n", "_total") == 1
+    c, k = F.col("size_class"), lambda step: F.try_element_at("_classes", F.col("size_class") + step)
+    own = F.pmod(F.xxhash64("d1", "d2"), k(0)).cast("int")
+    zero = F.lit(0)
+    place = lambda low, i, high, j, side: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), side.cast("int").alias("side"))
+    none = F.array_remove(F.array(place(zero, zero, zero, zero, F.lit(2))), place(zero, zero, zero, zero, F.lit(2)))
+    each = lambda n, f: F.coalesce(F.transform(F.sequence(zero, n - 1), f), none)
+    alike = each(k(0), lambda j: place(c, F.least(own, j), c, F.greatest(own, j), F.when(own == j, 2).when(own < j, 0).otherwise(1)))
+    above, below = each(k(1), lambda j: place(c, own, c + 1, j, zero)), each(k(-1), lambda j: place(c - 1, j, c, own, F.lit(1)))
+    return sets.select("d1", "d2", "component", F.inline(F.when(whole, F.array(place(zero, zero, zero, zero, F.lit(2)))).otherwise(F.concat(alike, above, below))))
+
+
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of linked sets in one and in two and their overlap; of the same sets each pair once."""
+    m = np.array([len(t) for t in two])
+    flat = np.concatenate(two)
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], np.repeat(np.arange(len(two)), m)[order]
+    found = []
+    for i, s in enumerate(one):
+        start, end = np.searchsorted(flat, s), np.searchsorted(flat, s, "right")
+        n = end - start
+        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        overlap = np.bincount(who[at], minlength=len(two))
+        j = np.flatnonzero((9 * overlap >= 4 * (len(s) + m)) & ((np.arange(len(two)) > i) | (not same)))
+        found.append((np.full(len(j), i), j, overlap[j]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The linked pairs of sets of each pair of chunks; rows come sorted by chunks, one pair of chunks is held at a time."""
+    held, rows = [], 0
+    for _, g in runs(batches, _CHUNKS):
+        side, digests = np.array(g["side"]), np.array([g["d1"], g["d2"]], np.int64)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(left) or not len(right) or len(side) < 2:
+            continue
+        i, j, overlap = _overlaps([g["set"][x] for x in left], [g["set"][x] for x in right], bool((side == 2).all()))
+        if not len(i):
+            continue
+        n = np.array([len(s) for s in g["set"]])
+        i, j = left[i], right[j]
+        one, two = digests.view(np.uint64)  # in the order of set ids
+        swap = (one[i] > one[j]) | ((one[i] == one[j]) & (two[i] > two[j]))
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        held.append(np.array([digests[0][i], digests[1][i], digests[0][j], digests[1][j], n[i], n[j], overlap], np.int64))
+        rows += len(i)
+        if rows >= 20_000:
+            yield pd.DataFrame(np.concatenate(held, axis=1).T, columns=_PAIR)
+            held, rows = [], 0
+    if held:
+        yield pd.DataFrame(np.concatenate(held, axis=1).T, columns=_PAIR)
+
+
+def _set_id(one: str, two: str) -> Column:
+    return F.concat(F.lpad(F.hex(one), 16, "0"), F.lpad(F.hex(two), 16, "0"))
+
+
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole join: every document with its set and its number of links, and every linked pair of different sets.
+
+    The first has doc_id, n_shingles, component_id (as near_duplicates), set_id (equal sets of shingles have the same;
+    null without shingles) and n_links, the number of other documents that it links with, copies included. The second
+    has set_a < set_b, n_a, n_b and overlap: each pair of sets once, inside components too. Pairs of documents are those of
+    the members of set_a and set_b, and the pairs within one set; there may be as many as the square of a hot group.
+    A link never leaves a component, so all sets of a component are compared, in chunks of bounded size.
+    """
+    labelled, nodes, parts = _labelled(docs)
+    linked_sets = staged(parts.join(nodes.select("d1", "d2", "n", F.col("doc").alias("_doc")), ["d1", "d2"]), "linked")
+    wanted = linked_sets.select("_doc").distinct()
+    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["_doc"]), "left_semi").select("text")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 500):
+                found = [shingles(t) for t in batch["text"].iloc[i : i + 500]]
+                ends = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in found]).reshape(-1, 2)
+                yield pd.DataFrame({"d1": ends[:, 0], "d2": ends[:, 1], "set": [s.astype(np.int64) for s in found]})
+
+    whole = texts.mapInPandas(sets, "d1 long, d2 long, set array<long>").join(linked_sets.select("d1", "d2"), ["d1", "d2"], "left_semi")
+    whole = staged(whole.groupBy("d1", "d2").agg(F.any_value("set").alias("set")), "sets")
+    dealt = _chunks(linked_sets).join(whole, ["d1", "d2"]).repartition(*_CHUNKS).sortWithinPartitions(*_CHUNKS)
+    pairs = staged(dealt.select(*_CHUNKS, "side", "d1", "d2", "set").mapInPandas(_compared, ", ".join(f"{c} long" for c in _PAIR)), "pairs")
+    copies = labelled.where("n_shingles > 0").groupBy("d1", "d2").agg(F.count("*").alias("_copies"))
+    ends = pairs.select(F.inline(F.array(F.struct(F.col("a1").alias("d1"), F.col("a2").alias("d2"), F.col("b1").alias("_o1"), F.col("b2").alias("_o2")), F.struct(F.col("b1").alias("d1"), F.col("b2").alias("d2"), F.col("a1").alias("_o1"), F.col("a2").alias("_o2")))))
+    others = copies.select(F.col("d1").alias("_o1"), F.col("d2").alias("_o2"), F.col("_copies").alias("_others"))
+    counts = copies.join(ends.join(others, ["_o1", "_o2"]).groupBy("d1", "d2").agg(F.sum("_others").alias("_others")), ["d1", "d2"], "left")
+    counts = counts.select("d1", "d2", (F.col("_copies") - 1 + F.coalesce("_others", F.lit(0))).alias("_links"))
+    members = _with_component(labelled).join(counts, ["d1", "d2"], "left")
+    set_id = F.when(F.col("n_shingles") > 0, _set_id("d1", "d2"))
+    return members.select("doc_id", "n_shingles", "component_id", set_id.alias("set_id"), F.coalesce("_links", F.lit(0)).alias("n_links")), pairs.select(_set_id("a1", "a2").alias("set_a"), _set_id("b1", "b2").alias("set_b"), "n_a", "n_b", "overlap")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op3 with every link found, inside components too: each document's set and number of links."""
+    return jaccard.linked(documents(spark, sf_dir))[0]
+
+
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
 
@@ -55,7 +60,7 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_wavelet_shards, op2_repetition_coverage, op3_jaccard_join, op4_warc_derivatives, op5_importance_resampling, op6_toxicity, op7_minimax_shards, op8_water_filling, op9_syncmer_fingerprints, op10_hierarchical_packing)
+    found = (op1_wavelet_shards, op2_repetition_coverage, op3_jaccard_join, op3_jaccard_links, op4_warc_derivatives, op5_importance_resampling, op6_toxicity, op7_minimax_shards, op8_water_filling, op9_syncmer_fingerprints, op10_hierarchical_packing)
     return {f.__name__: f for f in found}
 
 

@@ -238,6 +238,37 @@ def test_op3_odd_tables(spark, empty):
     assert Counter(got) == Counter([(None, 3, 3), (3, 3, 3), (3, 3, 3), (3, 1, 3), (None, 0, None)])
 
 
+@pytest.mark.parametrize("chunk", [256, 7])
+def test_op3_links(spark, chunk, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(66)]
+    rows = [(i, t) for i, t in enumerate(_texts(5, 30))]
+    for i in range(60):  # a hot group of different texts: most of their links lie inside a component
+        near = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            near[rng.choice([0, 1, 2, 30, 64, 65])] = f"r{rng.random()}"
+        rows.append((1000 + i, " ".join(near[rng.randrange(3) :] + [f"t{k}" for k in range(rng.choice([0, 0, 20]))])))
+    rows += [(None, rows[-1][1]), (None, rows[-2][1]), (1001, rows[-1][1]), (1001, "other words"), (2000, rows[-3][1].upper())]
+    table = _clashing(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)).repartition(3)
+    sets = _sets(dict(enumerate(t for _, t in rows)))
+    links = {(a, b) for a in sets for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    members, pairs = jaccard.linked(table)
+    members, pairs = members.collect(), pairs.collect()
+    expect = Counter((rows[i][0], len(sets[i]), sum(a == i for a, _ in links)) for i in sets)
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in members) == expect and max(n for _, _, n in expect) > 20
+    texts_of, named = {frozenset(s) for s in sets.values() if s}, {r["set_id"] for r in members} - {None}
+    assert len(texts_of) == len(named) and len(pairs) == len({(r["set_a"], r["set_b"]) for r in pairs}) and all(r["set_a"] < r["set_b"] for r in pairs)
+    got = Counter((min(r["n_a"], r["n_b"]), max(r["n_a"], r["n_b"]), r["overlap"]) for r in pairs)
+    assert got == Counter((*sorted((len(x), len(y))), len(x & y)) for x, y in {frozenset((frozenset(sets[a]), frozenset(sets[b]))) for a, b in links if sets[a] != sets[b]})
+    size = Counter(r["set_id"] for r in members)
+    by_set = Counter({s: n - 1 for s, n in size.items()})
+    for r in pairs:
+        by_set[r["set_a"]] += size[r["set_b"]]
+        by_set[r["set_b"]] += size[r["set_a"]]
+    assert all(r["n_links"] == (by_set[r["set_id"]] if r["set_id"] else 0) for r in members)
+
+
 # --- op4
 
 
