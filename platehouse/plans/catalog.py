@@ -613,10 +613,10 @@ def audit_page(spark, sf_dir):
 
 @query()
 def audit_redaction(spark, sf_dir):
-    """Tests compare with the rules."""
+    """P21, over each page's whole html: tests compare with the rules."""
     from platehouse.operators import state
 
-    return fx.table(spark, sf_dir, "pages").select("page_id", state.redact(F.to_json(F.struct("url", F.lit("x").alias("apiToken"), F.struct(F.substring("html", 1, 50).alias("head")).alias("body")))).alias("document"))
+    return fx.table(spark, sf_dir, "pages").select("page_id", state.redact(F.to_json(F.struct("url", F.lit("x").alias("apiToken"), F.struct("html").alias("body")))).alias("document"))
 
 
 @query("SELECT image_id, id, place, round_even(score, 6) AS confidence, CASE WHEN w / h >= 2.5 THEN 'SINGLE_LINE' ELSE 'TWO_LINE' END AS layout FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, id) AS place FROM (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, l_orderkey AS image_id, 10.0 + l_quantity AS w, 8.0 + l_linenumber AS h, round(l_extendedprice / 110000.0, 6) AS score FROM lineitem)) WHERE place <= 3")

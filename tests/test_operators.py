@@ -221,3 +221,21 @@ def test_consensus_and_sampling(spark):
             due += 1 / 7.0
             expect.append(f)
     assert sorted(r["frame_id"] for r in annotations.sampled_frames(frames, 30.0, 7.0).collect()) == expect
+
+
+def test_audit_redaction_reads_whole_pages(spark, tmp_path):
+    import json
+
+    from platehouse.plans import catalog
+
+    pages = [(1, "https://u:p@x/a", "<p>" + "y" * 200), (2, "https://x/a?q=1", "z" * 4096 + "tail"), (3, None, "Bearer abc"), (4, "ftp://x", None), (5, "x", ""), (6, "x", "é\"\\\n" * 1500), (7, "x", "http://h/p?k=" + "v" * 60)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: json.loads(r["document"]) for r in catalog.queries()["audit_redaction"](spark, str(tmp_path)).collect()}
+
+    def shown(text):
+        if text.lower().startswith(("bearer ", "https://u:p@")):
+            return "[REDACTED]"
+        return (text.split("?")[0] if text.startswith("http") else text)[:4096]
+
+    expect = {i: ({} if url is None else {"url": shown(url)}) | {"apiToken": "[REDACTED]", "body": {} if html is None else {"html": shown(html)}} for i, url, html in pages}
+    assert got == expect
