@@ -417,9 +417,33 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each component: that of the smallest doc_id, which names the component.
+    """The documents with one of each component: the row of the smallest doc_id, nulls last, which names the component.
 
-    Rows that repeat this doc_id in the component stay only once if they are alike in text.
+    Among rows of one doc_id in a component, that of the least set and then text hash stays; of equal rows, one. Rows
+    without shingles link with none, so each of them stays. Texts are only read again where doc_ids are null or repeat.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    labelled = _labelled(docs)[0]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_kept"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2")))
+    chosen = staged(labelled.where("_group IS NOT NULL").groupBy("_group").agg(least.alias("_row")).select("_row.*"), "chosen")
+    odd = staged(labelled.groupBy("doc_id").agg(F.count("*").alias("_n")).where("doc_id IS NULL OR _n > 1").select(F.col("doc_id").alias("_odd")), "repeated")
+    # a doc_id of one row tells the row
+    kept = chosen.select("_kept").union(labelled.where("_group IS NULL").select("doc_id")).where("_kept IS NOT NULL").join(odd, F.col("_kept") == F.col("_odd"), "left_anti")
+    plain = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    if odd.isEmpty():
+        return plain
+
+    @F.pandas_udf("d1 long, d2 long, n long")
+    def digests(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            s = shingles(t)
+            rows.append((*np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist(), len(s)))
+        return pd.DataFrame(rows, columns=["d1", "d2", "n"])
+
+    rows = docs.join(odd, docs["doc_id"].eqNullSafe(odd["_odd"]), "left_semi").withColumns({"_set": digests("text"), "_place": F.monotonically_increasing_id()})
+    rows = staged(rows, "repeated-rows")
+    found = rows.where("_set.n > 0").select("doc_id", F.col("_set.d1").alias("d1"), F.col("_set.d2").alias("d2"), F.xxhash64("text").alias("_hash"), "_place")
+    met = found.join(chosen, (found["d1"] == chosen["_d1"]) & (found["d2"] == chosen["_d2"]) & found["doc_id"].eqNullSafe(chosen["_kept"]))
+    places = met.groupBy("d1", "d2").agg(F.min(F.struct("_hash", "_place")).alias("_first")).select("_first._place")
+    places = places.union(rows.where("_set.n = 0").select("_place"))
+    return plain.unionByName(rows.join(places, "_place", "left_semi").select(*docs.columns))

@@ -80,3 +80,31 @@ def test_stages_on_odd_tables(spark, sf_dir):
     for table in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, table, sf_dir).count() <= 4 * 3
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark, sf_dir):
+    a, b = [f"a{i}" for i in range(90)], [f"b{i}" for i in range(90)]
+    near = lambda words, i: " ".join([*words[:-1], f"n{i}"])
+    c, d, e = (" ".join(f"{x}{i}" for i in range(90)) for x in "cde")
+    texts = [
+        (None, " ".join(a)), (None, " ".join(a)), (7, near(a, 1)), (8, near(a, 2)),  # an id goes before none
+        (None, c), (None, c), (None, c + " more"),  # no ids at all
+        (1, " ".join(b)), (1, " ".join(b)), (1, near(b, 1)), (2, near(b, 2)),  # rows alike, and another text of the id
+        (3, d), (4, e), (4, near(d.split(), 1)), (4, e),  # an id kept for one text, not for its other
+        (5, d.upper()), (6, ""), (6, ""), (None, None),
+    ]
+    table = spark.createDataFrame([(i, t, str(n), None, n) for n, (i, t) in enumerate(texts)], SCHEMA).repartition(3)
+    sets = [frozenset(tuple((t or "").lower().split()[k : k + 5]) for k in range(max(0, len((t or "").split()) - 4))) for _, t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for x, one in enumerate(sets):
+            for y, two in enumerate(sets):
+                if one and two and 100 * len(one & two) >= 80 * len(one | two):
+                    root[x] = root[y] = min(root[x], root[y])
+    got = corpus_pipeline.one_of_each(spark, table, sf_dir)
+    rows = [(r["n_chars"], r["doc_id"], r["text"]) for r in got.collect()]
+    assert got.columns == table.columns and all(texts[n] == (i, t) for n, i, t in rows)
+    assert sorted(root[n] for n, _, _ in rows) == sorted(set(root))
+    for n, i, _ in rows:
+        ids = [texts[m][0] for m in range(len(texts)) if root[m] == root[n]]
+        assert i == min((x for x in ids if x is not None), default=None)
