@@ -35,21 +35,40 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return _EOL.join(lines) + _EOL * 2 + block + _EOL * 2
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names in lower case) and block of one record, plain or gzipped."""
+def _fields(lines: list[bytes], encoding: str) -> list[tuple[str, str]]:
+    """(name, value) of every header line in order, repeats included; a line that begins with a space goes on the last."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        text = line.decode(encoding, "replace")
+        if text[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {text.strip()}".strip())
+        elif text.strip():
+            name, _, value = text.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def parse_all(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """Every header (as written, repeats included) and the block of one record, plain or gzipped."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     head, found, rest = data.partition(_EOL * 2)
     first, *lines = head.split(_EOL)
     if not found or not first.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
-    headers = {k.strip().lower().decode(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines)}
-    n = int(headers["content-length"])
+    headers = _fields(lines, "utf-8")
+    n = int({k.lower(): v for k, v in headers}["content-length"])
     if len(rest) < n:
         raise ValueError("the record is cut short")
     return headers, rest[:n]
 
 
+def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers (names in lower case, the last of repeats) and block of one record, plain or gzipped."""
+    headers, block = parse_all(data)
+    return {k.lower(): v for k, v in headers}, block
+
+
 def plain_text(page: str) -> str:
     """The visible text: one line for each block of text, entities resolved, spaces joined."""
     text = _TAG.sub("", _BREAKS.sub("\n", _HIDDEN.sub(" ", page)))
@@ -76,13 +95,18 @@ def derivatives(data: bytes) -> list[tuple[str, dict[str, str], bytes]]:
     """(kind, headers, whole record) of the metadata and of the conversion record of a response record.
 
     Both refer to the response by id, date and target; the conversion also to the metadata record made with it. Digests of
-    the source are taken over where it has them and made where not. A block without an HTTP head is all payload.
+    the source are taken over where it has them and made where not. A block without an HTTP head is all payload. The
+    metadata record holds every header of the source, in order and with repeats: source-warc-<name> of the record,
+    source-http-<name> of the HTTP head, whose first line is source-http.
     """
-    source, block = parse(data)
+    source_fields, block = parse_all(data)
+    source = {k.lower(): v for k, v in source_fields}
     head, found, payload = block.partition(_EOL * 2)
     if not (found and head.startswith(b"HTTP/")):
         head, payload = b"", block
-    http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
+    first, *lines = head.split(_EOL)
+    http_fields = _fields(lines, "latin-1")
+    http = {k.lower(): v for k, v in http_fields}
     charset = re.search(r"charset=\"?([\w-]+)", http.get("content-type", ""))
     try:
         page = payload.decode(charset[1] if charset else "utf-8", "replace")
@@ -94,6 +118,9 @@ def derivatives(data: bytes) -> list[tuple[str, dict[str, str], bytes]]:
     ids = {kind: _id(kind, rid) for kind in ("metadata", "conversion")}
     refers = [("WARC-Refers-To", rid)] + [(to, source[k]) for k, to in (("warc-target-uri", "WARC-Refers-To-Target-URI"), ("warc-date", "WARC-Refers-To-Date"), ("warc-target-uri", "WARC-Target-URI"), ("warc-date", "WARC-Date")) if k in source]
     fields = [("source-status", head[9:12].decode("latin-1")), ("source-content-type", http.get("content-type", "")), ("source-content-length", str(len(payload))), ("source-payload-digest", payload_digest), ("source-block-digest", block_digest), ("title", _one_line(entities.unescape(title[1])) if title else ""), ("text-length", str(len(text))), *(("outlink", entities.unescape(x)) for x in links)]
+    if first:
+        fields.append(("source-http", first.decode("latin-1")))
+    fields += [(f"source-{of}-{k.lower()}", v.replace("\r", " ").replace("\n", " ")) for of, found in (("http", http_fields), ("warc", source_fields)) for k, v in found]
     out = []
     for kind, content, body, more in (
         ("metadata", "application/warc-fields", _EOL.join(f"{k}: {v}".encode() for k, v in fields) + _EOL, []),
