@@ -2,7 +2,8 @@
 
 Whether a k-mer is chosen depends on its own characters only, so texts that share a passage choose the same anchors in
 it wherever it stands. A fingerprint keeps the anchors of least hash with their places; two fingerprints are alike as far
-as the least anchors of both together are common to both and stand at a steady distance.
+as the least anchors of both together are common to both and stand at a steady distance. For passages shared by long texts,
+of whose anchors a fingerprint keeps few, anchor_table gives every anchor of every text.
 """
 
 from __future__ import annotations
@@ -31,9 +32,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def lengths(n: int) -> tuple[int, int]:
+    """k and s for a text of n characters."""
+    return (K, S) if n >= SHORT else (SHORT_K, SHORT_S)
+
+
 def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the closed syncmers of an array of code points; a text shorter than any k is one anchor."""
-    return syncmers(points, *((K, S) if len(points) >= SHORT else (SHORT_K, SHORT_S)))
+    return syncmers(points, *lengths(len(points)))
 
 
 def syncmers(points: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +106,13 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return float(np.count_nonzero(steady) / len(least))
 
 
+def compare(a: np.ndarray, b: np.ndarray, print_a: tuple[np.ndarray, np.ndarray], print_b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The likeness of two texts by their fingerprints; if k and s differ, both are cut by those of the shorter text."""
+    pair = lengths(min(len(a), len(b)))
+    again = [found if lengths(len(p)) == pair else sketch(*syncmers(p, *pair)) for p, found in ((a, print_a), (b, print_b))]
+    return likeness(*again)
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
@@ -135,7 +148,7 @@ def compare_block(block: pd.DataFrame) -> pd.DataFrame:
         following = i + 1 if i + 1 < len(points) else 0  # without a copy of a next block's first, the block is a ring
         edited, fresh = _edited(points[i], points[following], found[i])
         after = sketch(*fresh)
-        rows.append((len(points[i]), hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest(), as_text(*prints[i]), as_text(*after), likeness(prints[i], after), likeness(prints[i], prints[following])))
+        rows.append((len(points[i]), hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest(), as_text(*prints[i]), as_text(*after), compare(points[i], edited, prints[i], after), compare(points[i], points[following], prints[i], prints[following])))
     out = pd.DataFrame(rows, columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
     return out.assign(doc_id=block["doc_id"].iloc[:own].to_numpy())
 
@@ -146,7 +159,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n / 4) characters replaced by the first as many, or all, of the next document's
     text in order of doc_id (of one doc_id: in order of the text's hash); after the last comes the first. Neighbours meet
     because documents are dealt into blocks of neighbouring doc_ids, each with a copy of the next block's first document.
-    Null text is the empty text. Documents with a null doc_id follow one another, in rings dealt by hash. Other columns
+    Two texts of which one alone is short (SHORT) are compared by the k and s of the short one, as far as a fingerprint
+    of 96 anchors tells; anchor_table gives all. Null text is the empty text. Documents with a null doc_id follow one another, in rings dealt by hash. Other columns
     are not read. The text is shuffled once.
     """
     starts = sorted(set(quantiles(docs, "doc_id", 4 * partitions(docs.sparkSession))))
@@ -158,3 +172,36 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     places = F.when(F.coalesce(F.array_contains(bounds, F.col("doc_id")), F.lit(False)), F.array(own, copy)).otherwise(F.array(own))
     dealt = rows.withColumn("_number", number).select("doc_id", "text", "tie", F.inline(places))
     return dealt.groupBy("block").applyInPandas(lambda b: compare_block(b), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+#: Anchors that go to Spark at once, about.
+_TABLE_ROWS = 200_000
+
+
+def anchor_table(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
+    """doc_id, hash and place of every anchor of every text, all texts cut by one k and s.
+
+    A hash is the 64 bits of a fingerprint's sixteen digits as a signed number. A text shorter than k is one anchor; null
+    and empty texts have none, and texts of less than 2 k - s - 1 characters may have none. Each row of docs gives its
+    own anchors, repeated and null doc_ids too. Rows grow as the characters, 2 / (k - s + 1) for each.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def table() -> pd.DataFrame:
+            n = [len(h) for _, h, _ in held]
+            ids = pd.array([None if pd.isna(d) else int(d) for d, _, _ in held], dtype="Int64")
+            return pd.DataFrame({"doc_id": ids.repeat(n), "hash": np.concatenate([h for _, h, _ in held]).view(np.int64), "place": np.concatenate([p for _, _, p in held])})
+
+        held, rows = [], 0
+        for batch in batches:
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                hashes, places = syncmers(_points(text or ""), k, s)
+                held.append((doc, hashes, places))
+                rows += len(hashes)
+                if rows >= _TABLE_ROWS:
+                    yield table()
+                    held, rows = [], 0
+        if held:
+            yield table()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, hash long, place long")
