@@ -16,7 +16,7 @@ MOST_IN_NGRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 MOST_IN_LINES = 0.20
 #: Fixed values of the base rule: fewest words, and the largest share of words (per cent) in repeated 3-word windows.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
-_SYMBOLS = b"[#*$%&|<>]"
+_SYMBOLS = b"#*$%&|<>"
 _OTHER_THAN_SYMBOLS = bytes(sorted(set(range(256)) - set(_SYMBOLS)))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20_240_607).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)

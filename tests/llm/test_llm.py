@@ -182,6 +182,11 @@ def test_op2(spark, table, texts, empty):
     assert repetition.keep(table).columns == table.columns
 
 
+def test_op2_symbols_do_not_include_brackets():
+    text = "[a] #*$ [b [c]] %&|<> ]"
+    assert repetition.measure(text)["n_symbols"] == len(re.findall(r"[#*$%&|<>]", text)) == 8
+
+
 # --- op3
 
 
