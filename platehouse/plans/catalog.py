@@ -147,7 +147,7 @@ def aligned_window(spark, sf_dir):
 
 @query("WITH {ve}, k AS (SELECT camera_id, track_id, event_type, arg_min(id, (occurred_at, id)) AS id FROM ve GROUP BY 1, 2, 3) SELECT id, camera_id, track_id, event_type FROM k")
 def first_writes(spark, sf_dir):
-    """First write wins; ids are unique here, so the semantic key decides."""
+    """First write wins; ids are unique here, so the semantic key decides and events.insert_if_absent is not called."""
     rows = fx.events(spark, sf_dir).select("id", "camera_id", "track_id", "event_type", "occurred_at")
     key = ["camera_id", "track_id", "event_type"]
     return rows.groupBy(*key).agg(F.min_by("id", F.struct("occurred_at", "id")).alias("id")).select("id", *key)
@@ -520,7 +520,7 @@ def line_crossing(spark, sf_dir):
 
 @query("WITH {ve}, s AS (SELECT plate, camera_id, event_id, count(*) OVER (PARTITION BY camera_id, plate ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM ve WHERE plate IS NOT NULL AND plate_confidence >= 0.05) SELECT camera_id AS track_id, min(event_id) AS frame_id, arg_min(plate, event_id) AS normalized FROM s WHERE n >= 3 GROUP BY 1")
 def stable_readings(spark, sf_dir):
-    """A28, W9."""
+    """A28; W9 (readings when they are due) is not done."""
     rows = fx.events(spark, sf_dir).where("plate IS NOT NULL").selectExpr("camera_id AS track_id", "event_id AS frame_id", "plate AS normalized", "false AS partial", "plate_confidence AS ocr_confidence")
     return voting.stable_at(rows, 0.05, 3)
 
