@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platehouse.functions.grouping import runs
-from platehouse.llm.shared import components, partitions, staged
+from platehouse.llm.shared import components, joined, partitions, staged
 
 #: Words in a shingle; two documents link where 100 * intersection >= 80 * union.
 WORDS = 5
@@ -104,10 +104,10 @@ def _packed(s: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed blocks: for each bucket, numbers of a block's documents and 32 bits of their shingles.
+    """Packed blocks: for each bucket, 32 bits of a block's distinct shingles and how many of its sets have each.
 
-    A block's documents themselves go, packed too, under a negative bucket, with the ends of their prefixes under the hash
-    orders. Of equal sets in a block one gives shingles.
+    The block itself goes under a negative bucket of its own: its documents with the ends of their prefixes under the hash
+    orders, and the sets that have each distinct shingle, in the buckets' order. Of equal sets in a block one gives shingles.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,20 +117,22 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
         def closed() -> pd.DataFrame:
             nonlocal block, tokens
-            rows = [(-1 - block % (1 << 31), block, np.array(held, _DOC).tobytes(), b"")]
+            who, counts, rows = np.zeros(0, np.uint16), np.zeros(0, np.uint16), []
             if tokens:
                 flat = np.concatenate(found)
-                who = np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])
-                bucket = (flat >> np.uint64(32)).astype(np.uint32)
-                by = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                small, who = flat.astype(np.uint32)[by], who[by]
-                rows += [(b, block, who[i:j].tobytes(), small[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+                by = np.argsort(flat, kind="stable")
+                who = np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])[by]
+                distinct, first = np.unique(flat[by], return_index=True)
+                counts = np.diff(np.append(first, len(flat))).astype(np.uint16)
+                cut = np.searchsorted(distinct >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+                small = distinct.astype(np.uint32)
+                rows = [(b, block, b"", b"", counts[i:j].tobytes(), small[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+            rows.append((-1 - block, block, np.array(held, _DOC).tobytes(), who.tobytes(), counts.tobytes(), b""))
             block, tokens = block + 1, 0
             held.clear()
             found.clear()
             seen.clear()
-            return pd.DataFrame(rows, columns=["bucket", "block", "docs", "tokens"])
+            return pd.DataFrame(rows, columns=["bucket", "block", "docs", "who", "counts", "tokens"])
 
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -150,25 +152,32 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield closed()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "bucket long, block long, docs binary, tokens binary")
+    return docs.select("doc_id", "text").mapInPandas(run, f"bucket long, {_BLOCK}, tokens binary")
+
+
+_BLOCK = "block long, docs binary, who binary, counts binary"
 
 
 def _frequencies(bucket: pd.DataFrame) -> pd.DataFrame:
-    """For one bucket: shingles of each block that two or more sets have, and how many have them (16 bits, clamped)."""
+    """For one bucket: in how many sets each shingle of a block occurs (16 bits, clamped), and those shared by two or more.
+
+    A block counts its own sets first, so a shingle that very many documents have is one number a block.
+    """
     number = int(bucket["bucket"].iloc[0])
+    names = ["bucket", "block", "docs", "who", "counts", "tokens", "freq"]
     if number < 0:
-        return bucket.assign(freq=b"")[["block", "bucket", "docs", "tokens", "freq"]]
+        return bucket.assign(freq=b"")[names]
     tokens = [np.frombuffer(t, np.uint32) for t in bucket["tokens"]]
-    _, at, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-    freq = np.minimum(n, 65_535).astype(np.uint16)[at]
+    counts = np.concatenate([np.frombuffer(c, np.uint16) for c in bucket["counts"]])
+    distinct, at = np.unique(np.concatenate(tokens), return_inverse=True)
+    total = np.bincount(at, weights=counts, minlength=len(distinct))
+    freq = np.minimum(total, 65_535).astype(np.uint16)[at]
     rows, end = [], 0
-    for block, docs, t in zip(bucket["block"], bucket["docs"], tokens, strict=True):
+    for block, t in zip(bucket["block"], tokens, strict=True):
         f = freq[end : end + len(t)]
         end += len(t)
-        shared = f > 1
-        if shared.any():
-            rows.append((block, number, np.frombuffer(docs, np.uint16)[shared].tobytes(), t[shared].tobytes(), f[shared].tobytes()))
-    return pd.DataFrame(rows, columns=["block", "bucket", "docs", "tokens", "freq"])
+        rows.append((number, block, b"", b"", b"", t[f > 1].tobytes(), f.tobytes()))
+    return pd.DataFrame(rows, columns=names)
 
 
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -184,12 +193,13 @@ def _documents(block: pd.DataFrame) -> pd.DataFrame:
 
     shared is the number of shingles that others have. A document may have a link if it shares four fifths.
     """
-    info = np.frombuffer(block.loc[block["bucket"] < 0, "docs"].iloc[0], _DOC)
-    rows = block[block["bucket"] >= 0]
-    none = [np.zeros(0, np.uint16)]
-    who = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["docs"]] or none).astype(np.int64)
-    freq = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["freq"]] or none)
+    own = block.loc[block["bucket"] < 0].iloc[0]
+    info, who, counts = np.frombuffer(own["docs"], _DOC), np.frombuffer(own["who"], np.uint16).astype(np.int64), np.frombuffer(own["counts"], np.uint16)
+    rows = block[block["bucket"] >= 0].sort_values("bucket")
+    freq = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["freq"]] or [np.zeros(0, np.uint16)])
     token = np.concatenate([np.uint64(int(b) << 32) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(rows["bucket"], rows["tokens"], strict=True)] or [np.zeros(0, np.uint64)])
+    common = freq > 1
+    who, token, freq = who[np.repeat(common, counts)], np.repeat(token, counts[common]), np.repeat(freq[common], counts[common])
     by = np.lexsort((token, freq, who))
     who, token = who[by], token[by]
     cut = np.searchsorted(who, np.arange(int(info["node"].max()) + 2))
@@ -229,15 +239,20 @@ def _met_hubs(nodes: DataFrame) -> DataFrame:
 
 
 def _across(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a rarest shingle and lie in different components (a node without one is its own)."""
+    """Pairs (a, b) that share a rarest shingle and lie in different components (a node without one is its own).
+
+    Of two linked sets the smaller shares eight ninths of its shingles at least (its overlap is 4/9 of both sizes), so
+    sets that share less, such as a common passage with words of their own, only meet smaller ones.
+    """
     tokens = nodes.select("node", "n", "shared", "bits", F.explode("rarest").alias("token")).join(parts, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
     mixed = tokens.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("token")
-    left = tokens.join(mixed, "token")
-    right = left.select("token", F.col("node").alias("id"), F.col("n").alias("m"), F.col("shared").alias("others_shared"), F.col("component").alias("other"), F.col("bits").alias("others_bits"))
+    both = tokens.join(mixed, "token")
+    left = both.where("9 * shared >= 8 * n")
+    right = both.select("token", F.col("node").alias("id"), F.col("n").alias("m"), F.col("shared").alias("others_shared"), F.col("component").alias("other"), F.col("bits").alias("others_bits"))
     lacks = lambda one, two: sum((F.bit_count(F.col(one)[i].bitwiseAND(F.bitwise_not(F.col(two)[i]))) for i in range(BITMAP)), F.lit(0))
     most = F.least(F.col("shared") - lacks("bits", "others_bits"), F.col("others_shared") - lacks("others_bits", "bits"))
-    met = left.join(right, "token").where((F.col("node") < F.col("id")) & (F.col("component") != F.col("other"))).where(_may_link()).where(9 * most >= 4 * (F.col("n") + F.col("m")))
-    return met.select(F.col("node").alias("a"), F.col("id").alias("b")).distinct()
+    met = left.join(right, "token").where((F.struct("n", "node") < F.struct("m", "id")) & (F.col("component") != F.col("other"))).where(_may_link()).where(9 * most >= 4 * (F.col("n") + F.col("m")))
+    return met.select(F.least("node", "id").alias("a"), F.greatest("node", "id").alias("b")).distinct()
 
 
 def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -248,12 +263,27 @@ def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(enough[0] & enough[1]).select("a", "b")
 
 
+_SETS = "d1 long, d2 long, set array<long>"
+
+
+def _whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every text's set of shingles and its digest."""
+    for batch in batches:
+        for i in range(0, len(batch), 500):
+            found = [shingles(t) for t in batch["text"].iloc[i : i + 500]]
+            ends = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in found]).reshape(-1, 2)
+            yield pd.DataFrame({"d1": ends[:, 0], "d2": ends[:, 1], "set": [s.astype(np.int64) for s in found]})
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs that pass the filters and whose whole sets of shingles are alike enough."""
     passing = staged(_passing(pairs, nodes), "candidates")
     wanted = nodes.join(passing.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("doc").alias("doc_id"))
     wanted = staged(wanted, "compared")
-    wanted_ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    # a doc_id that names one of the sets finds its text; where several have one, or none has any, digests do
+    odd = staged(wanted.groupBy("doc_id").agg(F.count("*").alias("_n")).where("doc_id IS NULL OR _n > 1").select(F.col("doc_id").alias("_odd")), "repeated")
+    plain = wanted.where("doc_id IS NOT NULL").join(odd, F.col("doc_id") == F.col("_odd"), "left_anti")
+    few = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda df: df)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -265,8 +295,12 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                         rows.append((node, s.astype(np.int64)))
                 yield pd.DataFrame(rows, columns=["node", "set"])
 
-    texts = docs.select("doc_id", "text").join(wanted_ids, docs["doc_id"].eqNullSafe(wanted_ids["doc_id"])).select("node", "_d1", "_d2", "text")
+    texts = docs.select("doc_id", "text").join(few(plain), "doc_id").select("node", "_d1", "_d2", "text")
     whole = texts.mapInPandas(sets, "node long, set array<long>")
+    if not odd.isEmpty():
+        others = docs.select("doc_id", "text").join(few(odd), F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi").select("text").mapInPandas(_whole_sets, _SETS)
+        named = wanted.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi").select("node", F.col("_d1").alias("d1"), F.col("_d2").alias("d2"))
+        whole = whole.union(others.join(few(named), ["d1", "d2"]).groupBy("node").agg(F.any_value("set").alias("set")))
     both = passing.join(whole.select(F.col("node").alias("a"), F.col("set").alias("_x")), "a").join(whole.select(F.col("node").alias("b"), F.col("set").alias("_y")), "b")
     overlap = F.size(F.array_intersect("_x", "_y"))
     return both.where(9 * overlap >= 4 * (F.size("_x") + F.size("_y"))).select("a", "b").distinct()
@@ -276,23 +310,27 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every document with its set's digest and its component's name (_group, null without shingles); the sets that may
     have links; the components of those that have."""
     buckets = 2 * partitions(docs.sparkSession)  # a bucket's shingles are sorted in memory
-    dealt = _blocks(docs, buckets).groupBy("bucket").applyInPandas(lambda b: _frequencies(b), "block long, bucket long, docs binary, tokens binary, freq binary")
+    dealt = _blocks(docs, buckets).groupBy("bucket").applyInPandas(lambda b: _frequencies(b), f"bucket long, {_BLOCK}, tokens binary, freq binary")
     rows = dealt.groupBy("block").applyInPandas(lambda b: _documents(b), "doc_id long, n long, d1 long, d2 long, rarest array<long>, x array<long>, y array<long>, bits array<long>, shared long")
     rows = staged(rows, "shingled")
-    alike = rows.where("rarest IS NOT NULL").groupBy("d1", "d2").agg(F.any_value("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("shared").alias("shared"), *[F.any_value(c).alias(c) for c in ("x", "y", "bits", "rarest")])
+    alike = rows.where("rarest IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("shared").alias("shared"), *[F.any_value(c).alias(c) for c in ("x", "y", "bits", "rarest")])
     nodes = staged(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
     first = staged(_links(_met_hubs(nodes), nodes, docs), "links")
     second = _links(_across(nodes, components(first)), nodes, docs)
     parts = nodes.select("node", "d1", "d2").join(components(first.union(second)), "node").select("d1", "d2", "component")
-    labelled = rows.select("doc_id", "n", "d1", "d2").join(parts, ["d1", "d2"], "left")
     # a set that links with none is a component of its own copies
-    group = F.when(F.col("n") == 0, F.lit(None)).otherwise(F.coalesce(F.concat(F.lit("c"), F.col("component").cast("string")), F.concat_ws(":", "d1", "d2")))
-    return staged(labelled.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2", group.alias("_group")), "labelled"), nodes, parts
+    group = F.coalesce(F.concat(F.lit("c"), F.col("component").cast("string")), F.concat_ws(":", "d1", "d2"))
+    sets = rows.where("n > 0").groupBy("d1", "d2").agg(F.count("*").alias("_n")).join(parts, ["d1", "d2"], "left").select("d1", "d2", "_n", group.alias("_group"))
+    few = rows.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
+    labelled = joined(few.where("n_shingles > 0"), sets, ["d1", "d2"]).select(*few.columns, "_group").union(few.where("n_shingles = 0").withColumn("_group", F.lit(None).cast("string")))
+    return staged(labelled, "labelled"), nodes, parts
 
 
 def _with_component(labelled: DataFrame) -> DataFrame:
-    least = labelled.where("_group IS NOT NULL").groupBy("_group").agg(F.min("doc_id").alias("_least"))
-    return labelled.join(least, "_group", "left").withColumn("component_id", F.coalesce("_least", "doc_id"))
+    linked = labelled.where("_group IS NOT NULL")
+    least = linked.groupBy("_group").agg(F.count("*").alias("_n"), F.min("doc_id").alias("component_id"))
+    alone = labelled.where("_group IS NULL").withColumn("component_id", F.col("doc_id"))
+    return joined(linked, least, ["_group"]).select(*alone.columns).union(alone)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -395,14 +433,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = linked_sets.select("_doc").distinct()
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["_doc"]), "left_semi").select("text")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                found = [shingles(t) for t in batch["text"].iloc[i : i + 500]]
-                ends = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in found]).reshape(-1, 2)
-                yield pd.DataFrame({"d1": ends[:, 0], "d2": ends[:, 1], "set": [s.astype(np.int64) for s in found]})
-
-    whole = texts.mapInPandas(sets, "d1 long, d2 long, set array<long>").join(linked_sets.select("d1", "d2"), ["d1", "d2"], "left_semi")
+    whole = texts.mapInPandas(_whole_sets, _SETS).join(linked_sets.select("d1", "d2"), ["d1", "d2"], "left_semi")
     whole = staged(whole.groupBy("d1", "d2").agg(F.any_value("set").alias("set")), "sets")
     dealt = _chunks(linked_sets).join(whole, ["d1", "d2"]).repartition(*_CHUNKS).sortWithinPartitions(*_CHUNKS)
     pairs = staged(dealt.select(*_CHUNKS, "side", "d1", "d2", "set").mapInPandas(_compared, ", ".join(f"{c} long" for c in _PAIR)), "pairs")
@@ -410,8 +441,10 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = pairs.select(F.inline(F.array(F.struct(F.col("a1").alias("d1"), F.col("a2").alias("d2"), F.col("b1").alias("_o1"), F.col("b2").alias("_o2")), F.struct(F.col("b1").alias("d1"), F.col("b2").alias("d2"), F.col("a1").alias("_o1"), F.col("a2").alias("_o2")))))
     others = copies.select(F.col("d1").alias("_o1"), F.col("d2").alias("_o2"), F.col("_copies").alias("_others"))
     counts = copies.join(ends.join(others, ["_o1", "_o2"]).groupBy("d1", "d2").agg(F.sum("_others").alias("_others")), ["d1", "d2"], "left")
-    counts = counts.select("d1", "d2", (F.col("_copies") - 1 + F.coalesce("_others", F.lit(0))).alias("_links"))
-    members = _with_component(labelled).join(counts, ["d1", "d2"], "left")
+    counts = counts.select("d1", "d2", F.col("_copies").alias("_n"), (F.col("_copies") - 1 + F.coalesce("_others", F.lit(0))).alias("_links"))
+    members = _with_component(labelled)
+    columns = [*members.columns, "_links"]
+    members = joined(members.where("n_shingles > 0"), counts, ["d1", "d2"]).select(*columns).union(members.where("n_shingles = 0").withColumn("_links", F.lit(0)).select(*columns))
     set_id = F.when(F.col("n_shingles") > 0, _set_id("d1", "d2"))
     return members.select("doc_id", "n_shingles", "component_id", set_id.alias("set_id"), F.coalesce("_links", F.lit(0)).alias("n_links")), pairs.select(_set_id("a1", "a2").alias("set_a"), _set_id("b1", "b2").alias("set_b"), "n_a", "n_b", "overlap")
 

@@ -57,6 +57,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Keys that are broadcast at most, and rows that a key has at least to be one of them.
+HOT_KEYS, HOT_ROWS = 100_000, 100
+
+
+def joined(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the facts of their keys. facts has one row for each key, and in _n how many rows have it.
+
+    Keys of more than a hundred-thousandth of all rows (and HOT_ROWS) number HOT_KEYS at most, so their facts are
+    broadcast and their rows stay where they are. All others are shuffled, none of which is large.
+    """
+    facts = staged(facts, "facts")
+    most = max(HOT_ROWS, (facts.agg(F.sum("_n")).first()[0] or 0) // HOT_KEYS)
+    hot = F.broadcast(facts.where(F.col("_n") > most).drop("_n"))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(facts.where(F.col("_n") <= most).drop("_n"), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def quantiles(df: DataFrame, column: str, n: int) -> list[int]:
     """The values that begin each n-th of a column, least first, from Spark's own sketch; a frequent value stands several times."""
     row = df.agg(F.min(column), F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(n)]), 20 * n)).first()
