@@ -1,8 +1,8 @@
 """Toxicity: a weighted lexicon, matched by an Aho-Corasick automaton over folded text, normalised by length.
 
 Folding undoes common disguises: case, look-alike letters of other scripts, and digits or signs in place of letters.
-Lexicon entries are beginnings of words, with weights learned as log odds on labelled rows. A match inside an exception
-phrase does not count. The weights' sum per 100 words gives a probability by logistic regression on the same rows.
+Lexicon entries are whole words or stems, learned on labelled rows with log odds as weights; so are the exception phrases,
+an entry's word with a neighbour, in which it means no offence: a match inside one does not count. The weights' sum per 100 words gives a probability by logistic regression on the same rows.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from platehouse.llm.shared import staged
 
-#: Labelled rows that are learned from at most (those of least hash of doc_id), and lexicon entries at most.
-LABELLED_ROWS, ENTRIES = 16_000, 5_000
-#: Lengths of the beginnings of words that may become entries, and the least log odds and share of toxic texts of one.
-SHORTEST, LONGEST, LEAST_ODDS, LEAST_SHARE = 4, 8, 3.0, 0.01
+#: Labelled rows that are learned from at most (those of least hash of doc_id).
+LABELLED_ROWS = 16_000
+#: Characters of a stem at least, texts that an entry or exception is seen in at least, an entry's least log odds, and the
+#: share of entries that chance may have given.
+SHORTEST, LEAST_TEXTS, LEAST_ODDS, FALSE_SHARE = 4, 3, 2.0, 0.05
 #: Rows of this remainder of crc32(doc_id as text) mod 4 are held out.
 HELD_OUT = 2
 THRESHOLD = 0.3
@@ -32,9 +33,6 @@ SMOOTHING_WORDS = 20
 # Signs that stand for letters, and letters of other scripts that look like Latin ones.
 _SIGNS = dict(zip("01345789@$", "oieastbgas", strict=True))
 _LOOK_ALIKE = dict(zip("авеёкмнорстухіјѕԁԛԝһӏαβεηικνορτυχγωϲ", "abeekmhopctyxijsdqwhlabenikvoptuxywc", strict=True))
-#: Phrases in which an entry means no offence.
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash collection", "clown fish", "clownfish", "circus clown", "pond scum", "soap scum")
-
 
 def _table() -> dict[int, str]:
     out = {i: " " for i in range(128) if not chr(i).isalnum()}
@@ -56,67 +54,115 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Model:
-    """entries: beginning of a word -> weight; the rest turns the weights' sum per 100 words into a probability."""
+    """entries: a stem, or a whole word and a space, -> weight; exceptions: phrases; the rest turns the weights' sum per 100 words into a probability."""
 
     entries: dict[str, float] = field(default_factory=dict)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     slope: float = 0.0
     offset: float = -3.0
 
     def automaton(self):
+        """Entries and exceptions with (length, weight); an exception weighs None."""
         import ahocorasick
 
         found = ahocorasick.Automaton()
         for e, w in self.entries.items():
             found.add_word(f" {e}", (len(e) + 1, w))
         for e in self.exceptions:
-            if f" {fold(e).strip()} " not in found:
-                found.add_word(f" {fold(e).strip()} ", (len(fold(e).strip()) + 2, 0.0))
+            phrase = f" {fold(e).strip()} "
+            found.add_word(phrase, (len(phrase), None))
         if len(found):
             found.make_automaton()
         return found
 
     def density(self, text: str | None, automaton) -> float:
-        """Weight of matches outside exception phrases per 100 words."""
+        """Weight of matches outside exception phrases per 100 words. A stem matches words that go on after it."""
         folded = fold(text or "")
         if not len(automaton):
             return 0.0
-        hits = [(end - n + 1, end, w) for end, (n, w) in automaton.iter(folded)]
+        hits = [(end - n + 1, end, w) for end, (n, w) in automaton.iter(folded) if w is None or folded[end] == " " or folded[end + 1] != " "]
         if not hits:
             return 0.0
-        excused = [(a, b) for a, b, w in hits if not w]
-        total = sum(w for a, b, w in hits if w and not any(x <= a and b <= y for x, y in excused))
+        excused = [(a, b) for a, b, w in hits if w is None]
+        total = sum(w for a, b, w in hits if w is not None and not any(x <= a and b <= y for x, y in excused))
         return 100 * total / (folded.count(" ") + SMOOTHING_WORDS)
 
     def score(self, density: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * np.log1p(density), -30, 30)))
 
 
-def _beginnings(text: str | None) -> set[str]:
-    return {w[:n] for w in set(fold(text or "").split()) for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+def _candidates(text: str | None) -> set[str]:
+    """The text's words, each with a space, and their stems: beginnings of words that go on."""
+    words = set(fold(text or "").split())
+    return {f"{w} " for w in words} | {w[:n] for w in words for n in range(SHORTEST, len(w))}
+
+
+def _phrases(text: str | None, automaton) -> set[str]:
+    """The words that entries match, each with the word before and with the word after."""
+    folded, out = fold(text or ""), set()
+    for end, (n, _) in automaton.iter(folded) if len(automaton) else ():
+        start = end - n + 1
+        if folded[end] != " " and folded[end + 1] == " ":
+            continue
+        words, after = folded[start:].split(None, 2)[:2], folded[:start].split()[-1:]
+        out.update([" ".join(words)] * (len(words) == 2) + [f"{w} {words[0]}" for w in after])
+    return out
+
+
+#: Different texts' parts that a task counts before it hands them on, about.
+_HELD_PARTS = 500_000
+
+
+def _counted(parts_of):
+    """Rows (part, pos, neg): in how many toxic and other texts each part occurs; part "" counts the texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = parts_of()
+
+        def table() -> pd.DataFrame:
+            keys = list(pos.keys() | neg.keys())
+            return pd.DataFrame({"part": keys, "pos": [pos[k] for k in keys], "neg": [neg[k] for k in keys]})
+
+        pos, neg = Counter(), Counter()
+        for batch in batches:
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                (pos if toxic else neg).update({"", *find(text)})
+                if len(pos) + len(neg) > _HELD_PARTS:
+                    yield table()
+                    pos, neg = Counter(), Counter()
+        if pos or neg:
+            yield table()
+
+    return run
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pos, neg, n = Counter(), Counter(), [0, 0]
-    for batch in batches:
-        for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-            (pos if toxic else neg).update(_beginnings(text))
-            n[int(toxic)] += 1
-    pos[""], neg[""] = n[1], n[0]
-    keys = list(pos.keys() | neg.keys())
-    yield pd.DataFrame({"entry": keys, "pos": [pos[k] for k in keys], "neg": [neg[k] for k in keys]})
+def _telling(counts: DataFrame, n_pos: int, n_neg: int) -> list:
+    """Parts of enough toxic texts and of enough log odds, of which a twentieth may be expected to be so by chance.
+
+    Half of a part's G statistic, against the texts' own share of toxic ones, bounds the chance of such counts; as many
+    parts are taken as keep (chance of the last) * (parts looked at) at FALSE_SHARE of the parts taken.
+    """
+    of, seen = n_pos + n_neg, F.col("pos") + F.col("neg")
+    share = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * of / (seen * n))).otherwise(0.0)
+    odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
+    common = counts.where((seen >= LEAST_TEXTS) & (F.col("part") != "")).withColumns({"odds": odds, "_g": share("pos", n_pos) + share("neg", n_neg)})
+    looked_at = common.count()
+    rows = sorted(common.where((F.col("pos") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS)).collect(), key=lambda r: -r["_g"])
+    sure = [i for i, r in enumerate(rows, 1) if math.exp(-r["_g"]) * looked_at <= FALSE_SHARE * i]
+    return rows[: max(sure, default=0)]
 
 
-def _entries(rows: list, n_pos: int, n_neg: int) -> dict[str, float]:
-    """Of a good beginning and those that carry it on, the one of most log odds over all its texts; of equals the longest."""
-    odds = {r["entry"]: math.log((r["pos"] + 0.5) / (n_pos + 1)) - math.log((r["neg"] + 0.5) / (n_neg + 1)) for r in rows}
-    pos = {r["entry"]: r["pos"] for r in rows}
+def _entries(rows: list) -> dict[str, float]:
+    """Of words and stems that match the same words, those of most log odds over all their texts; of equals the longest."""
+    weight = lambda r: min(r["odds"], 8.0)
     chosen: dict[str, float] = {}
-    for entry in sorted(odds, key=lambda e: (len(e), e)):
-        if any(entry[:n] in odds for n in range(SHORTEST, len(entry))):
-            continue
-        best = max((e for e in odds if e.startswith(entry)), key=lambda e: (pos[e] * min(odds[e], 8.0), len(e), e))
-        chosen[best] = min(odds[best], 8.0) / 8.0
+    begun: set[str] = set()
+    for r in sorted(rows, key=lambda r: (-r["pos"] * weight(r), -len(r["part"]), r["part"])):
+        part = r["part"]
+        starts = {part, *(part[:n] for n in range(1, len(part) - part.endswith(" ")))}  # a stem is no start of itself as a word
+        if part not in begun and not any(s in chosen for s in starts):
+            chosen[part] = weight(r) / 8.0
+            begun |= starts
     return chosen
 
 
@@ -131,9 +177,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, exceptions: tuple[str, ...] = ()) -> Model:
     """A model from labelled rows that are not held out, of which at most `rows` are used (those of least hash).
 
+    All entries and exceptions that the rows tell apart from chance are taken; `exceptions` adds phrases of the caller's.
     Rows with a null doc_id, a null label or no document are left out; of several labels of one doc_id or text the
     highest counts. Without labelled toxic rows the lexicon is empty and every score is low.
     """
@@ -142,17 +189,29 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, excepti
     some = usable.orderBy(F.md5(key), "doc_id").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most `rows` ids
     sample = staged(found.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")  # copies would count their chance words again
-    counts = staged(sample.mapInPandas(_count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "entries")
-    total = counts.where("entry = ''").first()
+
+    def counted(parts_of) -> DataFrame:
+        return staged(sample.mapInPandas(_counted(parts_of), "part string, pos long, neg long").groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "counts")
+
+    counts = counted(lambda: _candidates)
+    total = counts.where("part = ''").first()
     n_pos, n_neg = (total["pos"], total["neg"]) if total else (0, 0)
     if not n_pos:
         return Model(exceptions=exceptions)
-    odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    best = counts.where((F.col("pos") >= max(3, LEAST_SHARE * n_pos)) & (odds >= LEAST_ODDS) & (F.col("entry") != "")).orderBy(F.desc("pos"), "entry").limit(ENTRIES).collect()
-    model = Model(_entries(best, n_pos, n_neg), exceptions)
+    # what is collected grows with the bounded sample only
+    lexicon = Model(_entries(_telling(counts, n_pos, n_neg)))
+
+    def neighbours():
+        automaton = lexicon.automaton()
+        return lambda text: _phrases(text, automaton)
+
+    # told apart from the entry's own texts, most of which are toxic, a phrase of other texts is no offence
+    phrases = counted(neighbours)
+    harmless = phrases.where((F.col("neg") >= LEAST_TEXTS) & (F.col("part") != "") & (F.col("neg") * n_pos > F.col("pos") * n_neg)).select("part").collect()
+    model = Model(lexicon.entries, tuple(sorted({*exceptions, *(r["part"] for r in harmless)})))
     seen = sample.mapInPandas(_densities(model, ["toxic"]), "toxic long, density double").collect()  # two numbers for each labelled row
     slope, offset = _logistic(np.log1p([r["density"] for r in seen]), np.array([min(r["toxic"], 1) for r in seen], float))
-    return Model(model.entries, exceptions, slope, offset)
+    return Model(model.entries, model.exceptions, slope, offset)
 
 
 def _densities(model: Model, keep: list[str]):
@@ -187,8 +246,9 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the model does not call toxic, with all their columns."""
 
     @F.pandas_udf("boolean")
-    def passes(texts: pd.Series) -> pd.Series:
+    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = model.automaton()
-        return pd.Series(model.score(np.array([model.density(t, automaton) for t in texts])) < THRESHOLD)
+        for texts in batches:
+            yield pd.Series(model.score(np.array([model.density(t, automaton) for t in texts])) < THRESHOLD)
 
     return docs.where(passes("text"))

@@ -346,7 +346,7 @@ def test_op6(spark, empty):
 
 
 def test_op6_exceptions_and_folding():
-    model = toxicity.Model({"trash": 1.0, "moron": 1.0}, ("trash can",))
+    model = toxicity.Model({"trash ": 1.0, "moron ": 1.0}, ("trash can",))
     a = model.automaton()
     assert model.density("Empty the trash can, please", a) == 0 and model.density("you trash", a) > 0
     assert model.density("a m0r0n", a) == model.density("a мoron".replace("м", "m"), a) == model.density("a mоrоn", a) > 0
