@@ -8,6 +8,7 @@ import hashlib
 import html as entities
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 # Fixed values of the format: line end, version line.
 _EOL, _VERSION = b"\r\n", b"WARC/1.1"
 #: Elements whose content is no text, and elements that end a line of text.
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|blockquote|pre)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
+_HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "head", "template", "noscript")}
+_BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer blockquote pre".split())
+_NAME, _MARKUP = re.compile(r"/?([a-z][a-z0-9]*)", re.I), re.compile(r"[/!?a-z]", re.I)
 _SPACES, _LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r" ?\n[ \n]*")
-_TITLE, _LINK = re.compile(r"<title[^>]*>(.*?)</title>", re.S | re.I), re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
+_TITLE, _HREF = re.compile(r"<title\b", re.I), re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -69,10 +70,72 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return {k.lower(): v for k, v in headers}, block
 
 
-def plain_text(page: str) -> str:
-    """The visible text: one line for each block of text, entities resolved, spaces joined."""
-    text = _TAG.sub("", _BREAKS.sub("\n", _HIDDEN.sub(" ", page)))
-    return _LINES.sub("\n", _SPACES.sub(" ", entities.unescape(text))).strip()
+def read_page(page: str) -> tuple[str, list[str]]:
+    """The visible text, one line for each block of it, entities resolved and spaces joined; the targets of its links.
+
+    The page is scanned once from its start: markup that never ends is text, a hidden element that never ends hides the rest.
+    """
+    out, links, at = [], [], 0
+    while (start := page.find("<", at)) >= 0:
+        out.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            out.append(" ")
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if not _MARKUP.match(page, start + 1):
+            out.append("<")
+            at = start + 1
+            continue
+        end = page.find(">", start)
+        if end < 0:
+            at = start
+            break
+        at = end + 1
+        name = _NAME.match(page, start + 1)
+        kind, opens = name[1].lower() if name else "", page[start + 1] != "/"
+        if kind in _HIDDEN and opens:
+            close = _HIDDEN[kind].search(page, at)
+            out.append(" ")
+            at = close.end() if close else len(page)
+        elif kind in _BREAKS:
+            out.append("\n")
+        elif kind == "a" and opens and (href := _HREF.search(page, start, end)):
+            links.append(_one_line(entities.unescape(href[1] or href[2] or href[3] or "")))
+    out.append(page[at:])
+    return _LINES.sub("\n", _SPACES.sub(" ", entities.unescape("".join(out)))).strip(), [x for x in links if x]
+
+
+def title_of(page: str) -> str:
+    """The first title's text; empty where it never ends or there is none."""
+    begin = _TITLE.search(page)
+    inner = page.find(">", begin.end()) + 1 if begin else 0
+    end = re.compile("</title", re.I).search(page, inner) if inner else None
+    return _one_line(entities.unescape(page[inner : end.start()])) if end else ""
+
+
+def decoded(http: dict[str, str], payload: bytes) -> bytes:
+    """The payload without chunks and compression that its headers name; as it is where they don't hold."""
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        parts, at = [], 0
+        while (eol := payload.find(_EOL, at)) >= 0:
+            try:
+                n = int(payload[at:eol].split(b";")[0], 16)
+            except ValueError:
+                parts = [payload]  # stored without its chunks
+                break
+            if n == 0:
+                break
+            parts.append(payload[eol + 2 : eol + 2 + n])
+            at = eol + 4 + n
+        payload = b"".join(parts) if parts else payload
+    for coding in reversed([c.strip() for c in http.get("content-encoding", "").lower().split(",")]):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            try:
+                payload = zlib.decompress(payload, 47)
+            except zlib.error:
+                break
+    return payload
 
 
 def _one_line(text: str) -> str:
@@ -92,15 +155,18 @@ def response(url: str | None, page: str | None, key: str, date: str) -> bytes:
 
 
 def derivatives(data: bytes) -> list[tuple[str, dict[str, str], bytes]]:
-    """(kind, headers, whole record) of the metadata and of the conversion record of a response record.
+    """(kind, headers, whole record) of the metadata and of the conversion record of a response; none of other records.
 
     Both refer to the response by id, date and target; the conversion also to the metadata record made with it. Digests of
-    the source are taken over where it has them and made where not. A block without an HTTP head is all payload. The
+    the source are taken over where it has them and made where not. A source without an id is referred to by date and target
+    alone, and its bytes tell its derivatives' ids. Text is read from the payload without chunks and compression. A block without an HTTP head is all payload. The
     metadata record holds every header of the source, in order and with repeats: source-warc-<name> of the record,
     source-http-<name> of the HTTP head, whose first line is source-http.
     """
     source_fields, block = parse_all(data)
     source = {k.lower(): v for k, v in source_fields}
+    if source.get("warc-type", "").lower() != "response":
+        return []
     head, found, payload = block.partition(_EOL * 2)
     if not (found and head.startswith(b"HTTP/")):
         head, payload = b"", block
@@ -109,15 +175,15 @@ def derivatives(data: bytes) -> list[tuple[str, dict[str, str], bytes]]:
     http = {k.lower(): v for k, v in http_fields}
     charset = re.search(r"charset=\"?([\w-]+)", http.get("content-type", ""))
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = decoded(http, payload).decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = decoded(http, payload).decode("utf-8", "replace")
     payload_digest, block_digest = source.get("warc-payload-digest") or digest(payload), source.get("warc-block-digest") or digest(block)
-    text, title, links = plain_text(page), _TITLE.search(page), _LINK.findall(page)
+    (text, links), title = read_page(page), title_of(page)
     rid = source.get("warc-record-id", "")
-    ids = {kind: _id(kind, rid) for kind in ("metadata", "conversion")}
-    refers = [("WARC-Refers-To", rid)] + [(to, source[k]) for k, to in (("warc-target-uri", "WARC-Refers-To-Target-URI"), ("warc-date", "WARC-Refers-To-Date"), ("warc-target-uri", "WARC-Target-URI"), ("warc-date", "WARC-Date")) if k in source]
-    fields = [("source-status", head[9:12].decode("latin-1")), ("source-content-type", http.get("content-type", "")), ("source-content-length", str(len(payload))), ("source-payload-digest", payload_digest), ("source-block-digest", block_digest), ("title", _one_line(entities.unescape(title[1])) if title else ""), ("text-length", str(len(text))), *(("outlink", entities.unescape(x)) for x in links)]
+    ids = {kind: _id(kind, rid or digest(data)) for kind in ("metadata", "conversion")}
+    refers = [("WARC-Refers-To", rid)] * bool(rid) + [(to, source[k]) for k, to in (("warc-target-uri", "WARC-Refers-To-Target-URI"), ("warc-date", "WARC-Refers-To-Date"), ("warc-target-uri", "WARC-Target-URI"), ("warc-date", "WARC-Date")) if k in source]
+    fields = [("source-status", head[9:12].decode("latin-1")), ("source-content-type", http.get("content-type", "")), ("source-content-length", str(len(payload))), ("source-payload-digest", payload_digest), ("source-block-digest", block_digest), ("title", title), ("text-length", str(len(text))), *(("outlink", x) for x in links)]
     if first:
         fields.append(("source-http", first.decode("latin-1")))
     fields += [(f"source-{of}-{k.lower()}", v.replace("\r", " ").replace("\n", " ")) for of, found in (("http", http_fields), ("warc", source_fields)) for k, v in found]
@@ -147,7 +213,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 def derive(found: DataFrame) -> DataFrame:
     """Two rows for each row of found (page_id, record): the metadata and the conversion record, whole in `record`.
 
-    A null record has none; one that is no WARC record is an error, as a damaged file should not pass unseen.
+    A null record and one of another type have none; one that is no WARC record is an error, as a damaged file should not pass unseen.
     """
     schema = "page_id long, kind string, record_id string, refers_to string, refers_to_uri string, refers_to_date string, concurrent_to string, source_payload_digest string, source_block_digest string, block_digest string, length long, outlinks long, record binary"
 
@@ -156,7 +222,7 @@ def derive(found: DataFrame) -> DataFrame:
             rows = []
             for page, data in zip(batch["page_id"], batch["record"], strict=True):
                 for kind, h, whole in derivatives(data) if data is not None else []:
-                    rows.append((None if pd.isna(page) else int(page), kind, h["WARC-Record-ID"], h["WARC-Refers-To"], h.get("WARC-Refers-To-Target-URI"), h.get("WARC-Refers-To-Date"), h.get("WARC-Concurrent-To"), h["source-payload-digest"], h["source-block-digest"], h["WARC-Block-Digest"], int(h["length"]), int(h["outlinks"]), whole))
+                    rows.append((None if pd.isna(page) else int(page), kind, h["WARC-Record-ID"], h.get("WARC-Refers-To"), h.get("WARC-Refers-To-Target-URI"), h.get("WARC-Refers-To-Date"), h.get("WARC-Concurrent-To"), h["source-payload-digest"], h["source-block-digest"], h["WARC-Block-Digest"], int(h["length"]), int(h["outlinks"]), whole))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
             out["page_id"] = out["page_id"].astype("Int64")
             yield out
