@@ -7,7 +7,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platehouse.functions.grouping import map_groups
+from platehouse.functions.grouping import map_groups, scan
 
 #: Brightness and aspect ranges of readable plates, the brightness below which an image is night.
 BRIGHTNESS, ASPECT, NIGHT_BELOW, SINGLE_LINE_FROM = (45.0, 220.0), (1.5, 3.2, 6.5), 0.28, 2.5
@@ -102,15 +102,52 @@ def sampled_frames(frames: DataFrame, source_fps: float, limit_fps: float) -> Da
     """
     period = 1.0 / min(limit_fps, source_fps)
 
-    def choose(key, rows: dict) -> list[tuple]:
-        due, out = 0.0, []
-        for frame in rows["frame_id"]:
-            if frame / source_fps + 0.5 / source_fps >= due:
-                due += period
-                out.append((key[0], frame))
-        return out
+    def step(due, row: tuple):
+        video, frame = row
+        passes = frame / source_fps + 0.5 / source_fps >= (due or 0.0)
+        return (due or 0.0) + period * passes, (video, frame) if passes else None
+
+    return scan(frames.select("video_id", "frame_id"), ["video_id"], ["frame_id"], step, None, "video_id long, frame_id long")
+
+
+def seek_samples(videos: DataFrame, interval: float) -> DataFrame:
+    """(video_id, frame_index, offset_seconds) of seeks at 0, interval, ... within each video (video_id, fps, frame_count).
+
+    A seek lands on the first frame at or after its offset; one that does not get beyond the frame before it is left out.
+    """
+    duration = F.col("frame_count") / F.col("fps")
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil(duration / interval).cast("int") - 1, F.lit(0)))
+    seeks = videos.where("frame_count > 0 AND fps > 0").select("video_id", "fps", "frame_count", F.explode(steps).alias("_k"))
+    frame = F.ceil(F.round(F.col("_k") * interval * F.col("fps"), 6)).cast("long")
+    landed = seeks.withColumn("frame_index", frame).where((F.col("frame_index") < F.col("frame_count")) & (F.col("_k") * interval * F.col("fps") < F.col("frame_count")))
+    return landed.groupBy("video_id", "frame_index").agg((F.min("_k") * interval).alias("offset_seconds"))
+
+
+def same_boxes(boxes: Column, suggestions: Column, tolerance: float = 0.01) -> Column:
+    """Are arrays of [x, y, width, height] as many and, place by place, within the tolerance? False without suggestions."""
+    near = F.zip_with(boxes, suggestions, lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= tolerance), lambda ok: ok))
+    return F.coalesce((F.size(suggestions) > 0) & (F.size(boxes) == F.size(suggestions)) & F.forall(near, lambda ok: ok), F.lit(False))
+
+
+def review_queue(items: DataFrame, status: str | None, reason: str | None, limit: int, cursor: str | None = None) -> DataFrame:
+    """A page of review items in order of review_id, and one more; the cursor holds only for the filters it was made with."""
+    from platehouse.operators.events import decode_bound, matching
+
+    rows = items.where(matching({"status": status, "reason": reason}))
+    if cursor is not None:
+        rows = rows.where(F.col("review_id") > decode_bound(cursor, {"status": status, "reason": reason}))
+    return rows.orderBy("review_id").limit(limit + 1)
+
+
+def sample_page(samples: DataFrame, source_id: str, digest: str, kind: str | None, light: str | None, limit: int, cursor: str | None = None) -> DataFrame:
+    """A page of a source's samples in order of sample_id, and one more; a cursor fails once the source's digest has changed."""
+    from platehouse.operators.events import decode_bound
 
-    return map_groups(frames.select("video_id", "frame_id"), ["video_id"], ["frame_id"], choose, "video_id long, frame_id long")
+    bound = {"source": source_id, "digest": digest, "kind": kind, "lighting": light}
+    rows = registry_samples(samples, kind, light)
+    if cursor is not None:
+        rows = rows.where(F.col("sample_id") > decode_bound(cursor, bound))
+    return rows.orderBy("sample_id").limit(limit + 1)
 
 
 def registry_samples(samples: DataFrame, kind: str | None = None, light: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from platehouse.functions.grouping import map_groups
 from platehouse.functions.scalars import ratio
+from platehouse.functions.scratch import staged
 
 IOU_THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
@@ -74,25 +75,36 @@ def precision_recall(matches: DataFrame, truths: DataFrame, by: list[str] | None
     return out.withColumn("precision", ratio(F.col("true_positives"), F.col("true_positives") + F.col("false_positives"))).withColumn("recall", ratio(F.col("true_positives"), F.col("truths")))
 
 
-def average_precision(matches: DataFrame, truths: DataFrame) -> DataFrame:
+def average_precision(matches: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = IOU_THRESHOLDS) -> DataFrame:
     """(threshold, category_id, average_precision): mean over recalls 0, .01 ... 1 of the best precision from there on.
 
-    Sums over score order run within (threshold, category). Each step of recall is reached first by one prediction, so the
-    101 recalls are sums over ranges of predictions instead of a join: best precision from a prediction on, times the
-    number of recalls that it is the first to reach.
+    Predictions are dealt into ranges of score once, so that a class of a third of all rows is many windows: each range
+    adds the counts of those before it, and the best precision of those behind it. Each step of recall is reached first
+    by one prediction, so the 101 recalls are sums over predictions instead of a join: best precision from a prediction
+    on, times the number of recalls that it is the first to reach.
     """
-    order = Window.partitionBy("threshold", "category_id").orderBy(F.desc("score"), "prediction_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    there = truths.groupBy("category_id").agg(F.count("*").alias("_truths"))
-    run = matches.join(there, "category_id").withColumn("_tp", F.sum(F.col("truth_id").isNotNull().cast("int")).over(upto)).withColumn("_n", F.row_number().over(order))
-    back = Window.partitionBy("threshold", "category_id").orderBy("score", F.desc("prediction_id")).rowsBetween(Window.unboundedPreceding, 0)
-    run = run.withColumn("_best", F.max(F.col("_tp") / F.col("_n")).over(back))  # running from the end, in linear time
+    by = ["threshold", "category_id"]
+    n_ranges = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    there = F.broadcast(truths.groupBy("category_id").agg(F.count("*").alias("_truths")))  # one row a class
+    hits = staged(matches.select(*by, "score", "prediction_id", F.col("truth_id").isNotNull().cast("int").alias("_hit")).repartitionByRange(n_ranges, F.desc("score"), "prediction_id").withColumn("_part", F.spark_partition_id()), "hits")
+    # one row for each range, threshold and class
+    sums = hits.groupBy(*by, "_part").agg(F.sum("_hit").alias("_hits"), F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(*by, "_part", F.coalesce(F.sum("_hits").over(earlier), F.lit(0)).alias("_tp0"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_n0"))
+    order = Window.partitionBy(*by, "_part").orderBy(F.desc("score"), "prediction_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = hits.join(F.broadcast(ahead), [*by, "_part"]).withColumns({"_tp": F.col("_tp0") + F.sum("_hit").over(order), "_n": F.col("_n0") + F.count("*").over(order)})
+    run = run.withColumn("_precision", F.col("_tp") / F.col("_n"))
+    best = run.groupBy(*by, "_part").agg(F.max("_precision").alias("_most"))
+    later = Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = best.select(*by, "_part", F.max("_most").over(later).alias("_later"))
+    back = Window.partitionBy(*by, "_part").orderBy("score", F.desc("prediction_id")).rowsBetween(Window.unboundedPreceding, 0)
     reached = lambda tp: F.when(tp > 0, F.floor(F.lit(100) * tp / F.col("_truths") + F.lit(1e-9)) + 1).otherwise(1)
-    before = F.lag("_tp").over(order)
-    steps = reached(F.col("_tp")) - F.when(before.isNull(), F.lit(0)).otherwise(reached(before))
-    found = run.withColumn("_steps", steps).groupBy("threshold", "category_id").agg((F.sum(F.col("_best") * F.col("_steps")) / 101).alias("average_precision"))
-    every = there.crossJoin(matches.select("threshold").distinct())  # classes times at most ten thresholds
-    return every.join(found, ["threshold", "category_id"], "left").select("threshold", "category_id", F.coalesce("average_precision", F.lit(0.0)).alias("average_precision"))
+    before = F.when(F.col("_n") == 1, F.lit(0)).otherwise(reached(F.col("_tp") - F.col("_hit")))
+    run = run.withColumn("_best", F.max("_precision").over(back)).join(F.broadcast(behind), [*by, "_part"]).join(there, "category_id")
+    steps = run.withColumn("_steps", reached(F.col("_tp")) - before).where("_steps > 0")
+    found = steps.groupBy(*by).agg((F.sum(F.greatest("_best", F.coalesce("_later", F.lit(0.0))) * F.col("_steps")) / 101).alias("average_precision"))
+    every = there.select("category_id", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
+    return every.join(found, by, "left").select(*by, F.coalesce("average_precision", F.lit(0.0)).alias("average_precision"))
 
 
 def mean_average_precision(aps: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platehouse.functions import plates
+from platehouse.functions.scratch import new_path, staged
 
 
 def matching(equal: dict[str, object], at: str = "occurred_at", start=None, end=None, half_open: bool = False) -> Column:
@@ -40,6 +41,36 @@ def decode_cursor(cursor: str) -> tuple[str, str]:
         raise ValueError("invalid cursor") from error
 
 
+def encode_bound(after: str, bound: dict[str, object]) -> str:
+    """A cursor after a key that holds for one set of filters."""
+    return base64.urlsafe_b64encode(json.dumps({"after": after, "bound": bound}, sort_keys=True, separators=(",", ":")).encode()).decode().rstrip("=")
+
+
+def decode_bound(cursor: str, bound: dict[str, object]) -> str:
+    """The key of a cursor; ValueError if it is none or was made with other filters."""
+    try:
+        found = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
+        after, made_with = found["after"], found["bound"]
+    except (ValueError, KeyError, TypeError) as error:
+        raise ValueError("invalid cursor") from error
+    if made_with != bound or not isinstance(after, str):
+        raise ValueError("the cursor belongs to other filters")
+    return after
+
+
+def in_camera_window(prints: DataFrame, camera_id: str, start, end, limit: int) -> DataFrame:
+    """A camera's newest observations from start to end, both included."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit must be between 1 and 1000")
+    rows = prints.where(matching({"camera_id": camera_id}, at="observed_at", start=start, end=end))
+    return rows.orderBy(F.desc("observed_at"), F.desc("id")).limit(limit)
+
+
+def first_occurrences(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Each key once with the place (order columns) where it first stands; sorting by that keeps the rows' order."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("_first")).select(key, "_first.*")
+
+
 def page(events: DataFrame, limit: int, after: tuple[object, str] | None = None, at: str = "occurred_at", key: str = "id", ascending: bool = False) -> DataFrame:
     """One page by (at, key), newest first: rows strictly after the cursor, and one more to tell whether another follows."""
     if not 1 <= limit <= 5000:
@@ -67,18 +98,19 @@ def insert_if_absent(stored: DataFrame, incoming: DataFrame, key: str, semantic:
     """Incoming rows that are new by key and by semantic key: the first of each in `order` is kept.
 
     A row that another row shadows by one key does not shadow others by its second key, so the rule is applied again
-    until no row changes; chains are short, and each round is a pair of windows. Rounds are cut by checkpoint(), for which
-    the session needs spark.checkpoint.dir.
+    until no row changes: a round for each link of a chain of shadows, each a pair of windows over the rows still open.
+    Rounds are staged in the shared folder and what is kept is read from there, so plans do not grow.
     """
-    rows = incoming.join(stored.select(key), key, "left_anti").join(stored.select(*semantic), semantic, "left_anti")
-    kept = rows.limit(0)
-    while True:
+    spark = incoming.sparkSession
+    rows = staged(incoming.join(stored.select(key), key, "left_anti").join(stored.select(*semantic), semantic, "left_anti").select(*incoming.columns), "open")
+    kept = new_path(spark, "kept")
+    rows.limit(0).write.parquet(kept)
+    while not rows.isEmpty():
         first = rows.withColumn("_a", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy(*semantic).orderBy(*order)))
-        sure = first.where("_a = 1 AND _b = 1").drop("_a", "_b").checkpoint()
-        if sure.isEmpty():
-            return kept
-        kept = kept.unionByName(sure)
-        rows = rows.join(sure.select(key), key, "left_anti").join(sure.select(*semantic), semantic, "left_anti").checkpoint()
+        sure = staged(first.where("_a = 1 AND _b = 1").drop("_a", "_b"), "sure")
+        sure.write.mode("append").parquet(kept)
+        rows = staged(rows.join(sure.select(key), key, "left_anti").join(sure.select(*semantic), semantic, "left_anti").select(*incoming.columns), "open")
+    return spark.read.schema(incoming.schema).parquet(kept)
 
 
 def hourly_activity(events: DataFrame, now: str, hours: int = 7, at: str = "occurred_at") -> DataFrame:

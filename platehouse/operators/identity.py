@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_PLATES = 16
@@ -16,7 +16,9 @@ def rebuild(prints: DataFrame) -> DataFrame:
     """
     by_plate = prints.where("plate IS NOT NULL AND plate_confidence IS NOT NULL").groupBy("vehicle_id", "plate").agg(F.max("plate_confidence").alias("confidence"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"))
     signal = F.struct("confidence", "last_seen", F.col("plate").alias("text"), "first_seen")
-    by_plate = by_plate.groupBy("vehicle_id").agg(F.slice(F.sort_array(F.collect_list(signal), asc=False), 1, MOST_PLATES).alias("plates"))
+    best = F.row_number().over(Window.partitionBy("vehicle_id").orderBy(F.desc("confidence"), F.desc("last_seen"), F.desc("plate")))
+    by_plate = by_plate.withColumn("_n", best).where(F.col("_n") <= MOST_PLATES)
+    by_plate = by_plate.groupBy("vehicle_id").agg(F.sort_array(F.collect_list(signal), asc=False).alias("plates"))
     types = prints.groupBy("vehicle_id", "vehicle_type").agg(F.sum("vehicle_confidence").alias("_s")).groupBy("vehicle_id").agg(F.max_by("vehicle_type", F.struct("_s", "vehicle_type")).alias("vehicle_type"))
     colors = prints.where("color IS NOT NULL").groupBy("vehicle_id", "color").agg(F.count("*").alias("_n")).groupBy("vehicle_id").agg(F.max_by("color", F.struct("_n", "color")).alias("color"))
     span = prints.groupBy("vehicle_id").agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"), F.count("*").alias("observation_count"))
@@ -32,7 +34,9 @@ def merge_in_order(prints: DataFrame) -> DataFrame:
     """
     order = F.struct("observed_at", "id")
     first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), order))
-    aliases = prints.where("plate IS NOT NULL").groupBy("vehicle_id", "plate").agg(F.min(order).alias("_first")).groupBy("vehicle_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("_first", "plate"))), lambda x: x["plate"]), 1, MOST_PLATES).alias("aliases"))
+    aliases = prints.where("plate IS NOT NULL").groupBy("vehicle_id", "plate").agg(F.min(order).alias("_first"))
+    aliases = aliases.withColumn("_n", F.row_number().over(Window.partitionBy("vehicle_id").orderBy("_first", "plate"))).where(F.col("_n") <= MOST_PLATES)
+    aliases = aliases.groupBy("vehicle_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_first", "plate"))), lambda x: x["plate"]).alias("aliases"))
     out = prints.groupBy("vehicle_id").agg(first("plate").alias("primary_plate"), F.min_by("vehicle_type", order).alias("vehicle_type"), first("color").alias("color"), F.count("*").alias("revision"))
     return out.join(aliases, "vehicle_id", "left")
 

@@ -106,6 +106,17 @@ def search_watchlist(watchlist: DataFrame, text: str) -> DataFrame:
     return watchlist.where(F.regexp_replace(F.upper("plate"), "[-. ]", "").contains(bare) | F.upper("id").contains(text.upper()))
 
 
+def list_watchlist(watchlist: DataFrame, list_type: str | None, enabled: bool | None, limit: int) -> DataFrame:
+    """Entries by type and state, the last changed first."""
+    rows = watchlist.where(F.lit(list_type is None) | (F.col("list_type") == F.lit(list_type))).where(F.lit(enabled is None) | (F.col("enabled") == F.lit(enabled)))
+    return rows.orderBy(F.desc("updated_at"), F.desc("id")).limit(limit)
+
+
+def counts_by_type(watchlist: DataFrame) -> DataFrame:
+    """Entries of each type, as the console shows beside its search."""
+    return watchlist.groupBy("list_type").agg(F.count("*").alias("entries"))
+
+
 def fold_alert(commands: DataFrame) -> DataFrame:
     """Alert state after its commands in order: OPEN, then ACKNOWLEDGED, then RESOLVED, which is final.
 

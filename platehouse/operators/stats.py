@@ -16,13 +16,8 @@ def latency_summary(rows: DataFrame, value: str, by: list[str] | None = None) ->
 
 
 def nearest_rank(rows: DataFrame, value: str, share: float, by: list[str]) -> DataFrame:
-    """The value whose rank is ceil(share * n), for each group: cumulative counts over distinct values."""
-    from pyspark.sql import Window
-
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
-    return ranked.where(F.col("_upto") >= F.ceil(F.lit(share) * F.col("_all"))).groupBy(*by).agg(F.min(value).alias(value))
+    """The value whose rank is ceil(share * n), for each group; tasks count their values before they are merged."""
+    return rows.groupBy(*by).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{value}`)").alias(value))
 
 
 def jain(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -45,3 +40,27 @@ def regressions(current: DataFrame, baseline: DataFrame, most_slower: float, lea
     slower = F.coalesce(F.try_divide(F.col("c.p95_ms") - F.col("b.p95_ms"), F.col("b.p95_ms")), F.lit(0.0)) > most_slower
     less = F.coalesce(F.try_divide(F.col("c.throughput"), F.col("b.throughput")), F.lit(1.0)) < least_throughput
     return both.select("name", F.array_compact(F.array(F.when(F.col("b.p95_ms").isNull(), "missing_baseline"), F.when(slower, "p95_regression"), F.when(less, "throughput_ratio"))).alias("failures"))
+
+
+def verify_gates(reports: DataFrame, most_dropped: float = 0.10, most_p95: float = 250.0, required: tuple[str, ...] = ("detector-runtime-benchmark", "edge-capacity-benchmark")) -> DataFrame:
+    """(file, failure) of benchmark reports that a release must not have; file is null for what all reports lack.
+
+    reports: file, kind, model_sha256, latency_count, p95_ms, drop_ratio, gate_passed, accuracy_representative; missing
+    values are null. Runtime reports count as representative only if nothing else is wrong with them.
+    """
+    edge = F.col("kind") == "edge-capacity-benchmark"
+    fails = {
+        "invalid_model_hash": ~F.coalesce(F.col("model_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)),
+        "missing_latency_samples": ~F.coalesce((F.col("latency_count") > 0) & (F.col("latency_count") == F.floor("latency_count")), F.lit(False)),
+        "invalid_p95_latency": ~F.coalesce(F.col("p95_ms") >= 0, F.lit(False)),
+        "missing_drop_ratio": edge & F.col("drop_ratio").isNull(),
+        "invalid_drop_ratio": edge & ~F.col("drop_ratio").between(0, 1),
+        "drop_ratio_exceeds_limit": edge & F.col("drop_ratio").between(0, 1) & (F.col("drop_ratio") > most_dropped),
+        "p95_latency_exceeds_limit": edge & (F.col("p95_ms") > most_p95),
+        "gate_failed": ~F.coalesce(F.col("gate_passed"), F.lit(False)),
+    }
+    found = reports.withColumn("_f", F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in fails.items()])))
+    good = (F.col("kind") == required[0]) & F.coalesce("accuracy_representative", F.lit(False)) & (F.size("_f") == 0)
+    lacks = [F.when(F.count_if(F.col("kind") == k) == 0, f"missing_kind:{k}") for k in sorted(required)] + [F.when(F.count_if(good) == 0, "missing_accuracy_representative_detector_gate")]
+    whole = found.agg(F.array_compact(F.array(*lacks)).alias("_f")).select(F.lit(None).cast("string").alias("file"), F.explode("_f").alias("failure"))
+    return found.select("file", F.explode("_f").alias("failure")).union(whole)

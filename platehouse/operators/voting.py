@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platehouse.functions import plates
-from platehouse.functions.grouping import map_groups
+from platehouse.functions.grouping import map_groups, scan
 
 #: Weights of a cluster's score, distance within a cluster, support needed.
 WEIGHTS = {"frequency": 0.25, "ocr": 0.30, "quality": 0.20, "detection": 0.15, "consensus": 0.10}
@@ -114,6 +114,57 @@ def stable_at(observations: DataFrame, least: float, needed: int) -> DataFrame:
     return seen.where(F.col("_n") >= needed).groupBy("track_id").agg(F.min("frame_id").alias("frame_id"), F.min_by("normalized", "frame_id").alias("normalized"))
 
 
+def accepted_readings(attempts: DataFrame, keys: list[str], least: float, enough: float | None = None, allow_partial: bool = False) -> DataFrame:
+    """The best reading of each crop: keys, variant, text, confidence, normalized, compact, partial.
+
+    attempts: keys, variant (order of preparation), text, confidence. Readings that are sure enough and valid plates
+    count, in order of variant up to the first of confidence `enough`; the best confidence wins, of equals the first.
+    """
+    good = plates.add_normalized(attempts.where(F.col("confidence") >= least), "text", "_p", allow_partial).where("_p.valid")
+    if enough is not None:
+        before = Window.partitionBy(*keys).orderBy("variant").rowsBetween(Window.unboundedPreceding, -1)
+        good = good.withColumn("_done", F.max((F.col("confidence") >= enough).cast("int")).over(before)).where("coalesce(_done, 0) = 0")
+    row = F.struct("variant", "text", "confidence", F.col("_p.normalized").alias("normalized"), F.col("_p.compact").alias("compact"), F.col("_p.partial").alias("partial"))
+    return good.groupBy(*keys).agg(F.max_by(row, F.struct("confidence", -F.col("variant"))).alias("_r")).select(*keys, "_r.*")
+
+
+def due_frames(frames: DataFrame, interval: int, stable: DataFrame | None = None) -> DataFrame:
+    """(track_id, frame_id) of the frames on which a reading is tried: the first, then the first `interval` frames or more on.
+
+    frames: track_id, frame_id, seen (frames of the track so far) for each frame that shows a plate. After a track's
+    stable frame (track_id, frame_id as stable_at returns) none is tried. Only the last try of a track is held.
+    """
+    rows = frames.select("track_id", "frame_id", "seen")
+    if stable is not None:
+        rows = rows.join(stable.select("track_id", F.col("frame_id").alias("_stable")), "track_id", "left").where("_stable IS NULL OR frame_id <= _stable").drop("_stable")
+
+    def step(last, row: tuple):
+        track, frame, seen = row
+        due = last is None or seen - last >= interval
+        return seen if due else last, (track, frame) if due else None
+
+    return scan(rows, ["track_id"], ["frame_id"], step, None, "track_id string, frame_id long")
+
+
+def finalize(tracks: DataFrame, points: DataFrame, observations: DataFrame, line, positive_to_negative: str = "ENTER") -> DataFrame:
+    """The event of each finished track: direction, type, voted plate, status, media key and an id that a rerun gives again.
+
+    tracks: track_id, camera_id, last_seen, vehicle_type, vehicle_confidence, frames, plate_detections; points and
+    observations as crossing and vote take them. A track without points has direction UNKNOWN, without a plate none.
+    """
+    from platehouse.functions import ids, scalars
+
+    seen = observations.groupBy("track_id").agg(F.count("*").alias("plate_observations"))
+    voted = vote(observations).select("track_id", F.struct("raw", "normalized", "confidence", "observations", "partial").alias("plate"))
+    rows = tracks.join(crossing(points, line, positive_to_negative), "track_id", "left").join(voted, "track_id", "left").join(seen, "track_id", "left")
+    direction = F.coalesce("direction", F.lit("UNKNOWN"))
+    rows = rows.withColumns({"direction": direction, "event_type": scalars.type_of(direction)})
+    rows = rows.withColumn("id", F.concat(F.lit("evt_"), ids.uuid5(F.concat_ws("|", "track_id", "event_type", scalars.iso(F.col("last_seen"))))))
+    status = scalars.status_of(F.col("plate").isNull(), F.coalesce("plate_detections", F.lit(0)), F.coalesce("plate.partial", F.lit(False)), F.col("plate.confidence"))
+    return rows.select("id", "track_id", "camera_id", "event_type", F.col("last_seen").alias("occurred_at"), "direction", status.alias("status"), "vehicle_type", scalars.clamp(F.col("vehicle_confidence"), 0.0, 1.0).alias("vehicle_confidence"), "plate",
+                       scalars.media_key(F.col("last_seen"), F.col("camera_id"), F.col("id"), "snapshot").alias("snapshot_key"), "frames", "plate_detections", F.coalesce("plate_observations", F.lit(0)).alias("plate_observations"))
+
+
 def crossing(points: DataFrame, line, positive_to_negative: str = "ENTER", fallback: str = "UNKNOWN") -> DataFrame:
     """(track_id, direction): the first crossing of a directed line, seen against the last side that was not on the line."""
     from platehouse.functions.geometry import signed_side
