@@ -99,3 +99,8 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 def take_per_class(boxes: DataFrame, each: int, order: str) -> DataFrame:
     """The first `each` boxes of every class in input order."""
     return boxes.withColumn("_n", F.row_number().over(Window.partitionBy("class_name").orderBy(order))).where(F.col("_n") <= each).drop("_n")
+
+
+def catalog_order(versions: DataFrame) -> DataFrame:
+    """Dataset versions (source_id, created_at) with their place, the newest first; there are few of them."""
+    return versions.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("source_id")))).select("source_id", "place")

@@ -56,3 +56,17 @@ def reassign(rows: DataFrame, reviews: DataFrame) -> DataFrame:
 def by_plate(identities: DataFrame, plate: str) -> DataFrame:
     """Identities that have a plate among their signals."""
     return identities.where(F.exists("plates", lambda p: p["text"] == plate))
+
+
+def having_plates(identities: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Identities that have one of the wanted plates among their signals."""
+    pairs = identities.select("vehicle_id", F.explode("plates.text").alias("plate")).join(wanted, "plate", "left_semi")
+    return identities.join(pairs, "vehicle_id", "left_semi")
+
+
+def with_latest(identities: DataFrame, events: DataFrame) -> DataFrame:
+    """Identities with latest_event and the columns of their newest event; null where none is kept."""
+    from platehouse.operators.events import latest
+
+    newest = latest(events.select("vehicle_id", "id", "occurred_at", "camera_id"), "vehicle_id").withColumnRenamed("id", "latest_event")
+    return identities.join(newest, "vehicle_id", "left")

@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platehouse.functions import geometry, ids, plates, scalars
 from platehouse.operators import datasets, evaluation, events, identity, journeys, policy, quality, reid, retention, stats, topology, voting
 from platehouse.plans import fixtures as fx
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from platehouse.plans.registry import query
 
 FROM, TO = "2024-01-08 00:00:00", "2024-01-22 00:00:00"
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with SQL where SQL can say it; {ve}, {edges} and {wl} are the fixtures."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql.replace("{ve}", fx.VE).replace("{edges}", fx.EDGE_VALUES).replace("{wl}", fx.WL)
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _text(column: str) -> F.Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
 
@@ -91,7 +67,7 @@ def vehicle_timeline(spark, sf_dir):
 
 @query("WITH {ve} SELECT vehicle_id, arg_max(id, (occurred_at, id)) AS id, arg_max(camera_id, (occurred_at, id)) AS camera_id FROM ve WHERE vehicle_id IS NOT NULL GROUP BY 1")
 def latest_event(spark, sf_dir):
-    """W4, J15."""
+    """W4."""
     return events.latest(fx.events(spark, sf_dir).where("vehicle_id IS NOT NULL"), "vehicle_id").select("vehicle_id", "id", "camera_id")
 
 
@@ -128,7 +104,7 @@ def plate_history(spark, sf_dir):
 
 @query("WITH {ve}, b AS (SELECT id, occurred_at, 'new' AS origin, 0 AS old FROM ve WHERE event_id % 3 = 0 UNION ALL SELECT id, occurred_at, 'held', 1 FROM ve WHERE event_id % 2 = 0) SELECT id, origin FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY old) AS n FROM b) WHERE n = 1 ORDER BY occurred_at DESC, id DESC LIMIT 200")
 def realtime_merge(spark, sf_dir):
-    """C4, U7."""
+    """C4."""
     rows = fx.events(spark, sf_dir).select("event_id", "id", "occurred_at")
     return events.merge_realtime(rows.where("event_id % 2 = 0").withColumn("origin", F.lit("held")), rows.where("event_id % 3 = 0").withColumn("origin", F.lit("new"))).select("id", "origin")
 
@@ -145,14 +121,6 @@ def aligned_window(spark, sf_dir):
     return events.window_of(fx.events(spark, sf_dir), [F.desc("occurred_at"), F.desc("id")], 60, 25).select("id", "has_previous", "has_next")
 
 
-@query("WITH {ve}, k AS (SELECT camera_id, track_id, event_type, arg_min(id, (occurred_at, id)) AS id FROM ve GROUP BY 1, 2, 3) SELECT id, camera_id, track_id, event_type FROM k")
-def first_writes(spark, sf_dir):
-    """First write wins; ids are unique here, so the semantic key decides and events.insert_if_absent is not called."""
-    rows = fx.events(spark, sf_dir).select("id", "camera_id", "track_id", "event_type", "occurred_at")
-    key = ["camera_id", "track_id", "event_type"]
-    return rows.groupBy(*key).agg(F.min_by("id", F.struct("occurred_at", "id")).alias("id")).select("id", *key)
-
-
 @query("WITH {ve}, {wl} SELECT id, string_agg(list_type || ':' || entry_id, ',' ORDER BY list_type, entry_id) AS entries FROM (SELECT ve.id, list_type, wl.id AS entry_id FROM ve JOIN wl ON ve.plate = wl.plate AND enabled AND (valid_from IS NULL OR valid_from <= occurred_at) AND (valid_until IS NULL OR occurred_at <= valid_until)) GROUP BY id")
 def watchlist_matches(spark, sf_dir):
     """Validity join, ends included."""
@@ -179,7 +147,7 @@ def rule_actions(spark, sf_dir):
 
 @query("WITH {wl} SELECT id, CASE WHEN NOT enabled THEN 'DISABLED' WHEN valid_from > TIMESTAMP '2024-01-10' THEN 'SCHEDULED' WHEN valid_until < TIMESTAMP '2024-01-10' THEN 'EXPIRED' ELSE 'ACTIVE' END AS state FROM wl WHERE contains(upper(plate), 'A') OR contains(upper(id), 'A')")
 def watchlist_lifecycle(spark, sf_dir):
-    """C6, C7, P7."""
+    """C6, C7."""
     return policy.search_watchlist(fx.watchlist(spark, sf_dir), "a").select("id", policy.lifecycle(F.lit("2024-01-10").cast("timestamp_ntz")).alias("state"))
 
 
@@ -238,7 +206,7 @@ def journey_segments(spark, sf_dir):
 @query("WITH {ve}, {edges}, j AS (SELECT vehicle_id, lag(camera_id) OVER w AS f, camera_id AS t, (epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER w) / 1e6 AS elapsed FROM ve WHERE vehicle_id IS NOT NULL WINDOW w AS (PARTITION BY vehicle_id ORDER BY occurred_at, id)), k AS (SELECT vehicle_id, count(*) FILTER (e.id IS NOT NULL AND NOT (elapsed BETWEEN minimum_travel_seconds AND maximum_travel_seconds)) AS infeasible, count(*) FILTER (e.id IS NULL) AS unknown_topology FROM j LEFT JOIN edges e ON e.from_camera_id = f AND e.to_camera_id = t AND e.enabled WHERE f IS NOT NULL GROUP BY 1) "
        "SELECT v.vehicle_id, count(*) AS observations, count(DISTINCT camera_id) AS cameras, round((max(epoch_us(occurred_at)) - min(epoch_us(occurred_at))) / 1e6, 6) AS duration_seconds, coalesce(any_value(infeasible), 0) AS infeasible, coalesce(any_value(unknown_topology), 0) AS unknown_topology FROM ve v LEFT JOIN k USING (vehicle_id) WHERE v.vehicle_id IS NOT NULL GROUP BY 1")
 def journey_summary(spark, sf_dir):
-    """A30, C10."""
+    """A30."""
     rows = fx.events(spark, sf_dir)
     return journeys.summarize(rows, journeys.segments(rows, fx.edges(spark))).withColumn("duration_seconds", F.round("duration_seconds", 6))
 
@@ -299,7 +267,10 @@ def hashed_ids(spark, sf_dir):
     return fx.events(spark, sf_dir).select("id", ids.hashed_id("veh_", F.coalesce("plate", "id")).alias("vehicle"), ids.hashed_id("dss_", F.col("id"), 24).alias("sample"), ids.hash_split(F.concat("camera_id", "track_id"), "seed", {"train": 0.8, "val": 0.1, "test": 0.1}).alias("split"))
 
 
-@query()
+_NAME = "unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(camera_id || ':' || track_id || '|' || event_type || '|' || strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%fZ'))"
+
+
+@query("WITH {ve}, h AS (SELECT id, sha1(" + _NAME + ") AS h FROM ve) SELECT id, 'evt_' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS event_key FROM h")
 def uuid_ids(spark, sf_dir):
     """H2: name-based ids; tests compare with Python's uuid5."""
     return fx.events(spark, sf_dir).select("id", F.concat(F.lit("evt_"), ids.uuid5(F.concat_ws("|", F.concat_ws(":", "camera_id", "track_id"), "event_type", scalars.iso(F.col("occurred_at"))))).alias("event_key"))
@@ -377,7 +348,7 @@ def latency_histogram(spark, sf_dir):
 
 @query("WITH c AS (SELECT event_type AS name, quantile_cont(value, 0.95) AS p, count(*)::DOUBLE AS t, p * 0.9 AS bp, t * 1.2 AS bt FROM events GROUP BY 1) SELECT name, array_to_string(list_filter([CASE WHEN (p - bp) / bp > 0.1 THEN 'p95_regression' END, CASE WHEN t / bt < 0.8 THEN 'throughput_ratio' END], lambda x: x IS NOT NULL), ',') AS failures FROM c")
 def benchmark_gate(spark, sf_dir):
-    """M4, M5."""
+    """M4."""
     now = fx.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.percentile("value", F.lit(0.95)).alias("p95_ms"), F.count("*").cast("double").alias("throughput"))
     before = now.select("name", (F.col("p95_ms") * 0.9).alias("p95_ms"), (F.col("throughput") * 1.2).alias("throughput"))
     return stats.regressions(now, before, 0.1, 0.8).select("name", F.array_join("failures", ",").alias("failures"))
@@ -395,10 +366,10 @@ def content_dedup(spark, sf_dir):
     return datasets.dedup_content(fx.table(spark, sf_dir, "documents"), F.col("text"), "doc_id", "source")
 
 
-@query("SELECT sha256(html) AS sha256, count(*) AS copies, min(page_id) AS kept FROM pages GROUP BY 1 HAVING count(*) > 1")
-def duplicate_pages(spark, sf_dir):
-    """A26, S19."""
-    return datasets.duplicates(fx.table(spark, sf_dir, "pages"), F.col("html"), "page_id")
+@query("SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS kept FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_documents(spark, sf_dir):
+    """Contents that several rows have."""
+    return datasets.duplicates(fx.table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
 
 
 @query("SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS splits FROM documents GROUP BY lang HAVING count(DISTINCT source) > 1")
@@ -444,7 +415,7 @@ _RETENTION = "s AS (SELECT 'evt_' || lpad(doc_id::VARCHAR, 8, '0') AS source_eve
 
 @query("WITH {ve}, " + _RETENTION + ", o AS (SELECT id, occurred_at FROM ve WHERE occurred_at < TIMESTAMP '2024-02-01' - INTERVAL 14 DAY AND event_id % 2 = 0 ORDER BY occurred_at, id LIMIT 800) SELECT id FROM o WHERE id NOT IN (SELECT source_event_id FROM s WHERE status = 'READY') ORDER BY occurred_at, id LIMIT 200")
 def retention_events(spark, sf_dir):
-    """J7, ST19, T9, P4: cut-off exclusive, pins taken away after the over-fetch."""
+    """J7, ST19, T9: cut-off exclusive, pins taken away after the over-fetch."""
     rows = fx.events(spark, sf_dir).selectExpr("id", "occurred_at", "CASE WHEN event_id % 2 = 1 THEN id END AS snapshot_key", *[f"CAST(NULL AS STRING) AS {m}" for m in retention.MEDIA[1:]])
     samples = fx.table(spark, sf_dir, "labels").selectExpr("concat('evt_', lpad(CAST(doc_id AS STRING), 8, '0')) AS source_event_id", "CASE WHEN quality = 1 THEN 'READY' ELSE 'EXPORTED' END AS status")
     return retention.expired_events(rows, samples, "2024-02-01", 14, 200).select("id")
@@ -492,9 +463,38 @@ def _observations(spark, sf_dir) -> DataFrame:
     return rows.select(F.concat_ws(":", "camera_id", "track_id").alias("track_id"), F.col("event_id").alias("frame_id"), "raw", "p.compact", "p.normalized", "p.partial", F.greatest(F.lit(0.05), "plate_confidence").alias("ocr_confidence"), F.lit(0.9).alias("quality_score"), F.col("vehicle_confidence").cast("double").alias("detection_confidence"))
 
 
-@query()
+def _normalized(source: str) -> str:
+    """A subquery (id, compact, normalized, partial) of a table (id, raw), partial plates included."""
+    partial = "length(k) BETWEEN 4 AND 12 AND regexp_matches(k, '[0-9]')"
+    return ("(WITH " + _PLATE_SQL.replace("FROM ve", f"FROM {source}") + f" SELECT id, CASE WHEN compact IS NOT NULL THEN compact WHEN {partial} THEN k END AS compact, CASE WHEN compact IS NOT NULL THEN substr(compact, 1, 2 + series) || '-' || CASE WHEN length(compact) - 2 - series = 5 THEN substr(compact, 3 + series, 3) || '.' || substr(compact, 6 + series) ELSE substr(compact, 3 + series) END "
+            f"WHEN regexp_full_match(k, '[0-9]{{5}}') THEN substr(k, 1, 3) || '.' || substr(k, 4) WHEN {partial} THEN k END AS normalized, compact IS NULL AS partial FROM w)")
+
+
+def vote_sql(track: str) -> str:
+    """The votes of tracks, with clusters as what a recursion over texts two edits apart reaches."""
+    return (
+        "WITH RECURSIVE {ve}, seen AS (SELECT ve.id, " + track + " AS track_id, event_id AS frame_id, ve.raw, n.compact, n.normalized, n.partial, greatest(0.05, plate_confidence) AS ocr, 0.9::DOUBLE AS quality, vehicle_confidence::DOUBLE AS detection FROM ve JOIN " + _normalized("ve") + " n USING (id) WHERE plate IS NOT NULL), "
+        "useful AS (SELECT *, pow(ocr * quality * detection, 1.0::DOUBLE / 3) AS w, bool_or(NOT partial) OVER (PARTITION BY track_id) AS has_full FROM seen WHERE compact <> '' AND normalized <> ''), "
+        "obs AS (SELECT * FROM useful WHERE NOT has_full OR NOT partial QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame_id DESC) <= 64), "
+        "texts AS (SELECT track_id, compact, min(frame_id) AS first FROM obs GROUP BY 1, 2), near AS (SELECT a.track_id, a.compact AS a, b.compact AS b FROM texts a JOIN texts b ON a.track_id = b.track_id AND levenshtein(a.compact, b.compact) <= 2), "
+        "reach AS (SELECT track_id, a, b FROM near UNION SELECT r.track_id, r.a, n.b FROM reach r JOIN near n ON n.track_id = r.track_id AND n.a = r.b), "
+        "label AS (SELECT r.track_id, r.a AS compact, min(t.first) AS cluster FROM reach r JOIN texts t ON t.track_id = r.track_id AND t.compact = r.b GROUP BY 1, 2), o AS (SELECT * FROM obs JOIN label USING (track_id, compact)), "
+        "sums AS (SELECT track_id, cluster, count(*) AS n, avg(ocr) AS ocr, avg(quality) AS quality, avg(detection) AS detection, arg_max(compact, (w, -frame_id)) AS fallback FROM o GROUP BY 1, 2), "
+        "usual AS (SELECT track_id, cluster, arg_max(len, (n, len)) AS len FROM (SELECT track_id, cluster, length(compact) AS len, count(*) AS n FROM o GROUP BY 1, 2, 3) GROUP BY 1, 2), "
+        "letters AS (SELECT o.track_id, o.cluster, frame_id, w, place, substr(compact, place, 1) AS letter FROM o JOIN usual u ON u.track_id = o.track_id AND u.cluster = o.cluster AND u.len = length(compact), range(1, 13) x(place) WHERE place <= length(compact)), "
+        "votes AS (SELECT track_id, cluster, place, letter, sum(w) AS w, min(frame_id) AS first FROM letters GROUP BY 1, 2, 3, 4), best AS (SELECT track_id, cluster, place, arg_max(letter, (round(w, 12), -first)) AS letter, max(w) / sum(w) AS share FROM votes GROUP BY 1, 2, 3), "
+        "agreed AS (SELECT track_id, cluster, string_agg(letter, '' ORDER BY place) AS consensus, avg(share) AS agreement FROM best GROUP BY 1, 2), "
+        "scored AS (SELECT *, n / sum(n) OVER (PARTITION BY track_id) * 0.25 + ocr * 0.3 + quality * 0.2 + detection * 0.15 + agreement * 0.1 AS score FROM sums JOIN agreed USING (track_id, cluster)), "
+        "top AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(score, 12) DESC, n DESC, cluster) = 1), asked AS (SELECT track_id || '#1' AS id, consensus AS raw FROM top UNION ALL SELECT track_id || '#2', fallback FROM top), named AS (SELECT * FROM " + _normalized("asked") + " WHERE compact IS NOT NULL), "
+        "p AS (SELECT top.*, coalesce(a.compact, b.compact) AS compact, CASE WHEN a.compact IS NOT NULL THEN a.normalized ELSE b.normalized END AS normalized, CASE WHEN a.compact IS NOT NULL THEN a.partial ELSE b.partial END AS partial FROM top LEFT JOIN named a ON a.id = track_id || '#1' LEFT JOIN named b ON b.id = track_id || '#2' WHERE a.compact IS NOT NULL OR b.compact IS NOT NULL), "
+        "raws AS (SELECT o.track_id, arg_min(o.raw, (levenshtein(o.compact, p.compact), -o.w, o.frame_id)) AS raw FROM o JOIN p ON p.track_id = o.track_id AND p.cluster = o.cluster GROUP BY 1), "
+        "voted AS (SELECT track_id, raws.raw, compact, normalized, greatest(0.0, least(0.999, score + (1 - score) * 0.15 * (1 - exp(-n / 2.0::DOUBLE)) * agreement)) AS confidence, n AS observations, partial FROM p JOIN raws USING (track_id)) "
+    )
+
+
+@query(vote_sql("camera_id || ':' || track_id") + "SELECT track_id, raw, compact, normalized, round(confidence, 9) AS confidence, observations, partial FROM voted")
 def plate_voting(spark, sf_dir):
-    """Tests compare with brute force."""
+    """A5 to A9."""
     return _rounded(voting.vote(_observations(spark, sf_dir)), "confidence")
 
 
@@ -513,14 +513,14 @@ def best_frames(spark, sf_dir):
 
 @query("WITH {ve}, p AS (SELECT event_id, track_id, (user_id % 7)::DOUBLE - 3 AS side FROM ve), n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY event_id) AS k FROM p), b AS (SELECT *, last_value(CASE WHEN side <> 0 OR k = 1 THEN side END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM n) SELECT track_id, coalesce(arg_min(CASE WHEN prev > 0 AND side <= 0 THEN 'ENTER' ELSE 'EXIT' END, event_id) FILTER ((prev > 0 AND side <= 0) OR (prev < 0 AND side >= 0)), 'UNKNOWN') AS direction FROM b GROUP BY 1")
 def line_crossing(spark, sf_dir):
-    """W2, P15."""
+    """W2."""
     points = fx.events(spark, sf_dir).selectExpr("track_id", "event_id AS frame_id", "0D AS x", "CAST(user_id % 7 AS DOUBLE) - 3 AS y")
     return voting.crossing(points, ((0.0, 0.0), (1.0, 0.0)))
 
 
 @query("WITH {ve}, s AS (SELECT plate, camera_id, event_id, count(*) OVER (PARTITION BY camera_id, plate ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM ve WHERE plate IS NOT NULL AND plate_confidence >= 0.05) SELECT camera_id AS track_id, min(event_id) AS frame_id, arg_min(plate, event_id) AS normalized FROM s WHERE n >= 3 GROUP BY 1")
 def stable_readings(spark, sf_dir):
-    """A28; W9 (readings when they are due) is not done."""
+    """A28."""
     rows = fx.events(spark, sf_dir).where("plate IS NOT NULL").selectExpr("camera_id AS track_id", "event_id AS frame_id", "plate AS normalized", "false AS partial", "plate_confidence AS ocr_confidence")
     return voting.stable_at(rows, 0.05, 3)
 
@@ -532,36 +532,6 @@ def track_sessions(spark, sf_dir):
     return voting.sessions(rows, rows.select("camera_id", "epoch", "at").distinct(), 3600.0).select("event_id", "session")
 
 
-@query()
-def detector_matches(spark, sf_dir):
-    """Tests compare with brute force."""
-    m = evaluation.match(fx.boxes(spark, sf_dir, fx.TRUTHS), fx.boxes(spark, sf_dir, fx.PREDICTED))
-    return evaluation.precision_recall(m, fx.boxes(spark, sf_dir, fx.TRUTHS), ["category_id"])
-
-
-@query()
-def detector_average_precision(spark, sf_dir):
-    """A17, A18, W3."""
-    m = evaluation.match(fx.boxes(spark, sf_dir, fx.TRUTHS), fx.boxes(spark, sf_dir, fx.PREDICTED), evaluation.IOU_THRESHOLDS)
-    return _rounded(evaluation.average_precision(m, fx.boxes(spark, sf_dir, fx.TRUTHS)), "average_precision")
-
-
-@query()
-def detector_slices(spark, sf_dir):
-    """A19, A20, J10."""
-    t = fx.boxes(spark, sf_dir, fx.TRUTHS)
-    images = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
-    return _rounded(evaluation.recall_by(evaluation.match(t, fx.boxes(spark, sf_dir, fx.PREDICTED)), t, images, F.coalesce("o_orderpriority", F.lit("UNKNOWN"))), "recall")
-
-
-@query()
-def suppressed_boxes(spark, sf_dir):
-    """T12."""
-    b = fx.boxes(spark, sf_dir, fx.PREDICTED)
-    corners = b.select("id", "image_id", "category_id", F.array(F.col("bbox")[0], F.col("bbox")[1], F.col("bbox")[0] + F.col("bbox")[2], F.col("bbox")[1] + F.col("bbox")[3]).alias("bbox"), "score")
-    return evaluation.suppress(corners, 0.5).select("id", "image_id", "score")
-
-
 _SEEN = "CASE WHEN plate IS NULL THEN 'EXPORTING' WHEN reviewed THEN 'READY' WHEN corrected THEN 'EXPORT_FAILED' ELSE 'EXPORTED' END"
 
 
@@ -611,12 +581,18 @@ def audit_page(spark, sf_dir):
     return state.audit_page(fx.events(spark, sf_dir), {"camera_id": "cam-1", "event_type": "VEHICLE_EXIT"}, stamp(FROM), stamp(TO), 100).select("id", _text("occurred_at"))
 
 
-@query()
+_ADDRESS = "CASE WHEN contains(split_part(split_part(split_part(u, '://', 2), '/', 1), '?', 1), '@') THEN '[REDACTED]' ELSE regexp_replace(u, '[?#].*$', '') END"
+
+
+@query("SELECT page_id, " + _ADDRESS + " AS url, '[REDACTED]' AS token, left(html, 4096) AS html FROM (SELECT page_id, html, CASE WHEN page_id % 5 = 0 THEN replace(url, '://', '://user:pass@') ELSE url || '?q=1#x' END AS u FROM pages)")
 def audit_redaction(spark, sf_dir):
-    """P21, over each page's whole html: tests compare with the rules."""
+    """P21, over each page's whole html: the audit log's own limit of 4,096 characters is the operator's."""
     from platehouse.operators import state
 
-    return fx.table(spark, sf_dir, "pages").select("page_id", state.redact(F.to_json(F.struct("url", F.lit("x").alias("apiToken"), F.struct("html").alias("body")))).alias("document"))
+    url = F.when(F.col("page_id") % 5 == 0, F.replace("url", F.lit("://"), F.lit("://user:pass@"))).otherwise(F.concat("url", F.lit("?q=1#x")))
+    shown = state.redact(F.to_json(F.struct(url.alias("url"), F.lit("x").alias("apiToken"), F.struct("html").alias("body"))))
+    d = F.from_json("document", "url STRING, apiToken STRING, body STRUCT<html: STRING>")
+    return fx.table(spark, sf_dir, "pages").select("page_id", shown.alias("document")).withColumn("d", d).select("page_id", F.col("d.url").alias("url"), F.col("d.apiToken").alias("token"), F.col("d.body.html").alias("html"))
 
 
 @query("SELECT image_id, id, place, round_even(score, 6) AS confidence, CASE WHEN w / h >= 2.5 THEN 'SINGLE_LINE' ELSE 'TWO_LINE' END AS layout FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, id) AS place FROM (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, l_orderkey AS image_id, 10.0 + l_quantity AS w, 8.0 + l_linenumber AS h, round(l_extendedprice / 110000.0, 6) AS score FROM lineitem)) WHERE place <= 3")
@@ -651,7 +627,7 @@ def plate_quality(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN trim(lang) = '' OR lang IS NULL THEN 'UNKNOWN' ELSE upper(trim(lang)) END AS lighting FROM documents WHERE n_chars % 5 > 0 AND upper(trim(lang)) = 'DE'")
 def registry_samples(spark, sf_dir):
-    """P16, P17, P25, P27."""
+    """P16."""
     from platehouse.operators import annotations
 
     rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("lighting"), (F.col("n_chars") % 5).alias("annotation_count"))
@@ -693,7 +669,7 @@ def balanced_selection(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def semi_and_anti(spark, sf_dir):
-    """Joins that only filter."""
+    """Joins that only filter."""
     orders, customers, lines = (fx.table(spark, sf_dir, n) for n in ("orders", "customer", "lineitem"))
     wanted = customers.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     return orders.join(wanted, "o_custkey", "left_semi").join(lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
@@ -729,7 +705,7 @@ def polygon_labels(spark, sf_dir):
 
 @query("WITH {ve}, h AS (SELECT camera_id, arg_max(event_id, occurred_at) AS e, arg_max(value, occurred_at) AS v FROM ve GROUP BY 1) SELECT 'camera_online' AS metric, camera_id, (e % 2 = 0)::INT::DOUBLE AS value FROM h UNION ALL SELECT 'camera_fps', camera_id, v FROM h UNION ALL SELECT 'camera_dropped_frames_total', camera_id, (e % 100)::DOUBLE FROM h UNION ALL SELECT 'camera_reconnects_total', camera_id, (e % 7)::DOUBLE FROM h")
 def health_metrics(spark, sf_dir):
-    """S24, C9."""
+    """S24."""
     from platehouse.sources import files
 
     return files.health_metrics(fx.events(spark, sf_dir).selectExpr("camera_id", "CASE WHEN event_id % 2 = 0 THEN 'ONLINE' ELSE 'OFFLINE' END AS status", "value AS fps", "event_id % 100 AS dropped_frames", "event_id % 7 AS reconnects", "occurred_at AS updated_at"))

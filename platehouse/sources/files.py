@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from platehouse.functions.scratch import staged
+
 #: The event document; open maps are kept as JSON text.
 PLATE = "raw STRING, normalized STRING, confidence DOUBLE, observationCount INT, partial BOOLEAN"
 EVENT_SCHEMA = (
@@ -117,18 +120,132 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def _content(*columns: str) -> tuple[Column, Column]:
+    """Number of rows and a digest of all of them: a sum of hashes, which counts a row as often as it stands."""
+    return F.count("*").alias("samples"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("checksum")
+
+
 def export_labels(samples: DataFrame, path: str) -> DataFrame:
-    """Write labels by split as JSON lines and return the manifest: samples and a digest of their ids for each split."""
+    """Write labels by split as JSON lines and return the manifest: samples and a digest of ids and labels for each split."""
     samples.write.partitionBy("split").mode("errorifexists").json(path)
-    return samples.groupBy("split").agg(F.count("*").alias("samples"), F.bit_xor(F.xxhash64("id", "label")).alias("checksum"))
+    return samples.groupBy("split").agg(*_content("id", "label"))
 
 
 def verify_export(spark: SparkSession, path: str, schema: str, manifest: DataFrame) -> DataFrame:
     """Splits whose files differ from the manifest."""
-    found = spark.read.schema(schema + ", split STRING").json(path).groupBy("split").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("id", "label")).alias("_sum"))
+    found = spark.read.schema(schema + ", split STRING").json(path).groupBy("split").agg(*_content("id", "label"))
+    found = found.select("split", F.col("samples").alias("_n"), F.col("checksum").alias("_sum"))
     return manifest.join(found, "split", "full_outer").where(~(F.col("samples").eqNullSafe(F.col("_n")) & F.col("checksum").eqNullSafe(F.col("_sum"))))
 
 
+_BOX = "STRUCT<className STRING, bbox ARRAY<DOUBLE>>"
+SAMPLE_SCHEMA = f"sampleId STRING, imagePath STRING, groupId STRING, cameraId STRING, split STRING, annotations ARRAY<{_BOX}>"
+
+
+def scan_samples(lines: DataFrame, most_bytes: int = 1_000_000) -> DataFrame:
+    """Lines (line, value) of detector annotations: sample and problem (TOO_LONG, INVALID, DUPLICATE), blank lines left out.
+
+    Of lines with one sampleId all but the first are duplicates. A dataset may be built only if no line has a problem.
+    """
+    parsed = lines.where(F.trim("value") != "").withColumn("sample", F.from_json("value", SAMPLE_SCHEMA)).withColumn("_id", F.col("sample.sampleId"))
+    problem = F.when(F.octet_length("value") > most_bytes, "TOO_LONG").when(F.col("_id").isNull() | F.col("sample.imagePath").isNull() | F.col("sample.groupId").isNull(), "INVALID")
+    parsed = parsed.withColumn("_problem", problem)
+    first = parsed.where("_problem IS NULL").groupBy("_id").agg(F.min("line").alias("_first"))
+    return parsed.join(first, "_id", "left").select("line", "sample", F.coalesce("_problem", F.when(F.col("line") > F.col("_first"), "DUPLICATE")).alias("problem"))
+
+
+def digest_of_lines(lines: DataFrame) -> DataFrame:
+    """One row: number and digest of all lines, the same in whatever order they are read."""
+    return lines.agg(F.count("*").alias("lines"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def export_coco(samples: DataFrame, classes: list[str], path: str) -> DataFrame:
+    """Write a detector dataset and return its manifest, a row for each split.
+
+    samples: sample_id, group_id, camera_id, split, annotations (class_name, bbox [x, y, w, h]). Below path go `images` and
+    `annotations` by split, as rows of the COCO lists, `categories`, and last `manifest`: a folder without a manifest is
+    no dataset. Image files are named by a hash of the sample in folders of its first two digits. Ids are numbers, each
+    once; an unknown class is an error.
+    """
+    name = F.substring(F.sha2("sample_id", 256), 1, 24)
+    numbered = samples.withColumn("image_id", F.monotonically_increasing_id() + 1).withColumn("file_name", F.concat_ws("/", F.lit("images"), "split", F.substring(name, 1, 2), F.concat(name, F.lit(".jpg"))))
+    numbered = staged(numbered, "coco")
+    numbered.select(F.col("image_id").alias("id"), "file_name", "sample_id", "group_id", "camera_id", "split").write.partitionBy("split").mode("errorifexists").json(f"{path}/images")
+    category = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("a.class_name"))
+    boxes = numbered.select("split", "image_id", F.explode("annotations").alias("a"))
+    known = F.when(category > 0, category).otherwise(F.raise_error(F.concat(F.lit("unknown class: "), F.coalesce("a.class_name", F.lit("null")))).cast("long"))
+    boxes = boxes.select((F.monotonically_increasing_id() + 1).alias("id"), "image_id", known.alias("category_id"), F.col("a.bbox").alias("bbox"), (F.col("a.bbox")[2] * F.col("a.bbox")[3]).alias("area"), F.lit(0).alias("iscrowd"), "split")
+    boxes.write.partitionBy("split").mode("errorifexists").json(f"{path}/annotations")
+    spark = samples.sparkSession
+    spark.createDataFrame([(i, c) for i, c in enumerate(classes, 1)], "id long, name string").coalesce(1).write.json(f"{path}/categories")
+    manifest = _coco_facts(spark, path)
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
+
+
+_IMAGES = "id LONG, file_name STRING, sample_id STRING, group_id STRING, camera_id STRING, split STRING"
+_ANNOTATIONS = "id LONG, image_id LONG, category_id LONG, bbox ARRAY<DOUBLE>, area DOUBLE, iscrowd INT, split STRING"
+
+
+def read_coco_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """images, annotations and categories of an exported dataset."""
+    read = lambda schema, part: spark.read.schema(schema).json(f"{path}/{part}")
+    return read(_IMAGES, "images"), read(_ANNOTATIONS, "annotations"), read("id LONG, name STRING", "categories")
+
+
+def _coco_facts(spark: SparkSession, path: str) -> DataFrame:
+    images, boxes, _ = read_coco_export(spark, path)
+    digest = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)")).cast("string")
+    i = images.groupBy("split").agg(F.count("*").alias("images"), F.countDistinct("group_id").alias("group_count"), digest("id", "file_name", "sample_id", "group_id", "camera_id").alias("images_digest"))
+    a = boxes.groupBy("split").agg(F.count("*").alias("annotations"), F.countDistinct("image_id").alias("_with"), digest("id", "image_id", "category_id", "bbox").alias("annotations_digest"))
+    return i.join(a, "split", "full_outer").select("split", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce("annotations", F.lit(0)).alias("annotations"), (F.coalesce("images", F.lit(0)) - F.coalesce("_with", F.lit(0))).alias("negatives"), F.coalesce("group_count", F.lit(0)).alias("group_count"), "images_digest", "annotations_digest")
+
+
+def verify_coco(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
+    """(problem, what, n) of an exported dataset; none where it is as its manifest says.
+
+    CHECKSUM: counts or digests of a split differ; CATEGORIES: not these classes in this order; IMAGE_ID, ANNOTATION_ID:
+    not once; FILE_NAME: of several images; GROUP: none, or in several splits (LEAKAGE); REFERENCE: no such image or class.
+    """
+    images, boxes, categories = read_coco_export(spark, path)
+    facts = _coco_facts(spark, path)
+    manifest = spark.read.schema(facts.schema).json(f"{path}/manifest")
+    mine, theirs = facts.select("split", F.struct(*facts.columns).alias("_a")), manifest.select("split", F.struct(*facts.columns).alias("_b"))
+    found = [mine.join(theirs, "split", "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(F.lit("CHECKSUM").alias("problem"), F.col("split").alias("what"))]
+    wanted = spark.createDataFrame([(i, c) for i, c in enumerate(classes, 1)], "id long, name string")
+    odd = wanted.exceptAll(categories).union(categories.exceptAll(wanted))
+    found.append(odd.select(F.lit("CATEGORIES"), "name"))
+    for rows, column, problem in ((images, "id", "IMAGE_ID"), (images, "file_name", "FILE_NAME"), (boxes, "id", "ANNOTATION_ID")):
+        found.append(rows.groupBy(F.col(column).cast("string").alias("_k")).count().where("count > 1").select(F.lit(problem), "_k"))
+    found.append(images.where("coalesce(group_id, '') = ''").select(F.lit("GROUP"), "sample_id"))
+    found.append(images.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min("split").alias("_a"), F.max("split").alias("_b")).where("_a < _b").select(F.lit("LEAKAGE"), "group_id"))
+    lost = boxes.join(images.select(F.col("id").alias("image_id"), F.lit(1).alias("_i")).distinct(), "image_id", "left").where(F.col("_i").isNull() | ~F.col("category_id").between(1, len(classes)) | F.col("category_id").isNull())
+    found.append(lost.select(F.lit("REFERENCE"), F.col("id").cast("string")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.groupBy("problem", "what").agg(F.count("*").alias("n"))
+
+
+def append_audit(entries: DataFrame, path: str) -> None:
+    """Append entries (with id) to an audit log of JSON lines; an id that the log or another entry has is an error.
+
+    The log is only ever added to. Its ids are read as one column.
+    """
+    spark = entries.sparkSession
+    try:
+        held = spark.read.schema("id STRING").json(path).select("id")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        held = spark.createDataFrame([], "id string")
+    twice = entries.groupBy("id").count().where("count > 1").select("id").union(entries.join(held, "id", "left_semi").select("id"))
+    first = twice.first()
+    if first is not None:
+        raise ValueError(f"audit record already exists: {first['id']}")
+    entries.write.mode("append").json(path)
+
+
 def health_metrics(health: DataFrame) -> DataFrame:
     """(metric, camera_id, value) rows of the newest health report of each camera."""
     last = health.groupBy("camera_id").agg(F.max_by(F.struct("status", "fps", "dropped_frames", "reconnects"), "updated_at").alias("h"))

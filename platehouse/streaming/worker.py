@@ -3,37 +3,63 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from platehouse.operators import policy
+from platehouse.operators.events import insert_if_absent
 from platehouse.sources import files
 
 REASON_CHARACTERS = 2000
 
 
-def process_batch(batch: DataFrame, number: int, store: str, rejects: str, alerts: str | None = None, rules: tuple[policy.Rule, ...] = (), watchlist: DataFrame | None = None) -> None:
-    """One micro-batch. Each output goes to a folder of the batch's number, so that a batch that runs again overwrites itself."""
+SEMANTIC = ["camera_id", "track_id", "event_type"]
+
+
+def process_batch(batch: DataFrame, number: int, store: str, rejects: str, alerts: str | None = None, rules: tuple[policy.Rule, ...] = (), watchlist: DataFrame | None = None, identities: str | None = None) -> None:
+    """One micro-batch. Each output goes to a folder of the batch's number, so that a batch that runs again overwrites itself.
+
+    Events are first writes by (occurred_at, id): one whose id, or camera, track and type, an earlier one has is a
+    duplicate and not stored. Duplicates pass through identities and rules all the same, as their first run may have
+    been cut short; what these steps write has ids of its own, so a second time adds nothing. Counters of the batch are
+    observed under the name "worker".
+    """
     spark = batch.sparkSession
-    decoded = files.decode_envelope(batch).persist()
+    counters = [F.count("*").alias("messages"), F.count("reject_reason").alias("rejected")]
+    decoded = files.decode_envelope(batch).observe("worker", *counters).persist()
     try:
         decoded.where("reject_reason IS NOT NULL").select("value", F.substring("reject_reason", 1, REASON_CHARACTERS).alias("reason"), F.current_timestamp().alias("failed_at")).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
         good = files.flatten_events(decoded.where("reject_reason IS NULL").select("event.*"))
-        first = good.dropDuplicates(["id"]).dropDuplicates(["camera_id", "track_id", "event_type"])
-        stored = _stored(spark, store, number, good.schema)
-        fresh = first.join(stored.select("id"), "id", "left_anti").join(stored.select("camera_id", "track_id", "event_type"), ["camera_id", "track_id", "event_type"], "left_anti").select(*good.columns)
+        stored = _earlier(spark, store, number, good.schema)
+        fresh = insert_if_absent(stored, good, "id", SEMANTIC, ["occurred_at", "id", F.xxhash64(*good.columns)])
         fresh.repartition("camera_id").sortWithinPartitions("camera_id", "occurred_at").write.mode("overwrite").parquet(f"{store}/batch={number}")
+        seen = _of_store(spark, good, store, number)
+        if identities:
+            prints = seen.where("vehicle_id IS NOT NULL").withColumn("observed_at", F.col("occurred_at"))
+            held = _earlier(spark, identities, number, prints.schema).select("id")
+            prints.join(held, "id", "left_anti").write.mode("overwrite").parquet(f"{identities}/batch={number}")
         if alerts and rules:
-            mine = spark.read.schema(good.schema).parquet(f"{store}/batch={number}")
-            listed = policy.watchlist_matches(mine, watchlist) if watchlist is not None else mine.withColumn("list_types", F.array().cast("array<string>"))
-            policy.apply_rules(listed, list(rules)).select("id", "rule_id", "action", "execution_id").write.mode("overwrite").parquet(f"{alerts}/batch={number}")
+            listed = policy.watchlist_matches(seen, watchlist) if watchlist is not None else seen.withColumn("list_types", F.array().cast("array<string>"))
+            found = policy.apply_rules(listed, list(rules)).select("id", "rule_id", "action", "execution_id")
+            held = _earlier(spark, alerts, number, found.schema).select("execution_id")
+            found.join(held, "execution_id", "left_anti").write.mode("overwrite").parquet(f"{alerts}/batch={number}")
     finally:
         decoded.unpersist()
 
 
-def _stored(spark, store: str, number: int, schema) -> DataFrame:
-    """Events of earlier batches; none before the first."""
+def _of_store(spark, good: DataFrame, store: str, number: int) -> DataFrame:
+    """A batch's events, each id once: as stored, or where only another id of its track and type is stored, the first."""
+    known = spark.read.schema(StructType([*good.schema.fields, StructField("batch", LongType())])).parquet(store).where(F.col("batch") <= number).select(*good.columns)
+    known = known.join(good.select("id").distinct(), "id", "left_semi")
+    others = good.join(known.select("id"), "id", "left_anti").select(*good.columns)
+    first = Window.partitionBy("id").orderBy("occurred_at", F.xxhash64(*good.columns))
+    return known.unionByName(others.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+
+
+def _earlier(spark, store: str, number: int, schema) -> DataFrame:
+    """Rows of earlier batches; none before the first."""
     try:
         found = spark.read.parquet(store)
     except AnalysisException as error:

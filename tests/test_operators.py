@@ -1,5 +1,6 @@
 """Operators against literal expectations and brute force."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from platehouse.operators import datasets, evaluation, events, identity, journeys, policy, quality, reid, retention, stats, topology, voting
 from platehouse.streaming import tracks
 
-T0 = datetime(2026, 8, 8, 13, 30)
+T0 = datetime(2023, 3, 4, 5, 6)
 EDGE = "id string, from_camera_id string, to_camera_id string, minimum_travel_seconds double, typical_travel_seconds double, maximum_travel_seconds double, enabled boolean"
 
 
@@ -42,19 +43,21 @@ def test_first_write_wins_on_either_key(spark):
 
 
 def test_voting(spark):
-    texts = [("51H12345", 0.94), ("51H12345", 0.91), ("51H1234S", 0.73), ("51H12345", 0.89)]
-    rows = [("t", i, t, t, t, False, c, 0.88, 0.92) for i, (t, c) in enumerate(texts)] + [("u", 0, "00605", "00605", "006.05", True, 0.9, 0.9, 0.9), ("u", 1, "69F100605", "69F100605", "69F1-006.05", False, 0.9, 0.9, 0.9), ("v", 0, None, None, None, False, 0.9, 0.9, 0.9)]
+    read = [("43C06172", 0.5), ("43C06I72", 0.9), ("43C06172", 0.6), ("88K99999", 0.99), ("43C06172", 0.7)]
+    rows = [("p", i, t, t, t, False, c, 0.7, 0.8) for i, (t, c) in enumerate(read)] + [("q", 0, "77123", "77123", "771.23", True, 0.99, 0.9, 0.9), ("q", 1, "18B477123", "18B477123", "18B4-771.23", False, 0.4, 0.9, 0.9), ("r", 0, None, None, None, False, 0.9, 0.9, 0.9)]
     df = spark.createDataFrame(rows, "track_id string, frame_id int, raw string, compact string, normalized string, partial boolean, ocr_confidence double, quality_score double, detection_confidence double")
     got = {r["track_id"]: r for r in voting.vote(df).collect()}
-    assert set(got) == {"t", "u"}
-    assert got["t"]["normalized"] == "51H-123.45" and got["t"]["observations"] == 4 and got["t"]["confidence"] > 0.73
-    assert got["u"]["normalized"] == "69F1-006.05" and not got["u"]["partial"]
+    assert set(got) == {"p", "q"}
+    # four readings within two edits outweigh the surest one; the misread character is outvoted
+    assert (got["p"]["compact"], got["p"]["normalized"], got["p"]["observations"]) == ("43C06172", "43C-061.72", 4)
+    assert got["p"]["raw"] == "43C06172" and 0 < got["p"]["confidence"] < 0.999
+    assert got["q"]["normalized"] == "18B4-771.23" and not got["q"]["partial"] and got["q"]["observations"] == 1
 
 
 def test_crossing(spark):
-    rows = [("in", 0, 50.0, 40.0), ("in", 1, 50.0, 60.0), ("out", 0, 50.0, 60.0), ("out", 1, 50.0, 40.0), ("no", 0, 1.0, 1.0)]
+    rows = [("in", 0, 3.0, 8.0), ("in", 1, 3.0, 6.0), ("in", 2, 3.0, 2.0), ("out", 0, 4.0, 1.0), ("out", 1, 4.0, 9.0), ("no", 0, 5.0, 9.0), ("no", 1, 6.0, 7.0)]
     df = spark.createDataFrame(rows, "track_id string, frame_id int, x double, y double")
-    got = {r["track_id"]: r["direction"] for r in voting.crossing(df, ((100.0, 50.0), (0.0, 50.0)), "ENTER").collect()}
+    got = {r["track_id"]: r["direction"] for r in voting.crossing(df, ((0.0, 5.0), (9.0, 5.0)), "ENTER").collect()}
     assert got == {"in": "ENTER", "out": "EXIT", "no": "UNKNOWN"}
 
 
@@ -77,22 +80,47 @@ def test_sessions_match_the_stream(spark):
 
 
 def test_candidates_and_reid(spark):
-    edges = spark.createDataFrame([("e1", "a", "b", 60.0, 300.0, 600.0, True), ("e2", "c", "b", 30.0, 60.0, 120.0, True), ("e3", "d", "b", 1.0, 2.0, 9000.0, False)], EDGE)
-    rows = [("cur", "v0", "b", 0), ("a300", "v1", "a", -300), ("a60", "v2", "a", -60), ("a601", "v3", "a", -601), ("d300", "v4", "d", -300), ("c60", "v5", "c", -60), ("same", "v0", "a", -200)]
-    prints = spark.createDataFrame([(i, v, c, T0 + timedelta(seconds=s), "51H12345", "car", None, 1) for i, v, c, s in rows], "id string, vehicle_id string, camera_id string, observed_at timestamp_ntz, plate string, vehicle_type string, color string, embedding_id int")
-    found = topology.candidates(prints, edges).where("source_id = 'cur'").orderBy("place").collect()
-    assert [(r["candidate_id"], r["time_score"]) for r in found] == [("c60", 1.0), ("a300", 1.0), ("a60", 0.0)]
-    scored = {r["candidate_id"]: r for r in reid.score_pairs(topology.candidates(prints, edges).where("source_id = 'cur'"), prints).collect()}
-    assert scored["c60"]["decision"] == "MATCH" and scored["a60"]["decision"] == "REVIEW"
+    edges = spark.createDataFrame([("n1", "west", "gate", 20.0, 90.0, 200.0, True), ("n2", "east", "gate", 5.0, 40.0, 80.0, True), ("n3", "roof", "gate", 0.0, 10.0, 5000.0, False)], EDGE)
+    rows = [("now", "v0", "gate", 0), ("west90", "v1", "west", -90), ("west20", "v2", "west", -20), ("west201", "v3", "west", -201), ("roof10", "v4", "roof", -10), ("east40", "v5", "east", -40), ("own", "v0", "west", -80)]
+    prints = spark.createDataFrame([(i, v, c, T0 + timedelta(seconds=s), "43C06172", "car", None, 1) for i, v, c, s in rows], "id string, vehicle_id string, camera_id string, observed_at timestamp_ntz, plate string, vehicle_type string, color string, embedding_id int")
+    found = topology.candidates(prints, edges).where("source_id = 'now'").orderBy("place").collect()
+    assert [(r["candidate_id"], r["time_score"]) for r in found] == [("east40", 1.0), ("west90", 1.0), ("west20", 0.0)]
+    scored = {r["candidate_id"]: r for r in reid.score_pairs(topology.candidates(prints, edges).where("source_id = 'now'"), prints).collect()}
+    assert scored["east40"]["decision"] == "MATCH" and scored["west20"]["decision"] == "REVIEW"
     sparse = prints.withColumn("plate", F.lit(None).cast("string"))
     assert all(r["decision"] != "MATCH" for r in reid.score_pairs(topology.candidates(sparse, edges), sparse).collect())
 
 
+def test_candidates_take_the_newest_places_of_a_busy_camera(spark):
+    rng = random.Random(7)
+    edges = [("x", "a", "b", 1.0, 30.0, 60.0, True), ("y", "b", "b", 0.0, 5.0, 400.0, True), ("z", "c", "b", 2.5, 2.5, 90.0, True)]
+    rows = [(f"i{n:04}", f"v{rng.randrange(9)}", rng.choice("aabc"), T0 + timedelta(seconds=rng.randrange(600))) for n in range(700)]
+    got = topology.candidates(spark.createDataFrame(rows, "id string, vehicle_id string, camera_id string, observed_at timestamp_ntz"), spark.createDataFrame(edges, EDGE), per_edge=7, per_source=1000).collect()
+    expect = set()
+    for source, vehicle, camera, at in rows:
+        for edge, start, end, low, _, high, _ in edges:
+            if camera == end:
+                near = sorted(((t, i, v) for i, v, c, t in rows if c == start and low <= (at - t).total_seconds() <= high), reverse=True)[:7]
+                expect |= {(source, i, edge) for _, i, v in near if i != source and v != vehicle}
+    assert {(r["source_id"], r["candidate_id"], r["edge_id"]) for r in got} == expect and len(got) == len(expect)
+
+
+def test_nearest_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(reid, "QUERY_BLOCK", 3)
+    vectors = np.random.default_rng(3).normal(size=(60, 5))
+    df = spark.createDataFrame([(i, f"m{i % 2}", [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, model string, values array<double>")
+    got = {(r["query_id"], r["place"]): r["id"] for r in reid.nearest(df.where("id % 5 = 0"), df, -1.0, 4).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for q in range(0, 60, 5):
+        others = sorted(((float(unit[q] @ unit[i]), i) for i in range(60) if i != q and i % 2 == q % 2), reverse=True)[:4]
+        assert [got[q, n] for n in range(4)] == [i for _, i in others]
+
+
 def test_journey(spark):
-    edges = spark.createDataFrame([("ab", "a", "b", 30.0, 60.0, 120.0, True), ("bc", "b", "c", 30.0, 60.0, 90.0, True)], EDGE)
-    ev = spark.createDataFrame([("3", "v", "c", T0 + timedelta(seconds=200)), ("1", "v", "a", T0), ("2", "v", "b", T0 + timedelta(seconds=60))], "id string, vehicle_id string, camera_id string, occurred_at timestamp_ntz")
+    edges = spark.createDataFrame([("1", "p", "q", 10.0, 20.0, 45.0, True), ("2", "q", "r", 5.0, 9.0, 30.0, True)], EDGE)
+    ev = spark.createDataFrame([("k", "v", "r", T0 + timedelta(seconds=100)), ("i", "v", "p", T0), ("j", "v", "q", T0 + timedelta(seconds=33))], "id string, vehicle_id string, camera_id string, occurred_at timestamp_ntz")
     found = journeys.segments(ev, edges).orderBy("to_event").collect()
-    assert [(r["elapsed_seconds"], r["feasible"], r["truncated"]) for r in found] == [(60.0, True, False), (140.0, False, False)]
+    assert [(r["elapsed_seconds"], r["feasible"], r["truncated"]) for r in found] == [(33.0, True, False), (67.0, False, False)]
     assert [r["truncated"] for r in journeys.segments(ev, edges, 2).collect()] == [True]
     assert journeys.summarize(ev, journeys.segments(ev, edges)).first()["infeasible"] == 1
 
@@ -110,9 +138,9 @@ def test_rules_follow_two_valued_logic(spark):
 
 
 def test_quality_and_feedback(spark):
-    rows = [("51H-123.45", "CONFIRMED", 0.9, True, True, T0), (None, "NO_PLATE", None, False, False, T0 + timedelta(hours=1))]
+    rows = [("43C-061.72", "CONFIRMED", 0.7, True, True, T0), (None, "NO_PLATE", None, False, False, T0 + timedelta(hours=1))]
     ev = spark.createDataFrame(rows, "plate string, status string, plate_confidence double, reviewed boolean, corrected boolean, occurred_at timestamp_ntz").withColumn("model_name", F.lit("m")).withColumn("model_version", F.lit("1"))
-    total = quality.facets(ev, "2026-08-01", "2026-09-01").where("facet = 'total'").first()
+    total = quality.facets(ev, "2023-03-01", "2023-03-08").where("facet = 'total'").first()
     assert (total["events"], total["readable"], total["success_rate"], total["unknown_rate"], total["correction_rate"]) == (2, 1, 0.5, 0.5, 1.0)
 
 
@@ -143,7 +171,7 @@ def test_average_precision(spark):
     box = lambda rows: [(*r[:3], [float(x) for x in r[3]], *r[4:]) for r in rows]
     t = spark.createDataFrame(box(truths), "id long, image_id long, category_id long, bbox array<double>")
     p = spark.createDataFrame(box(preds), "id long, image_id long, category_id long, bbox array<double>, score double")
-    got = {r["threshold"]: r["average_precision"] for r in evaluation.average_precision(evaluation.match(t, p, (0.3, 0.5)), t).collect()}
+    got = {r["threshold"]: r["average_precision"] for r in evaluation.average_precision(evaluation.match(t, p, (0.3, 0.5)), t, (0.3, 0.5)).collect()}
     for thr in (0.3, 0.5):
         assert got[thr] == pytest.approx(_brute_ap(truths, preds, thr))
     pr = evaluation.precision_recall(evaluation.match(t, p), t).first()
@@ -160,7 +188,7 @@ def test_suppression_and_association(spark):
 
 
 def test_ocr_metrics_and_gate(spark):
-    rows = spark.createDataFrame([("51H-123.45", "51H-123.45", 0.9), ("51H-123.45", "51H-123.4S", 0.8)], "label string, predicted string, confidence double")
+    rows = spark.createDataFrame([("43C-061.72", "43C-061.72", 0.7), ("88K-999.99", "88K-999.9G", 0.6)], "label string, predicted string, confidence double")
     m = evaluation.ocr_metrics(rows)
     assert m.first()["exact_accuracy"] == 0.5 and m.first()["character_accuracy"] > 0.9
     assert m.select(evaluation.gate({"exact_accuracy": F.col("exact_accuracy") >= 0.6, "character_accuracy": F.col("character_accuracy") >= 0.5})).first()[0] == ["exact_accuracy"]
@@ -224,18 +252,82 @@ def test_consensus_and_sampling(spark):
 
 
 def test_audit_redaction_reads_whole_pages(spark, tmp_path):
-    import json
-
-    from platehouse.plans import catalog
+    from platehouse.plans import registry
+    from platehouse.plans import catalog  # noqa: F401
 
-    pages = [(1, "https://u:p@x/a", "<p>" + "y" * 200), (2, "https://x/a?q=1", "z" * 4096 + "tail"), (3, None, "Bearer abc"), (4, "ftp://x", None), (5, "x", ""), (6, "x", "é\"\\\n" * 1500), (7, "x", "http://h/p?k=" + "v" * 60)]
+    pages = [(1, "https://x/a", "<p>" + "y" * 200), (2, "https://x/a", "z" * 4096 + "tail"), (3, None, "Bearer abc"), (4, "ftp://x", None), (6, "x", "é\"\\\n" * 1500), (10, "https://x/a", "")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = {r["page_id"]: json.loads(r["document"]) for r in catalog.queries()["audit_redaction"](spark, str(tmp_path)).collect()}
+    got = {r["page_id"]: (r["url"], r["html"]) for r in registry.queries()["audit_redaction"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("https://x/a", pages[0][2]), 2: ("https://x/a", "z" * 4096), 3: (None, "[REDACTED]"), 4: ("ftp://x?q=1#x", None), 6: ("x?q=1#x", pages[4][2][:4096]), 10: ("[REDACTED]", "")}
+
+
+def test_redaction_limits(spark):
+    from platehouse.operators import state
+
+    deep = "1"
+    for _ in range(10):
+        deep = '{"d":' + deep + "}"
+    wide = "[" + ",".join(["0"] * 1001) + "]"
+    many = "{" + ",".join(f'"k{i}":0' for i in range(1001)) + "}"
+    got = [json.loads(r[0]) for r in spark.createDataFrame([(d,) for d in (deep, wide, many, '{"n":NaN}')], "d string").select(state.redact(F.col("d"))).collect()]
+    levels, at = 0, got[0]
+    while isinstance(at, dict):
+        levels, at = levels + 1, at["d"]
+    assert (levels, at) == (9, "[TRUNCATED]") and got[1] == [0] * 1000 + ["[TRUNCATED]"] and len(got[2]) == 1001 and got[2]["_truncated"] is True and got[3] == {"n": "[NON_FINITE]"}
+
+
+def test_cursors_are_bound_to_their_filters(spark):
+    from platehouse.operators import annotations
 
-    def shown(text):
-        if text.lower().startswith(("bearer ", "https://u:p@")):
-            return "[REDACTED]"
-        return (text.split("?")[0] if text.startswith("http") else text)[:4096]
+    items = spark.createDataFrame([(f"r{i:02}", "OPEN" if i % 2 else "DONE", "x") for i in range(20)], "review_id string, status string, reason string")
+    seen, cursor = [], None
+    while True:
+        found = [r["review_id"] for r in annotations.review_queue(items, "OPEN", None, 3, cursor).collect()]
+        seen += found[:3]
+        if len(found) <= 3:
+            break
+        cursor = events.encode_bound(found[2], {"status": "OPEN", "reason": None})
+    assert seen == [f"r{i:02}" for i in range(1, 20, 2)]
+    for status, text in (("DONE", cursor), ("OPEN", "%%%")):
+        with pytest.raises(ValueError):
+            annotations.review_queue(items, status, None, 3, text)
+
+
+def test_recent_ids_and_causes(spark):
+    from platehouse.operators import state
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4)], "id string, at int")
+    assert [(r["id"], r["at"]) for r in state.recent_ids(rows, "id", "at", 2).collect()] == [("c", 4), ("b", 2)]
+    assert [r["causes"] for r in state.failure_causes(rows, {"late": F.col("at") > 2, "first": F.col("id") == "a"}).orderBy("at").collect()] == [["first"], [], ["late", "first"], ["late"]]
+    assert [(r["id"], r["at"]) for r in state.newest_per_key(rows, ["id"], [F.desc("at")]).orderBy("id").collect()] == [("a", 3), ("b", 2), ("c", 4)]
+
+
+def test_due_and_accepted_readings(spark):
+    frames = spark.createDataFrame([("t", f, f + 1) for f in (0, 1, 3, 4, 9, 10, 14, 30)], "track_id string, frame_id long, seen long")
+    stable = spark.createDataFrame([("t", 14, "x")], "track_id string, frame_id long, normalized string")
+    assert [r["frame_id"] for r in voting.due_frames(frames, 4, stable).orderBy("frame_id").collect()] == [0, 4, 9, 14]
+    rows = [("c", 0, "nonsense", 0.99), ("c", 1, "43C06172", 0.5), ("c", 2, "43C06173", 0.8), ("c", 3, "43C06174", 0.95), ("d", 0, "43C06172", 0.2)]
+    tries = spark.createDataFrame(rows, "crop string, variant int, text string, confidence double")
+    assert [(r["crop"], r["compact"]) for r in voting.accepted_readings(tries, ["crop"], 0.3, 0.75).collect()] == [("c", "43C06173")]
+    assert [r["compact"] for r in voting.accepted_readings(tries, ["crop"], 0.3).collect()] == ["43C06174"]
+
+
+def test_seeks_and_suggestions(spark):
+    from platehouse.operators import annotations
 
-    expect = {i: ({} if url is None else {"url": shown(url)}) | {"apiToken": "[REDACTED]", "body": {} if html is None else {"html": shown(html)}} for i, url, html in pages}
-    assert got == expect
+    videos = spark.createDataFrame([("v", 10.0, 12), ("empty", 10.0, 0)], "video_id string, fps double, frame_count int")
+    assert [r["frame_index"] for r in annotations.seek_samples(videos, 0.25).orderBy("frame_index").collect()] == [0, 3, 5, 8, 10]
+    assert [r["frame_index"] for r in annotations.seek_samples(videos, 0.04).orderBy("frame_index").collect()] == list(range(12))
+    box = [1.0, 2.0, 3.0, 4.0]
+    pairs = [([box], [box]), ([box], [[1.0, 2.009, 3.0, 4.0]]), ([box], [[1.0, 2.02, 3.0, 4.0]]), ([box, box], [box]), ([], [])]
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a array<array<double>>, b array<array<double>>").orderBy("i").select(annotations.same_boxes(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [True, True, False, False, False]
+
+
+def test_performance_gates(spark):
+    good = "0" * 64
+    rows = [("a", "detector-runtime-benchmark", good, 5.0, 10.0, None, True, True), ("b", "edge-capacity-benchmark", "x", 1.5, 300.0, 0.2, False, None)]
+    schema = "file string, kind string, model_sha256 string, latency_count double, p95_ms double, drop_ratio double, gate_passed boolean, accuracy_representative boolean"
+    df = spark.createDataFrame(rows, schema)
+    assert [tuple(r) for r in stats.verify_gates(df).collect()] == [("b", f) for f in ("invalid_model_hash", "missing_latency_samples", "drop_ratio_exceeds_limit", "p95_latency_exceeds_limit", "gate_failed")]
+    assert {tuple(r) for r in stats.verify_gates(df.where("file = 'c'")).collect()} == {(None, f) for f in ("missing_kind:detector-runtime-benchmark", "missing_kind:edge-capacity-benchmark", "missing_accuracy_representative_detector_gate")}
