@@ -36,33 +36,50 @@ def _ious(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
     return np.divide(common, union, out=np.zeros(len(boxes)), where=union > 0)
 
 
-def match(truths: DataFrame, predictions: DataFrame, thresholds: tuple[float, ...] = (0.5,)) -> DataFrame:
-    """(threshold, prediction_id, image_id, category_id, score, truth_id): one-to-one matches, highest score first.
+def _overlaps(x: float, y: float, w: float, h: float, boxes: list[list[float]]) -> list[float]:
+    """IoU of a box with few others."""
+    out = []
+    for bx, by, bw, bh in boxes:
+        across, down = min(x + w, bx + bw) - max(x, bx), min(y + h, by + bh) - max(y, by)
+        common = max(0.0, across) * max(0.0, down)
+        union = w * h + bw * bh - common
+        out.append(common / union if union > 0 else 0.0)
+    return out
+
+
+def match_all(truths: DataFrame, predictions: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """(prediction_id, image_id, category_id, score, truth_ids): one-to-one matches, highest score first, for each threshold.
 
     truths: id, image_id, category_id, bbox [x, y, w, h]; predictions also score. A prediction takes the best free truth
     of its image and category from the threshold on; of equals the later. Spark deals images; a group is one image's class.
     """
+    least = min(thresholds)
 
     def greedy(key, rows: dict) -> list[tuple]:
         n = sum(s is None or s != s for s in rows["score"])  # truths have no score and come first, in order of id
-        ids, boxes = rows["id"][:n], np.array([list(b) for b in rows["bbox"]], float).reshape(-1, 4)
+        ids, boxes = rows["id"][:n], [[float(v) for v in b] for b in rows["bbox"]]
+        taken = [set() for _ in thresholds]
         out = []
-        found = []
         for i in range(n, len(rows["id"])):
-            iou = _ious(boxes[i], boxes[:n])
-            near = [(float(iou[j]), j) for j in np.flatnonzero(iou >= min(thresholds))]
-            found.append((rows["id"][i], rows["score"][i], sorted(near, reverse=True)))
-        for threshold in thresholds:
-            taken = set()
-            for pid, score, near in found:
-                best = next((j for v, j in near if v >= threshold and j not in taken), None)
-                taken.add(best)
-                out.append((threshold, pid, key[0], key[1], score, None if best is None else ids[best]))
+            near = sorted(((v, j) for j, v in enumerate(_overlaps(*boxes[i], boxes[:n])) if v >= least), reverse=True)
+            found = []
+            for threshold, used in zip(thresholds, taken, strict=True):
+                best = next((j for v, j in near if v >= threshold and j not in used), None) if near else None
+                used.add(best)
+                found.append(None if best is None else ids[best])
+            out.append((rows["id"][i], key[0], key[1], rows["score"][i], found))
         return out
 
     by = ["image_id", "category_id"]
     both = truths.select("id", *by, "bbox", F.lit(None).cast("double").alias("score")).unionByName(predictions.select("id", *by, "bbox", "score"))
-    return map_groups(both, by, [F.desc_nulls_first("score"), "id"], greedy, "threshold double, prediction_id long, image_id long, category_id long, score double, truth_id long")
+    return map_groups(both, by, [F.desc_nulls_first("score"), "id"], greedy, "prediction_id long, image_id long, category_id long, score double, truth_ids array<long>")
+
+
+def match(truths: DataFrame, predictions: DataFrame, thresholds: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """The matches of match_all with a row for each threshold: threshold, prediction_id, image_id, category_id, score, truth_id."""
+    found = match_all(truths, predictions, thresholds)
+    each = F.inline(F.arrays_zip(F.array(*[F.lit(t) for t in thresholds]).alias("threshold"), F.col("truth_ids").alias("truth_id")))
+    return found.select(each.alias("threshold", "truth_id"), "prediction_id", "image_id", "category_id", "score").select("threshold", "prediction_id", "image_id", "category_id", "score", "truth_id")
 
 
 def precision_recall(matches: DataFrame, truths: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -75,36 +92,44 @@ def precision_recall(matches: DataFrame, truths: DataFrame, by: list[str] | None
     return out.withColumn("precision", ratio(F.col("true_positives"), F.col("true_positives") + F.col("false_positives"))).withColumn("recall", ratio(F.col("true_positives"), F.col("truths")))
 
 
-def average_precision(matches: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = IOU_THRESHOLDS) -> DataFrame:
+def average_precision(truths: DataFrame, predictions: DataFrame, thresholds: tuple[float, ...] = IOU_THRESHOLDS) -> DataFrame:
     """(threshold, category_id, average_precision): mean over recalls 0, .01 ... 1 of the best precision from there on.
 
+    The order of predictions is the same for every threshold, so one row of each carries the hits at all thresholds.
     Predictions are dealt into ranges of score once, so that a class of a third of all rows is many windows: each range
     adds the counts of those before it, and the best precision of those behind it. Each step of recall is reached first
     by one prediction, so the 101 recalls are sums over predictions instead of a join: best precision from a prediction
     on, times the number of recalls that it is the first to reach.
     """
-    by = ["threshold", "category_id"]
-    n_ranges = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, by = truths.sparkSession, ["category_id", "_part"]
+    at = range(len(thresholds))
     there = F.broadcast(truths.groupBy("category_id").agg(F.count("*").alias("_truths")))  # one row a class
-    hits = staged(matches.select(*by, "score", "prediction_id", F.col("truth_id").isNotNull().cast("int").alias("_hit")).repartitionByRange(n_ranges, F.desc("score"), "prediction_id").withColumn("_part", F.spark_partition_id()), "hits")
-    # one row for each range, threshold and class
-    sums = hits.groupBy(*by, "_part").agg(F.sum("_hit").alias("_hits"), F.count("*").alias("_rows"))
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sums.select(*by, "_part", F.coalesce(F.sum("_hits").over(earlier), F.lit(0)).alias("_tp0"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_n0"))
-    order = Window.partitionBy(*by, "_part").orderBy(F.desc("score"), "prediction_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = hits.join(F.broadcast(ahead), [*by, "_part"]).withColumns({"_tp": F.col("_tp0") + F.sum("_hit").over(order), "_n": F.col("_n0") + F.count("*").over(order)})
-    run = run.withColumn("_precision", F.col("_tp") / F.col("_n"))
-    best = run.groupBy(*by, "_part").agg(F.max("_precision").alias("_most"))
-    later = Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    behind = best.select(*by, "_part", F.max("_most").over(later).alias("_later"))
-    back = Window.partitionBy(*by, "_part").orderBy("score", F.desc("prediction_id")).rowsBetween(Window.unboundedPreceding, 0)
-    reached = lambda tp: F.when(tp > 0, F.floor(F.lit(100) * tp / F.col("_truths") + F.lit(1e-9)) + 1).otherwise(1)
-    before = F.when(F.col("_n") == 1, F.lit(0)).otherwise(reached(F.col("_tp") - F.col("_hit")))
-    run = run.withColumn("_best", F.max("_precision").over(back)).join(F.broadcast(behind), [*by, "_part"]).join(there, "category_id")
-    steps = run.withColumn("_steps", reached(F.col("_tp")) - before).where("_steps > 0")
-    found = steps.groupBy(*by).agg((F.sum(F.greatest("_best", F.coalesce("_later", F.lit(0.0))) * F.col("_steps")) / 101).alias("average_precision"))
-    every = there.select("category_id", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
-    return every.join(found, by, "left").select(*by, F.coalesce("average_precision", F.lit(0.0)).alias("average_precision"))
+    hits = match_all(truths, predictions, thresholds).select("category_id", "score", "prediction_id", *[F.col("truth_ids")[i].isNotNull().cast("int").alias(f"_hit{i}") for i in at])
+    hits = staged(hits.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.desc("score"), "prediction_id").withColumn("_part", F.spark_partition_id()), "hits")
+    # one row for each range and class
+    sums = hits.groupBy(*by).agg(F.count("*").alias("_rows"), *[F.sum(f"_hit{i}").alias(f"_hits{i}") for i in at])
+    earlier = Window.partitionBy("category_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    over = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    ahead = sums.select(*by, over("_rows").alias("_n0"), *[over(f"_hits{i}").alias(f"_tp0{i}") for i in at])
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "prediction_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = hits.join(F.broadcast(ahead), by).withColumns({"_n": F.col("_n0") + F.count("*").over(order), **{f"_tp{i}": F.col(f"_tp0{i}") + F.sum(f"_hit{i}").over(order) for i in at}})
+    run = run.select(*by, "score", "prediction_id", "_n", *[F.col(f"_hit{i}") for i in at], *[F.col(f"_tp{i}") for i in at], *[(F.col(f"_tp{i}") / F.col("_n")).alias(f"_p{i}") for i in at])
+    run = staged(run, "precision")
+    best = run.groupBy(*by).agg(*[F.max(f"_p{i}").alias(f"_most{i}") for i in at])
+    later = Window.partitionBy("category_id").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = best.select(*by, *[F.coalesce(F.max(f"_most{i}").over(later), F.lit(0.0)).alias(f"_later{i}") for i in at])
+    back = Window.partitionBy(*by).orderBy("score", F.desc("prediction_id")).rowsBetween(Window.unboundedPreceding, 0)
+    run = run.withColumns({f"_best{i}": F.max(f"_p{i}").over(back) for i in at}).join(F.broadcast(behind), by).join(there, "category_id")
+
+    def share(i: int) -> Column:
+        reached = lambda tp: F.when(tp > 0, F.floor(F.lit(100) * tp / F.col("_truths") + F.lit(1e-9)) + 1).otherwise(1)
+        tp = F.col(f"_tp{i}")
+        steps = reached(tp) - F.when(F.col("_n") == 1, F.lit(0)).otherwise(reached(tp - F.col(f"_hit{i}")))
+        return F.sum(F.greatest(f"_best{i}", f"_later{i}") * steps) / 101
+
+    found = run.groupBy("category_id").agg(F.array(*[share(i) for i in at]).alias("_ap"))
+    every = there.join(found, "category_id", "left").select("category_id", F.inline(F.arrays_zip(F.array(*[F.lit(t) for t in thresholds]), F.coalesce("_ap", F.array(*[F.lit(0.0) for _ in at])))).alias("threshold", "average_precision"))
+    return every.select("threshold", "category_id", "average_precision")
 
 
 def mean_average_precision(aps: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ _AP = (
 
 
 def _precision(spark, sf_dir) -> DataFrame:
-    return evaluation.average_precision(_matched(spark, sf_dir, evaluation.IOU_THRESHOLDS), _truths(spark, sf_dir))
+    return evaluation.average_precision(_truths(spark, sf_dir), fx.boxes(spark, sf_dir, fx.PREDICTED))
 
 
 @query(_AP + "SELECT threshold, class AS category_id, round(coalesce(ap, 0), 7) AS average_precision FROM ap")

@@ -171,7 +171,7 @@ def test_average_precision(spark):
     box = lambda rows: [(*r[:3], [float(x) for x in r[3]], *r[4:]) for r in rows]
     t = spark.createDataFrame(box(truths), "id long, image_id long, category_id long, bbox array<double>")
     p = spark.createDataFrame(box(preds), "id long, image_id long, category_id long, bbox array<double>, score double")
-    got = {r["threshold"]: r["average_precision"] for r in evaluation.average_precision(evaluation.match(t, p, (0.3, 0.5)), t, (0.3, 0.5)).collect()}
+    got = {r["threshold"]: r["average_precision"] for r in evaluation.average_precision(t, p, (0.3, 0.5)).collect()}
     for thr in (0.3, 0.5):
         assert got[thr] == pytest.approx(_brute_ap(truths, preds, thr))
     pr = evaluation.precision_recall(evaluation.match(t, p), t).first()
