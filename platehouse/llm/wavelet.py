@@ -3,6 +3,8 @@
 A shard holds the ids of whole documents in order as bit-planes, highest bit first; in each plane, the ids stand as
 the planes above have dealt them (zeros before ones, stably). With a count of ones before every block of 512 bits, an
 id's place in the next plane is a rank, so access, counting and the search for occurrences each walk `width` planes.
+A file holds these counts, and the planes in chunks that are compressed one by one with an index, so a lookup unpacks a
+chunk of each plane or two and not the file.
 """
 
 from __future__ import annotations
@@ -20,41 +22,81 @@ from pyspark.sql import functions as F
 from platehouse.llm.shared import number_below, partitions, quantiles, staged
 from platehouse.llm.tokens import encoder
 
-_MAGIC, _BLOCK = b"WVM1", 512
+_MAGIC, _BLOCK, _CHUNK = b"WVM2", 512, 8192
+_BLOCK_BYTES = _BLOCK // 8
+_HEAD = "<4sQB"
 #: Up to so many shards, their offsets (24 bytes each) are broadcast; beyond that, shards are shuffled to them.
 BROADCAST_SHARDS = 1_000_000
 
 
-class WaveletMatrix:
-    """A succinct sequence of unsigned integers."""
+def _wide(n: int) -> str:
+    """Counts and offsets take four bytes unless a file is very large."""
+    return "<u4" if n < 1 << 28 else "<u8"
+
 
-    def __init__(self, n: int, width: int, planes: np.ndarray):
-        #: planes: width rows of ceil(n / 512) blocks of packed bits, little-endian within a byte.
-        self.n, self.width, self.planes = n, width, planes
-        ones = np.unpackbits(planes, axis=1, bitorder="little").reshape(width, -1, _BLOCK).sum(axis=2, dtype=np.int64) if n else np.zeros((width, 0), np.int64)
-        self.before = np.concatenate((np.zeros((width, 1), np.int64), np.cumsum(ones, axis=1)), axis=1)
-        self.zeros = n - self.before[:, -1]
+class WaveletMatrix:
+    """A succinct sequence of unsigned integers, as its file's bytes: only what a call needs is unpacked."""
+
+    def __init__(self, data: bytes):
+        magic, self.n, self.width = struct.unpack_from(_HEAD, data)
+        if magic != _MAGIC:
+            raise ValueError("not a wavelet matrix")
+        kind, at = np.dtype(_wide(self.n)), struct.calcsize(_HEAD)
+        blocks = -(-self.n // _BLOCK)
+        self.row = blocks * _BLOCK_BYTES
+        self.chunks = -(-self.row // _CHUNK)
+
+        def column(shape: tuple[int, ...]) -> np.ndarray:
+            nonlocal at
+            size = int(np.prod(shape))
+            found = np.frombuffer(data, kind, size, at).reshape(shape)
+            at += size * kind.itemsize
+            return found
+
+        #: Ones before each block of each plane, and in all of it.
+        self.before = column((self.width, blocks + 1))
+        self.index = column((self.width * self.chunks + 1,)).astype(np.int64)
+        self.index += at
+        self.zeros = self.n - self.before[:, -1].astype(np.int64)
+        self.data = data
+        self._unpack = zstandard.ZstdDecompressor()
+        self._held: dict[int, np.ndarray] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
-        return cls(len(ids), width, _planes(ids, width))
+        return cls(_packed(len(ids), width, _planes(ids, width)))
 
     def to_bytes(self) -> bytes:
-        """One file: a header and the compressed planes. Counts of ones are made anew when it is read."""
-        return _MAGIC + struct.pack("<QB", self.n, self.width) + zstandard.ZstdCompressor(level=-3).compress(self.planes.tobytes())
+        """One file: head, counts of ones, index of chunks, chunks."""
+        return self.data
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        return cls(*_unpacked(data))
+        return cls(data)
+
+    def _chunk(self, level: int, chunk: int) -> np.ndarray:
+        k = level * self.chunks + chunk
+        if k not in self._held:
+            self._held[k] = np.frombuffer(self._unpack.decompress(self.data[self.index[k] : self.index[k + 1]]), np.uint8)
+        return self._held[k]
+
+    def _block(self, level: int, block: int) -> np.ndarray:
+        chunk, at = divmod(block * _BLOCK_BYTES, _CHUNK)
+        return self._chunk(level, chunk)[at : at + _BLOCK_BYTES]
+
+    def planes(self) -> np.ndarray:
+        """All planes: rows of packed bits, little-endian within a byte."""
+        frames = (self._unpack.decompress(self.data[i:j]) for i, j in zip(self.index[:-1], self.index[1:], strict=True))
+        return np.frombuffer(b"".join(frames), np.uint8).reshape(self.width, self.row)
 
     def _bit(self, level: int, at: int) -> int:
-        return int(self.planes[level, at >> 3]) >> (at & 7) & 1
+        return int(self._block(level, at // _BLOCK)[at % _BLOCK >> 3]) >> (at & 7) & 1
 
     def _ones(self, level: int, at: int) -> int:
         """Ones in a plane before a place."""
-        block = at // _BLOCK
-        part = self.planes[level, block * _BLOCK // 8 : (at + 7) // 8]
-        return int(self.before[level, block]) + int(np.unpackbits(part, bitorder="little")[: at - block * _BLOCK].sum())
+        block, rest = divmod(at, _BLOCK)
+        ones = int(self.before[level, block])
+        return ones + int(np.unpackbits(self._block(level, block)[: (rest + 7) // 8], count=rest, bitorder="little").sum()) if rest else ones
 
     def access(self, at: int) -> int:
         """The id at a place."""
@@ -97,16 +139,17 @@ class WaveletMatrix:
 
     def _place(self, level: int, bit: int, k: int) -> int:
         """The place of a plane's k-th bit of a kind: binary search over blocks, then within one."""
-        before = self.before[level] if bit else np.arange(len(self.before[level])) * _BLOCK - self.before[level]
+        before = self.before[level].astype(np.int64)
+        before = before if bit else np.arange(len(before)) * _BLOCK - before
         block = int(np.searchsorted(before, k, side="right")) - 1
-        bits = np.unpackbits(self.planes[level, block * _BLOCK // 8 : (block + 1) * _BLOCK // 8], bitorder="little")
+        bits = np.unpackbits(self._block(level, block), bitorder="little")
         return block * _BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
 
     def occurrences(self, value: int) -> list[int]:
         return [self.select(value, k) for k in range(self.count(value))]
 
     def to_array(self) -> np.ndarray:
-        return _sequence(self.n, self.width, self.planes)
+        return _sequence(self.n, self.width, self.planes())
 
 
 def _planes(ids: np.ndarray, width: int) -> np.ndarray:
@@ -136,11 +179,15 @@ def _sequence(n: int, width: int, planes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unpacked(data: bytes) -> tuple[int, int, np.ndarray]:
-    if data[:4] != _MAGIC:
-        raise ValueError("not a wavelet matrix")
-    n, width = struct.unpack("<QB", data[4:13])
-    return n, width, np.frombuffer(zstandard.ZstdDecompressor().decompress(data[13:], max_output_size=1 << 40), np.uint8).reshape(width, -1)
+def _packed(n: int, width: int, planes: np.ndarray) -> bytes:
+    """A file of planes."""
+    kind = _wide(n)
+    ones = np.bitwise_count(planes.view("<u8")).reshape(width, -1, _BLOCK // 64).sum(axis=2, dtype=np.int64) if n else np.zeros((width, 0), np.int64)
+    before = np.concatenate((np.zeros((width, 1), np.int64), np.cumsum(ones, axis=1)), axis=1)
+    pack = zstandard.ZstdCompressor(level=-3)
+    chunks = [pack.compress(row[i : i + _CHUNK].tobytes()) for row in planes for i in range(0, planes.shape[1], _CHUNK)]
+    ends = np.concatenate(([0], np.cumsum([len(c) for c in chunks], dtype=np.int64)))
+    return b"".join((struct.pack(_HEAD, _MAGIC, n, width), before.astype(kind).tobytes(), ends.astype(kind).tobytes(), *chunks))
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, width: int = 16, shard_tokens: int = 1 << 18) -> DataFrame:
@@ -163,7 +210,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, width: int = 16,
         def closed() -> pd.DataFrame:
             nonlocal shard, held_tokens
             flat = np.concatenate(ids)
-            row = pd.DataFrame({"part": [part], "shard": [shard], "doc_ids": [list(held)], "sizes": [list(sizes)], "n_tokens": [len(flat)], "payload": [WaveletMatrix(len(flat), width, _planes(flat, width)).to_bytes()]})
+            row = pd.DataFrame({"part": [part], "shard": [shard], "doc_ids": [list(held)], "sizes": [list(sizes)], "n_tokens": [len(flat)], "payload": [_packed(len(flat), width, _planes(flat, width))]})
             shard, held_tokens = shard + 1, 0
             for x in (ids, sizes, held):
                 x.clear()
@@ -182,12 +229,16 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, width: int = 16,
         if ids:
             yield closed()
 
-    # Ranges come from a scan of doc_id alone; a doc_id that fills several ranges is dealt over them by its text's hash.
+    # Ranges come from a scan of doc_id alone; a doc_id that fills several ranges is dealt over them by its text's hash,
+    # and so are rows without one, over ranges of their own before all others.
     n = partitions(spark)
+    rows, ids = docs.agg(F.count("*"), F.count("doc_id")).first()
+    none = -(-n * (rows - ids) // max(rows, 1))
     starts, tie = quantiles(docs, "doc_id", n), F.xxhash64("text")
     below, upto = (number_below(F.col("doc_id"), starts, or_equal) for or_equal in (False, True))
-    place = F.when(F.col("doc_id").isNull(), 0).when(upto - below > 1, below + F.pmod(tie, F.greatest(upto - below, F.lit(1)))).otherwise(F.greatest(upto - 1, F.lit(0)))
-    ordered = docs.select("doc_id", "text").repartitionById(n, place.cast("int")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    own = F.when(upto - below > 1, below + F.pmod(tie, F.greatest(upto - below, F.lit(1)))).otherwise(F.greatest(upto - 1, F.lit(0)))
+    place = F.when(F.col("doc_id").isNull(), F.pmod(tie, F.lit(max(none, 1)))).otherwise(own + none)
+    ordered = docs.select("doc_id", "text").repartitionById(n + none, place.cast("int")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return staged(ordered.mapInPandas(encode, "part int, shard int, doc_ids array<long>, sizes array<long>, n_tokens long, payload binary"), "wavelet")
 
 
@@ -205,10 +256,26 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                data = _sequence(*_unpacked(row.payload)).astype("<u4").tobytes()
+                data = WaveletMatrix(row.payload).to_array().astype("<u4").tobytes()
                 n = np.array(row.sizes, np.int64)
                 ends = np.cumsum(n)
                 yield pd.DataFrame({"doc_id": pd.array(list(row.doc_ids), "Int64"), "start": row.start + ends - n, "n_tokens": n, "ids_crc32": [zlib.crc32(data[4 * (e - k) : 4 * e]) for e, k in zip(ends, n, strict=True)], "part": row.part, "shard": row.shard})
 
     at = F.broadcast(at) if sizes.count() <= BROADCAST_SHARDS else at
     return shards.join(at, ["part", "shard"]).mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, shard int")
+
+
+def occurrences(shards: DataFrame, token_ids: list[int]) -> DataFrame:
+    """(token_id, part, shard, n, first_at, last_at) of each shard that has one of the ids: its count and ends, by rank and select.
+
+    Places count from the shard's first id. A lookup unpacks a few chunks of the file.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                m = WaveletMatrix(row.payload)
+                found = [(t, row.part, row.shard, n, m.select(t, 0), m.select(t, n - 1)) for t in token_ids if (n := m.count(t))]
+                yield pd.DataFrame(found, columns=["token_id", "part", "shard", "n", "first_at", "last_at"]).astype("int64")
+
+    return shards.select("part", "shard", "payload").mapInPandas(look, "token_id long, part int, shard int, n long, first_at long, last_at long")
