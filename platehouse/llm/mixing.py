@@ -60,12 +60,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: each as often as the plan says, in the columns of docs.
 
     A fractional repetition of a document is its first part_words words, joined by spaces; n_chars, where docs has it,
-    is then counted anew. Rows alike in doc_id and text are one document that is taken as often as all of them.
+    is then counted anew. Rows alike in doc_id and text are one document that is taken as often as all of them;
+    where other columns differ, the row of least hash stands for all.
     """
     key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
     taken = plan(docs, **options).groupBy(*key, F.col("text_hash").alias("_hash")).agg(F.sum("epochs").alias("_epochs"), F.sum("part_words").alias("_part"), F.max("size").alias("_size"))
     whole_row = docs.select(*key, F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_doc"))
-    one = whole_row.dropDuplicates(["_id", "_null", "_hash"]).join(taken, ["_id", "_null", "_hash"])
+    one = whole_row.groupBy("_id", "_null", "_hash").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc")).join(taken, ["_id", "_null", "_hash"])
     size, none = F.greatest("_size", F.lit(1)), F.array().cast("array<long>")
     whole = F.array_repeat(F.lit(None).cast("long"), (F.col("_epochs") + F.floor(F.col("_part") / size)).cast("int"))
     rows = one.select("_doc", F.explode(F.concat(whole, F.when(F.col("_part") % size > 0, F.array(F.col("_part") % size)).otherwise(none))).alias("_words"))
