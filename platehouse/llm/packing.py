@@ -6,6 +6,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import cycle
 
 import numpy as np
 import pandas as pd
@@ -69,8 +70,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] =
     """Pieces of all documents in packed sequences, in one pass without a shuffle.
 
     Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; tier is the size that its sequence is
-    padded to, step_group a set of windows of one tier and step_tokens tokens in all (the last of a block may have
-    fewer). A task packs blocks of neighbouring rows, so sequence_id is its partition, its block and the window's number;
+    padded to, step_group a set of windows of one tier and at most step_tokens tokens in all; the groups of a block's tier
+    differ by one window at most. A task packs blocks of neighbouring rows, so sequence_id is its partition, its block and the window's number;
     each block pads one sequence at most. Null text is the empty text, whose only id is end_id. Repeated rows and null
     doc_ids are packed as any others; other columns are not read.
     """
@@ -85,17 +86,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] =
         def packed() -> pd.DataFrame:
             nonlocal first, group, tokens
             data = [ids.astype("<u4").tobytes() for _, ids in held]
-            rows, steps = [], {t: [group + i, 0] for i, t in enumerate(tiers)}
-            fresh = group + len(tiers)
-            for number, (tier, pieces) in enumerate(pack_lengths([len(ids) for _, ids in held], tiers)):
-                step = steps[tier]
-                if step[1] + tier > step_tokens and step[1]:
-                    step[:] = fresh, 0
-                    fresh += 1
-                step[1] += tier
+            windows = pack_lengths([len(ids) for _, ids in held], tiers)
+            rows, fresh, steps = [], group, {}
+            for t in tiers:  # a tier's windows go round its groups, which differ by one window at most
+                n = sum(tier == t for tier, _ in windows)
+                groups = -(-n * t // step_tokens)
+                steps[t] = cycle(range(fresh, fresh + groups)) if groups else None
+                fresh += groups
+            for number, (tier, pieces) in enumerate(windows):
+                step = next(steps[tier])
                 at = 0
                 for doc, start, n in pieces:
-                    rows.append((doc, start, n, zlib.crc32(data[doc][4 * start : 4 * (start + n)]), len(data[doc]) // 4, first + number, at, tier, step[0]))
+                    rows.append((doc, start, n, zlib.crc32(data[doc][4 * start : 4 * (start + n)]), len(data[doc]) // 4, first + number, at, tier, step))
                     at += n
             out = pd.DataFrame(rows, columns=["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
             out["doc_id"] = pd.array([held[d][0] for d in out.pop("doc")], "Int64")
