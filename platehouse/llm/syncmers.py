@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platehouse.llm.shared import number_below, partitions, quantiles
+from platehouse.llm.shared import number_below, partitions, quantiles, staged
 
 K, S, KEPT = 20, 8, 96
 #: Texts of fewer characters have k-mers and s-mers of these lengths.
@@ -117,10 +117,6 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-#: Blocks over which documents without a doc_id are dealt.
-NULL_BLOCKS = 64
-
-
 def _edited(points: np.ndarray, following: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """The edited text and its anchors. Anchors that end before the cut are the text's own: only the rest is new."""
     n = len(points)
@@ -158,19 +154,29 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n / 4) characters replaced by the first as many, or all, of the next document's
     text in order of doc_id (of one doc_id: in order of the text's hash); after the last comes the first. Neighbours meet
-    because documents are dealt into blocks of neighbouring doc_ids, each with a copy of the next block's first document.
-    Two texts of which one alone is short (SHORT) are compared by the k and s of the short one, as far as a fingerprint
-    of 96 anchors tells; anchor_table gives all. Null text is the empty text. Documents with a null doc_id follow one another, in rings dealt by hash. Other columns
-    are not read. The text is shuffled once.
+    because documents are dealt into blocks of neighbours, each with a copy of the next block's first document. A doc_id
+    that fills several blocks is cut by its texts' hashes. Two texts of which one alone is short (SHORT) are compared by
+    the k and s of the short one, as far as a fingerprint of 96 anchors tells; anchor_table gives all. Null text is the
+    empty text. Documents with a null doc_id follow one another, in rings dealt by hash, as many as their share of all
+    rows has blocks. Other columns are not read. The text is shuffled once.
     """
-    starts = sorted(set(quantiles(docs, "doc_id", 4 * partitions(docs.sparkSession))))
-    bounds = F.array(*[F.lit(x) for x in starts]).cast("array<long>")
+    n = 4 * partitions(docs.sparkSession)
+    starts = quantiles(docs, "doc_id", n)
+    total, ids = docs.agg(F.count("*"), F.count("doc_id")).first()
+    rings = max(1, -(-n * (total - ids) // max(total, 1)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
-    number = F.when(F.col("doc_id").isNull(), -1 - F.pmod("tie", F.lit(NULL_BLOCKS))).otherwise(number_below(F.col("doc_id"), starts, True) - 1).cast("int")
-    before = F.when(F.col("_number") == 0, F.lit(len(starts) - 1)).otherwise(F.col("_number") - 1)
-    own, copy = F.struct(F.col("_number").alias("block"), F.lit(False).alias("copy")), F.struct(before.alias("block"), F.lit(True).alias("copy"))
-    places = F.when(F.coalesce(F.array_contains(bounds, F.col("doc_id")), F.lit(False)), F.array(own, copy)).otherwise(F.array(own))
-    dealt = rows.withColumn("_number", number).select("doc_id", "text", "tie", F.inline(places))
+    below, upto = (number_below(F.col("doc_id"), starts, or_equal) for or_equal in (False, True))
+    share = F.col("tie") / F.lit(2.0**64) + 0.5  # 0 to 1 in order of the hash
+    own = F.when(upto - below > 1, below + F.least(upto - below - 1, F.floor((upto - below) * share))).otherwise(upto - 1)
+    rows = rows.withColumn("block", F.when(F.col("doc_id").isNull(), -1 - F.pmod("tie", F.lit(rings))).otherwise(own).cast("int"))
+    # a row for each block: its first document goes to the block before it, too
+    firsts = rows.where("block >= 0").groupBy("block").agg(F.min(F.struct("doc_id", "tie")).alias("_f"))
+    ring = Window.orderBy("block")
+    before = F.coalesce(F.lag("block").over(ring), F.max("block").over(Window.partitionBy()))
+    firsts = staged(firsts.select("block", "_f.doc_id", "_f.tie", before.alias("_before")), "firsts")
+    marked = rows.join(F.broadcast(firsts), ["block", "doc_id", "tie"], "left")  # at most 4 * partitions rows
+    own, copy = F.struct(F.col("block"), F.lit(False).alias("copy")), F.struct(F.col("_before").alias("block"), F.lit(True).alias("copy"))
+    dealt = marked.select("doc_id", "text", "tie", F.inline(F.when(F.col("_before").isNotNull(), F.array(own, copy)).otherwise(F.array(own))))
     return dealt.groupBy("block").applyInPandas(lambda b: compare_block(b), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
