@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from platehouse.llm import importance, jaccard, mixing, packing, repetition, sharding, syncmers, toxicity, warc, wavelet
 from platehouse.llm.shared import documents
@@ -14,53 +15,70 @@ END_ID = 2
 
 
 def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, size and crc32 in wavelet-matrix files; see wavelet.write_shards."""
     return wavelet.read_shards(wavelet.write_shards(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), END_ID))
 
 
+def wavelet_token_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each of the first 64 ids occurs in all documents, in how many shards, counted by rank in op1's files."""
+    shards = wavelet.write_shards(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), END_ID)
+    found = wavelet.occurrences(shards, list(range(64)))
+    return found.groupBy("token_id").agg(F.sum("n").alias("n"), F.count("*").alias("shards"))
+
+
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the repetition rules for every document; see repetition.score."""
     return repetition.score(documents(spark, sf_dir))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and component of near-duplicates; see jaccard.near_duplicates."""
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
-def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op3 with every link found, inside components too: each document's set and number of links."""
     return jaccard.linked(documents(spark, sf_dir))[0]
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two derived records of every page's response, by digest; see warc.derive."""
     return warc.digests(warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log ratio, Gumbel key, place and choice; see importance.resample."""
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a lexicon learned on rows that are not held out; see toxicity.score."""
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot among 24; see sharding.shard."""
     return sharding.shard(documents(spark, sf_dir))
 
 
 def op8_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; see mixing.plan."""
     return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "epochs", "part_words")
 
 
 def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text and their likeness; see syncmers.fingerprint_edits."""
     return syncmers.fingerprint_edits(documents(spark, sf_dir))
 
 
 def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of the packed sequences; see packing.pack."""
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), END_ID)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_wavelet_shards, op2_repetition_coverage, op3_jaccard_join, op3_jaccard_links, op4_warc_derivatives, op5_importance_resampling, op6_toxicity, op7_minimax_shards, op8_water_filling, op9_syncmer_fingerprints, op10_hierarchical_packing)
+    found = (op1_wavelet_shards, wavelet_token_occurrences, op2_repetition_coverage, op3_jaccard_join, jaccard_links, op4_warc_derivatives, op5_importance_resampling, op6_toxicity, op7_minimax_shards, op8_water_filling, op9_syncmer_fingerprints, op10_hierarchical_packing)
     return {f.__name__: f for f in found}
 
 
