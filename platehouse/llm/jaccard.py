@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platehouse.functions.grouping import runs
-from platehouse.llm.shared import components, joined, partitions, staged
+from platehouse.llm.shared import components, hot_ends, joined, partitions, spread_join, staged
 
 #: Words in a shingle; two documents link where 100 * intersection >= 80 * union.
 WORDS = 5
@@ -255,14 +255,15 @@ def _across(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     return met.select(F.least("node", "id").alias("a"), F.greatest("node", "id").alias("b")).distinct()
 
 
-def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _passing(pairs: DataFrame, nodes: DataFrame, hot: DataFrame) -> DataFrame:
     """Pairs whose prefixes under both hash orders have enough in common."""
-    one = nodes.select(F.col("node").alias("a"), "n", F.col("x").alias("_ax"), F.col("y").alias("_ay"))
-    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("x").alias("_bx"), F.col("y").alias("_by"))
+    one = nodes.select("node", "n", F.col("x").alias("_ax"), F.col("y").alias("_ay"))
+    two = nodes.select("node", F.col("n").alias("m"), F.col("x").alias("_bx"), F.col("y").alias("_by"))
     enough = [F.size(F.array_intersect(f"_a{o}", f"_b{o}")) >= _needed_column("n", "m") for o in "xy"]
-    return pairs.join(one, "a").join(two, "b").where(enough[0] & enough[1]).select("a", "b")
+    return spread_join(spread_join(pairs, _ENDS, "a", one, hot, "node"), _ENDS, "b", two, hot, "node").where(enough[0] & enough[1]).select("a", "b")
 
 
+_ENDS = ["a", "b"]
 _SETS = "d1 long, d2 long, set array<long>"
 
 
@@ -277,7 +278,9 @@ def _whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs that pass the filters and whose whole sets of shingles are alike enough."""
-    passing = staged(_passing(pairs, nodes), "candidates")
+    pairs = staged(pairs, "met")
+    hot = hot_ends(pairs, _ENDS, "node")  # a hub meets all the rest of its group
+    passing = staged(_passing(pairs, nodes, hot), "candidates")
     wanted = nodes.join(passing.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("doc").alias("doc_id"))
     wanted = staged(wanted, "compared")
     # a doc_id that names one of the sets finds its text; where several have one, or none has any, digests do
@@ -301,7 +304,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         others = docs.select("doc_id", "text").join(few(odd), F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi").select("text").mapInPandas(_whole_sets, _SETS)
         named = wanted.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi").select("node", F.col("_d1").alias("d1"), F.col("_d2").alias("d2"))
         whole = whole.union(others.join(few(named), ["d1", "d2"]).groupBy("node").agg(F.any_value("set").alias("set")))
-    both = passing.join(whole.select(F.col("node").alias("a"), F.col("set").alias("_x")), "a").join(whole.select(F.col("node").alias("b"), F.col("set").alias("_y")), "b")
+    both = spread_join(passing, _ENDS, "a", whole.select("node", F.col("set").alias("_x")), hot, "node")
+    both = spread_join(both, _ENDS, "b", whole.select("node", F.col("set").alias("_y")), hot, "node")
     overlap = F.size(F.array_intersect("_x", "_y"))
     return both.where(9 * overlap >= 4 * (F.size("_x") + F.size("_y"))).select("a", "b").distinct()
 

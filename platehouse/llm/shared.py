@@ -52,6 +52,22 @@ def joined(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(hot, keys).unionByName(rest)
 
 
+def hot_ends(pairs: DataFrame, ends: list[str], name: str) -> DataFrame:
+    """(name, _parts) of the ends that very many pairs have, and into how many parts their pairs are dealt; HOT_KEYS rows at most."""
+    counts = staged(pairs.select(F.explode(F.array(*ends)).alias(name)).groupBy(name).agg(F.count("*").alias("_n")), "ends")
+    most = max(HOT_ROWS, (counts.agg(F.sum("_n")).first()[0] or 0) // HOT_KEYS)
+    return counts.where(F.col("_n") > most).select(name, F.ceil(F.col("_n") / most).alias("_parts"))
+
+
+def spread_join(pairs: DataFrame, ends: list[str], end: str, facts: DataFrame, hot: DataFrame, name: str) -> DataFrame:
+    """pairs joined with the facts (unique name) of one end. Pairs of a hot end are dealt by hash over its parts, each of
+    which gets a copy of its facts: no more copies in all than there are hot keys at most."""
+    few = F.broadcast(hot)
+    left = pairs.withColumn(name, F.col(end)).join(few, name, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*ends), F.col("_parts")), F.lit(0)))
+    right = facts.join(few, name, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return left.drop("_parts").join(right.drop("_parts"), [name, "_part"]).drop(name, "_part")
+
+
 def quantiles(df: DataFrame, column: str, n: int) -> list[int]:
     """The values that begin each n-th of a column, least first, from Spark's own sketch; a frequent value stands several times."""
     row = df.agg(F.min(column), F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(n)]), 20 * n)).first()
