@@ -68,10 +68,11 @@ def spread_join(pairs: DataFrame, ends: list[str], end: str, facts: DataFrame, h
     return left.drop("_parts").join(right.drop("_parts"), [name, "_part"]).drop(name, "_part")
 
 
-def quantiles(df: DataFrame, column: str, n: int) -> list[int]:
-    """The values that begin each n-th of a column, least first, from Spark's own sketch; a frequent value stands several times."""
-    row = df.agg(F.min(column), F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(n)]), 20 * n)).first()
-    return [] if row[0] is None else sorted([row[0], *row[1][1:]])
+def quantiles(df: DataFrame, column: str, n: int) -> tuple[list[int], int]:
+    """The values that begin each n-th of a column, least first, from Spark's own sketch, a frequent value several times;
+    and how many such parts the rows without a value would fill."""
+    row = df.agg(F.min(column), F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(n)]), 20 * n), F.count("*"), F.count(column)).first()
+    return [] if row[0] is None else sorted([row[0], *row[1][1:]]), -(-n * (row[2] - row[3]) // max(row[2], 1))
 
 
 def number_below(value: Column, numbers: list[int], or_equal: bool) -> Column:

@@ -161,14 +161,12 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     rows has blocks. Other columns are not read. The text is shuffled once.
     """
     n = 4 * partitions(docs.sparkSession)
-    starts = quantiles(docs, "doc_id", n)
-    total, ids = docs.agg(F.count("*"), F.count("doc_id")).first()
-    rings = max(1, -(-n * (total - ids) // max(total, 1)))
+    starts, rings = quantiles(docs, "doc_id", n)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     below, upto = (number_below(F.col("doc_id"), starts, or_equal) for or_equal in (False, True))
     share = F.col("tie") / F.lit(2.0**64) + 0.5  # 0 to 1 in order of the hash
     own = F.when(upto - below > 1, below + F.least(upto - below - 1, F.floor((upto - below) * share))).otherwise(upto - 1)
-    rows = rows.withColumn("block", F.when(F.col("doc_id").isNull(), -1 - F.pmod("tie", F.lit(rings))).otherwise(own).cast("int"))
+    rows = rows.withColumn("block", F.when(F.col("doc_id").isNull(), -1 - F.pmod("tie", F.lit(max(rings, 1)))).otherwise(own).cast("int"))
     # a row for each block: its first document goes to the block before it, too
     firsts = rows.where("block >= 0").groupBy("block").agg(F.min(F.struct("doc_id", "tie")).alias("_f"))
     ring = Window.orderBy("block")

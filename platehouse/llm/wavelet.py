@@ -217,8 +217,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, width: int = 16,
             return row
 
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                some = batch.iloc[i : i + 500]
+            for i in range(0, len(batch), 1000):
+                some = batch.iloc[i : i + 1000]
                 for doc, found in zip(some["doc_id"], encode_all(["" if t is None else t for t in some["text"]], end_id), strict=True):
                     ids.append(found)
                     sizes.append(len(found))
@@ -232,9 +232,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, width: int = 16,
     # Ranges come from a scan of doc_id alone; a doc_id that fills several ranges is dealt over them by its text's hash,
     # and so are rows without one, over ranges of their own before all others.
     n = partitions(spark)
-    rows, ids = docs.agg(F.count("*"), F.count("doc_id")).first()
-    none = -(-n * (rows - ids) // max(rows, 1))
-    starts, tie = quantiles(docs, "doc_id", n), F.xxhash64("text")
+    (starts, none), tie = quantiles(docs, "doc_id", n), F.xxhash64("text")
     below, upto = (number_below(F.col("doc_id"), starts, or_equal) for or_equal in (False, True))
     own = F.when(upto - below > 1, below + F.pmod(tie, F.greatest(upto - below, F.lit(1)))).otherwise(F.greatest(upto - 1, F.lit(0)))
     place = F.when(F.col("doc_id").isNull(), F.pmod(tie, F.lit(max(none, 1)))).otherwise(own + none)
