@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from platehouse.functions import plates
 from platehouse.functions.grouping import map_groups, scan
+from platehouse.functions.scratch import staged
 
 #: Weights of a cluster's score, distance within a cluster, support needed.
 WEIGHTS = {"frequency": 0.25, "ocr": 0.30, "quality": 0.20, "detection": 0.15, "consensus": 0.10}
@@ -182,14 +183,20 @@ def sessions(observations: DataFrame, ticks: DataFrame, gap_seconds: float = 2.0
     """Observations with `session`: a track closes when a tick of its camera and epoch comes gap_seconds after its last row.
 
     Ticks (camera_id, epoch, at) are all frames and heartbeats. The tick just before a row decides: if it came that long
-    after the previous row, the track had been closed. Both tables are ordered once per camera and epoch; the last tick
-    and the last row so far are running maxima, so no pairs are made.
+    after the previous row, the track had been closed. All times are put in one order and dealt into ranges of it, so a
+    camera of very many ticks is many windows; the last tick so far is a running maximum, carried from range to range, and
+    no pairs are made.
     """
     by = ["camera_id", "epoch"]
     both = observations.select(*by, "track_id", F.col("at"), F.lit(1).alias("_kind")).unionByName(ticks.select(*by, F.lit(None).cast("string").alias("track_id"), "at", F.lit(0).alias("_kind")))
     # ticks strictly before a row: number the distinct times, take the previous one's latest tick
     times = both.groupBy(*by, "at").agg(F.max(F.when(F.col("_kind") == 0, F.col("at"))).alias("_tick"))
-    earlier = times.withColumn("_before", F.max("_tick").over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))).select(*by, "at", "_before")
+    n_ranges = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    times = staged(times.repartitionByRange(n_ranges, *by, "at").withColumn("_part", F.spark_partition_id()), "times")
+    ahead = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = times.groupBy(*by, "_part").agg(F.max("_tick").alias("_most")).withColumn("_carried", F.max("_most").over(ahead(by, "_part"))).drop("_most")  # a row for each camera, epoch and range that they share
+    inside = times.withColumn("_in", F.max("_tick").over(ahead([*by, "_part"], "at")))
+    earlier = inside.join(carried, [*by, "_part"]).select(*by, "at", F.greatest("_in", "_carried").alias("_before"))
     track = Window.partitionBy(*by, "track_id").orderBy("at")
     rows = observations.join(earlier, [*by, "at"], "left").withColumn("_last", F.lag("at").over(track))
     late = F.timestamp_diff("MICROSECOND", F.col("_last"), F.col("_before")) >= int(gap_seconds * 1_000_000)
