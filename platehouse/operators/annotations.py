@@ -42,9 +42,9 @@ def plate_quality(rows: DataFrame, weights: dict[str, float], target: tuple[int,
     return scored.withColumn("eligible", (F.col("width") >= least[0]) & (F.col("height") >= least[1]) & (F.col("total") >= minimum))
 
 
-def weighted_score(parts: dict[Column, float]) -> Column:
+def weighted_score(parts: list[tuple[Column, float]]) -> Column:
     """Weighted mean of scores within [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum((c * w for c, w in parts.items()), F.lit(0.0)) / sum(parts.values())))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum((c * w for c, w in parts), F.lit(0.0)) / sum(w for _, w in parts)))
 
 
 def lighting(brightness: Column) -> Column:

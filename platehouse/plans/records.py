@@ -296,3 +296,71 @@ def finalized_events(spark, sf_dir):
     points = rows.selectExpr("track_id", "event_id AS frame_id", "0D AS x", "CAST(event_id % 7 AS DOUBLE) - 3 AS y")
     found = voting.finalize(tracks, points, read, ((0.0, 0.0), (1.0, 0.0)))
     return found.withColumn("plate", F.col("plate.normalized")).select("track_id", "camera_id", "direction", "event_type", "status", "plate", "frames", "plate_detections", "id")
+
+
+@query("SELECT count(*) AS lines, sum(('0x' || substr(sha256(text), 1, 15))::BIGINT)::HUGEINT::VARCHAR AS digest FROM documents")
+def annotation_digest(spark, sf_dir):
+    """The digest of a file's lines, which a manifest keeps."""
+    return files.digest_of_lines(fx.table(spark, sf_dir, "documents").select(F.col("text").alias("value")))
+
+
+@query("WITH {ve} SELECT camera_id AS track_id, arg_max(event_id, (round(s), -event_id)) AS frame_id, max(round(s)) AS score FROM (SELECT *, 100 * greatest(0.0, least(1.0, (vehicle_confidence * 0.5 + least(1.0, value / 600) * 0.3 + (user_id % 10) / 10.0 * 0.2) / 1.0)) AS s FROM ve) GROUP BY 1")
+def weighted_frames(spark, sf_dir):
+    """The best frame of each track by the weighted mean of its scores."""
+    rows = fx.events(spark, sf_dir)
+    score = annotations.weighted_score([(F.col("vehicle_confidence").cast("double"), 0.5), (F.least(F.lit(1.0), F.col("value") / 600), 0.3), (F.col("user_id") % 10 / 10, 0.2)])
+    return voting.best_frame(rows.select(F.col("camera_id").alias("track_id"), F.col("event_id").alias("frame_id"), F.round(score * 100).alias("score")))
+
+
+def _event_documents(spark, sf_dir) -> DataFrame:
+    e = fx.events(spark, sf_dir)
+    plate = F.struct(F.col("plate").alias("normalized"), F.col("plate_confidence").alias("confidence"))
+    return e.select(F.col("id").alias("_id"), F.lit(1).alias("schemaVersion"), F.struct(F.col("camera_id").alias("id")).alias("camera"), F.concat(F.lit("t"), (F.col("user_id") % 40).cast("string")).alias("trackId"), F.col("vehicle_id").alias("vehicleId"), F.col("event_type").alias("eventType"), "direction", "status", plate.alias("plate"), F.col("occurred_at").cast("timestamp").alias("occurredAt"))
+
+
+@query("WITH {ve} SELECT camera_id, event_type, count(*) AS events, count(plate) AS plates FROM ve GROUP BY 1, 2")
+def event_log(spark, sf_dir):
+    """S3: events appended to a log in two writes, read again and flattened."""
+    path, documents = new_path(spark, "log"), _event_documents(spark, sf_dir)
+    for direction in ("ENTER", "other"):
+        files.write_event_log(documents.where((F.col("direction") == "ENTER") == F.lit(direction == "ENTER")), path)
+    return files.flatten_events(files.read_event_log(spark, path)).groupBy("camera_id", "event_type").agg(F.count("*").alias("events"), F.count("plate").alias("plates"))
+
+
+@query("WITH {ve}, t AS (SELECT id, camera_id, 't' || (user_id % 40) AS track_id, event_type, occurred_at FROM ve) SELECT id, camera_id, track_id, event_type FROM t QUALIFY row_number() OVER (PARTITION BY camera_id, track_id, event_type ORDER BY date_trunc('milliseconds', occurred_at), id) = 1")
+def stored_events(spark, sf_dir):
+    """S6, S7, S22, ST7, ST8: what the worker stores of a stream of messages, a tenth of them twice and one broken."""
+    from platehouse.streaming import worker
+
+    folder, messages = new_path(spark, "worker"), files.encode_envelope(_event_documents(spark, sf_dir))
+    messages = messages.union(messages.where(F.crc32(F.col("value").cast("binary")) % 10 == 0)).union(spark.createDataFrame([("broken",)], "value string"))
+    messages.write.text(f"{folder}/in")
+    worker.start(spark.readStream.schema("value string").text(f"{folder}/in"), f"{folder}/store", f"{folder}/rejects", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/store").select("id", "camera_id", "track_id", "event_type")
+
+
+_CENTRE = "round(l_discount * 8, 6)::DOUBLE AS cx, round(l_tax * 10, 6)::DOUBLE AS cy, round(l_quantity / 100, 6)::DOUBLE AS w, round(l_quantity / 50, 6)::DOUBLE AS h"
+
+
+@query("SELECT id, class_id, round(greatest(0.0, cx - w / 2) * 200, 6) AS x, round(greatest(0.0, cy - h / 2) * 100, 6) AS y, round((least(1.0, cx + w / 2) - greatest(0.0, cx - w / 2)) * 200, 6) AS width, round((least(1.0, cy + h / 2) - greatest(0.0, cy - h / 2)) * 100, 6) AS height FROM (SELECT " + fx.TRUTHS["id"] + " AS id, l_linenumber AS class_id, " + _CENTRE + " FROM lineitem)")
+def box_labels(spark, sf_dir):
+    """Label lines of centre boxes as boxes in pixels."""
+    numbers = [F.round(c, 6).cast("double").cast("string") for c in (F.col("l_discount") * 8, F.col("l_tax") * 10, F.col("l_quantity") / 100, F.col("l_quantity") / 50)]
+    rows = fx.table(spark, sf_dir, "lineitem").withColumn("id", F.expr(fx.TRUTHS["id"]))
+    lines = rows.select(F.col("id").cast("string").alias("source"), F.lit(1).alias("line"), F.concat_ws(" ", F.col("l_linenumber").cast("string"), *numbers).alias("value"))
+    boxes = files.parse_yolo_boxes(lines, F.lit(200.0), F.lit(100.0))
+    return boxes.select(F.col("source").cast("long").alias("id"), "class_id", *[F.round(F.col("bbox")[i], 6).alias(n) for i, n in enumerate(("x", "y", "width", "height"))])
+
+
+@query("SELECT " + fx.TRUTHS["id"] + " AS id, CASE WHEN l_orderkey % 10 = 0 THEN 'UNKNOWN_IMAGE' WHEN l_linenumber > 5 THEN 'UNKNOWN_CATEGORY' ELSE 'INVALID_BOX' END AS problem FROM lineitem WHERE l_orderkey % 10 = 0 OR l_linenumber > 5 OR l_quantity <= 5")
+def annotation_problems(spark, sf_dir):
+    """Annotations of a COCO file without an image or category, or with a box that is none."""
+    lines = fx.table(spark, sf_dir, "lineitem").selectExpr(fx.TRUTHS["id"] + " AS id", "l_orderkey AS image_id", "CAST(l_linenumber AS BIGINT) AS category_id", "array(1D, 1D, CAST(l_quantity - 5 AS DOUBLE), 2D) AS bbox")
+    images = fx.table(spark, sf_dir, "orders").where("o_orderkey % 10 <> 0").select(F.col("o_orderkey").alias("id"))
+    return files.broken_references(lines, images, spark.range(1, 6))
+
+
+@query("SELECT split FROM (VALUES ('de'), ('en'), ('it'), ('xx')) v(split) WHERE split NOT IN (SELECT lang FROM documents)")
+def missing_splits(spark, sf_dir):
+    """Required splits that have no sample."""
+    return datasets.missing_splits(fx.table(spark, sf_dir, "documents").select(F.col("lang").alias("split")), ["de", "en", "it", "xx"])

@@ -331,3 +331,9 @@ def test_performance_gates(spark):
     df = spark.createDataFrame(rows, schema)
     assert [tuple(r) for r in stats.verify_gates(df).collect()] == [("b", f) for f in ("invalid_model_hash", "missing_latency_samples", "drop_ratio_exceeds_limit", "p95_latency_exceeds_limit", "gate_failed")]
     assert {tuple(r) for r in stats.verify_gates(df.where("file = 'c'")).collect()} == {(None, f) for f in ("missing_kind:detector-runtime-benchmark", "missing_kind:edge-capacity-benchmark", "missing_accuracy_representative_detector_gate")}
+
+
+def test_a_question_for_a_plate_takes_the_form_that_events_hold(spark):
+    assert events.canonical("43c 06172", spark) == "43C-061.72" and events.canonical("??", spark) is None
+    seen = spark.createDataFrame([("v", "43C-061.72", 0.5, T0), ("w", "88K-999.99", 0.9, T0)], "vehicle_id string, plate string, plate_confidence double, observed_at timestamp_ntz").withColumns({"vehicle_type": F.lit("car"), "vehicle_confidence": F.lit(1.0), "color": F.lit(None).cast("string")})
+    assert [r["vehicle_id"] for r in identity.by_plate(identity.rebuild(seen), "43C-061.72").collect()] == ["v"]
