@@ -437,24 +437,24 @@ def _inside(polygon) -> str:
     return "(" + " + ".join(edges) + ") % 2 = 1"
 
 
-@query("WITH t AS (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, (l_partkey % 40)::DOUBLE AS x, (l_suppkey % 10)::DOUBLE AS y FROM lineitem) SELECT id, " + _inside(_POLYGON) + " AS inside, 30.0 * (y - 5.0) - 2.0 * (x - 1.0) AS side FROM t")
+@query("WITH t AS (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT) AS id, (l_partkey % 40)::DOUBLE AS x, (l_suppkey % 10)::DOUBLE AS y FROM lineitem) SELECT id, " + _inside(_POLYGON) + " AS inside, 30.0 * (y - 5.0) - 2.0 * (x - 1.0) AS side FROM t")
 def points_in_region(spark, sf_dir):
     """P13, X8."""
-    t = fx.table(spark, sf_dir, "lineitem").selectExpr("((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id", "CAST(l_partkey % 40 AS DOUBLE) AS x", "CAST(l_suppkey % 10 AS DOUBLE) AS y")
+    t = fx.table(spark, sf_dir, "lineitem").selectExpr("((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT) AS id", "CAST(l_partkey % 40 AS DOUBLE) AS x", "CAST(l_suppkey % 10 AS DOUBLE) AS y")
     return t.select("id", geometry.in_polygon(F.col("x"), F.col("y"), _POLYGON).alias("inside"), geometry.signed_side(F.col("x"), F.col("y"), ((1.0, 5.0), (31.0, 7.0))).alias("side"))
 
 
-@query("SELECT id, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 9) AS iou FROM (SELECT id, i, w * h + w * h - i AS u FROM (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, 10.0 + l_quantity AS w, 8.0 + l_linenumber AS h, greatest(0, 10.0 + l_quantity - 40 * l_discount) * greatest(0, 8.0 + l_linenumber - l_tax) AS i FROM lineitem))")
+@query("SELECT id, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 9) AS iou FROM (SELECT id, i, w * h + w * h - i AS u FROM (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT) AS id, 10.0 + l_quantity AS w, 8.0 + l_linenumber AS h, greatest(0, 10.0 + l_quantity - 40 * l_discount) * greatest(0, 8.0 + l_linenumber - l_tax) AS i FROM lineitem))")
 def box_overlap(spark, sf_dir):
     """X7, P22."""
     t, p = fx.boxes(spark, sf_dir, fx.TRUTHS), fx.boxes(spark, sf_dir, fx.PREDICTED).select("id", F.col("bbox").alias("other"))
     return t.join(p, "id").select("id", F.round(geometry.iou(geometry.corners(F.col("bbox")), geometry.corners(F.col("other"))), 9).alias("iou"))
 
 
-@query("SELECT sample_id, class_name, id FROM (SELECT l_orderkey AS sample_id, l_returnflag AS class_name, ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_partkey % 3 ORDER BY ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000) AS n FROM lineitem) WHERE n = 1")
+@query("SELECT sample_id, class_name, id FROM (SELECT l_orderkey AS sample_id, l_returnflag AS class_name, ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT) AS id, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_partkey % 3 ORDER BY ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT)) AS n FROM lineitem) WHERE n = 1")
 def annotation_dedup(spark, sf_dir):
     """U4."""
-    rows = fx.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS sample_id", "l_returnflag AS class_name", "((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id", "array(CAST(l_partkey % 3 AS DOUBLE), 0D, 1D, 1D) AS bbox")
+    rows = fx.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS sample_id", "l_returnflag AS class_name", "((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT) AS id", "array(CAST(l_partkey % 3 AS DOUBLE), 0D, 1D, 1D) AS bbox")
     return datasets.dedup_boxes(rows, "id").select("sample_id", "class_name", "id")
 
 
@@ -595,7 +595,7 @@ def audit_redaction(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", shown.alias("document")).withColumn("d", d).select("page_id", F.col("d.url").alias("url"), F.col("d.apiToken").alias("token"), F.col("d.body.html").alias("html"))
 
 
-@query("SELECT image_id, id, place, round_even(score, 6) AS confidence, CASE WHEN w / h >= 2.5 THEN 'SINGLE_LINE' ELSE 'TWO_LINE' END AS layout FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, id) AS place FROM (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, l_orderkey AS image_id, 10.0 + l_quantity AS w, 8.0 + l_linenumber AS h, round(l_extendedprice / 110000.0, 6) AS score FROM lineitem)) WHERE place <= 3")
+@query("SELECT image_id, id, place, round_even(score, 6) AS confidence, CASE WHEN w / h >= 2.5 THEN 'SINGLE_LINE' ELSE 'TWO_LINE' END AS layout FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, id) AS place FROM (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT) AS id, l_orderkey AS image_id, 10.0 + l_quantity AS w, 8.0 + l_linenumber AS h, round(l_extendedprice / 110000.0, 6) AS score FROM lineitem)) WHERE place <= 3")
 def review_suggestions(spark, sf_dir):
     """P24, T10."""
     from platehouse.operators import annotations
@@ -603,7 +603,7 @@ def review_suggestions(spark, sf_dir):
     return annotations.suggestions(fx.boxes(spark, sf_dir, fx.PREDICTED), 3)
 
 
-_CROP = "SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, (l_partkey % 100)::INT - 20 AS x1, (l_suppkey % 10)::INT - 3 AS y1, (l_partkey % 100)::INT + l_quantity::INT - 25 AS x2, (l_suppkey % 10)::INT + 8 AS y2, l_returnflag = 'R' AS two FROM lineitem"
+_CROP = "SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT) AS id, (l_partkey % 100)::INT - 20 AS x1, (l_suppkey % 10)::INT - 3 AS y1, (l_partkey % 100)::INT + l_quantity::INT - 25 AS x2, (l_suppkey % 10)::INT + 8 AS y2, l_returnflag = 'R' AS two FROM lineitem"
 
 
 @query("WITH b AS (" + _CROP + "), c AS (SELECT id, two, greatest(0, least(x1, 90)) AS a, greatest(0, least(y1, 15)) AS b, greatest(0, least(x2, 90)) AS c, greatest(0, least(y2, 15)) AS d FROM b) SELECT id, greatest(0, a - ceil((c - a) * 0.12)::INT) AS x1, greatest(0, b - ceil((d - b) * 0.2)::INT - CASE WHEN two THEN ceil((d - b) * 0.8)::INT ELSE 0 END) AS y1, least(90, c + ceil((c - a) * 0.12)::INT) AS x2, least(15, d + ceil((d - b) * 0.2)::INT) AS y2 FROM c WHERE c > a AND d > b")
@@ -611,16 +611,16 @@ def plate_crops(spark, sf_dir):
     """P22, P23."""
     from platehouse.operators import annotations
 
-    rows = fx.table(spark, sf_dir, "lineitem").selectExpr("((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id", "named_struct('x1', CAST(l_partkey % 100 AS INT) - 20, 'y1', CAST(l_suppkey % 10 AS INT) - 3, 'x2', CAST(l_partkey % 100 AS INT) + CAST(l_quantity AS INT) - 25, 'y2', CAST(l_suppkey % 10 AS INT) + 8) AS box", "l_returnflag = 'R' AS two")
+    rows = fx.table(spark, sf_dir, "lineitem").selectExpr("((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT) AS id", "named_struct('x1', CAST(l_partkey % 100 AS INT) - 20, 'y1', CAST(l_suppkey % 10 AS INT) - 3, 'x2', CAST(l_partkey % 100 AS INT) + CAST(l_quantity AS INT) - 25, 'y2', CAST(l_suppkey % 10 AS INT) + 8) AS box", "l_returnflag = 'R' AS two")
     return rows.select("id", annotations.expanded_crop(F.col("box"), 90, 15, F.col("two"), 0.12, 0.2, 0.8).alias("b")).where("b IS NOT NULL").select("id", "b.*")
 
 
-@query("WITH q AS (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, least(l_quantity / 40.0, 1.0) AS s, greatest(0.0, 1 - abs((l_partkey % 256) - 132.5) / 87.5) AS b, least(l_tax * 20, 1.0) AS c, (20 + l_partkey % 200)::DOUBLE AS w, (10 + l_suppkey % 50)::DOUBLE AS h, 1 - l_discount AS d FROM lineitem), a AS (SELECT *, w / h AS r, least(w / 160, h / 50, 1.0) AS res FROM q), t AS (SELECT *, (s * 0.3 + b * 0.15 + c * 0.1 + res * 0.2 + CASE WHEN r <= 1.5 OR r >= 6.5 THEN 0.0 WHEN r <= 3.2 THEN (r - 1.5) / (3.2 - 1.5) ELSE (6.5 - r) / (6.5 - 3.2) END * 0.1 + d * 0.15) / 1.0 AS total FROM a) SELECT id, round(total, 7) AS total, w >= 60 AND h >= 20 AND total >= 0.5 AS eligible FROM t")
+@query("WITH q AS (SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT) AS id, least(l_quantity / 40.0, 1.0) AS s, greatest(0.0, 1 - abs((l_partkey % 256) - 132.5) / 87.5) AS b, least(l_tax * 20, 1.0) AS c, (20 + l_partkey % 200)::DOUBLE AS w, (10 + l_suppkey % 50)::DOUBLE AS h, 1 - l_discount AS d FROM lineitem), a AS (SELECT *, w / h AS r, least(w / 160, h / 50, 1.0) AS res FROM q), t AS (SELECT *, (s * 0.3 + b * 0.15 + c * 0.1 + res * 0.2 + CASE WHEN r <= 1.5 OR r >= 6.5 THEN 0.0 WHEN r <= 3.2 THEN (r - 1.5) / (3.2 - 1.5) ELSE (6.5 - r) / (6.5 - 3.2) END * 0.1 + d * 0.15) / 1.0 AS total FROM a) SELECT id, round(total, 7) AS total, w >= 60 AND h >= 20 AND total >= 0.5 AS eligible FROM t")
 def plate_quality(spark, sf_dir):
     """P14, A33."""
     from platehouse.operators import annotations
 
-    rows = fx.table(spark, sf_dir, "lineitem").selectExpr("((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id", "l_quantity / 40D AS sharpness", "CAST(l_partkey % 256 AS DOUBLE) AS brightness", "l_tax * 20 AS contrast", "CAST(20 + l_partkey % 200 AS DOUBLE) AS width", "CAST(10 + l_suppkey % 50 AS DOUBLE) AS height", "1 - l_discount AS detector")
+    rows = fx.table(spark, sf_dir, "lineitem").selectExpr("((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT) AS id", "l_quantity / 40D AS sharpness", "CAST(l_partkey % 256 AS DOUBLE) AS brightness", "l_tax * 20 AS contrast", "CAST(20 + l_partkey % 200 AS DOUBLE) AS width", "CAST(10 + l_suppkey % 50 AS DOUBLE) AS height", "1 - l_discount AS detector")
     weights = {"sharpness": 0.3, "brightness": 0.15, "contrast": 0.1, "resolution": 0.2, "angle": 0.1, "detector": 0.15}
     return annotations.plate_quality(rows, weights, (160, 50), (60, 20), 0.5).select("id", F.round("total", 7).alias("total"), "eligible")
 
@@ -688,7 +688,7 @@ def envelope_rejects(spark, sf_dir):
     return files.decode_envelope(messages).select("id", "reject_reason")
 
 
-_LABEL = "((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS id, l_linenumber % 3 AS c, l_discount * 12 - 0.05 AS x, CASE WHEN l_quantity < 5 THEN l_discount * 12 - 0.05 ELSE l_tax * 5 + 0.5 END AS u"
+_LABEL = "((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT) AS id, l_linenumber % 3 AS c, l_discount * 12 - 0.05 AS x, CASE WHEN l_quantity < 5 THEN l_discount * 12 - 0.05 ELSE l_tax * 5 + 0.5 END AS u"
 
 
 @query("SELECT id, CASE WHEN c = 2 AND u > 0.7 THEN 'NON_NUMERIC' WHEN c = 2 THEN 'SCHEMA' WHEN x < -0.03 OR x > 1.03 OR u < -0.03 OR u > 1.03 THEN 'COORD_RANGE' WHEN abs(greatest(0.0, least(1.0, u)) - greatest(0.0, least(1.0, x))) * 100 < 1 THEN 'DEGENERATE' END AS reject_reason FROM (SELECT id, c, round(x::DOUBLE, 6) AS x, round(u::DOUBLE, 6) AS u FROM (SELECT " + _LABEL + " FROM lineitem))")

@@ -61,8 +61,8 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Boxes from order lines: truths by line, predictions shifted from them.
-TRUTHS = {"id": "((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000", "image_id": "l_orderkey", "category_id": "CAST(l_linenumber % 2 AS BIGINT)", "x": "CAST(l_partkey % 40 AS DOUBLE)", "y": "CAST(l_suppkey % 10 AS DOUBLE)", "w": "10.0 + l_quantity", "h": "8.0 + l_linenumber"}
-PREDICTED = {"id": "((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000", "image_id": "l_orderkey", "category_id": "CAST(l_linenumber % 2 AS BIGINT)", "x": "CAST(l_partkey % 40 AS DOUBLE) + 40 * l_discount", "y": "CAST(l_suppkey % 10 AS DOUBLE) + l_tax", "w": "10.0 + l_quantity", "h": "8.0 + l_linenumber", "score": "round(l_extendedprice / 110000.0, 6)"}
+TRUTHS = {"id": "((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT)", "image_id": "l_orderkey", "category_id": "CAST(l_linenumber % 2 AS BIGINT)", "x": "CAST(l_partkey % 40 AS DOUBLE)", "y": "CAST(l_suppkey % 10 AS DOUBLE)", "w": "10.0 + l_quantity", "h": "8.0 + l_linenumber"}
+PREDICTED = {"id": "((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 10 * 100 + CAST(l_quantity AS BIGINT)", "image_id": "l_orderkey", "category_id": "CAST(l_linenumber % 2 AS BIGINT)", "x": "CAST(l_partkey % 40 AS DOUBLE) + 40 * l_discount", "y": "CAST(l_suppkey % 10 AS DOUBLE) + l_tax", "w": "10.0 + l_quantity", "h": "8.0 + l_linenumber", "score": "round(l_extendedprice / 110000.0, 6)"}
 
 
 def boxes(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
