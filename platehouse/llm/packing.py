@@ -19,7 +19,7 @@ TIERS = (4096, 2048, 1024, 512, 256)
 #: Windows are packed within so many tokens of neighbouring documents, which bounds memory and padding.
 BLOCK_TOKENS = 1 << 21
 #: Chunks whose ids a worker keeps: few, since the pipeline's workers hold other stages' words too.
-KEPT_CHUNKS = 250_000
+KEPT_CHUNKS = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 Piece = tuple[int, int, int]  # document, first id, ids
