@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platehouse.llm import importance, jaccard, mixing, packing, repetition, sharding, syncmers, toxicity, warc, wavelet
+from platehouse.llm import importance, infill, jaccard, mixing, packing, repetition, sharding, syncmers, toxicity, warc, wavelet
 from platehouse.llm.shared import documents
 from platehouse.llm.tokens import vocabulary
 
@@ -77,8 +77,13 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), END_ID)
 
 
+def op11_relational_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cuts and digests in fill-in-middle form; see infill.transform."""
+    return infill.digests(infill.transform(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_wavelet_shards, wavelet_token_occurrences, op2_repetition_coverage, op3_jaccard_join, jaccard_links, op4_warc_derivatives, op5_importance_resampling, op6_toxicity, op7_minimax_shards, op8_water_filling, op9_syncmer_fingerprints, op10_hierarchical_packing)
+    found = (op1_wavelet_shards, wavelet_token_occurrences, op2_repetition_coverage, op3_jaccard_join, jaccard_links, op4_warc_derivatives, op5_importance_resampling, op6_toxicity, op7_minimax_shards, op8_water_filling, op9_syncmer_fingerprints, op10_hierarchical_packing, op11_relational_infill)
     return {f.__name__: f for f in found}
 
 
@@ -127,6 +132,13 @@ r AS (SELECT *, greatest(0, least(size, round(target)::BIGINT - epochs * source_
 SELECT doc_id, size, source_size, target, epochs * size + part_words AS taken, epochs, part_words FROM r"""
 
 
+_INFILL_SQL = f"""WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{infill.UNIT}') AS units, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, len(units)::BIGINT AS n, {", ".join(f"('0x' || substr(x, {8 * i - 7}, 8))::BIGINT AS h{i}" for i in (1, 2, 3, 4))} FROM u),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express; tests hold the others against brute force."""
-    return {"op2_repetition_coverage": _repetition_sql(), "op3_jaccard_join": _JACCARD_SQL, "op8_water_filling": _MIXING_SQL}
+    return {"op2_repetition_coverage": _repetition_sql(), "op3_jaccard_join": _JACCARD_SQL, "op8_water_filling": _MIXING_SQL, "op11_relational_infill": _INFILL_SQL}
