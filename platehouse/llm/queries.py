@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platehouse.llm import importance, infill, jaccard, mixing, packing, repetition, sharding, syncmers, toxicity, warc, wavelet
+from platehouse.llm import importance, infill, jaccard, mixing, packing, repetition, sharding, syncmers, toxicity, vectorfit, vptree, warc, wavelet
 from platehouse.llm.shared import documents
 from platehouse.llm.tokens import vocabulary
 
@@ -82,8 +82,18 @@ def op11_relational_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.transform(documents(spark, sf_dir)))
 
 
+def op12_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece's sequence and place, in as few sequences as best fit finds; see vectorfit.pack."""
+    return vectorfit.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), END_ID)
+
+
+def op13_vptree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; see vptree.mine."""
+    return vptree.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_wavelet_shards, wavelet_token_occurrences, op2_repetition_coverage, op3_jaccard_join, jaccard_links, op4_warc_derivatives, op5_importance_resampling, op6_toxicity, op7_minimax_shards, op8_water_filling, op9_syncmer_fingerprints, op10_hierarchical_packing, op11_relational_infill)
+    found = (op1_wavelet_shards, wavelet_token_occurrences, op2_repetition_coverage, op3_jaccard_join, jaccard_links, op4_warc_derivatives, op5_importance_resampling, op6_toxicity, op7_minimax_shards, op8_water_filling, op9_syncmer_fingerprints, op10_hierarchical_packing, op11_relational_infill, op12_vector_best_fit, op13_vptree_negatives)
     return {f.__name__: f for f in found}
 
 
@@ -139,6 +149,13 @@ p AS (SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS prefix, a
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
 
 
+_NEGATIVES_SQL = """WITH x AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM x a JOIN x b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS place FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, place::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express; tests hold the others against brute force."""
-    return {"op2_repetition_coverage": _repetition_sql(), "op3_jaccard_join": _JACCARD_SQL, "op8_water_filling": _MIXING_SQL, "op11_relational_infill": _INFILL_SQL}
+    return {"op2_repetition_coverage": _repetition_sql(), "op3_jaccard_join": _JACCARD_SQL, "op8_water_filling": _MIXING_SQL, "op11_relational_infill": _INFILL_SQL, "op13_vptree_negatives": _NEGATIVES_SQL}

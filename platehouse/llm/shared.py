@@ -13,15 +13,16 @@ from platehouse.functions.scratch import staged
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows that go to a Python worker at once, at most: texts may be long, and each batch is held several times over.
-BATCH_ROWS = 2_000
+#: Rows and bytes that go to a Python worker at once, at most: texts may be long, and each batch is held several times over.
+BATCH_ROWS, BATCH_BYTES = 2_000, 64 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Set the session's batches for Python workers to BATCH_ROWS, unless they are smaller already."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
-        spark.conf.set(setting, BATCH_ROWS)
+    """Set the session's batches for Python workers to BATCH_ROWS and BATCH_BYTES, unless they are smaller already."""
+    for setting, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{setting}"
+        if not 0 < int(spark.conf.get(name).rstrip("bB")) <= most:
+            spark.conf.set(name, most)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
