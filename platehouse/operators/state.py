@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import math
-from itertools import islice
-from urllib.parse import urlsplit, urlunsplit
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platehouse.functions.grouping import scan
-
-# Parts of keys whose values are never shown, and limits of what is.
-SENSITIVE = ("authorization", "access_key", "accesskey", "api-key", "api_key", "apikey", "credential", "key_sha256", "password", "private_key", "privatekey", "rtsp", "secret", "token")
-MOST_DEPTH, MOST_ITEMS, MOST_CHARACTERS = 8, 1000, 4096
-# What is shown instead.
-REDACTED, TRUNCATED, NON_FINITE = "[REDACTED]", "[TRUNCATED]", "[NON_FINITE]"
+from platehouse.functions.redaction import redact  # noqa: F401 (an operator of the audit log)
 
 
 def claim_actions(wanted: DataFrame, executions: DataFrame, stale_before: Column, most_attempts: int) -> DataFrame:
@@ -80,64 +69,6 @@ def failure_causes(reports: DataFrame, causes: dict[str, Column]) -> DataFrame:
     return reports.withColumn("causes", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in causes.items()])))
 
 
-def _hidden(name: str) -> bool:
-    folded = name.casefold()
-    return any(part in folded for part in SENSITIVE)
-
-
-def _public_address(text: str) -> str:
-    """A web address without query and fragment; one with credentials is hidden whole."""
-    parts = urlsplit(text)
-    if "@" in parts.netloc:
-        return REDACTED
-    return urlunsplit(parts._replace(query="", fragment=""))
-
-
-#: What the beginning of a text says about it: how the text is shown.
-_SCHEMES = {"bearer ": lambda _: REDACTED, "rtsp://": lambda _: REDACTED, "rtsps://": lambda _: REDACTED, "http://": _public_address, "https://": _public_address}
-
-
-def _shown_text(text: str, _) -> str:
-    start = text[:8].casefold()
-    show = next((show for scheme, show in _SCHEMES.items() if start.startswith(scheme)), None)
-    return (show(text) if show else text)[:MOST_CHARACTERS]
-
-
-def _shown_object(fields: dict, depth: int) -> dict:
-    some = {name: REDACTED if _hidden(name) else _shown(fields[name], depth + 1) for name in islice(fields, MOST_ITEMS)}
-    if len(fields) > MOST_ITEMS:
-        some["_truncated"] = True
-    return some
-
-
-def _shown_list(items: list, depth: int) -> list:
-    some = [_shown(item, depth + 1) for item in islice(items, MOST_ITEMS)]
-    if len(items) > MOST_ITEMS:
-        some.append(TRUNCATED)
-    return some
-
-
-#: How values of each JSON type are shown; all others are shown as they are.
-_SHOWN = {dict: _shown_object, list: _shown_list, str: _shown_text, float: lambda number, _: number if math.isfinite(number) else NON_FINITE}
-
-
-def _shown(value, depth: int = 0):
-    if depth > MOST_DEPTH:
-        return TRUNCATED
-    show = _SHOWN.get(type(value))
-    return show(value, depth) if show else value
-
-
-def redact(document: Column) -> Column:
-    """JSON documents without secrets, credentials and query strings, and cut to the audit log's limits; null stays null."""
-
-    @F.pandas_udf("string")
-    def clean(documents: pd.Series) -> pd.Series:
-        return documents.map(lambda d: None if d is None else json.dumps(_shown(json.loads(d)), separators=(",", ":"), ensure_ascii=False))
-
-    return clean(document)
-
-
 def audit_page(log: DataFrame, filters: dict[str, object], start, end, limit: int) -> DataFrame:
     """The newest entries of an audit log that match, both ends of the time included, and one more."""
     from platehouse.operators.events import matching, page
