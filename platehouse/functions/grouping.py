@@ -35,40 +35,6 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tup
         yield held_key, held
 
 
-def scan(df: DataFrame, keys: list[str], order: list, step: Callable, end: Callable | None, schema: str, flush: int = 20_000) -> DataFrame:
-    """Rows of a walk through each group in order that carries a state and no rows.
-
-    step(state, row) -> (state, output or None) for each row (a tuple, state None at first); end(key, state) -> output or
-    None after the last. Only the state of the group at hand is held, however large the group.
-    """
-    names = [c.split()[0].strip("`") for c in schema.split(", ")]
-    whole = {c.split()[0].strip("`"): "Int64" for c in schema.split(", ") if c.split()[1] in ("int", "long", "bigint")}
-    n = len(keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        held, state = None, None
-        for batch in batches:
-            for row in zip(*[batch[c].tolist() for c in batch.columns], strict=True):
-                if row[:n] != held:
-                    if held is not None and end and (out := end(held, state)) is not None:
-                        rows.append(out)
-                    held, state = row[:n], None
-                state, out = step(state, row)
-                if out is not None:
-                    rows.append(out)
-            if len(rows) >= flush:
-                yield pd.DataFrame(rows, columns=names, dtype=object).astype(whole)
-                rows = []
-        if held is not None and end and (out := end(held, state)) is not None:
-            rows.append(out)
-        if rows:
-            yield pd.DataFrame(rows, columns=names, dtype=object).astype(whole)
-
-    rest = [c for c in df.columns if c not in keys]
-    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
 def map_groups(df: DataFrame, keys: list[str], order: list, function: Callable[[tuple, Group], list[tuple]], schema: str, flush: int = 20_000) -> DataFrame:
     """function(key, columns) -> rows, for each group of keys with its rows in order. Only one group is held at a time."""
     names = [c.split()[0].strip("`") for c in schema.split(", ")]

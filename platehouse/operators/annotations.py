@@ -7,7 +7,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platehouse.functions.grouping import map_groups, scan
+from platehouse.functions.grouping import map_groups
 
 #: Brightness and aspect ranges of readable plates, the brightness below which an image is night.
 BRIGHTNESS, ASPECT, NIGHT_BELOW, SINGLE_LINE_FROM = (45.0, 220.0), (1.5, 3.2, 6.5), 0.28, 2.5
@@ -97,17 +97,19 @@ def consensus(candidates: DataFrame) -> DataFrame:
 def sampled_frames(frames: DataFrame, source_fps: float, limit_fps: float) -> DataFrame:
     """Frames (video_id, frame_id from 0) that a rate limit lets through.
 
-    A frame passes if its time plus half a frame has reached the next sampling time, which then moves on by one period.
-    While the limit is at most the source's rate, that keeps the first frame at or past each multiple of the period.
+    A frame passes if its time plus half a frame has reached the next sampling time, which then moves on by one period. With
+    S the periods that a frame's time has reached and i its place, so many have passed up to it: i + 1 + the least of zero
+    and all S - i so far. A running minimum therefore says which frames pass, also after gaps.
     """
     period = 1.0 / min(limit_fps, source_fps)
-
-    def step(due, row: tuple):
-        video, frame = row
-        passes = frame / source_fps + 0.5 / source_fps >= (due or 0.0)
-        return (due or 0.0) + period * passes, (video, frame) if passes else None
-
-    return scan(frames.select("video_id", "frame_id"), ["video_id"], ["frame_id"], step, None, "video_id long, frame_id long")
+    ordered = Window.partitionBy("video_id").orderBy("frame_id")
+    place = F.row_number().over(ordered) - 1
+    reached = F.floor((F.col("frame_id") + 0.5) / source_fps / period + 1e-9)
+    rows = frames.select("video_id", "frame_id", place.alias("_i"), (reached - place).alias("_ahead"))
+    passed = F.col("_i") + 1 + F.least(F.lit(0), F.min("_ahead").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_passed", passed)
+    rows = rows.withColumn("_before", F.coalesce(F.lag("_passed").over(ordered), F.lit(0)))
+    return rows.where("_passed > _before").select("video_id", "frame_id")
 
 
 def seek_samples(videos: DataFrame, interval: float) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platehouse.functions.grouping import scan
 from platehouse.functions.redaction import redact  # noqa: F401 (an operator of the audit log)
+from platehouse.operators.lifecycles import compare_and_set  # noqa: F401 (a lifecycle, folded over ranges)
 
 
 def claim_actions(wanted: DataFrame, executions: DataFrame, stale_before: Column, most_attempts: int) -> DataFrame:
@@ -47,17 +47,6 @@ def live_status(cameras: DataFrame, frames: DataFrame, now: Column, stale_after:
     return cameras.join(last, "camera_id", "left").select("camera_id", status.alias("status"))
 
 
-def compare_and_set(commands: DataFrame) -> DataFrame:
-    """(id, revision, accepted) after commands (id, at, expected) that each write only if expected is the revision then.
-
-    A record starts at revision 1 and each accepted command adds one, so the n-th distinct step that succeeds is the one
-    that expects n after the step before it; records are walked in order, with their revision alone in memory.
-    """
-    step = lambda revision, row: ((revision or 1) + (row[2] == (revision or 1)), None)
-    end = lambda key, revision: (key[0], revision, revision - 1)
-    return scan(commands.select("id", "at", "expected"), ["id"], ["at", "expected"], step, end, "id string, revision int, accepted int")
-
-
 def recent_ids(rows: DataFrame, key: str, at: str, most: int) -> DataFrame:
     """Rows without repeats of a key (first by time) among the newest `most` distinct keys."""
     first = rows.groupBy(key).agg(F.min(at).alias(at))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platehouse.functions import plates
-from platehouse.functions.grouping import map_groups, scan
+from platehouse.functions.folding import Machine, fold
+from platehouse.functions.grouping import map_groups
 from platehouse.functions.scratch import staged
 
 #: Weights of a cluster's score, distance within a cluster, support needed.
@@ -139,12 +140,12 @@ def due_frames(frames: DataFrame, interval: int, stable: DataFrame | None = None
     if stable is not None:
         rows = rows.join(stable.select("track_id", F.col("frame_id").alias("_stable")), "track_id", "left").where("_stable IS NULL OR frame_id <= _stable").drop("_stable")
 
-    def step(last, row: tuple):
+    def step(last: tuple, row: tuple):
         track, frame, seen = row
-        due = last is None or seen - last >= interval
-        return seen if due else last, (track, frame) if due else None
+        due = last[0] is None or seen - last[0] >= interval
+        return (seen,) if due else last, (track, frame) if due else None
 
-    return scan(rows, ["track_id"], ["frame_id"], step, None, "track_id string, frame_id long")
+    return fold(rows, ["track_id"], ["frame_id"], Machine((None,), step, "track_id string, frame_id long"))
 
 
 def finalize(tracks: DataFrame, points: DataFrame, observations: DataFrame, line, positive_to_negative: str = "ENTER") -> DataFrame:
