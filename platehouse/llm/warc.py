@@ -23,6 +23,10 @@ _BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article sectio
 _NAME, _MARKUP = re.compile(r"/?([a-z][a-z0-9]*)", re.I), re.compile(r"[/!?a-z]", re.I)
 _SPACES, _LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r" ?\n[ \n]*")
 _TITLE, _HREF = re.compile(r"<title\b", re.I), re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A payload that unpacks to more bytes stays packed, as one that is damaged does: few pages are as large, and bombs are.
+MOST_UNPACKED = 256 << 20
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([^\s;\"',]+)", re.I)
+_META = re.compile(rb"<meta\s[^>]*?charset\s*=\s*[\"']?([\w.:-]+)", re.I | re.A)
 
 
 def digest(data: bytes) -> str:
@@ -131,13 +135,45 @@ def decoded(http: dict[str, str], payload: bytes) -> bytes:
         payload = b"".join(parts) if parts else payload
     for coding in reversed([c.strip() for c in http.get("content-encoding", "").lower().split(",")]):
         if coding in ("gzip", "x-gzip", "deflate"):
-            try:
-                payload = zlib.decompress(payload, 47)
-            except zlib.error:
+            unpacked = next((x for x in (_unpacked(payload, bits) for bits in ((47, -15) if coding == "deflate" else (47,))) if x is not None), None)
+            if unpacked is None:
                 break
+            payload = unpacked
     return payload
 
 
+def _unpacked(payload: bytes, bits: int) -> bytes | None:
+    """The members of a compressed payload, unpacked; None if it is damaged or unpacks to more than MOST_UNPACKED bytes."""
+    out, room = [], MOST_UNPACKED
+    while payload:
+        member = zlib.decompressobj(bits)
+        try:
+            out.append(member.decompress(payload, room + 1))
+        except zlib.error:
+            return b"".join(out) if out else None  # what follows the last member is padding
+        room -= len(out[-1])
+        if room < 0 or not member.eof:
+            return None
+        payload = member.unused_data
+    return b"".join(out)
+
+
+def charset_of(content_type: str, payload: bytes) -> str:
+    """The charset that a response's header names, or else its page's own declaration at the top; UTF-8 if there is none."""
+    if named := _CHARSET.search(content_type):
+        return named[1]
+    declared = _META.search(payload, 0, 1024)
+    return declared[1].decode("ascii") if declared else "utf-8"
+
+
+def text_of(payload: bytes, charset: str) -> str:
+    """The payload as text; charsets that are unknown, or that Python has but not for texts of bytes, are read as UTF-8."""
+    try:
+        return payload.decode(charset, "replace")
+    except (LookupError, ValueError):  # UnicodeError is a ValueError
+        return payload.decode("utf-8", "replace")
+
+
 def _one_line(text: str) -> str:
     return " ".join(text.split())
 
@@ -151,7 +187,7 @@ def response(url: str | None, page: str | None, key: str, date: str) -> bytes:
     payload = (page or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     target = [("WARC-Target-URI", _one_line(url))] if url else []
-    return record([("WARC-Type", "response"), ("WARC-Record-ID", _id("response", key, url or "")), ("WARC-Date", date), *target, ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")], block)
+    return record([("WARC-Type", "response"), ("WARC-Record-ID", _id("response", key, url or "", digest(payload))), ("WARC-Date", date), *target, ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")], block)
 
 
 def derivatives(data: bytes) -> list[tuple[str, dict[str, str], bytes]]:
@@ -173,17 +209,14 @@ def derivatives(data: bytes) -> list[tuple[str, dict[str, str], bytes]]:
     first, *lines = head.split(_EOL)
     http_fields = _fields(lines, "latin-1")
     http = {k.lower(): v for k, v in http_fields}
-    charset = re.search(r"charset=\"?([\w-]+)", http.get("content-type", ""))
-    try:
-        page = decoded(http, payload).decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = decoded(http, payload).decode("utf-8", "replace")
+    plain = decoded(http, payload)
+    page = text_of(plain, charset_of(http.get("content-type", ""), plain))
     payload_digest, block_digest = source.get("warc-payload-digest") or digest(payload), source.get("warc-block-digest") or digest(block)
     (text, links), title = read_page(page), title_of(page)
     rid = source.get("warc-record-id", "")
     ids = {kind: _id(kind, rid or digest(data)) for kind in ("metadata", "conversion")}
     refers = [("WARC-Refers-To", rid)] * bool(rid) + [(to, source[k]) for k, to in (("warc-target-uri", "WARC-Refers-To-Target-URI"), ("warc-date", "WARC-Refers-To-Date"), ("warc-target-uri", "WARC-Target-URI"), ("warc-date", "WARC-Date")) if k in source]
-    fields = [("source-status", head[9:12].decode("latin-1")), ("source-content-type", http.get("content-type", "")), ("source-content-length", str(len(payload))), ("source-payload-digest", payload_digest), ("source-block-digest", block_digest), ("title", title), ("text-length", str(len(text))), *(("outlink", x) for x in links)]
+    fields = [("source-status", (first.decode("latin-1").split() + ["", ""])[1]), ("source-content-type", http.get("content-type", "")), ("source-content-length", str(len(payload))), ("source-payload-digest", payload_digest), ("source-block-digest", block_digest), ("title", title), ("text-length", str(len(text))), *(("outlink", x) for x in links)]
     if first:
         fields.append(("source-http", first.decode("latin-1")))
     fields += [(f"source-{of}-{k.lower()}", v.replace("\r", " ").replace("\n", " ")) for of, found in (("http", http_fields), ("warc", source_fields)) for k, v in found]
@@ -200,7 +233,7 @@ def derivatives(data: bytes) -> list[tuple[str, dict[str, str], bytes]]:
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """page_id and response record (binary) of each row of pages (page_id, url, html); null html is an empty page.
 
-    Rows alike in page_id and url get the same record id, as they are the same capture.
+    Rows alike in page_id, url and html get the same record id, as they are the same capture.
     """
 
     @F.pandas_udf("binary")
