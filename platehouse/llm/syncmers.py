@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from platehouse.llm.shared import number_below, partitions, quantiles, staged
 
-K, S, KEPT = 20, 8, 96
-#: Texts of fewer characters have k-mers and s-mers of these lengths.
-SHORT, SHORT_K, SHORT_S = 64, 6, 3
+#: k-mers and s-mers of all texts, however long, so that any two fingerprints can be compared; anchors that one keeps.
+K, S, KEPT = 8, 3, 96
 #: Places may shift by so many characters beside the usual shift, and by this share of the place.
 SLACK, SLACK_SHARE = 64, 1 / 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -32,14 +31,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def lengths(n: int) -> tuple[int, int]:
-    """k and s for a text of n characters."""
-    return (K, S) if n >= SHORT else (SHORT_K, SHORT_S)
-
-
 def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the closed syncmers of an array of code points; a text shorter than any k is one anchor."""
-    return syncmers(points, *lengths(len(points)))
+    """Hashes and places of the closed syncmers of an array of code points; a text shorter than K is one anchor."""
+    return syncmers(points, K, S)
 
 
 def syncmers(points: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +100,6 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return float(np.count_nonzero(steady) / len(least))
 
 
-def compare(a: np.ndarray, b: np.ndarray, print_a: tuple[np.ndarray, np.ndarray], print_b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The likeness of two texts by their fingerprints; if k and s differ, both are cut by those of the shorter text."""
-    pair = lengths(min(len(a), len(b)))
-    again = [found if lengths(len(p)) == pair else sketch(*syncmers(p, *pair)) for p, found in ((a, print_a), (b, print_b))]
-    return likeness(*again)
-
-
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
@@ -122,31 +109,58 @@ def _edited(points: np.ndarray, following: np.ndarray, own: tuple[np.ndarray, np
     n = len(points)
     cut = n - n // 4
     edited = np.concatenate((points[:cut], following[: n // 4]))
-    if cut < 2 * K or n < SHORT or len(edited) < SHORT:
+    if cut < 2 * K:
         return edited, anchors(edited)
     hashes, places = own
     kept, back = places <= cut - K, cut - K + 1
     if len(edited) - back < K:
         return edited, (hashes[kept], places[kept])
-    late_hashes, late_places = syncmers(edited[back:], K, S)
+    late_hashes, late_places = anchors(edited[back:])
     return edited, (np.concatenate((hashes[kept], late_hashes)), np.concatenate((places[kept], late_places + back)))
 
 
-def compare_block(block: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one block (doc_id, text, tie, copy): each of its own documents against the one that follows it."""
-    block = block.sort_values(["copy", "doc_id", "tie"], kind="stable")
-    own = int((~block["copy"]).sum())
-    points = [_points(t) for t in block["text"].iloc[: own + 1]]
-    found = [anchors(p) for p in points]
-    prints = [sketch(*f) for f in found]
-    rows = []
-    for i in range(own):
-        following = i + 1 if i + 1 < len(points) else 0  # without a copy of a next block's first, the block is a ring
-        edited, fresh = _edited(points[i], points[following], found[i])
+#: Rows of the result that go to Spark at once.
+_ROWS = 1_000
+
+
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (block, copy, doc_id, text) in order of block, own documents before a copy of the next block's first: each own
+    document against the one that follows it. Without a copy a block is a ring. Only a block's first document and the one
+    before the row at hand are held."""
+    block = first = held = None
+    rows: list[tuple] = []
+
+    def done(following: tuple) -> None:
+        doc, points, found, print_ = held
+        edited, fresh = _edited(points, following[1], found)
         after = sketch(*fresh)
-        rows.append((len(points[i]), hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest(), as_text(*prints[i]), as_text(*after), compare(points[i], edited, prints[i], after), compare(points[i], points[following], prints[i], prints[following])))
-    out = pd.DataFrame(rows, columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-    return out.assign(doc_id=block["doc_id"].iloc[:own].to_numpy())
+        rows.append((doc, len(points), hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest(), as_text(*print_), as_text(*after), likeness(print_, after), likeness(print_, following[3])))
+
+    def table() -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        rows.clear()
+        return out.astype({"doc_id": "Int64"})
+
+    for batch in batches:
+        for this, copy, doc, text in zip(batch["block"], batch["copy"], batch["doc_id"], batch["text"], strict=True):
+            if this != block:
+                if held is not None:
+                    done(first)
+                block, first, held = this, None, None
+            if copy and held is None:
+                continue  # a copy that stands several times counts once
+            points = _points(text)
+            found = anchors(points)
+            now = (None if pd.isna(doc) else int(doc), points, found, sketch(*found))
+            if held is not None:
+                done(now)
+            first, held = first or now, None if copy else now
+            if len(rows) >= _ROWS:
+                yield table()
+    if held is not None:
+        done(first)
+    if rows:
+        yield table()
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -155,9 +169,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n / 4) characters replaced by the first as many, or all, of the next document's
     text in order of doc_id (of one doc_id: in order of the text's hash); after the last comes the first. Neighbours meet
     because documents are dealt into blocks of neighbours, each with a copy of the next block's first document. A doc_id
-    that fills several blocks is cut by its texts' hashes. Two texts of which one alone is short (SHORT) are compared by
-    the k and s of the short one, as far as a fingerprint of 96 anchors tells; anchor_table gives all. Null text is the
-    empty text. Documents with a null doc_id follow one another, in rings dealt by hash, as many as their share of all
+    that fills several blocks is cut by its texts' hashes. Likeness is that of the fingerprints as returned, so anybody can
+    compare two rows of the result; anchor_table gives all anchors. Null text is the empty text. A task walks its blocks row
+    by row and holds two texts. Documents with a null doc_id follow one another, in rings dealt by hash, as many as their share of all
     rows has blocks. Other columns are not read. The text is shuffled once.
     """
     n = 4 * partitions(docs.sparkSession)
@@ -175,7 +189,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     marked = rows.join(F.broadcast(firsts), ["block", "doc_id", "tie"], "left")  # at most 4 * partitions rows
     own, copy = F.struct(F.col("block"), F.lit(False).alias("copy")), F.struct(F.col("_before").alias("block"), F.lit(True).alias("copy"))
     dealt = marked.select("doc_id", "text", "tie", F.inline(F.when(F.col("_before").isNotNull(), F.array(own, copy)).otherwise(F.array(own))))
-    return dealt.groupBy("block").applyInPandas(lambda b: compare_block(b), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    walked = dealt.repartition("block").sortWithinPartitions("block", "copy", "doc_id", "tie").select("block", "copy", "doc_id", "text")
+    return walked.mapInPandas(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 #: Anchors that go to Spark at once, about.

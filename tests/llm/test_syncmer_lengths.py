@@ -1,4 +1,4 @@
-"""Fingerprints of texts on both sides of the length at which k and s change, and the table of all anchors."""
+"""Fingerprints of short and long texts, as the result returns them, and the table of all anchors."""
 
 import random
 
@@ -12,7 +12,7 @@ SCHEMA = "doc_id long, text string"
 
 def _near(one, two):
     a, b = syncmers._points(one), syncmers._points(two)
-    return syncmers.compare(a, b, syncmers.sketch(*syncmers.anchors(a)), syncmers.sketch(*syncmers.anchors(b)))
+    return syncmers.likeness(*(syncmers.from_text(syncmers.as_text(*syncmers.sketch(*syncmers.anchors(p)))) for p in (a, b)))
 
 
 @pytest.mark.parametrize("n", range(58, 70))
@@ -49,3 +49,12 @@ def test_anchor_table_finds_a_passage_of_long_texts(spark):
         assert {(v, a + start) for v, a in zip(inner[0].tolist(), inner[1].tolist())} <= mine
     assert [(r["doc_id"], r["place"]) for r in table.where("doc_id IS NULL OR doc_id = 3").collect()] == [(None, 0)]
     assert table.where("doc_id = 0").count() == len(syncmers.anchors(syncmers._points(texts[0]))[0])
+
+
+def test_a_text_and_its_beginning_share_anchors_at_every_length(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(200))
+    rows = [(n, text[:n]) for n in range(16, 200)]
+    got = {r["doc_id"]: syncmers.from_text(r["fingerprint"]) for r in syncmers.fingerprint_edits(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert min(syncmers.likeness(got[n], got[n + 1]) for n in range(16, 199)) > 0.5
+    assert len(set(got[63][0]) & set(got[64][0])) >= 10
