@@ -1,6 +1,7 @@
 """Toxicity: a weighted lexicon, matched by an Aho-Corasick automaton over folded text, normalised by length.
 
-Folding undoes common disguises: case, look-alike letters of other scripts, and digits or signs in place of letters.
+Folding undoes common disguises: case, marks over letters, look-alike letters of other scripts, and digits or signs in place
+of letters.
 Lexicon entries are whole words or stems, learned on labelled rows with log odds as weights; so are the exception phrases,
 an entry's word with a neighbour, in which it means no offence: a match inside one does not count. The weights' sum per 100 words gives a probability by logistic regression on the same rows.
 """
@@ -8,6 +9,8 @@ an entry's word with a neighbour, in which it means no offence: a match inside o
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,27 +32,39 @@ SHORTEST, LEAST_TEXTS, LEAST_ODDS, FALSE_SHARE = 4, 3, 2.0, 0.05
 HELD_OUT = 2
 THRESHOLD = 0.3
 #: Words added to a text's own when matches are divided by length, so that one match in three words is no certainty.
-SMOOTHING_WORDS = 20
+SMOOTHING_WORDS = 100
 # Signs that stand for letters, and letters of other scripts that look like Latin ones.
 _SIGNS = dict(zip("01345789@$", "oieastbgas", strict=True))
 _LOOK_ALIKE = dict(zip("авеёкмнорстухіјѕԁԛԝһӏαβεηικνορτυχγωϲ", "abeekmhopctyxijsdqwhlabenikvoptuxywc", strict=True))
 
+#: Names of Latin letters that are drawn differently: struck, hooked, dotless, small capitals.
+_VARIANT = re.compile(r"LATIN (?:SMALL |CAPITAL )?LETTER (?:SMALL CAPITAL |DOTLESS |SCRIPT |TURNED |REVERSED |OPEN |LONG )?([A-Z])(?: WITH .*)?")
+
+
 def _table() -> dict[int, str]:
-    out = {i: " " for i in range(128) if not chr(i).isalnum()}
-    out |= {ord(a): b for a, b in _SIGNS.items()}
-    for a, b in _LOOK_ALIKE.items():
-        out[ord(a)] = b
-    for i in range(26):  # full width
-        out[0xFF41 + i] = out[0xFF21 + i] = chr(97 + i)
-    return out | {0x200B: "", 0x200C: "", 0x200D: "", 0xAD: "", 0x2019: " ", 0x201C: " ", 0x201D: " ", 0x2026: " ", 0x2014: " ", 0x2013: " "}
+    """What each character of the basic plane is folded to, by its category and name; letters and digits stay if not listed."""
+    out: dict[int, str] = {}
+    for i in range(0x10000):
+        kind = unicodedata.category(chr(i))
+        if kind in ("Mn", "Me", "Cf"):  # combining marks and characters without a shape
+            out[i] = ""
+        elif kind[0] in "PSZC":
+            out[i] = " "
+        elif i > 127 and (named := _VARIANT.fullmatch(unicodedata.name(chr(i), ""))):
+            out[i] = named[1].lower()
+    return out | {ord(a): b for a, b in (_SIGNS | _LOOK_ALIKE).items()}
 
 
 _TABLE = _table()
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes and signs to letters, punctuation to spaces, and a space at both ends."""
-    return f" {text.lower().translate(_TABLE)} "
+    """Lower case, without marks over letters, look-alikes and signs to letters, other characters to spaces, and a space at
+    both ends."""
+    text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+    return f" {text.translate(_TABLE)} "
 
 
 @dataclass(frozen=True)
@@ -85,7 +100,7 @@ class Model:
             return 0.0
         excused = [(a, b) for a, b, w in hits if w is None]
         total = sum(w for a, b, w in hits if w is not None and not any(x <= a and b <= y for x, y in excused))
-        return 100 * total / (folded.count(" ") + SMOOTHING_WORDS)
+        return 100 * total / (len(folded.split()) + 1 + SMOOTHING_WORDS)  # words, not spaces: marks make no text longer
 
     def score(self, density: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * np.log1p(density), -30, 30)))

@@ -34,6 +34,15 @@ def test_density_is_that_of_a_plain_search(words):
     assert abs(MODEL.density(text, MODEL.automaton()) - _naive(text)) < 1e-9
 
 
+def test_marks_hide_nothing_and_make_nothing_longer():
+    a = MODEL.automaton()
+    plain = MODEL.density("you zotty grum", a)
+    assert plain > 0
+    for text in ("you zotty grum" + "!" * 1000, "... " * 1000 + "you, zotty; grum", "you - zotty - grum \u2014 \u2026", "y\u200bou z\u00adotty g\u0301rum", "YOU ZÖTTÝ GRÜM", "you zøttỹ grūm", "you zᴏtty ɢrum", "ｙｏｕ ｚｏｔｔｙ ｇｒｕｍ", "you 𝐳𝐨𝐭𝐭𝐲 𝓰𝓻𝓾𝓶", "you z0т7y gruм"):
+        assert MODEL.density(text, a) == plain, text
+    assert MODEL.density("! " * 50, a) == MODEL.density("", a) == MODEL.density(None, a) == 0
+
+
 def test_exceptions_are_learned(spark):
     rng = random.Random(5)
     clean = [f"w{i}" for i in range(150)]
