@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platehouse.llm.shared import WORD, in_order, offsets, staged
+from platehouse.llm.shared import WORD, in_order, offsets, partitions, staged
 
 
 def words(text: str = "text") -> Column:
@@ -56,20 +56,31 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_epochs: int
     return joined.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", (F.col("s.epochs") * F.col("d.size") + part).alias("taken"), "s.epochs", part.alias("part_words"), "s.weight", F.col("d._tie").alias("text_hash"))
 
 
+#: Repetitions of one document that a task makes at once.
+CHUNK = 10_000
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: each as often as the plan says, in the columns of docs.
 
     A fractional repetition of a document is its first part_words words, joined by spaces; n_chars, where docs has it,
     is then counted anew. Rows alike in doc_id and text are one document that is taken as often as all of them;
-    where other columns differ, the row of least hash stands for all.
+    where other columns differ, the row of least hash stands for all. One that is taken more than CHUNK times is dealt over
+    tasks in chunks of as many before its rows are made.
     """
     key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
     taken = plan(docs, **options).groupBy(*key, F.col("text_hash").alias("_hash")).agg(F.sum("epochs").alias("_epochs"), F.sum("part_words").alias("_part"), F.max("size").alias("_size"))
     whole_row = docs.select(*key, F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_doc"))
     one = whole_row.groupBy("_id", "_null", "_hash").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc")).join(taken, ["_id", "_null", "_hash"])
-    size, none = F.greatest("_size", F.lit(1)), F.array().cast("array<long>")
-    whole = F.array_repeat(F.lit(None).cast("long"), (F.col("_epochs") + F.floor(F.col("_part") / size)).cast("int"))
-    rows = one.select("_doc", F.explode(F.concat(whole, F.when(F.col("_part") % size > 0, F.array(F.col("_part") % size)).otherwise(none))).alias("_words"))
+    size = F.greatest("_size", F.lit(1))
+    part = F.col("_part") % size
+    one = one.select("_doc", "_id", "_hash", (F.col("_epochs") + F.floor(F.col("_part") / size)).alias("_times"), F.when(part > 0, part).alias("_rest"))
+    few = one.where(F.col("_times") <= CHUNK)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.col("_times") - 1) / CHUNK)), lambda i: F.struct(i.alias("number"), F.least(F.lit(CHUNK), F.col("_times") - i * CHUNK).alias("times"), F.when(i == 0, F.col("_rest")).alias("rest")))
+    many = one.where(F.col("_times") > CHUNK).select("_doc", "_id", "_hash", F.explode(chunks).alias("_c")).repartition(partitions(docs.sparkSession), "_id", "_hash", "_c.number")
+    both = few.select("_doc", "_times", "_rest").unionByName(many.select("_doc", F.col("_c.times").alias("_times"), F.col("_c.rest").alias("_rest")))
+    whole, none = F.array_repeat(F.lit(None).cast("long"), F.col("_times").cast("int")), F.array().cast("array<long>")
+    rows = both.select("_doc", F.explode(F.concat(whole, F.when(F.col("_rest").isNotNull(), F.array("_rest")).otherwise(none))).alias("_words"))
     field = {c: F.col("_doc").getField(c) for c in docs.columns}
     first = F.array_join(F.slice(F.regexp_extract_all(field["text"], F.lit(WORD), F.lit(0)), 1, F.coalesce("_words", F.lit(1)).cast("int")), " ")
     changed = {"text": F.when(F.col("_words").isNull(), field["text"]).otherwise(first)}

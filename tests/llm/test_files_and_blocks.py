@@ -80,3 +80,14 @@ def test_of_rows_alike_in_id_and_text_one_always_stands_for_all(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     seen = {tuple(sorted(r["source"] for r in mixing.mix(docs.repartition(n)).collect())) for n in (1, 3, 7)}
     assert len(seen) == 1 and len(set(next(iter(seen)))) == 1
+
+
+def test_a_document_taken_very_often_is_dealt_over_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "one two three four five", "a")] * 3000 + [(1, "six seven", "b"), (2, "", "b")], "doc_id long, text string, source string")
+    expected = sorted((r["doc_id"] or 0, r["text"], r["source"]) for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    mixed = mixing.mix(docs)
+    got = mixed.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["source"]) for r in got) == expected
+    sizes = Counter(r["task"] for r in got if r["doc_id"] is None)
+    assert len(sizes) > 1 and max(sizes.values()) < len(got) * 0.7
