@@ -27,32 +27,37 @@ FLUSH_ROWS = 20_000
 
 @dataclass(frozen=True)
 class Machine:
-    """A state that a key begins with, what a row does to it, and what is returned of a key's last state (if anything)."""
+    """A state that a key begins with, what a row does to it, and what is returned of a key's last state (if anything).
+
+    A step may change its state in place if thaw makes one anew from what JSON carries, and freeze turns it into that.
+    """
 
     start: State
     step: Step
     schema: str
     end: Callable[[tuple, State], tuple] | None = None
+    thaw: Callable = lambda state: state
+    freeze: Callable = lambda state: state
 
 
 def _walk(batches: Iterator[pd.DataFrame], machine: Machine, width: int, entry: State, goes_on: bool, emit: bool) -> Iterator[tuple | None]:
     """Outputs of one range; last of all (first key, last key, end state) unless outputs are emitted."""
     first = key = None
-    state = entry
+    state = machine.thaw(entry)
     for batch in batches:
         for row in zip(*[batch[c].astype(object).where(batch[c].notna(), None) for c in batch.columns], strict=True):
             if row[:width] != key:
                 if key is not None:
                     if emit and machine.end:
                         yield machine.end(key, state)
-                    state = machine.start
+                    state = machine.thaw(machine.start)
                 key = row[:width]
                 first = key if first is None else first
             state, out = machine.step(state, row)
             if emit and out is not None:
                 yield out
     if key is not None and not emit:
-        yield first, key, state
+        yield first, key, machine.freeze(state)
     elif key is not None and machine.end and not goes_on:
         yield machine.end(key, state)
 

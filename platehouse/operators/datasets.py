@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platehouse.functions import plates
+from platehouse.functions.folding import Machine, fold
 from platehouse.functions.ids import hash_split
 
 RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -104,3 +106,35 @@ def take_per_class(boxes: DataFrame, each: int, order: str) -> DataFrame:
 def catalog_order(versions: DataFrame) -> DataFrame:
     """Dataset versions (source_id, created_at) with their place, the newest first; there are few of them."""
     return versions.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("source_id")))).select("source_id", "place")
+
+
+def review_commands(events: DataFrame, commands: DataFrame) -> DataFrame:
+    """Every review command (event_id, seq, text, expected_revision) with what it came to, in order of seq.
+
+    events: id, plate, review_revision, plate_final. outcome is INVALID_PLATE where the text is no plate in full form,
+    NO_EVENT or NO_PLATE where there is nothing to review, CHANGED where expected_revision is the event's revision then,
+    UNCHANGED for a retry (the revision is one further and the plate the same), else CONFLICT. revision and plate_final
+    are those after it.
+    """
+    read = plates.add_normalized(commands.select("event_id", "seq", "text", "expected_revision"), "text", "_p")
+    now = events.select(F.col("id").alias("event_id"), F.lit(True).alias("_event"), F.col("plate").isNotNull().alias("_plate"), F.coalesce("review_revision", F.lit(0)).cast("int").alias("_revision"), F.col("plate_final").alias("_final"))
+    rows = read.join(now, "event_id", "left").select("event_id", "seq", "expected_revision", F.when(F.col("_p.valid"), F.col("_p.normalized")).alias("normalized"), F.coalesce("_event", F.lit(False)).alias("known"), F.coalesce("_plate", F.lit(False)).alias("read"), "_revision", "_final")
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        key, seq, expected, text, known, seen, revision, final = row
+        if state[0] is not None:
+            revision, final = state
+        outcome = "CONFLICT"
+        if text is None:
+            outcome = "INVALID_PLATE"
+        elif not known:
+            outcome = "NO_EVENT"
+        elif not seen:
+            outcome = "NO_PLATE"
+        elif expected == revision:
+            outcome, revision, final = "CHANGED", revision + 1, text
+        elif expected + 1 == revision and final == text:
+            outcome = "UNCHANGED"
+        return (revision, final) if known else state, (key, seq, outcome, revision if known else None, final if known else None)
+
+    return fold(rows, ["event_id"], ["seq"], Machine((None, None), step, "event_id string, seq long, outcome string, revision int, plate_final string"))

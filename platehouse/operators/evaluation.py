@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platehouse.functions.grouping import map_groups
+from platehouse.functions.geometry import overlap
 from platehouse.functions.scalars import ratio
 from platehouse.functions.scratch import staged
 
@@ -152,6 +153,20 @@ def group_recall(matches: DataFrame, truths: DataFrame, images: DataFrame) -> Da
     return grouped.agg(F.countDistinct("group_id").alias("groups")).crossJoin(hit).withColumn("group_recall", ratio(F.col("found"), F.col("groups")))  # one row each
 
 
+def full_coverage(matches: DataFrame, truths: DataFrame, predictions: DataFrame, least: float = 0.95) -> DataFrame:
+    """(truths, covered, full_bbox_coverage): truths of whose area their own match covers `least` or more, over all truths.
+
+    matches: prediction_id, truth_id at one threshold. A truth without an area is covered by nothing.
+    """
+    side = lambda rows, key, name: rows.select(F.col("id").alias(key), F.col("bbox").alias(name))
+    both = matches.where("truth_id IS NOT NULL").select("prediction_id", "truth_id").join(side(predictions, "prediction_id", "_p"), "prediction_id").join(side(truths, "truth_id", "_t"), "truth_id")
+    span = lambda b: (b[0], b[1], b[0] + b[2], b[1] + b[3])
+    area = F.col("_t")[2] * F.col("_t")[3]
+    share = overlap(*span(F.col("_p")), *span(F.col("_t"))) / F.when(area > 0, area)
+    found = both.agg(F.count_if(share >= least).alias("covered"))
+    return truths.agg(F.count("*").alias("truths")).crossJoin(found).withColumn("full_bbox_coverage", ratio(F.col("covered"), F.col("truths")))  # one row each
+
+
 def suppress(boxes: DataFrame, threshold: float, class_agnostic: bool = False) -> DataFrame:
     """Boxes (id, image_id, category_id, bbox corners, score) that survive: a better one of its class overlaps none more."""
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from platehouse.functions.scratch import staged
+
 MOST_PLATES = 16
+#: Fingerprints that a review moves or rebuilds at most.
+MOST_REVIEWED = 1000
 
 
 def rebuild(prints: DataFrame) -> DataFrame:
@@ -70,3 +74,34 @@ def with_latest(identities: DataFrame, events: DataFrame) -> DataFrame:
 
     newest = latest(events.select("vehicle_id", "id", "occurred_at", "camera_id"), "vehicle_id").withColumnRenamed("id", "latest_event")
     return identities.join(newest, "vehicle_id", "left")
+
+
+def apply_merges(identities: DataFrame, prints: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(outcomes, prints, identities) after merges (review_id, source, target, source_revision, target_revision).
+
+    identities: vehicle_id, status, revision. A merge is APPLIED if both are ACTIVE, at the expected revisions and have
+    fingerprints, MOST_REVIEWED at most. NOT_FOUND, NOT_ACTIVE, REVISION, NO_EVIDENCE, TOO_LARGE say why not; of merges
+    that touch one identity the least review_id comes first and the others are at a REVISION that is past. An applied
+    merge moves the source's prints, rebuilds the target from all of them at its next revision and marks the source MERGED.
+    """
+    sizes = prints.groupBy("vehicle_id").agg(F.count("*").alias("n"))
+    one = identities.select("vehicle_id", "status", "revision").join(sizes, "vehicle_id", "left")
+    side = lambda name: one.select(F.col("vehicle_id").alias(name), F.struct("status", "revision", F.coalesce("n", F.lit(0)).alias("n")).alias(f"_{name}"))
+    met = reviews.join(side("source"), "source", "left").join(side("target"), "target", "left")
+    a, b = F.col("_source"), F.col("_target")
+    why = (
+        F.when(a.isNull() | b.isNull() | (F.col("source") == F.col("target")), "NOT_FOUND").when((a["status"] != "ACTIVE") | (b["status"] != "ACTIVE"), "NOT_ACTIVE")
+        .when((a["revision"] != F.col("source_revision")) | (b["revision"] != F.col("target_revision")), "REVISION").when((a["n"] == 0) | (b["n"] == 0), "NO_EVIDENCE").when((a["n"] > MOST_REVIEWED) | (b["n"] > MOST_REVIEWED), "TOO_LARGE")
+    )
+    judged = met.withColumn("_why", why)
+    good = judged.where("_why IS NULL").select("review_id", F.explode(F.array("source", "target")).alias("vehicle_id"))
+    first = good.groupBy("vehicle_id").agg(F.min("review_id").alias("_first"))
+    late = good.join(first, "vehicle_id").where("review_id <> _first").select("review_id").distinct().withColumn("_late", F.lit("REVISION"))
+    outcomes = judged.join(late, "review_id", "left").select("review_id", "source", "target", F.coalesce("_why", "_late", F.lit("APPLIED")).alias("outcome"))
+    outcomes = staged(outcomes, "merges")
+    applied = outcomes.where("outcome = 'APPLIED'")
+    moved = prints.join(applied.select(F.col("source").alias("vehicle_id"), F.col("target").alias("_to")), "vehicle_id", "left").withColumn("vehicle_id", F.coalesce("_to", "vehicle_id")).select(*prints.columns)
+    rebuilt = rebuild(moved.join(applied.select(F.col("target").alias("vehicle_id")), "vehicle_id", "left_semi"))
+    state = identities.select("vehicle_id", "status", "revision").join(applied.select(F.explode(F.array(F.struct(F.col("source").alias("vehicle_id"), F.lit("MERGED").alias("_now")), F.struct(F.col("target").alias("vehicle_id"), F.lit("ACTIVE").alias("_now")))).alias("_x")).select("_x.*"), "vehicle_id", "left")
+    state = state.select("vehicle_id", F.coalesce("_now", "status").alias("status"), (F.col("revision") + F.col("_now").isNotNull().cast("int")).alias("revision"))
+    return outcomes, moved, state.join(rebuilt, "vehicle_id", "left")

@@ -48,3 +48,38 @@ def feedback(samples: DataFrame) -> DataFrame:
     status = {"ready": "READY", "exporting": "EXPORTING", "exported": "EXPORTED", "export_failed": "EXPORT_FAILED"}
     reason = {"corrections": "HUMAN_CORRECTION", "confirmations": "HUMAN_CONFIRMATION"}
     return samples.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == v).alias(k) for k, v in status.items()], *[F.count_if(F.col("reason") == v).alias(k) for k, v in reason.items()])
+
+
+#: What partial states are kept by, and their counters, all of which add up.
+STATE_KEYS = ("day", "camera_id", "model_name", "model_version")
+STATE_COUNTS = ("events", "readable", *STATUSES, "reviewed", "corrected", "confidence_count")
+
+
+def partials(events: DataFrame) -> DataFrame:
+    """Mergeable counters of events by UTC day, camera and OCR model: sums and numbers instead of means and rates.
+
+    Confidences add up as decimals of nine digits, so that a merged state doesn't depend on how it was split.
+    """
+    counted = counters()[:-1] + [F.count("plate_confidence").alias("confidence_count"), F.coalesce(F.sum(F.col("plate_confidence").cast("decimal(20,9)")), F.lit(0)).cast("decimal(38,9)").alias("confidence_sum")]
+    return events.withColumn("day", utc_day(F.col("occurred_at"))).groupBy(*STATE_KEYS).agg(*counted)
+
+
+def add_increment(events: DataFrame, path: str, number: int) -> None:
+    """Store the partial states of an increment; one that is stored again takes the place of its first attempt."""
+    partials(events).write.mode("overwrite").parquet(f"{path}/increment={number}")
+
+
+def merged(states: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
+    """Metrics of stored states by any of their keys. With `most`, truncated says that more events than that are counted
+    in all, which a scan that stops there would not have seen."""
+    sums = states.groupBy(*by).agg(*[F.sum(c).alias(c) for c in STATE_COUNTS], F.sum("confidence_sum").alias("confidence_sum"))
+    out = with_rates(sums.withColumn("average_confidence", (F.col("confidence_sum") / F.when(F.col("confidence_count") > 0, F.col("confidence_count"))).cast("double")))
+    if most is not None:
+        total = states.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("_all"))
+        out = out.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("_all") > most).drop("_all")  # one row
+    return out.drop("confidence_sum", "confidence_count")
+
+
+def read_states(spark, path: str) -> DataFrame:
+    """All stored increments, one below the other."""
+    return spark.read.parquet(path).drop("increment")

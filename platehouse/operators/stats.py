@@ -2,22 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platehouse.functions.scalars import ratio
+from platehouse.functions.scratch import staged
+
+
+#: Ranks are looked for among values that a sketch of this accuracy can't tell from them: a few in so many of a group.
+SKETCH = 1_000
+
+
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str], nearest: bool = False) -> DataFrame:
+    """Exact percentiles of each group, however large: a column for each of shares, linear between ranks or `nearest` rank.
+
+    A sketch brackets every rank between two values. A second scan counts what lies below each bracket and, value by
+    value, what lies inside; only those few values are put in order. No task holds a group's distinct values. Nulls don't
+    count; a group of nulls alone has null percentiles. The keys of groups come to no driver.
+    """
+    names, margin = list(shares), 2.0 / SKETCH
+    ends = [min(1.0, max(0.0, shares[n] + d)) for n in names for d in (-margin, margin)]
+    keyed = rows.select(F.struct(F.lit(0).alias("_0"), *by).alias("_by"), F.col(value).alias("_v"))
+    sketch = staged(keyed.groupBy("_by").agg(F.count("_v").alias("_n"), F.percentile_approx("_v", F.array(*map(F.lit, ends)), SKETCH).alias("_q"), F.min("_v").alias("_low"), F.max("_v").alias("_high")), "sketch")
+
+    def ranks(share: float) -> tuple[Column, Column]:
+        """The ranks, from 1, of the values that a percentile lies between."""
+        if nearest:
+            one = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("_n")))
+            return one, one
+        at = F.lit(share) * (F.col("_n") - 1)
+        return F.floor(at) + 1, F.ceil(at) + 1
+
+    brackets = []
+    for i, n in enumerate(names):
+        low, high = F.when(F.lit(ends[2 * i] == 0.0), F.col("_low")).otherwise(F.col("_q")[2 * i]), F.when(F.lit(ends[2 * i + 1] == 1.0), F.col("_high")).otherwise(F.col("_q")[2 * i + 1])
+        first, last = ranks(shares[n])
+        brackets.append(F.struct(F.lit(n).alias("name"), low.alias("low"), high.alias("high"), first.alias("first"), last.alias("last")))
+    wanted = sketch.where("_n > 0").select("_by", F.explode(F.array(*brackets)).alias("_b"))
+    # Every value counts once for each bracket: as below it, or as itself within; what lies above counts for none.
+    met = keyed.where("_v IS NOT NULL").join(sketch.where("_n > 0").select("_by", F.array(*brackets).alias("_bs")), "_by")
+    each = met.select("_by", "_v", F.explode(F.filter("_bs", lambda b: F.col("_v") <= b["high"])).alias("_b"))
+    counts = each.groupBy("_by", F.col("_b.name").alias("name"), F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy("_by", "name").orderBy(F.col("_v").asc_nulls_first())
+    placed = counts.withColumn("_to", F.sum("_c").over(order)).withColumn("_from", F.col("_to") - F.col("_c") + 1)
+    placed = placed.join(wanted.select("_by", F.col("_b.name").alias("name"), F.col("_b.first").alias("_first"), F.col("_b.last").alias("_last")), ["_by", "name"])
+    holds = lambda rank: F.max(F.when(F.col(rank).between(F.col("_from"), F.col("_to")), F.col("_v")))
+    ends_ = placed.groupBy("_by", "name").agg(holds("_first").alias("_a"), holds("_last").alias("_b"))
+    at = ends_.join(sketch.select("_by", "_n"), "_by")
+    share = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, shares[n])]), F.col("name"))
+    weight = share * (F.col("_n") - 1) - F.floor(share * (F.col("_n") - 1))
+    exact = F.col("_a") if nearest else F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((1 - weight) * F.col("_a") + weight * F.col("_b"))
+    wide = at.groupBy("_by").agg(*[F.max(F.when(F.col("name") == n, exact)).alias(n) for n in names])
+    return sketch.select("_by").join(wide, "_by", "left").select(*[F.col("_by")[c].alias(c) for c in by], *names)
 
 
 def latency_summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """count, mean, p50, p95, p99 (linear between ranks) and max, to three digits."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = rows.groupBy(*(by or [])).agg(F.count(value).alias("count"), F.bround(F.avg(value), 3).alias("mean"), p.alias("_p"), F.bround(F.max(value), 3).alias("max"))
-    return out.select(*(by or []), "count", "mean", *[F.bround(F.col("_p")[i], 3).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "max")
+    by = by or []
+    out = rows.groupBy(*by).agg(F.count(value).alias("count"), F.bround(F.avg(value), 3).alias("mean"), F.bround(F.max(value), 3).alias("max"))
+    p = percentiles(rows, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by).withColumns({n: F.bround(n, 3) for n in ("p50", "p95", "p99")})
+    if not by:
+        return out.crossJoin(p).select("count", "mean", "p50", "p95", "p99", "max") if not rows.isEmpty() else out.select("count", "mean", *[F.lit(None).cast("double").alias(n) for n in ("p50", "p95", "p99")], "max")  # one row each
+    keys = {c: f"_key_{c}" for c in by}
+    both = out.join(p.withColumnsRenamed(keys), [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return both.select(*by, "count", "mean", "p50", "p95", "p99", "max")
 
 
 def nearest_rank(rows: DataFrame, value: str, share: float, by: list[str]) -> DataFrame:
-    """The value whose rank is ceil(share * n), for each group; tasks count their values before they are merged."""
-    return rows.groupBy(*by).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{value}`)").alias(value))
+    """The value whose rank is ceil(share * n), for each group."""
+    return percentiles(rows, value, {value: share}, by, nearest=True)
 
 
 def jain(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:

@@ -349,7 +349,8 @@ def latency_histogram(spark, sf_dir):
 @query("WITH c AS (SELECT event_type AS name, quantile_cont(value, 0.95) AS p, count(*)::DOUBLE AS t, p * 0.9 AS bp, t * 1.2 AS bt FROM events GROUP BY 1) SELECT name, array_to_string(list_filter([CASE WHEN (p - bp) / bp > 0.1 THEN 'p95_regression' END, CASE WHEN t / bt < 0.8 THEN 'throughput_ratio' END], lambda x: x IS NOT NULL), ',') AS failures FROM c")
 def benchmark_gate(spark, sf_dir):
     """M4."""
-    now = fx.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.percentile("value", F.lit(0.95)).alias("p95_ms"), F.count("*").cast("double").alias("throughput"))
+    rows = fx.table(spark, sf_dir, "events").withColumnRenamed("event_type", "name")
+    now = stats.percentiles(rows, "value", {"p95_ms": 0.95}, ["name"]).join(rows.groupBy("name").agg(F.count("*").cast("double").alias("throughput")), "name")
     before = now.select("name", (F.col("p95_ms") * 0.9).alias("p95_ms"), (F.col("throughput") * 1.2).alias("throughput"))
     return stats.regressions(now, before, 0.1, 0.8).select("name", F.array_join("failures", ",").alias("failures"))
 

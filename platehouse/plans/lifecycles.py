@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platehouse.operators import lifecycles
+from platehouse.operators import histories, lifecycles
 from platehouse.plans import fixtures as fx
 from platehouse.plans.registry import query
 
@@ -82,3 +82,28 @@ def deletable_events(spark, sf_dir):
     media = _media(spark, sf_dir)
     samples = media.where("e % 11 = 0").select(F.col("event_id").alias("source_event_id"), F.when(F.col("e") % 2 == 0, "READY").otherwise("EXPORTED").alias("status"))
     return lifecycles.deletable_events(fx.events(spark, sf_dir), media, samples, F.lit("2024-01-20").cast("timestamp_ntz"))
+
+
+_STEP = "row_number() OVER (PARTITION BY hub ORDER BY t, seq) AS n"
+
+
+@query("WITH RECURSIVE {ve}, c AS (SELECT *, " + _STEP + " FROM (SELECT 'hub-' || (user_id % 23) AS hub, occurred_at AS t, event_id AS seq, 'k' || (event_id % 41) AS id FROM ve)), w AS (SELECT hub, 0::BIGINT AS n, []::VARCHAR[] AS ids, false AS admitted FROM (SELECT DISTINCT hub FROM c) UNION ALL SELECT c.hub, c.n, CASE WHEN list_contains(w.ids, c.id) THEN w.ids ELSE list_append(CASE WHEN len(w.ids) >= 12 THEN w.ids[2:] ELSE w.ids END, c.id) END, NOT list_contains(w.ids, c.id) FROM w JOIN c ON c.hub = w.hub AND c.n = w.n + 1) SELECT hub, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS \"at\", seq, id, admitted FROM w JOIN c USING (hub, n)")
+def replay_admissions(spark, sf_dir):
+    """U8: what a hub passes on, given the last twelve ids that it admitted; an id that left them is admitted again."""
+    rows = fx.events(spark, sf_dir).selectExpr("concat('hub-', CAST(user_id % 23 AS STRING)) AS hub", "occurred_at AS at", "event_id AS seq", "concat('k', CAST(event_id % 41 AS STRING)) AS id")
+    return histories.admissions(rows, 12).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+_MINE = "list_filter(w.held, lambda e: e.c = c.camera_id)"
+_OTHERS = "list_filter(w.held, lambda e: e.c <> c.camera_id)"
+
+
+@query("WITH RECURSIVE {ve}, c AS (SELECT *, row_number() OVER (PARTITION BY monitor ORDER BY t, seq) AS n FROM (SELECT 'mon-' || (user_id % 19) AS monitor, occurred_at AS t, event_id AS seq, camera_id FROM ve)), "
+       "w AS (SELECT monitor, 0::BIGINT AS n, []::STRUCT(c VARCHAR, k INT)[] AS held, NULL::VARCHAR AS evicted_camera, 0 AS evicted_frames FROM (SELECT DISTINCT monitor FROM c) UNION ALL "
+       "SELECT c.monitor, c.n, CASE WHEN len(" + _MINE + ") > 0 THEN list_append(" + _OTHERS + ", {'c': c.camera_id, 'k': least(3, " + _MINE + "[1].k + 1)::INT}) ELSE list_append(CASE WHEN len(w.held) >= 5 THEN w.held[2:] ELSE w.held END, {'c': c.camera_id, 'k': 1::INT}) END, "
+       "CASE WHEN len(" + _MINE + ") > 0 THEN CASE WHEN " + _MINE + "[1].k = 3 THEN c.camera_id END WHEN len(w.held) >= 5 THEN w.held[1].c END, CASE WHEN len(" + _MINE + ") > 0 THEN (" + _MINE + "[1].k = 3)::INT WHEN len(w.held) >= 5 THEN w.held[1].k ELSE 0 END FROM w JOIN c ON c.monitor = w.monitor AND c.n = w.n + 1) "
+       "SELECT monitor, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS \"at\", seq, camera_id, evicted_camera, evicted_frames, len(held)::INT AS cameras FROM w JOIN c USING (monitor, n)")
+def live_buffers(spark, sf_dir):
+    """ST12: buffers of three frames for five cameras a monitor; the camera unseen for longest makes room."""
+    rows = fx.events(spark, sf_dir).selectExpr("concat('mon-', CAST(user_id % 19 AS STRING)) AS monitor", "occurred_at AS at", "event_id AS seq", "camera_id")
+    return histories.live_buffers(rows, 5, 3).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))

@@ -24,10 +24,11 @@ def camera_window(spark, sf_dir):
     return events.in_camera_window(fx.events(spark, sf_dir), "cam-3", _stamp(FROM), _stamp(TO), 500).select("id", "vehicle_id")
 
 
-@query("WITH {edges} SELECT id, from_camera_id, to_camera_id FROM edges WHERE enabled AND to_camera_id = 'cam-4' ORDER BY from_camera_id, to_camera_id, id LIMIT 200")
+@query("SELECT 'e' || s_suppkey AS id, 'cam-' || (s_suppkey % 8) AS from_camera_id, 'cam-' || (s_nationkey % 8) AS to_camera_id FROM supplier WHERE s_acctbal > 0 AND s_nationkey % 8 = 4 ORDER BY 2, 3, 1 LIMIT 200")
 def topology_list(spark, sf_dir):
-    """P8."""
-    return topology.listed(fx.edges(spark), to_camera="cam-4", enabled_only=True).select("id", "from_camera_id", "to_camera_id")
+    """Edges into a camera that are in use, in order of their ends."""
+    edges = fx.table(spark, sf_dir, "supplier").selectExpr("concat('e', CAST(s_suppkey AS STRING)) AS id", "concat('cam-', CAST(s_suppkey % 8 AS STRING)) AS from_camera_id", "concat('cam-', CAST(s_nationkey % 8 AS STRING)) AS to_camera_id", "s_acctbal > 0 AS enabled")
+    return topology.listed(edges, to_camera="cam-4", enabled_only=True).select("id", "from_camera_id", "to_camera_id")
 
 
 @query("WITH {ve} SELECT id FROM ve WHERE status = 'CONFIRMED' AND model_version = 'v1' AND occurred_at >= TIMESTAMP '" + FROM + "' AND occurred_at < TIMESTAMP '" + TO + "'")

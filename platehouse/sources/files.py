@@ -126,14 +126,20 @@ def _content(*columns: str) -> tuple[Column, Column]:
 
 
 def export_labels(samples: DataFrame, path: str) -> DataFrame:
-    """Write labels by split as JSON lines and return the manifest: samples and a digest of ids and labels for each split."""
+    """Write labels by split as JSON lines and return the manifest: samples and a digest of all columns for each split."""
     samples.write.partitionBy("split").mode("errorifexists").json(path)
-    return samples.groupBy("split").agg(*_content("id", "label"))
+    return samples.groupBy("split").agg(*_content(*_covered(samples)))
+
+
+def _covered(samples: DataFrame) -> list[str]:
+    """What a checksum covers: all columns but the split, by name."""
+    return sorted(c for c in samples.columns if c != "split")
 
 
 def verify_export(spark: SparkSession, path: str, schema: str, manifest: DataFrame) -> DataFrame:
     """Splits whose files differ from the manifest."""
-    found = spark.read.schema(schema + ", split STRING").json(path).groupBy("split").agg(*_content("id", "label"))
+    rows = spark.read.schema(schema + ", split STRING").json(path)
+    found = rows.groupBy("split").agg(*_content(*_covered(rows)))
     found = found.select("split", F.col("samples").alias("_n"), F.col("checksum").alias("_sum"))
     return manifest.join(found, "split", "full_outer").where(~(F.col("samples").eqNullSafe(F.col("_n")) & F.col("checksum").eqNullSafe(F.col("_sum"))))
 
@@ -160,6 +166,14 @@ def digest_of_lines(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count("*").alias("lines"), F.sum(head).cast("decimal(38,0)").cast("string").alias("digest"))
 
 
+def ordered_digest(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Number of lines and a digest of files' lines (by..., line, value) that holds their order: two that change places
+    change it. A line's number goes into its own hash, so tasks add up their parts in any order; null counts as no text."""
+    text = F.concat_ws(":", F.col("line").cast("string"), F.coalesce("value", F.lit("")))
+    head = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return lines.groupBy(*(by or [])).agg(F.count("*").alias("lines"), F.sum(head).cast("decimal(38,0)").cast("string").alias("digest"))
+
+
 def export_coco(samples: DataFrame, classes: list[str], path: str) -> DataFrame:
     """Write a detector dataset and return its manifest, a row for each split.
 
