@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platehouse.functions.grouping import map_groups
 from platehouse.functions.geometry import overlap
+from platehouse.functions.grouping import map_groups
 from platehouse.functions.scalars import ratio
 from platehouse.functions.scratch import staged
 
@@ -37,43 +40,101 @@ def _ious(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
     return np.divide(common, union, out=np.zeros(len(boxes)), where=union > 0)
 
 
-def _overlaps(x: float, y: float, w: float, h: float, boxes: list[list[float]]) -> list[float]:
-    """IoU of a box with few others."""
-    out = []
-    for bx, by, bw, bh in boxes:
-        across, down = min(x + w, bx + bw) - max(x, bx), min(y + h, by + bh) - max(y, by)
-        common = max(0.0, across) * max(0.0, down)
-        union = w * h + bw * bh - common
-        out.append(common / union if union > 0 else 0.0)
-    return out
+#: Pairs of a prediction and a truth that are compared at once.
+MOST_PAIRS = 2_000_000
+
+
+def _near(n_truths: np.ndarray, n_predictions: np.ndarray, truths: np.ndarray, predictions: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prediction, truth, IoU) of the pairs within groups that overlap by `least`; pairs are made MOST_PAIRS at a time."""
+    each = np.repeat(n_truths, n_predictions)
+    first = np.repeat(np.cumsum(n_truths) - n_truths, n_predictions)
+    upto = np.cumsum(each)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    start = 0
+    while start < len(each):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + MOST_PAIRS, "right")))
+        n = each[start:end]
+        p = np.repeat(np.arange(start, end), n)
+        t = np.repeat(first[start:end] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        one, other = predictions[p], truths[t]
+        low, high = np.maximum(one[:, :2], other[:, :2]), np.minimum(one[:, :2] + one[:, 2:], other[:, :2] + other[:, 2:])
+        common = np.clip(high - low, 0, None).prod(axis=1)
+        union = one[:, 2] * one[:, 3] + other[:, 2] * other[:, 3] - common
+        iou = np.divide(common, union, out=np.zeros(len(p)), where=union > 0)
+        near = iou >= least
+        out.append((p[near], t[near], iou[near]))
+        start = end
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _greedy(n_truths: np.ndarray, n_predictions: np.ndarray, truths: np.ndarray, predictions: np.ndarray, thresholds: tuple[float, ...]) -> np.ndarray:
+    """For each prediction and threshold the number of the truth that it takes, or -1. Boxes lie group by group, predictions
+    in the order in which they choose. Round by round, the next prediction of every group chooses, all at once."""
+    taken = np.full((len(predictions), len(thresholds)), -1, np.int64)
+    p, t, iou = _near(n_truths, n_predictions, truths, predictions, min(thresholds))
+    order = np.lexsort((t, iou, p))[::-1]  # each prediction's best pair first, of equals the later truth
+    p, t, iou = p[order], t[order], iou[order]
+    turn = (np.arange(len(predictions)) - np.repeat(np.cumsum(n_predictions) - n_predictions, n_predictions))[p]
+    by_turn = np.argsort(turn, kind="stable")
+    ends = np.cumsum(np.bincount(turn)) if len(turn) else np.zeros(0, np.int64)
+    for k, threshold in enumerate(thresholds):
+        free = np.ones(len(truths), bool)
+        start = 0
+        for end in ends:
+            rows = by_turn[start:end]
+            rows = rows[(iou[rows] >= threshold) & free[t[rows]]]
+            first = rows[np.flatnonzero(np.diff(p[rows], prepend=-1))]  # the best that is left for each
+            taken[p[first], k] = t[first]
+            free[t[first]] = False
+            start = end
+    return taken
 
 
 def match_all(truths: DataFrame, predictions: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """(prediction_id, image_id, category_id, score, truth_ids): one-to-one matches, highest score first, for each threshold.
 
     truths: id, image_id, category_id, bbox [x, y, w, h]; predictions also score. A prediction takes the best free truth
-    of its image and category from the threshold on; of equals the later. Spark deals images; a group is one image's class.
+    of its image and category from the threshold on; of equals the later. Spark deals and sorts images; a task takes them
+    by the batch, as arrays, and holds the image at a batch's end until the next.
     """
-    least = min(thresholds)
-
-    def greedy(key, rows: dict) -> list[tuple]:
-        n = sum(s is None or s != s for s in rows["score"])  # truths have no score and come first, in order of id
-        ids, boxes = rows["id"][:n], [[float(v) for v in b] for b in rows["bbox"]]
-        taken = [set() for _ in thresholds]
-        out = []
-        for i in range(n, len(rows["id"])):
-            near = sorted(((v, j) for j, v in enumerate(_overlaps(*boxes[i], boxes[:n])) if v >= least), reverse=True)
-            found = []
-            for threshold, used in zip(thresholds, taken, strict=True):
-                best = next((j for v, j in near if v >= threshold and j not in used), None) if near else None
-                used.add(best)
-                found.append(None if best is None else ids[best])
-            out.append((rows["id"][i], key[0], key[1], rows["score"][i], found))
-        return out
-
     by = ["image_id", "category_id"]
-    both = truths.select("id", *by, "bbox", F.lit(None).cast("double").alias("score")).unionByName(predictions.select("id", *by, "bbox", "score"))
-    return map_groups(both, by, [F.desc_nulls_first("score"), "id"], greedy, "prediction_id long, image_id long, category_id long, score double, truth_ids array<long>")
+    kinds = {"prediction_id": "Int64", "image_id": "Int64", "category_id": "Int64"}
+
+    def matched(rows: pd.DataFrame) -> pd.DataFrame:
+        group = (rows[by].ne(rows[by].shift()) & ~(rows[by].isna() & rows[by].shift().isna())).any(axis=1).cumsum().to_numpy() - 1
+        is_truth = rows["score"].isna().to_numpy()
+        boxes = np.array(rows["bbox"].tolist(), float).reshape(-1, 4)
+        counts = [np.bincount(group[some], minlength=group[-1] + 1) for some in (is_truth, ~is_truth)]
+        taken = _greedy(*counts, boxes[is_truth], boxes[~is_truth], thresholds)
+        ids, out = rows["id"].to_numpy()[is_truth], rows[~is_truth]
+        found = np.append(ids, -1).astype(object)[taken]
+        found[taken < 0] = None
+        return pd.DataFrame({"prediction_id": out["id"], "image_id": out["image_id"], "category_id": out["category_id"], "score": out["score"], "truth_ids": pd.Series([list(f) for f in found], out.index, object)}).astype(kinds)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch[by].iloc[-1]
+            open_ = ((batch[by] == last) | (batch[by].isna() & last.isna())).all(axis=1).to_numpy()
+            if open_.all() and (not held or _same(held[-1][by].iloc[-1], last)):
+                held.append(batch)
+                continue
+            cut = len(batch) - int(np.argmin(open_[::-1])) if not open_.all() else 0
+            yield matched(pd.concat([*held, batch.iloc[:cut]]))
+            held = [batch.iloc[cut:]]
+        if held:
+            yield matched(pd.concat(held))
+
+    # truths have no score and come first, in order of id
+    both = truths.select("id", *by, "bbox", F.lit(None).cast("double").alias("score")).unionByName(predictions.where("score IS NOT NULL").select("id", *by, "bbox", "score"))
+    dealt = both.repartition(*by).sortWithinPartitions(*by, F.desc_nulls_first("score"), "id")
+    return dealt.mapInPandas(run, "prediction_id long, image_id long, category_id long, score double, truth_ids array<long>")
+
+
+def _same(a: pd.Series, b: pd.Series) -> bool:
+    return bool(((a == b) | (a.isna() & b.isna())).all())
 
 
 def match(truths: DataFrame, predictions: DataFrame, thresholds: tuple[float, ...] = (0.5,)) -> DataFrame:
@@ -104,7 +165,7 @@ def average_precision(truths: DataFrame, predictions: DataFrame, thresholds: tup
     """
     spark, by = truths.sparkSession, ["category_id", "_part"]
     at = range(len(thresholds))
-    there = F.broadcast(truths.groupBy("category_id").agg(F.count("*").alias("_truths")))  # one row a class
+    there = truths.groupBy("category_id").agg(F.count("*").alias("_truths"))
     hits = match_all(truths, predictions, thresholds).select("category_id", "score", "prediction_id", *[F.col("truth_ids")[i].isNotNull().cast("int").alias(f"_hit{i}") for i in at])
     hits = staged(hits.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.desc("score"), "prediction_id").withColumn("_part", F.spark_partition_id()), "hits")
     # one row for each range and class
@@ -113,14 +174,14 @@ def average_precision(truths: DataFrame, predictions: DataFrame, thresholds: tup
     over = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
     ahead = sums.select(*by, over("_rows").alias("_n0"), *[over(f"_hits{i}").alias(f"_tp0{i}") for i in at])
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "prediction_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = hits.join(F.broadcast(ahead), by).withColumns({"_n": F.col("_n0") + F.count("*").over(order), **{f"_tp{i}": F.col(f"_tp0{i}") + F.sum(f"_hit{i}").over(order) for i in at}})
+    run = hits.join(ahead, by).withColumns({"_n": F.col("_n0") + F.count("*").over(order), **{f"_tp{i}": F.col(f"_tp0{i}") + F.sum(f"_hit{i}").over(order) for i in at}})
     run = run.select(*by, "score", "prediction_id", "_n", *[F.col(f"_hit{i}") for i in at], *[F.col(f"_tp{i}") for i in at], *[(F.col(f"_tp{i}") / F.col("_n")).alias(f"_p{i}") for i in at])
     run = staged(run, "precision")
     best = run.groupBy(*by).agg(*[F.max(f"_p{i}").alias(f"_most{i}") for i in at])
     later = Window.partitionBy("category_id").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     behind = best.select(*by, *[F.coalesce(F.max(f"_most{i}").over(later), F.lit(0.0)).alias(f"_later{i}") for i in at])
     back = Window.partitionBy(*by).orderBy("score", F.desc("prediction_id")).rowsBetween(Window.unboundedPreceding, 0)
-    run = run.withColumns({f"_best{i}": F.max(f"_p{i}").over(back) for i in at}).join(F.broadcast(behind), by).join(there, "category_id")
+    run = run.withColumns({f"_best{i}": F.max(f"_p{i}").over(back) for i in at}).join(behind, by).join(there, "category_id")
 
     def share(i: int) -> Column:
         reached = lambda tp: F.when(tp > 0, F.floor(F.lit(100) * tp / F.col("_truths") + F.lit(1e-9)) + 1).otherwise(1)

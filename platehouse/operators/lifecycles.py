@@ -107,6 +107,20 @@ def lease_history(commands: DataFrame, stale_seconds: float) -> DataFrame:
     return fold(_micros(commands.select("id", "at", "seq", "command", "lease_id")), ["id"], ["at", "seq"], Machine(("KEPT", None, 0), step, LEASE_SCHEMA))
 
 
+def health_upserts(reports: DataFrame, every_seconds: float) -> DataFrame:
+    """The reports (camera_id, at, seq, forced) that are stored: forced ones, and those that come every_seconds or more
+    after the one stored before them."""
+    every = int(every_seconds * 1_000_000)
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple | None]:
+        camera, at, seq, forced = row
+        stored = bool(forced) or state[0] is None or at - state[0] >= every
+        return (at,) if stored else state, (camera, at, seq) if stored else None
+
+    rows = _micros(reports.select("camera_id", "at", "seq", "forced"))
+    return fold(rows, ["camera_id"], ["at", "seq"], Machine((None,), step, "camera_id string, at long, seq long"))
+
+
 def claim_media(media: DataFrame, pinned: DataFrame, older_than, stale_before, limit: int) -> DataFrame:
     """Media that retention may delete now (event_id, key, reclaimed), the oldest first, at most `limit`.
 

@@ -35,7 +35,9 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[
 
     brackets = []
     for i, n in enumerate(names):
-        low, high = F.when(F.lit(ends[2 * i] == 0.0), F.col("_low")).otherwise(F.col("_q")[2 * i]), F.when(F.lit(ends[2 * i + 1] == 1.0), F.col("_high")).otherwise(F.col("_q")[2 * i + 1])
+        few = F.col("_n") <= 2 * SKETCH  # then the margin may be less than a rank, and all values are few
+        low = F.when(few | F.lit(ends[2 * i] == 0.0), F.col("_low")).otherwise(F.col("_q")[2 * i])
+        high = F.when(few | F.lit(ends[2 * i + 1] == 1.0), F.col("_high")).otherwise(F.col("_q")[2 * i + 1])
         first, last = ranks(shares[n])
         brackets.append(F.struct(F.lit(n).alias("name"), low.alias("low"), high.alias("high"), first.alias("first"), last.alias("last")))
     wanted = sketch.where("_n > 0").select("_by", F.explode(F.array(*brackets)).alias("_b"))

@@ -107,3 +107,10 @@ def live_buffers(spark, sf_dir):
     """ST12: buffers of three frames for five cameras a monitor; the camera unseen for longest makes room."""
     rows = fx.events(spark, sf_dir).selectExpr("concat('mon-', CAST(user_id % 19 AS STRING)) AS monitor", "occurred_at AS at", "event_id AS seq", "camera_id")
     return histories.live_buffers(rows, 5, 3).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query("WITH RECURSIVE {ve}, c AS (SELECT camera_id, epoch_us(occurred_at) AS t, event_id AS seq, event_id % 97 = 0 AS forced, row_number() OVER (PARTITION BY camera_id ORDER BY occurred_at, event_id) AS n FROM ve), w AS (SELECT camera_id, 0::BIGINT AS n, NULL::BIGINT AS last, false AS stored FROM (SELECT DISTINCT camera_id FROM c) UNION ALL SELECT c.camera_id, c.n, CASE WHEN c.forced OR w.last IS NULL OR c.t - w.last >= 7200000000 THEN c.t ELSE w.last END, c.forced OR w.last IS NULL OR c.t - w.last >= 7200000000 FROM w JOIN c ON c.camera_id = w.camera_id AND c.n = w.n + 1) SELECT camera_id, t AS \"at\", seq FROM w JOIN c USING (camera_id, n) WHERE stored")
+def throttled_health(spark, sf_dir):
+    """ST13: health reports that are stored, at most one in two hours for a camera unless forced."""
+    rows = fx.events(spark, sf_dir).selectExpr("camera_id", "occurred_at AS at", "event_id AS seq", "event_id % 97 = 0 AS forced")
+    return lifecycles.health_upserts(rows, 7200.0)
