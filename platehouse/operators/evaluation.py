@@ -166,30 +166,65 @@ def average_precision(truths: DataFrame, predictions: DataFrame, thresholds: tup
     spark, by = truths.sparkSession, ["category_id", "_part"]
     at = range(len(thresholds))
     there = truths.groupBy("category_id").agg(F.count("*").alias("_truths"))
-    hits = match_all(truths, predictions, thresholds).select("category_id", "score", "prediction_id", *[F.col("truth_ids")[i].isNotNull().cast("int").alias(f"_hit{i}") for i in at])
-    hits = staged(hits.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.desc("score"), "prediction_id").withColumn("_part", F.spark_partition_id()), "hits")
+    mask = sum((F.when(F.col("truth_ids")[i].isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i in at), F.lit(0))
+    hits = match_all(truths, predictions, thresholds).select("category_id", "score", "prediction_id", mask.alias("_mask"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hits = staged(hits.repartitionByRange(n, F.desc("score"), "prediction_id").withColumn("_part", F.spark_partition_id()), "hits")
     # one row for each range and class
-    sums = hits.groupBy(*by).agg(F.count("*").alias("_rows"), *[F.sum(f"_hit{i}").alias(f"_hits{i}") for i in at])
+    sums = staged(hits.groupBy(*by).agg(F.count("*").alias("_rows"), *[F.sum(F.getbit("_mask", F.lit(i)).cast("int")).alias(f"_hits{i}") for i in at]), "sums")
     earlier = Window.partitionBy("category_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    over = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
-    ahead = sums.select(*by, over("_rows").alias("_n0"), *[over(f"_hits{i}").alias(f"_tp0{i}") for i in at])
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), "prediction_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = hits.join(ahead, by).withColumns({"_n": F.col("_n0") + F.count("*").over(order), **{f"_tp{i}": F.col(f"_tp0{i}") + F.sum(f"_hit{i}").over(order) for i in at}})
-    run = run.select(*by, "score", "prediction_id", "_n", *[F.col(f"_hit{i}") for i in at], *[F.col(f"_tp{i}") for i in at], *[(F.col(f"_tp{i}") / F.col("_n")).alias(f"_p{i}") for i in at])
-    run = staged(run, "precision")
-    best = run.groupBy(*by).agg(*[F.max(f"_p{i}").alias(f"_most{i}") for i in at])
+    over = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("double")
+    ahead = sums.join(there, "category_id").select(*by, F.array(F.col("_truths").cast("double"), over("_rows"), *[over(f"_hits{i}") for i in at]).alias("_ahead"))
+
+    def walked(facts: DataFrame, function) -> DataFrame:
+        """function(facts, hits by threshold) -> numbers by threshold, for each range's part of each class."""
+        row = facts.select(*by, F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("prediction_id"), F.lit(None).cast("int").alias("_mask"), "_facts")
+        rows = hits.select(*by, F.lit(1).alias("_kind"), "score", "prediction_id", "_mask", F.lit(None).cast("array<double>").alias("_facts"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[np.ndarray] = []
+            known = None
+
+            def done() -> pd.DataFrame:
+                masks = np.concatenate(held) if held else np.zeros(0, np.int64)
+                found = function(np.array(known["_facts"]), (masks[:, None] >> np.arange(len(thresholds))) & 1)
+                held.clear()
+                return pd.DataFrame({"category_id": [known["category_id"]], "_part": [known["_part"]], "_found": [list(found)]})
+
+            for batch in batches:
+                starts = np.flatnonzero(batch["_kind"].to_numpy() == 0)
+                for i, j in zip(np.append(0, starts), np.append(starts, len(batch)), strict=True):
+                    some = batch.iloc[i:j]
+                    if len(some) and some["_kind"].iloc[0] == 0:
+                        if known is not None:
+                            yield done()
+                        known, some = some.iloc[0], some.iloc[1:]
+                    if known is not None and len(some) and some["category_id"].iloc[0] == known["category_id"] and some["_part"].iloc[0] == known["_part"]:
+                        held.append(some["_mask"].to_numpy(np.int64))
+            if known is not None:
+                yield done()
+
+        dealt = row.unionByName(rows).repartitionById(n, F.col("_part")).sortWithinPartitions("_part", "category_id", "_kind", F.desc("score"), "prediction_id")
+        return dealt.select("category_id", "_part", "_kind", "_mask", "_facts").mapInPandas(run, "category_id long, _part int, _found array<double>")
+
+    def precision(facts: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rank = facts[1] + 1 + np.arange(len(hit))
+        true = facts[2 : 2 + len(thresholds)] + np.cumsum(hit, axis=0)
+        return rank, true, true / rank[:, None]
+
+    def shares(facts: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Best precision from each prediction on, times the recalls that it is the first to reach, over 101."""
+        rank, true, now = precision(facts, hit)
+        best = np.maximum(np.maximum.accumulate(now[::-1], axis=0)[::-1], facts[2 + len(thresholds) :])
+        reached = lambda tp: np.where(tp > 0, np.floor(100 * tp / facts[0] + 1e-9) + 1, 1)
+        steps = reached(true) - np.where(rank[:, None] == 1, 0, reached(true - hit))
+        return (best * steps).sum(axis=0) / 101
+
+    most = staged(walked(ahead.withColumnRenamed("_ahead", "_facts"), lambda facts, hit: precision(facts, hit)[2].max(axis=0, initial=0.0)), "precision")
     later = Window.partitionBy("category_id").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    behind = best.select(*by, *[F.coalesce(F.max(f"_most{i}").over(later), F.lit(0.0)).alias(f"_later{i}") for i in at])
-    back = Window.partitionBy(*by).orderBy("score", F.desc("prediction_id")).rowsBetween(Window.unboundedPreceding, 0)
-    run = run.withColumns({f"_best{i}": F.max(f"_p{i}").over(back) for i in at}).join(behind, by).join(there, "category_id")
-
-    def share(i: int) -> Column:
-        reached = lambda tp: F.when(tp > 0, F.floor(F.lit(100) * tp / F.col("_truths") + F.lit(1e-9)) + 1).otherwise(1)
-        tp = F.col(f"_tp{i}")
-        steps = reached(tp) - F.when(F.col("_n") == 1, F.lit(0)).otherwise(reached(tp - F.col(f"_hit{i}")))
-        return F.sum(F.greatest(f"_best{i}", f"_later{i}") * steps) / 101
-
-    found = run.groupBy("category_id").agg(F.array(*[share(i) for i in at]).alias("_ap"))
+    behind = most.select(*by, F.array(*[F.coalesce(F.max(F.col("_found")[i]).over(later), F.lit(0.0)) for i in at]).alias("_later"))
+    found = walked(ahead.join(behind, by).select(*by, F.concat("_ahead", "_later").alias("_facts")), shares)
+    found = found.groupBy("category_id").agg(F.array(*[F.sum(F.col("_found")[i]) for i in at]).alias("_ap"))
     every = there.join(found, "category_id", "left").select("category_id", F.inline(F.arrays_zip(F.array(*[F.lit(t) for t in thresholds]), F.coalesce("_ap", F.array(*[F.lit(0.0) for _ in at])))).alias("threshold", "average_precision"))
     return every.select("threshold", "category_id", "average_precision")
 
