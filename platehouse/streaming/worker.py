@@ -20,7 +20,7 @@ from platehouse.streaming import firstwrites
 REASON_CHARACTERS = 2000
 
 
-_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.unsupportedOperationCheck": "false"}
+_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.unsupportedOperationCheck": "false"}
 SEMANTIC = list(firstwrites.SEMANTIC)
 
 
@@ -126,7 +126,7 @@ def start(messages: DataFrame, store: str, rejects: str, checkpoint: str, keep:
     settings are put back.
     """
     spark = messages.sparkSession
-    before = {k: spark.conf.get(k) for k in _SETTINGS}
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     later = any(options.get(k) for k in ("alerts", "identities")) or options.get("attempt") is not None
     try:
         for k, v in _SETTINGS.items():
@@ -136,4 +136,4 @@ def start(messages: DataFrame, store: str, rejects: str, checkpoint: str, keep:
         return found.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(lambda batch, number: write_outcomes(batch, number, store, rejects, **options)).start()
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
