@@ -42,3 +42,29 @@ def test_pairs_carry_no_vectors(spark, no_small_tables):
         a, b = (values.get(int(r[c]) % 21) for c in ("source_id", "candidate_id"))
         expect = None if a is None or b is None else max(0.0, min(1.0, float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))))
         assert r["embedding_score"] is None if expect is None else abs(r["embedding_score"] - expect) < 1e-12
+
+
+
+def test_nearest_with_many_copies_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(reid, "TILE", 64)
+    monkeypatch.setattr(reid, "MOST_FOUND", 16)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 6)).round(2)
+    vectors = [[float(x) for x in base[i % 12]] if i % 11 else [0.0] * 6 for i in range(240)]
+    vectors[17], vectors[18], vectors[19] = None, [1.0, None, 0.0, 0.0, 0.0, 0.0], [1.0, 2.0]
+    df = spark.createDataFrame([(i, f"m{i % 2}" if i % 31 else None, v) for i, v in enumerate(vectors)], "id long, model string, values array<double>")
+    rows, records, _ = shuffled(spark, lambda: reid.nearest(df.where("id % 3 = 0"), df, 0.1, 5))
+
+    def cosine(a, b):
+        dot = lambda x, y: float(np.add.accumulate(np.multiply(x, y))[-1])
+        size = np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))
+        return None if size == 0 else max(-1.0, min(1.0, dot(a, b) / size))
+
+    good = [i for i, v in enumerate(vectors) if v is not None and None not in v and i % 31]
+    expect = {}
+    for q in good:
+        if q % 3 == 0:
+            near = [(cosine(vectors[q], vectors[i]), i) for i in good if i != q and i % 2 == q % 2 and len(vectors[i]) == len(vectors[q])]
+            for place, (score, i) in enumerate(sorted((x for x in near if x[0] is not None and x[0] >= 0.1), reverse=True)[:5]):
+                expect[q, place] = (i, score)
+    assert {(r["query_id"], r["place"]): (r["id"], r["score"]) for r in rows} == expect and len(rows) == len(expect)
