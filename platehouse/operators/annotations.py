@@ -7,7 +7,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platehouse.functions.grouping import map_groups
+from platehouse.functions.grouping import map_groups, parts_for
 
 #: Brightness and aspect ranges of readable plates, the brightness below which an image is night.
 BRIGHTNESS, ASPECT, NIGHT_BELOW, SINGLE_LINE_FROM = (45.0, 220.0), (1.5, 3.2, 6.5), 0.28, 2.5
@@ -116,13 +116,29 @@ def seek_samples(videos: DataFrame, interval: float) -> DataFrame:
     """(video_id, frame_index, offset_seconds) of seeks at 0, interval, ... within each video (video_id, fps, frame_count).
 
     A seek lands on the first frame at or after its offset; one that does not get beyond the frame before it is left out.
+    Frames grow with seeks, so each seek looks at the one before it and no seek is shuffled; videos are dealt first, by
+    VIDEOS_EACH. Only the seeks of an id that stands for several videos are grouped, of equals the earliest.
     """
-    duration = F.col("frame_count") / F.col("fps")
-    steps = F.sequence(F.lit(0), F.greatest(F.ceil(duration / interval).cast("int") - 1, F.lit(0)))
-    seeks = videos.where("frame_count > 0 AND fps > 0").select("video_id", "fps", "frame_count", F.explode(steps).alias("_k"))
-    frame = F.ceil(F.round(F.col("_k") * interval * F.col("fps"), 6)).cast("long")
-    landed = seeks.withColumn("frame_index", frame).where((F.col("frame_index") < F.col("frame_count")) & (F.col("_k") * interval * F.col("fps") < F.col("frame_count")))
-    return landed.groupBy("video_id", "frame_index").agg((F.min("_k") * interval).alias("offset_seconds"))
+    n = parts_for(videos.sparkSession, videos.count(), VIDEOS_EACH)
+    facts = F.struct("fps", "frame_count")
+    usable = videos.where("frame_count > 0 AND fps > 0").select("video_id", "fps", "frame_count")
+    spans = usable.repartition(n, "video_id").groupBy("video_id").agg(F.min(facts).alias("_low"), F.max(facts).alias("_high"))
+    shared = spans.where("_low <> _high").select(F.col("video_id").alias("_id"))
+    several = usable.join(shared, F.col("video_id").eqNullSafe(F.col("_id")), "left_semi").distinct().repartition(n)
+
+    def landed(rows: DataFrame) -> DataFrame:
+        steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("frame_count") / F.col("fps") / interval).cast("int") - 1, F.lit(0)))
+        frame = lambda k: F.ceil(F.round(k * interval * F.col("fps"), 6)).cast("long")
+        seeks = rows.select("video_id", "fps", "frame_count", F.explode(steps).alias("_k")).withColumn("frame_index", frame(F.col("_k")))
+        inside = (F.col("frame_index") < F.col("frame_count")) & (F.col("_k") * interval * F.col("fps") < F.col("frame_count"))
+        first = (F.col("_k") == 0) | (F.col("frame_index") > frame(F.col("_k") - 1))
+        return seeks.where(inside & first).select("video_id", "frame_index", (F.col("_k") * interval).alias("offset_seconds"))
+
+    return landed(spans.where("_low = _high").select("video_id", "_low.*")).union(landed(several).groupBy("video_id", "frame_index").agg(F.min("offset_seconds").alias("offset_seconds")))
+
+
+#: Videos whose seeks one part makes.
+VIDEOS_EACH = 20_000
 
 
 def same_boxes(boxes: Column, suggestions: Column, tolerance: float = 0.01) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platehouse.operators import reid
+from platehouse.operators import annotations, reid
 
 
 def shuffled(spark, df):
@@ -44,6 +44,15 @@ def test_pairs_carry_no_vectors(spark, no_small_tables):
         assert r["embedding_score"] is None if expect is None else abs(r["embedding_score"] - expect) < 1e-12
 
 
+def test_seeks_are_not_shuffled(spark):
+    videos = spark.range(300).select(F.col("id").alias("video_id"), (F.lit(10.0) + F.col("id") % 20).alias("fps"), (F.col("id") % 50 * 7).alias("frame_count"))
+    rows, records, _ = shuffled(spark, lambda: annotations.seek_samples(videos.union(videos.where("video_id = 9")), 0.06))
+    assert len(rows) > 20_000 and records < 3_000
+    assert len({(r["video_id"], r["frame_index"]) for r in rows}) == len(rows)
+    two = spark.createDataFrame([(1, 10.0, 12), (1, 20.0, 12), (None, 4.0, 2), (None, 8.0, 2)], "video_id long, fps double, frame_count long")
+    got = {(r["video_id"], r["frame_index"]): round(r["offset_seconds"], 6) for r in annotations.seek_samples(two, 0.25).collect()}
+    assert got == {(1, 0): 0.0, (1, 3): 0.25, (1, 5): 0.25, (1, 8): 0.75, (1, 10): 0.5, (None, 0): 0.0, (None, 1): 0.25}
+
 
 def test_nearest_with_many_copies_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(reid, "TILE", 64)
