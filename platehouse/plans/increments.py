@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platehouse.functions import plates
+from platehouse.functions.grouping import parts_for
 from platehouse.functions.scratch import new_path
 from platehouse.operators import annotations, datasets, evaluation, identity, quality, reid, tracking
 from platehouse.plans import fixtures as fx
@@ -56,8 +57,9 @@ def file_inventory(spark, sf_dir):
     """The files of a folder by size and content digest."""
     path = new_path(spark, "inventory")
     rows = fx.table(spark, sf_dir, "documents").select("lang", "doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
-    return files.inventory(spark, path).select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), "length", "sha256")
+    n = parts_for(spark, rows.count(), 10_000)  # a language is many parts, each a range of documents
+    rows.repartitionByRange(n, "lang", "doc_id").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
+    return files.inventory(spark, path, F.regexp_extract("path", "lang=([^/]+)/", 1)).select(F.col("path").alias("lang"), "length", "sha256")
 
 
 @query("WITH {ve} SELECT camera_id, CASE WHEN event_id % 10 = 0 THEN 'CONFIRMED' ELSE status END AS status, count(*) AS events, count(*) FILTER (event_id % 10 = 0) AS reviewed, 1 AS parts FROM ve GROUP BY 1, 2")

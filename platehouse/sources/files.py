@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,9 +120,43 @@ def usable_boxes(boxes: DataFrame, labels: dict[str, str]) -> DataFrame:
     return boxes.withColumn("class_name", F.try_element_at(names, F.col("LabelName"))).where(F.col("class_name").isNotNull() & (flags == 0))
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder with their size and digest."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+#: Bytes of a file that a task holds at once.
+PIECE = 1 << 23
+
+
+def _pieces(path: str) -> Iterator[bytes]:
+    """A file's content, a piece at a time. Spark's paths are no encoded URIs, so only scheme and host are parsed."""
+    if "://" in path:
+        scheme, rest = path.split("://", 1)
+        host, _, name = rest.partition("/")
+        store, root = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+        name = f"{root.rstrip('/')}/{name}"
+    else:
+        store, name = fs.LocalFileSystem(), f"/{path.removeprefix('file:').lstrip('/')}"
+    with store.open_input_stream(name) as stream:
+        while piece := stream.read(PIECE):
+            yield piece
+
+
+def inventory(spark: SparkSession, path: str, whole: Column | None = None) -> DataFrame:
+    """Files below a folder with their size and digest.
+
+    Contents are no rows: a task streams each file by PIECE bytes. `whole` names, from `path`, the file of which a part is
+    one; the parts of a name are one file (path: that name) and follow each other in order of their paths.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    files = found.groupBy((F.col("path") if whole is None else whole).alias("path")).agg(F.sum("length").alias("length"), F.sort_array(F.collect_list("path")).alias("_parts"))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, length, parts in batch.itertuples(index=False):
+                total = hashlib.sha256()
+                for part in parts:
+                    for piece in _pieces(part):
+                        total.update(piece)
+                yield pd.DataFrame({"path": [name], "length": [length], "sha256": [total.hexdigest()]})
+
+    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(digest, "path string, length long, sha256 string")
 
 
 def _content(*columns: str) -> tuple[Column, Column]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from platehouse.operators import annotations, reid
+from platehouse.sources import files
 
 
 def shuffled(spark, df):
@@ -77,3 +80,13 @@ def test_nearest_with_many_copies_and_odd_vectors(spark, monkeypatch):
             for place, (score, i) in enumerate(sorted((x for x in near if x[0] is not None and x[0] >= 0.1), reverse=True)[:5]):
                 expect[q, place] = (i, score)
     assert {(r["query_id"], r["place"]): (r["id"], r["score"]) for r in rows} == expect and len(rows) == len(expect)
+
+
+def test_parts_of_one_file_have_one_digest(spark, tmp_path):
+    lines = spark.range(500).select((F.col("id") % 2).alias("side"), "id", F.format_string("%05d %s", "id", F.repeat(F.lit("x"), 2000)).alias("value"))
+    path = str(tmp_path / "odd %41 name")
+    lines.repartitionByRange(7, "side", "id").sortWithinPartitions("side", "id").select("side", "value").write.partitionBy("side").text(path)
+    found = files.inventory(spark, path, F.regexp_extract("path", "side=([^/]+)/", 1)).collect()
+    expect = {str(side): "".join(f"{i:05} {'x' * 2000}\n" for i in range(500) if i % 2 == side).encode() for side in (0, 1)}
+    assert {r["path"]: (r["length"], r["sha256"]) for r in found} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in expect.items()}
+    assert sum(r["length"] for r in files.inventory(spark, path).collect()) == sum(map(len, expect.values()))
