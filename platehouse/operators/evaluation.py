@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platehouse.functions.geometry import overlap
-from platehouse.functions.grouping import map_groups
+from platehouse.functions.grouping import map_arrays
 from platehouse.functions.scalars import ratio
 from platehouse.functions.scratch import staged
 
@@ -67,22 +68,32 @@ def _near(n_truths: np.ndarray, n_predictions: np.ndarray, truths: np.ndarray, p
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _greedy(n_truths: np.ndarray, n_predictions: np.ndarray, truths: np.ndarray, predictions: np.ndarray, thresholds: tuple[float, ...]) -> np.ndarray:
+def _greedy(n_truths: np.ndarray, n_predictions: np.ndarray, truths: np.ndarray, predictions: np.ndarray, thresholds: tuple[float, ...], later: bool = True) -> np.ndarray:
     """For each prediction and threshold the number of the truth that it takes, or -1. Boxes lie group by group, predictions
-    in the order in which they choose. Round by round, the next prediction of every group chooses, all at once."""
+    in the order in which they choose. Of equals the later truth counts, or the earlier. Round by round, the next prediction
+    of every group chooses, all at once; a group of more than MOST_PAIRS pairs is walked through by itself."""
     taken = np.full((len(predictions), len(thresholds)), -1, np.int64)
-    p, t, iou = _near(n_truths, n_predictions, truths, predictions, min(thresholds))
-    order = np.lexsort((t, iou, p))[::-1]  # each prediction's best pair first, of equals the later truth
+    large = n_truths * n_predictions > MOST_PAIRS
+    if large.any():
+        first_t, first_p = (np.cumsum(n) - n for n in (n_truths, n_predictions))
+        for g in np.flatnonzero(large):
+            t, p = slice(first_t[g], first_t[g] + n_truths[g]), slice(first_p[g], first_p[g] + n_predictions[g])
+            found = _walk(truths[t], predictions[p], thresholds, later)
+            taken[p] = np.where(found < 0, -1, found + t.start)
+    p, t, iou = _near(np.where(large, 0, n_truths), n_predictions, truths[~np.repeat(large, n_truths)], predictions, min(thresholds))
+    if large.any():
+        t = np.flatnonzero(~np.repeat(large, n_truths))[t]
+    order = np.lexsort((-t if later else t, -iou, p))  # each prediction's best pair first
     p, t, iou = p[order], t[order], iou[order]
     turn = (np.arange(len(predictions)) - np.repeat(np.cumsum(n_predictions) - n_predictions, n_predictions))[p]
     by_turn = np.argsort(turn, kind="stable")
     ends = np.cumsum(np.bincount(turn)) if len(turn) else np.zeros(0, np.int64)
+    p, t, iou = p[by_turn], t[by_turn], iou[by_turn]
     for k, threshold in enumerate(thresholds):
         free = np.ones(len(truths), bool)
         start = 0
         for end in ends:
-            rows = by_turn[start:end]
-            rows = rows[(iou[rows] >= threshold) & free[t[rows]]]
+            rows = np.flatnonzero((iou[start:end] >= threshold) & free[t[start:end]]) + start
             first = rows[np.flatnonzero(np.diff(p[rows], prepend=-1))]  # the best that is left for each
             taken[p[first], k] = t[first]
             free[t[first]] = False
@@ -90,51 +101,52 @@ def _greedy(n_truths: np.ndarray, n_predictions: np.ndarray, truths: np.ndarray,
     return taken
 
 
+def _walk(truths: np.ndarray, predictions: np.ndarray, thresholds: tuple[float, ...], later: bool) -> np.ndarray:
+    """The same for one group, a prediction at a time, so that no more than its pairs are held."""
+    taken, free = np.full((len(predictions), len(thresholds)), -1, np.int64), np.ones((len(truths), len(thresholds)), bool)
+    for i, box in enumerate(predictions):
+        iou = np.nan_to_num(_ious(box, truths), nan=-1.0)
+        for k, threshold in enumerate(thresholds):
+            left = np.where(free[:, k] & (iou >= threshold), iou, -1.0)
+            best = len(left) - 1 - int(np.argmax(left[::-1])) if later else int(np.argmax(left))
+            if left[best] >= 0:
+                taken[i, k], free[best, k] = best, False
+    return taken
+
+
+def _sides(box: Column) -> list[Column]:
+    """The four numbers of a box as columns."""
+    return [box[i].cast("double").alias(f"_b{i}") for i in range(4)]
+
+
+def _boxes(rows: pa.Table) -> np.ndarray:
+    return np.column_stack([rows[f"_b{i}"].to_numpy() for i in range(4)])
+
+
 def match_all(truths: DataFrame, predictions: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """(prediction_id, image_id, category_id, score, truth_ids): one-to-one matches, highest score first, for each threshold.
 
     truths: id, image_id, category_id, bbox [x, y, w, h]; predictions also score. A prediction takes the best free truth
     of its image and category from the threshold on; of equals the later. Spark deals and sorts images; a task takes them
-    by the batch, as arrays, and holds the image at a batch's end until the next.
+    by the batch, as columns of numbers, and holds the image at a batch's end until the next.
     """
     by = ["image_id", "category_id"]
-    kinds = {"prediction_id": "Int64", "image_id": "Int64", "category_id": "Int64"}
 
-    def matched(rows: pd.DataFrame) -> pd.DataFrame:
-        group = (rows[by].ne(rows[by].shift()) & ~(rows[by].isna() & rows[by].shift().isna())).any(axis=1).cumsum().to_numpy() - 1
-        is_truth = rows["score"].isna().to_numpy()
-        boxes = np.array(rows["bbox"].tolist(), float).reshape(-1, 4)
+    def matched(group: np.ndarray, rows: pa.Table) -> pa.Table:
+        is_truth = rows["score"].is_null().to_numpy()
+        boxes = _boxes(rows)
         counts = [np.bincount(group[some], minlength=group[-1] + 1) for some in (is_truth, ~is_truth)]
-        taken = _greedy(*counts, boxes[is_truth], boxes[~is_truth], thresholds)
-        ids, out = rows["id"].to_numpy()[is_truth], rows[~is_truth]
-        found = np.append(ids, -1).astype(object)[taken]
-        found[taken < 0] = None
-        return pd.DataFrame({"prediction_id": out["id"], "image_id": out["image_id"], "category_id": out["category_id"], "score": out["score"], "truth_ids": pd.Series([list(f) for f in found], out.index, object)}).astype(kinds)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = batch[by].iloc[-1]
-            open_ = ((batch[by] == last) | (batch[by].isna() & last.isna())).all(axis=1).to_numpy()
-            if open_.all() and (not held or _same(held[-1][by].iloc[-1], last)):
-                held.append(batch)
-                continue
-            cut = len(batch) - int(np.argmin(open_[::-1])) if not open_.all() else 0
-            yield matched(pd.concat([*held, batch.iloc[:cut]]))
-            held = [batch.iloc[cut:]]
-        if held:
-            yield matched(pd.concat(held))
+        taken = _greedy(*counts, boxes[is_truth], boxes[~is_truth], thresholds).ravel()
+        out, ids = rows.filter(pa.array(~is_truth)), rows["id"].filter(pa.array(is_truth)).combine_chunks()
+        found = ids.take(pa.array(taken, mask=taken < 0))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(taken) + 1, len(thresholds), dtype=np.int32)), found)
+        return out.select(["id", *by, "score"]).rename_columns(["prediction_id", *by, "score"]).append_column("truth_ids", lists)
 
     # truths have no score and come first, in order of id
-    both = truths.select("id", *by, "bbox", F.lit(None).cast("double").alias("score")).unionByName(predictions.where("score IS NOT NULL").select("id", *by, "bbox", "score"))
-    dealt = both.repartition(*by).sortWithinPartitions(*by, F.desc_nulls_first("score"), "id")
-    return dealt.mapInPandas(run, "prediction_id long, image_id long, category_id long, score double, truth_ids array<long>")
-
-
-def _same(a: pd.Series, b: pd.Series) -> bool:
-    return bool(((a == b) | (a.isna() & b.isna())).all())
+    longs = [F.col(c).cast("long").alias(c) for c in ("id", *by)]
+    sides = lambda rows, score: rows.select(*longs, *_sides(F.col("bbox")), score.cast("double").alias("score"))
+    both = sides(truths, F.lit(None)).unionByName(sides(predictions.where("score IS NOT NULL"), F.col("score")))
+    return map_arrays(both, by, [F.desc_nulls_first("score"), "id"], matched, "prediction_id long, image_id long, category_id long, score double, truth_ids array<long>")
 
 
 def match(truths: DataFrame, predictions: DataFrame, thresholds: tuple[float, ...] = (0.5,)) -> DataFrame:
@@ -265,35 +277,46 @@ def full_coverage(matches: DataFrame, truths: DataFrame, predictions: DataFrame,
 
 def suppress(boxes: DataFrame, threshold: float, class_agnostic: bool = False) -> DataFrame:
     """Boxes (id, image_id, category_id, bbox corners, score) that survive: a better one of its class overlaps none more."""
+    names, more = boxes.columns, float(np.nextafter(threshold, np.inf))
 
-    names = boxes.columns
-
-    def keep(key, image: dict) -> list[tuple]:
-        corners = np.array([list(b) for b in image["bbox"]], float).reshape(-1, 4)
+    def keep(group: np.ndarray, rows: pa.Table) -> pa.Table:
+        corners = _boxes(rows)
         xywh = np.concatenate((corners[:, :2], np.clip(corners[:, 2:] - corners[:, :2], 0, None)), axis=1)
-        kind, alive = np.array(image["category_id"]), np.ones(len(corners), bool)
-        for i in range(len(corners)):
-            if alive[i]:
-                alive[i + 1 :] &= ~((_ious(xywh[i], xywh[i + 1 :]) > threshold) & (class_agnostic | (kind[i + 1 :] == kind[i])))
-        return [tuple(image[c][i] for c in names) for i in np.flatnonzero(alive)]
+        kind = np.zeros(len(xywh), np.int64) if class_agnostic else rows["category_id"].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        alive, n = np.ones(len(xywh), bool), np.bincount(group)
+        first, large = np.cumsum(n) - n, n * n > MOST_PAIRS
+        for g in np.flatnonzero(large):  # an image of very many boxes is walked through by itself
+            end = first[g] + n[g]
+            for i in range(first[g], end):
+                if alive[i]:
+                    alive[i + 1 : end] &= ~((_ious(xywh[i], xywh[i + 1 : end]) > threshold) & (kind[i + 1 : end] == kind[i]))
+        some = np.flatnonzero(~large[group])
+        worse, better, _ = _near(n[~large], n[~large], xywh[some], xywh[some], more)
+        worse, better = some[worse], some[better]
+        pairs = (better < worse) & (kind[better] == kind[worse])
+        worse, better = worse[pairs], better[pairs]
+        turn = better - first[group[better]]
+        order = np.argsort(turn, kind="stable")
+        worse, better, start = worse[order], better[order], 0
+        for end in np.cumsum(np.bincount(turn)) if len(turn) else ():  # round by round, the next box of every image
+            alive[worse[start:end][alive[better[start:end]]]] = False
+            start = end
+        return rows.filter(pa.array(alive)).select(names)
 
-    return map_groups(boxes, ["image_id"], [F.desc("score"), "id"], keep, ", ".join(f"`{n}` {k}" for n, k in boxes.dtypes))
+    sides = boxes.select("*", *_sides(F.col("bbox")))
+    return map_arrays(sides, ["image_id"], [F.desc("score"), "id"], keep, ", ".join(f"`{n}` {k}" for n, k in boxes.dtypes))
 
 
 def associate(tracks: DataFrame, detections: DataFrame) -> DataFrame:
     """(frame_id, track_id, detection_id): each track takes its best overlapping detection, each detection used once."""
 
-    def take(key, rows: dict) -> list[tuple]:
-        boxes = np.array([list(b) for b in rows["bbox"]], float).reshape(-1, 4)
-        n = sum(t is None or t != t for t in rows["track_id"])  # detections come first
-        free, out = np.ones(n, bool), []
-        for i in range(n, len(boxes)):
-            iou = np.where(free, _ious(boxes[i], boxes[:n]), 0)
-            best = int(np.argmax(iou)) if n and iou.max() > 0 else None
-            if best is not None:
-                free[best] = False
-            out.append((key[0], int(rows["track_id"][i]), None if best is None else int(rows["detection_id"][best])))
-        return out
-
-    both = tracks.select("frame_id", "track_id", F.lit(None).cast("long").alias("detection_id"), "bbox").unionByName(detections.select("frame_id", F.lit(None).cast("long").alias("track_id"), "detection_id", "bbox"))
-    return map_groups(both, ["frame_id"], [F.asc_nulls_first("track_id"), "detection_id"], take, "frame_id long, track_id long, detection_id long")
+    def take(group: np.ndarray, rows: pa.Table) -> pa.Table:
+        boxes, found = _boxes(rows), rows["track_id"].is_null().to_numpy()  # detections come first
+        counts = [np.bincount(group[some], minlength=group[-1] + 1) for some in (found, ~found)]
+        taken = _greedy(*counts, boxes[found], boxes[~found], (float(np.nextafter(0, 1)),), later=False)[:, 0]
+        ids, out = rows["detection_id"].filter(pa.array(found)).combine_chunks(), rows.filter(pa.array(~found)).select(["frame_id", "track_id"])
+        return out.append_column("detection_id", ids.take(pa.array(taken, mask=taken < 0)))
+
+    side = lambda rows, track, detection: rows.select(F.col("frame_id").cast("long").alias("frame_id"), track.cast("long").alias("track_id"), detection.cast("long").alias("detection_id"), *_sides(F.col("bbox")))
+    both = side(tracks, F.col("track_id"), F.lit(None)).unionByName(side(detections, F.lit(None), F.col("detection_id")))
+    return map_arrays(both, ["frame_id"], [F.asc_nulls_first("track_id"), "detection_id"], take, "frame_id long, track_id long, detection_id long")

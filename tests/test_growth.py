@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platehouse.operators import annotations, reid
+from platehouse.operators import annotations, evaluation, reid
 from platehouse.sources import files
 
 
@@ -90,3 +91,38 @@ def test_parts_of_one_file_have_one_digest(spark, tmp_path):
     expect = {str(side): "".join(f"{i:05} {'x' * 2000}\n" for i in range(500) if i % 2 == side).encode() for side in (0, 1)}
     assert {r["path"]: (r["length"], r["sha256"]) for r in found} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in expect.items()}
     assert sum(r["length"] for r in files.inventory(spark, path).collect()) == sum(map(len, expect.values()))
+
+
+@pytest.mark.parametrize(("batch", "pairs"), [(10_000, 2_000_000), (5, 30)])
+def test_association_and_suppression_are_plain_walks(spark, monkeypatch, batch, pairs):
+    monkeypatch.setattr(evaluation, "MOST_PAIRS", pairs)
+    monkeypatch.setattr(evaluation, "map_groups", None, raising=False)  # no row goes through lists
+    rng = random.Random(8)
+    box = lambda: [float(rng.randrange(9)), float(rng.randrange(9)), float(rng.randrange(0, 9)), 6.0]
+    frame = lambda: rng.choice([1] * 8 + list(range(2, 25)) + [None])
+    tracks, found = ([(frame(), start + i, box()) for i in range(150)] for start in (0, 500))
+    iou = lambda a, b: float(evaluation._ious(np.array(a), np.array([b]))[0])
+    used, expected = set(), {}
+    for f, t, b in tracks:
+        best = max(((iou(b, d[2]), -d[1]) for d in found if d[0] == f and d[1] not in used and iou(b, d[2]) > 0), default=(0, None))[1]
+        expected[t] = best and -best
+        used.add(expected[t])
+    scored = [(i, f, rng.choice("ab"), [b[0], b[1], b[0] + b[2], b[1] + b[3]], rng.choice([0.1, 0.5, 0.9])) for f, i, b in found]
+    kept = {}
+    for every in (False, True):
+        kept[every] = []
+        for row in sorted(scored, key=lambda r: (-r[4], r[0])):
+            size = lambda c: [c[0], c[1], c[2] - c[0], c[3] - c[1]]
+            if not any(k[1] == row[1] and (every or k[2] == row[2]) and iou(size(k[3]), size(row[3])) > 0.4 for k in kept[every]):
+                kept[every].append(row)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        t = spark.createDataFrame(tracks, "frame_id long, track_id long, bbox array<double>").repartition(3)
+        d = spark.createDataFrame(found, "frame_id long, detection_id long, bbox array<double>").repartition(3)
+        assert {r["track_id"]: r["detection_id"] for r in evaluation.associate(t, d).collect()} == expected
+        b = spark.createDataFrame(scored, "id long, image_id long, category_id string, bbox array<double>, score double").repartition(3)
+        for every in (False, True):
+            assert sorted(tuple(r) for r in evaluation.suppress(b, 0.4, every).collect()) == sorted(kept[every])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
