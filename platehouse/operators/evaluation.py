@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platehouse.functions.geometry import overlap
-from platehouse.functions.grouping import map_arrays
+from platehouse.functions.grouping import map_arrays, parts_for
 from platehouse.functions.scalars import ratio
 from platehouse.functions.scratch import staged
 
@@ -179,8 +178,9 @@ def average_precision(truths: DataFrame, predictions: DataFrame, thresholds: tup
     at = range(len(thresholds))
     there = truths.groupBy("category_id").agg(F.count("*").alias("_truths"))
     mask = sum((F.when(F.col("truth_ids")[i].isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i in at), F.lit(0))
-    hits = match_all(truths, predictions, thresholds).select("category_id", "score", "prediction_id", mask.alias("_mask"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # staged before it is dealt by score, since borders are found by a look at all rows
+    hits = staged(match_all(truths, predictions, thresholds).select("category_id", "score", "prediction_id", mask.alias("_mask")), "matched")
+    n = parts_for(spark, hits.count(), RANGE)
     hits = staged(hits.repartitionByRange(n, F.desc("score"), "prediction_id").withColumn("_part", F.spark_partition_id()), "hits")
     # one row for each range and class
     sums = staged(hits.groupBy(*by).agg(F.count("*").alias("_rows"), *[F.sum(F.getbit("_mask", F.lit(i)).cast("int")).alias(f"_hits{i}") for i in at]), "sums")
@@ -193,31 +193,33 @@ def average_precision(truths: DataFrame, predictions: DataFrame, thresholds: tup
         row = facts.select(*by, F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("prediction_id"), F.lit(None).cast("int").alias("_mask"), "_facts")
         rows = hits.select(*by, F.lit(1).alias("_kind"), "score", "prediction_id", "_mask", F.lit(None).cast("array<double>").alias("_facts"))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[np.ndarray] = []
             known = None
 
-            def done() -> pd.DataFrame:
+            def done() -> pa.RecordBatch:
                 masks = np.concatenate(held) if held else np.zeros(0, np.int64)
                 found = function(np.array(known["_facts"]), (masks[:, None] >> np.arange(len(thresholds))) & 1)
                 held.clear()
-                return pd.DataFrame({"category_id": [known["category_id"]], "_part": [known["_part"]], "_found": [list(found)]})
+                return pa.RecordBatch.from_arrays([pa.array([known["category_id"]], pa.int64()), pa.array([known["_part"]], pa.int32()), pa.array([list(found)], pa.list_(pa.float64()))], ["category_id", "_part", "_found"])
 
             for batch in batches:
-                starts = np.flatnonzero(batch["_kind"].to_numpy() == 0)
-                for i, j in zip(np.append(0, starts), np.append(starts, len(batch)), strict=True):
-                    some = batch.iloc[i:j]
-                    if len(some) and some["_kind"].iloc[0] == 0:
+                kinds, parts, masks = (batch[c].fill_null(0).to_numpy() for c in ("_kind", "_part", "_mask"))
+                classes, without = batch["category_id"].fill_null(0).to_numpy(), batch["category_id"].is_null().to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(kinds == 0)
+                for i, j in zip(np.append(0, starts), np.append(starts, len(kinds)), strict=True):
+                    if i < j and kinds[i] == 0:
                         if known is not None:
                             yield done()
-                        known, some = some.iloc[0], some.iloc[1:]
-                    if known is not None and len(some) and some["category_id"].iloc[0] == known["category_id"] and some["_part"].iloc[0] == known["_part"]:
-                        held.append(some["_mask"].to_numpy(np.int64))
+                        known, i = batch.slice(i, 1).to_pylist()[0], i + 1
+                    if known is not None and i < j:  # rows of a class without truths have no facts
+                        own = (classes[i:j] == known["category_id"]) & ~without[i:j] & (parts[i:j] == known["_part"])
+                        held.append(masks[i:j][own].astype(np.int64))
             if known is not None:
                 yield done()
 
         dealt = row.unionByName(rows).repartitionById(n, F.col("_part")).sortWithinPartitions("_part", "category_id", "_kind", F.desc("score"), "prediction_id")
-        return dealt.select("category_id", "_part", "_kind", "_mask", "_facts").mapInPandas(run, "category_id long, _part int, _found array<double>")
+        return dealt.select("category_id", "_part", "_kind", "_mask", "_facts").mapInArrow(run, "category_id long, _part int, _found array<double>")
 
     def precision(facts: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rank = facts[1] + 1 + np.arange(len(hit))
@@ -241,6 +243,10 @@ def average_precision(truths: DataFrame, predictions: DataFrame, thresholds: tup
     return every.select("threshold", "category_id", "average_precision")
 
 
+#: Predictions of one range of score; a task holds numbers for each of them and each threshold.
+RANGE = 250_000
+
+
 def mean_average_precision(aps: DataFrame) -> DataFrame:
     """map50 and map50_95 over classes with truths."""
     return aps.agg(F.avg(F.when(F.col("threshold") == 0.5, F.col("average_precision"))).alias("map50"), F.avg("average_precision").alias("map50_95"))

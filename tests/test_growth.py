@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from platehouse.functions import grouping
 from platehouse.operators import annotations, evaluation, reid
 from platehouse.sources import files
 
@@ -126,3 +127,14 @@ def test_association_and_suppression_are_plain_walks(spark, monkeypatch, batch,
             assert sorted(tuple(r) for r in evaluation.suppress(b, 0.4, every).collect()) == sorted(kept[every])
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_average_precision_by_ranges_of_few_predictions(spark, monkeypatch):
+    rows = [(i, i % 40, i % 3, [float(i % 7 * 10), float(i % 5 * 10), 9.0 + i % 2, 9.0], (i * 37 % 101) / 101) for i in range(400)]
+    p = spark.createDataFrame(rows, "id long, image_id long, category_id long, bbox array<double>, score double")
+    t = p.where("category_id < 2 AND id % 4 <> 1").drop("score")
+    found = lambda: {(r["threshold"], r["category_id"]): round(r["average_precision"], 9) for r in evaluation.average_precision(t, p, (0.5, 0.95)).collect()}
+    whole, parts = found(), []
+    monkeypatch.setattr(evaluation, "RANGE", 9)
+    monkeypatch.setattr(evaluation, "parts_for", lambda *a: parts.append(grouping.parts_for(*a)) or parts[-1])
+    assert found() == whole and parts == [45] and {c for _, c in whole} == {0, 1} and all(0 < x < 1 for x in whole.values())
