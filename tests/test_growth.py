@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platehouse.functions import grouping
-from platehouse.operators import annotations, evaluation, reid
+from platehouse.operators import annotations, evaluation, reid, topology
 from platehouse.sources import files
 
 
@@ -138,3 +138,12 @@ def test_average_precision_by_ranges_of_few_predictions(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "RANGE", 9)
     monkeypatch.setattr(evaluation, "parts_for", lambda *a: parts.append(grouping.parts_for(*a)) or parts[-1])
     assert found() == whole and parts == [45] and {c for _, c in whole} == {0, 1} and all(0 < x < 1 for x in whole.values())
+
+
+def test_candidates_are_dealt_into_parts_by_their_number(spark, monkeypatch):
+    prints = spark.range(3000).selectExpr("CAST(id AS STRING) AS id", "concat('v', id % 5) AS vehicle_id", "concat('c', id % 2) AS camera_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS observed_at")
+    edges = spark.createDataFrame([("a", "c0", "c1", 1.0, 30.0, 60.0, True), ("b", "c1", "c0", 1.0, 5.0, 90.0, True)], "id string, from_camera_id string, to_camera_id string, minimum_travel_seconds double, typical_travel_seconds double, maximum_travel_seconds double, enabled boolean")
+    found = lambda: sorted(tuple(r) for r in topology.candidates(prints, edges, per_source=7).collect())
+    whole, parts = found(), []
+    monkeypatch.setattr(topology, "parts_for", lambda session, rows: parts.append(grouping.parts_for(session, rows, 1000)) or parts[-1])
+    assert found() == whole and parts == [9, 21] and len(whole) > 20_000
