@@ -56,6 +56,19 @@ def test_tracks_take_the_nearest_centre(spark):
     d = spark.createDataFrame(found, "frame_id long, detection_index long, bbox array<double>").repartition(3)
     assert {r["track_id"]: (r["detection_index"], r["by"]) for r in tracking.resolve(t, d).collect()} == expected
     assert {r["by"] for r in tracking.resolve(t, d.limit(0)).collect()} == {None} and tracking.resolve(t.limit(0), d).count() == 0
+    assert {r["track_id"]: (r["detection_index"], r["by"]) for r in tracking.resolve(t, d, crowd=10).collect()} == expected  # by grids
+
+
+def test_tracks_of_small_frames_are_written_once(spark, monkeypatch):
+    written, staged = [], tracking.staged
+    monkeypatch.setattr(tracking, "staged", lambda df, label: written.append(label) or staged(df, label))
+    nan, box = float("nan"), lambda x: [x, 0.0, 2.0, 2.0]
+    t = spark.createDataFrame([(1, 1, None, box(500.0)), (1, 2, 0, box(0.0)), (1, 3, None, None), (2, 4, 0, box(nan)), (2, 5, 9, box(1.0)), (None, 6, None, box(0.0))], "frame_id long, track_id long, index long, bbox array<double>")
+    d = spark.createDataFrame([(1, 0, box(0.0)), (1, 1, box(0.0)), (2, 0, box(nan)), (2, 1, None)], "frame_id long, detection_index long, bbox array<double>")
+    expected = {1: (0, "NEAREST"), 2: (0, "INDEX"), 3: (None, None), 4: (0, "INDEX"), 5: (None, None), 6: (None, None)}
+    got = lambda **k: {r["track_id"]: (r["detection_index"], r["by"]) for r in tracking.resolve(t, d, **k).collect()}
+    assert got() == expected and written == ["tracks"]  # a far track starts no further round
+    assert got(crowd=1) == expected
 
 
 @pytest.mark.parametrize("most", [0, 1, 5])
