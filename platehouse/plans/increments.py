@@ -164,6 +164,6 @@ def track_stream(spark, sf_dir):
     rows = fx.events(spark, sf_dir).selectExpr("camera_id", "event_id div 4000 AS epoch", "(event_id div 16) * 0.7D AS at", "concat('t', CAST(user_id % 5 AS STRING)) AS track_id", "event_id % 29 = 0 AS crossed", "event_id % 5000 >= 4992 AS final")
     rows.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-    tracks.sessions(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    tracks.start(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     found = spark.read.schema(tracks.SESSIONS).parquet(f"{path}/out")
     return found.withColumns({c: F.round(c, 6) for c in ("first_seen", "last_seen")})

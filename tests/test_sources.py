@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,34 @@ def test_track_stream_closes_by_crossing_and_epoch(spark, tmp_path):
     assert sorted((r["track_id"], r["last_seen"], r["observations"], r["cause"]) for r in spark.table("closed").collect()) == [("a", 1.0, 2, "CROSSING"), ("b", 2.6, 2, "EPOCH")]
 
 
+def test_track_stream_holds_one_batch_of_a_camera(spark, tmp_path, monkeypatch):
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    read, ticks = [], [pd.DataFrame({"epoch": [0, 0], "at": [i * 2.0, i * 2.0 + 1], "track_id": [f"t{i}", None], "crossed": [True, None], "final": [False, None]}) for i in range(50)]
+    monkeypatch.setattr(tracks, "FLUSH", 5)
+    out = tracks._walk(("c",), (read.append(i) or b for i, b in enumerate(ticks)), State())
+    assert len(next(out)) == 5 and len(read) < 8 and sum(len(x) for x in out) == 45  # rows are handed on before all are read
+    rows = spark.range(4000).selectExpr("concat('c', id % 3) AS camera_id", "id div 900 AS epoch", "(id div 12) * 0.7D AS at", "CASE WHEN id % 7 > 0 THEN concat('t', id * 37 % 11) END AS track_id", "id % 53 = 0 AS crossed", "id % 1000 >= 990 AS final")
+    rows.repartition(5).write.parquet(str(tmp_path / "ticks"))
+    found = {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # ticks go on in the next batch
+    try:
+        for ordered in (True, False):
+            stream, path = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "ticks")), str(tmp_path / f"out-{ordered}")
+            if ordered:
+                tracks.start(stream, path, path + "-cp").awaitTermination()
+            else:
+                tracks.sessions(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-cp").trigger(availableNow=True).start().awaitTermination()
+            found[ordered] = sorted(map(tuple, spark.read.schema(tracks.SESSIONS).parquet(path).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[True] == found[False] and {r[-1] for r in found[True]} == {"CROSSING", "TIMEOUT", "END", "EPOCH"}
+
+
 def test_exports_that_differ_are_found(spark, tmp_path):
     samples = spark.createDataFrame([("a", "x", "train"), ("a", "x", "train")], "id string, label string, split string")
     manifest = files.export_labels(samples, str(tmp_path / "out"))
