@@ -7,24 +7,13 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from platehouse.functions.batches import small_batches
 from platehouse.functions.scratch import staged
 
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows and bytes that go to a Python worker at once, at most: texts may be long, and each batch is held several times over.
-BATCH_ROWS, BATCH_BYTES = 2_000, 64 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Set the session's batches for Python workers to BATCH_ROWS and BATCH_BYTES, unless they are smaller already."""
-    for setting, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{setting}"
-        if not 0 < int(spark.conf.get(name).rstrip("bB")) <= most:
-            spark.conf.set(name, most)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of documents below a folder, which any Hadoop file system may hold; batches of it are kept small."""
     small_batches(spark)

@@ -261,6 +261,26 @@ def test_audit_redaction_reads_whole_pages(spark, tmp_path):
     assert got == {1: ("https://x/a", pages[0][2]), 2: ("https://x/a", "z" * 4096), 3: (None, "[REDACTED]"), 4: ("ftp://x?q=1#x", None), 6: ("x?q=1#x", pages[4][2][:4096]), 10: ("[REDACTED]", "")}
 
 
+def test_audit_redaction_takes_small_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    from platehouse.plans import registry
+
+    settings = [f"spark.sql.execution.arrow.{s}" for s in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {s: spark.conf.get(s) for s in settings}
+    try:
+        for s in settings:
+            spark.conf.unset(s)
+        spark.range(40).selectExpr("id AS page_id", "'https://x/a' AS url", "repeat('y', 1000000) AS html").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+        shown = registry.queries()["audit_redaction"](spark, str(tmp_path))
+        assert shown.selectExpr("max(length(html))", "count(html)").first()[:] == (4096, 40)
+        rows_at_once = F.arrow_udf(lambda a: pa.array([len(a)] * len(a), pa.int64()), "long")
+        assert spark.read.parquet(str(tmp_path / "pages.parquet")).select(rows_at_once("html").alias("n")).agg(F.max("n")).first()[0] <= 9
+    finally:
+        for s, v in before.items():
+            spark.conf.set(s, v)
+
+
 def test_redaction_limits(spark):
     from platehouse.operators import state
 
