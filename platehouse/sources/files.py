@@ -49,7 +49,10 @@ def encode_envelope(documents: DataFrame) -> DataFrame:
 
 
 def decode_envelope(messages: DataFrame) -> DataFrame:
-    """Messages with `event` and reject_reason, null where id, type, source, track and time agree with the event."""
+    """Messages with `event` and reject_reason, null where id, type, source, track and time agree with the event.
+
+    A filter by reject_reason stops at the generator, as it would otherwise repeat the parsing of JSON for each of its terms.
+    """
     e = messages.withColumn("_m", F.from_json("value", ENVELOPE_SCHEMA)).withColumn("event", F.from_json("_m.data", EVENT_SCHEMA))
     agree = {
         "INVALID_JSON": F.col("_m").isNotNull() & F.col("_m.id").isNotNull(), "INVALID_EVENT": F.col("event").isNotNull() & F.col("event._id").isNotNull(), "ID_MISMATCH": F.col("_m.id") == F.col("event._id"),
@@ -57,7 +60,7 @@ def decode_envelope(messages: DataFrame) -> DataFrame:
         "CORRELATION_MISMATCH": F.col("_m.correlationId") == F.col("event.trackId"), "TIME_MISMATCH": F.col("_m.occurredAt") == F.col("event.occurredAt"),
     }
     reason = F.get(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in agree.items()])), F.lit(0))
-    return e.withColumn("reject_reason", reason).drop("_m")
+    return e.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in messages.columns], "event", reason.alias("reject_reason")))))
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -75,6 +75,14 @@ def test_worker_runs_duplicates_through_later_steps(spark, tmp_path):
     assert spark.read.parquet(folders["store"]).count() == spark.read.parquet(folders["alerts"]).count() == 1
 
 
+def test_messages_are_parsed_once(spark):
+    messages = spark.createDataFrame([(json.dumps({"id": "evt_a7", "data": json.dumps(EVENT)}), 1), ("broken", 2)], "value string, `at.n` int")
+    decoded = files.decode_envelope(messages)
+    assert decoded.columns == ["value", "at.n", "event", "reject_reason"] and [r["reject_reason"] for r in decoded.orderBy("`at.n`").collect()] == ["TYPE_MISMATCH", "INVALID_JSON"]
+    for found in (decoded.where("reject_reason IS NULL").select("event.*"), decoded.where("reject_reason IS NOT NULL").select("value")):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2  # an envelope and its event
+
+
 def test_track_stream(spark, tmp_path):
     rows = [("c", 0, 0.0, "a"), ("c", 0, 1.0, "a"), ("c", 0, 3.5, None), ("c", 1, 4.0, "b"), ("c", 1, 5.0, None)]
     path = tmp_path / "ticks"
