@@ -13,8 +13,8 @@ from itertools import chain, count
 
 import numpy as np
 
-#: Chunks that a worker keeps; beyond that, it drops those that it has seen once only.
-KEPT_CHUNKS = 1_600_000
+#: Chunks that a worker keeps, of about 285 bytes each; beyond that, it drops those that it has seen once only.
+KEPT_CHUNKS = 1_000_000
 #: What may be a special token; white space before white space or the end; white space but for spaces and line ends.
 _SPECIAL, _ODD = "<|", re.compile(r"\s(?!\S)")
 _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]

@@ -91,3 +91,24 @@ def test_a_document_taken_very_often_is_dealt_over_tasks(spark, monkeypatch):
     assert sorted((r["doc_id"] or 0, r["text"], r["source"]) for r in got) == expected
     sizes = Counter(r["task"] for r in got if r["doc_id"] is None)
     assert len(sizes) > 1 and max(sizes.values()) < len(got) * 0.7
+
+
+def test_files_reach_a_worker_a_few_at_a_time(spark):
+    """Batches hold 8 MB at most and a worker's cache of chunks about 285 MB, so that neither grows with the table."""
+    from pyspark.sql import functions as F
+
+    from platehouse.functions.batches import small_batches
+    from platehouse.llm import tokens
+
+    settings = [f"spark.sql.execution.arrow.{s}" for s in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {s: spark.conf.get(s) for s in settings}
+    try:
+        for s in settings:
+            spark.conf.unset(s)
+        small_batches(spark)
+        sizes = spark.range(40).coalesce(1).select(F.encode(F.repeat(F.lit("y"), F.lit(1_000_000)), "utf-8").alias("payload")).mapInPandas(lambda batches: (b.assign(n=len(b))[["n"]] for b in batches), "n long")
+        assert sizes.agg(F.max("n")).first()[0] <= 9
+    finally:
+        for s, v in before.items():
+            spark.conf.set(s, v)
+    assert tokens.KEPT_CHUNKS * 285 < 300_000_000
